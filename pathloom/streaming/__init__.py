@@ -1,0 +1 @@
+"""Intentionally empty: every source is a file read to its end, so all operators are batch."""
