@@ -12,6 +12,7 @@ from pathloom.operators.joins import small_side
 
 ACCURACY = 10_000  # rank error of the sketch is rows/ACCURACY; also the size of a group taken whole
 SALTS = 64
+DIRECT_ROWS = 250_000  # a group proven no larger than this fits one aggregation buffer
 
 
 def sum_variables(df: DataFrame, variables: Sequence[str], keys: Sequence[str] = ("scen_id", "year"),
@@ -43,10 +44,11 @@ def _bracket_class(probs: Sequence[float]) -> tuple[Column, Column]:
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], probs: dict[str, float], value: str = "value",
-              groups_at_most: int | None = None) -> DataFrame:
+              groups_at_most: int | None = None, rows_at_most: int | None = None) -> DataFrame:
     """Exact quantiles, linear between order statistics, missing values skipped: (keys, one column per prob).
 
-    No task ever holds a group. A mergeable sketch per group brackets the two order statistics each
+    Groups proven small (``rows_at_most``, e.g. the number of scenarios) take the built-in exact percentile.
+    Otherwise no task ever holds a group. A mergeable sketch per group brackets the two order statistics each
     probability needs; then one pass counts every row, keeping apart only the values inside a bracket (a
     ~1/ACCURACY share of a large group) and folding the rest to counts before the shuffle. Equal values fold
     to one row as well, so a value held by a third of the rows is harmless. A bracket that missed its order
@@ -56,9 +58,15 @@ def quantiles(df: DataFrame, keys: Sequence[str], probs: dict[str, float], value
     the brackets are broadcast; without it rows are first folded by value and joined under a salt.
     """
     if not keys:
-        return quantiles(df.withColumn("_all", F.lit(0)), ["_all"], probs, value, 1).drop("_all")
+        one = df.withColumn("_all", F.lit(0))
+        return quantiles(one, ["_all"], probs, value, 1, rows_at_most).drop("_all")
     names, ps = list(probs), [float(p) for p in probs.values()]
     keys = list(keys)
+    if rows_at_most is not None and rows_at_most <= DIRECT_ROWS:
+        exact = df.where(col(value).isNotNull()).groupBy(*keys).agg(
+            F.percentile(col(value), F.array(*[F.lit(p) for p in ps])).alias("_p")
+        )
+        return exact.select(*keys, *[F.col("_p")[i].alias(n) for i, n in enumerate(names)])
     eps = 3.0 / ACCURACY
     grid = [max(0.0, p - eps) for p in ps] + [min(1.0, p + eps) for p in ps]
     x = df.where(col(value).isNotNull()).select(*keys, col(value).alias("_x"))
@@ -119,15 +127,16 @@ def quantiles(df: DataFrame, keys: Sequence[str], probs: dict[str, float], value
 
 
 def quantile_rows(df: DataFrame, keys: Sequence[str], probs: dict[str, float], value: str = "value",
-                  groups_at_most: int | None = None, label: str = "perc") -> DataFrame:
+                  groups_at_most: int | None = None, rows_at_most: int | None = None,
+                  label: str = "perc") -> DataFrame:
     """As ``quantiles`` but one row per probability, labelled."""
-    q = quantiles(df, keys, probs, value, groups_at_most)
+    q = quantiles(df, keys, probs, value, groups_at_most, rows_at_most)
     return q.unpivot(list(keys), list(probs), label, "value")
 
 
 def median(df: DataFrame, keys: Sequence[str], value: str = "value", out: str = "value",
-           groups_at_most: int | None = None) -> DataFrame:
-    return quantiles(df, keys, {out: 0.5}, value, groups_at_most)
+           groups_at_most: int | None = None, rows_at_most: int | None = None) -> DataFrame:
+    return quantiles(df, keys, {out: 0.5}, value, groups_at_most, rows_at_most)
 
 
 def approx_quantiles(df: DataFrame, keys: Sequence[str], probs: dict[str, float], value: str = "value",
@@ -139,8 +148,9 @@ def approx_quantiles(df: DataFrame, keys: Sequence[str], probs: dict[str, float]
 
 
 def interquartile_band(df: DataFrame, keys: Sequence[str], value: str = "value", low: str = "c1_25",
-                       high: str = "c1_75", groups_at_most: int | None = None) -> DataFrame:
-    return quantiles(df, keys, {low: 0.25, high: 0.75}, value, groups_at_most)
+                       high: str = "c1_75", groups_at_most: int | None = None,
+                       rows_at_most: int | None = None) -> DataFrame:
+    return quantiles(df, keys, {low: 0.25, high: 0.75}, value, groups_at_most, rows_at_most)
 
 
 def change_columns(df: DataFrame, years: Sequence[int], base: int = 2020, prefix: str = "y",
@@ -149,9 +159,10 @@ def change_columns(df: DataFrame, years: Sequence[int], base: int = 2020, prefix
     return df.withColumns({f"{out}{y}": relative_change(f"{prefix}{base}", f"{prefix}{y}") for y in years})
 
 
-def boxplot_stats(df: DataFrame, keys: Sequence[str], value: str, groups_at_most: int | None = None) -> DataFrame:
+def boxplot_stats(df: DataFrame, keys: Sequence[str], value: str, groups_at_most: int | None = None,
+                  rows_at_most: int | None = None) -> DataFrame:
     """Quartiles, whiskers at the last value within 1.5 IQR, outlier and row counts per group."""
-    q = quantiles(df, keys, {"q1": 0.25, "q2": 0.5, "q3": 0.75}, value, groups_at_most)
+    q = quantiles(df, keys, {"q1": 0.25, "q2": 0.5, "q3": 0.75}, value, groups_at_most, rows_at_most)
     x = df.where(col(value).isNotNull()).select(*keys, col(value).alias("_x"))
     fences = small_side(
         q.select(

@@ -47,13 +47,15 @@ class ScenarioDb:
 
     ``long``: scen_id, Model, Scenario, Region, Variable, Unit, year, value, with at most one row per
     (scen_id, Variable, year). A missing value is an absent row.
-    ``first_year``/``last_year``: the year columns the wide table has.
+    ``first_year``/``last_year``: the year columns the wide table has. ``scenarios``: how many scenarios there
+    are, if known; it bounds every per-(variable, year) group and so picks the quantile method.
     """
 
     long: DataFrame
     key: DataFrame
     first_year: int
     last_year: int
+    scenarios: int | None = None
 
 
 def read_scenario_db(spark: SparkSession, data_path: str, meta_path: str, meta_fmt: str = "csv",

@@ -21,6 +21,9 @@ from pathloom.sources.tables import ScenarioDb, stage
 
 FIRST_YEAR, LAST_YEAR = 2010, 2092
 
+# exact integer sums are scaled by primes, so no derived value lies on a rounding tie
+UNIT, OLDER_UNIT, TICK_UNIT = 9999991.0, 99991.0, 97.0
+
 # variable order = slot number
 VARIABLES = (
     (fixed.NET_TOTAL, "Mt CO2/yr"), (fixed.NET_ENERGY, "Mt CO2/yr"), (fixed.NET_INDUSTRY, "Mt CO2/yr"),
@@ -46,7 +49,7 @@ OLDER_VARIABLES = (
 
 # screening limits in the value range of these tables (the same at every scale factor)
 LIMITS = fixed.Limits(
-    bioenergy=200.0, afforestation=200.0, total_ccs=3500.0, removals_2020=300.0, land_sector=-40000.0,
+    bioenergy=200.0, afforestation=200.0, total_ccs=3500.0, removals_2020=300.0, land_sector=-10000.0,
     beccs_high=160.0, beccs_medium=120.0, fossil_ccs_high=160.0, fossil_ccs_medium=120.0, land_use=160.0,
 )
 HISTORY = (("World", fixed.HARMONISE_YEAR, 50.0),)
@@ -75,7 +78,7 @@ def scenario_long(spark: SparkSession, sf: str) -> DataFrame:
             * (F.lit(100) - F.round(F.col("l_discount") * 100)).cast("bigint")
         ).alias("amount"),
     )
-    cells = li.groupBy("l_suppkey", "slot", "year").agg((F.sum("amount").cast("double") / 1e7).alias("v"))
+    cells = li.groupBy("l_suppkey", "slot", "year").agg((F.sum("amount").cast("double") / UNIT).alias("v"))
     nation = read(spark, sf, "nation").join(
         small_side(read(spark, sf, "region"), 5), F.col("n_regionkey") == F.col("r_regionkey")
     )
@@ -134,7 +137,7 @@ def older_long(spark: SparkSession, sf: str) -> DataFrame:
             F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"),
         )
         .groupBy("o_custkey", "o_orderpriority", "year")
-        .agg((F.sum("cents").cast("double") / 1e5).alias("v"))
+        .agg((F.sum("cents").cast("double") / OLDER_UNIT).alias("v"))
     )
     names = spark.createDataFrame(OLDER_VARIABLES, "o_orderpriority string, Variable string")
     cust = read(spark, sf, "customer")
@@ -171,17 +174,24 @@ def _staged(spark: SparkSession, sf: str, name: str, make) -> DataFrame:
     return _STAGED[tag]
 
 
+_DBS: dict[str, ScenarioDb] = {}
+
+
+def _db(spark: SparkSession, sf: str, name: str, long, key, first: int, last: int) -> ScenarioDb:
+    """Both tables staged; the scenario count comes from the written metadata table."""
+    tag = json.dumps([spark.sparkContext.applicationId, shared_dir(spark), sf, name])
+    if tag not in _DBS:
+        k = _staged(spark, sf, f"{name}_key", key)
+        _DBS[tag] = ScenarioDb(_staged(spark, sf, f"{name}_long", long), k, first, last, k.count())
+    return _DBS[tag]
+
+
 def db(spark: SparkSession, sf: str) -> ScenarioDb:
-    return ScenarioDb(
-        _staged(spark, sf, "scen_long", scenario_long), _staged(spark, sf, "scen_key", scenario_key),
-        FIRST_YEAR, LAST_YEAR,
-    )
+    return _db(spark, sf, "scen", scenario_long, scenario_key, FIRST_YEAR, LAST_YEAR)
 
 
 def older_db(spark: SparkSession, sf: str) -> ScenarioDb:
-    return ScenarioDb(
-        _staged(spark, sf, "older_long", older_long), _staged(spark, sf, "older_key", older_key), 2010, 2090
-    )
+    return _db(spark, sf, "older", older_long, older_key, 2010, 2090)
 
 
 def focal(spark: SparkSession) -> DataFrame:
@@ -198,7 +208,7 @@ def event_ticks(spark: SparkSession, sf: str) -> DataFrame:
         read(spark, sf, "events")
         .select("user_id", "event_type", F.dayofmonth("ts").alias("year"), F.round(F.col("value") * 100).cast("bigint").alias("c"))
         .groupBy("user_id", "event_type", "year")
-        .agg((F.sum("c").cast("double") / 100).alias("value"))
+        .agg((F.sum("c").cast("double") / TICK_UNIT).alias("value"))
     )
 
 
@@ -210,7 +220,7 @@ def companies(spark: SparkSession, sf: str) -> DataFrame:
         .groupBy("o_custkey")
         .agg(
             F.count(F.lit(1)).alias("n"),
-            (F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")).cast("double") / 1e5).alias("s"),
+            F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")).alias("s"),
         )
     )
     cust = read(spark, sf, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left")
@@ -223,6 +233,6 @@ def companies(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("c_acctbal") >= 0, "fixed_market_share").when(F.col("c_acctbal") >= -500, "ty_output")
         .otherwise("other").alias("ty_activity_type"),
         F.coalesce(F.col("n").cast("string"), na).alias("by_activity"),
-        F.coalesce(F.round("s", 2).cast("string"), na).alias("by_scope1"),
-        F.when(F.col("c_acctbal") < 0, na).otherwise(F.round("c_acctbal", 2).cast("string")).alias("by_scope2"),
+        F.coalesce(F.col("s").cast("string"), na).alias("by_scope1"),
+        F.when(F.col("c_acctbal") < 0, na).otherwise(F.round(F.col("c_acctbal") * 100).cast("bigint").cast("string")).alias("by_scope2"),
     )
