@@ -7,12 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions import fixed
-from pathloom.functions.columns import co2e, land_sector_co2e, positive_where, sum_or_zero, zero_as_missing
-from pathloom.operators.joins import difference_ids, distinct_ids, in_ids
+from pathloom.functions.columns import (
+    any_true, co2e, land_sector_co2e, positive_where, sum_or_zero, zero_as_missing,
+)
+from pathloom.operators.joins import difference_ids, in_ids
 from pathloom.operators.summary import sum_variables
 from pathloom.operators.timeaxis import interpolate_gaps, interpolated_total
 
@@ -72,6 +74,68 @@ def gross_emissions_plain(df: DataFrame, name: str = fixed.GROSS_TOTAL) -> DataF
     return sum_variables(df, [fixed.NET_TOTAL, fixed.BECCS]).withColumn("Variable", F.lit(name)).select(*LONG)
 
 
+def _eip_rows(df: DataFrame, ids: DataFrame, total: str, parts: Sequence[str], removals: Sequence[str]) -> DataFrame:
+    """Rows of the total, its parts and the removals for each id; an id without any keeps one empty row."""
+    v = F.col("Variable")
+    rows = df.where(v.isin([total, *parts, *removals])).select(
+        "scen_id", "year", (v == total).alias("_is_total"), F.when(v == total, F.col("value")).alias("_total"),
+        F.when(v.isin(list(parts)), F.col("value")).alias("_part"),
+        F.when(v.isin(list(removals)), F.abs("value")).alias("_removal"),
+    )
+    flagged = ids if "fill" in ids.columns else ids.select("scen_id").withColumn("fill", F.lit(True))
+    return flagged.select("scen_id", "fill").join(rows, "scen_id", "left")
+
+
+def _net_and_gross(use_parts: Column, total: Column, part: Column, removal: Column) -> tuple[Column, Column]:
+    zero = F.lit(0.0)
+    net = F.when(use_parts, F.coalesce(part, zero)).otherwise(total)
+    return net, F.coalesce(net, zero) + F.coalesce(removal, zero)
+
+
+def eip_at(df: DataFrame, ids: DataFrame, years: Sequence[int], total: str = fixed.NET_TOTAL,
+           parts: Sequence[str] = (fixed.NET_ENERGY, fixed.NET_INDUSTRY),
+           removals: Sequence[str] = fixed.REMOVALS) -> DataFrame:
+    """Filled net total and gross emissions of each id at listed years: scen_id, net_<y>..., gross_<y>...
+
+    The same numbers as ``fill_missing_total`` and ``gross_rows`` + ``sums_at``, from one scan and one
+    aggregation by scenario (no shuffle on a table bucketed by it). A net value is missing where a reporting
+    scenario has none; gross counts that as 0. ``ids`` may carry a boolean ``fill``; ids with fill = false
+    keep an unreported total missing and need some row of their own.
+    """
+    y = F.col("year")
+    aggs = [any_true(F.col("_is_total")).alias("_reported"), F.bool_or(F.col("_total").isNotNull() | F.col("_removal").isNotNull()).alias("_seen")]
+    for year in years:
+        aggs += [F.sum(F.when(y == year, F.col(f"_{c}"))).alias(f"_{c}_{year}") for c in ("total", "part", "removal")]
+    wide = _eip_rows(df, ids, total, parts, removals).groupBy("scen_id", "fill").agg(*aggs)
+    use_parts = F.col("fill") & ~F.col("_reported")
+    net, gross = [], []
+    for year in years:
+        n, g = _net_and_gross(use_parts, *[F.col(f"_{c}_{year}") for c in ("total", "part", "removal")])
+        net.append(n.alias(f"net_{year}"))
+        gross.append(g.alias(f"gross_{year}"))
+    return wide.where(F.col("fill") | F.col("_seen")).select("scen_id", *net, *gross)
+
+
+def eip_yearly(df: DataFrame, ids: DataFrame, first: int, last: int, total: str = fixed.NET_TOTAL,
+               parts: Sequence[str] = (fixed.NET_ENERGY, fixed.NET_INDUSTRY),
+               removals: Sequence[str] = fixed.REMOVALS) -> DataFrame:
+    """As ``eip_at`` for every year of a range: scen_id, year, net, gross; one dense row per id and year."""
+    yearly = _eip_rows(df, ids, total, parts, removals).groupBy("scen_id", "year").agg(
+        any_true(F.col("_is_total")).alias("_r"),
+        *[F.sum(f"_{c}").alias(f"_{c}") for c in ("total", "part", "removal")],
+    )
+    values = F.struct("_total", "_part", "_removal")
+    inside = F.when(F.col("year").between(first, last), F.struct("year", values.alias("v")))
+    packed = yearly.groupBy("scen_id").agg(
+        F.bool_or("_r").alias("_reported"), F.map_from_entries(F.collect_list(inside)).alias("_m")
+    )
+    dense = packed.select(
+        "scen_id", "_reported", "_m", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("year")
+    ).select("scen_id", "_reported", "year", F.col("_m")[F.col("year")].alias("v"))
+    net, gross = _net_and_gross(~F.col("_reported"), F.col("v._total"), F.col("v._part"), F.col("v._removal"))
+    return dense.select("scen_id", "year", net.alias("net"), gross.alias("gross"))
+
+
 def eip_n2o(df: DataFrame) -> DataFrame:
     """N2O outside the land sector, kt per year."""
     return sum_variables(df, fixed.N2O_SECTORS)
@@ -124,7 +188,3 @@ def afolu_co2e_year(df: DataFrame, year: int = 2050, vintage: str = "AR5", conve
 def fossil_ch4_co2e(df: DataFrame, source: str, vintage: str = "AR6") -> DataFrame:
     """Methane rows of one source in CO2e."""
     return df.where(F.col("Source") == source).withColumn("value", co2e("value", "CH4", vintage))
-
-
-def all_ids(df: DataFrame) -> DataFrame:
-    return distinct_ids(df)

@@ -21,7 +21,7 @@ from pathloom.operators.timeaxis import interpolate_gaps
 
 
 class Harmonised(NamedTuple):
-    trajectories: DataFrame  # keys, year, model, value
+    trajectories: DataFrame  # keys, year, modelled, value
     diagnostics: DataFrame   # keys, method, offset, budget_before, budget_after
     failed: DataFrame        # keys, reason
 
@@ -47,14 +47,14 @@ def harmonise_budget(df: DataFrame, history: DataFrame, keys: Sequence[str] = ("
     shift = F.lit(1.0) - F.lit(6.0) * t * (F.lit(2 * n) - t) / F.lit(4.0 * n * n - 1.0)
     ok = rows.where(F.col("_m0").isNotNull() & F.col("_h").isNotNull())
     trajectories = ok.select(
-        *by, "year", F.col("value").alias("model"), "_m0", "_h",
+        *by, "year", F.col("value").alias("modelled"), "_m0", "_h",
         (F.col("value") + (F.col("_h") - F.col("_m0")) * shift).alias("value"),
     )
     weight = F.when(F.col("year").isin(anchor_year, last), 0.5).otherwise(1.0)
     diagnostics = trajectories.groupBy(*by).agg(
         F.lit("budget").alias("method"),
         F.max(F.col("_h") - F.col("_m0")).alias("offset"),
-        F.sum(weight * F.col("model")).alias("budget_before"),
+        F.sum(weight * F.col("modelled")).alias("budget_before"),
         F.sum(weight * F.col("value")).alias("budget_after"),
     )
     seen = df.select(*by).distinct()

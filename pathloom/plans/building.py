@@ -9,15 +9,13 @@ from pyspark.sql import functions as F
 
 from pathloom.functions import fixed
 from pathloom.functions.columns import share_of, sum_or_zero, value_when
-from pathloom.operators.emissions import (
-    afolu_co2e_year, fill_missing_total, filled_totals, gross_emissions, gross_rows,
-)
+from pathloom.operators.emissions import afolu_co2e_year, eip_at, eip_yearly
 from pathloom.operators.joins import align, by_cohort, in_ids
 from pathloom.operators.reshape import pivot_years
 from pathloom.operators.screens import removed_by, screen_criteria
-from pathloom.operators.summary import median, sums_at
-from pathloom.operators.timeaxis import densify_years, interpolated_total
-from pathloom.sources.tables import ScenarioDb
+from pathloom.operators.summary import median
+from pathloom.operators.timeaxis import interpolated_total
+from pathloom.sources.tables import ScenarioDb, stage
 
 DECADES = (2020, 2030, 2040, 2050, 2060)
 MILESTONES = (2020, 2030, 2040, 2050)
@@ -35,41 +33,41 @@ def filtered(db: ScenarioDb, limits: fixed.Limits, flag: int = 7, category: str
     return ids.join(removed.select("scen_id"), "scen_id", "left_anti")
 
 
+def staged_ids(ids: DataFrame) -> DataFrame:
+    """An id set written once, bucketed like the scenario tables, for reports that use it several times."""
+    return stage(ids.select("scen_id"), "ids", bucket_by="scen_id")
+
+
 def marked(db: ScenarioDb, markers: Sequence[str]) -> DataFrame:
     return db.key.where(F.col("IMP_marker").isin(list(markers))).select("scen_id", "IMP_marker")
 
 
-_GROSS_INPUTS = [fixed.NET_TOTAL, fixed.NET_ENERGY, fixed.NET_INDUSTRY, *fixed.REMOVALS]
+def _long(wide: DataFrame, kind: str, years: Sequence[int], variable: str) -> DataFrame:
+    cols = [F.col(f"{kind}_{y}").alias(str(y)) for y in years]
+    out = wide.select("scen_id", *cols).unpivot(["scen_id"], [str(y) for y in years], "year", "value")
+    return out.select("scen_id", F.lit(variable).alias("Variable"), F.col("year").cast("int").alias("year"), "value")
 
 
-def gross_inputs(db: ScenarioDb, fill_ids: DataFrame, years: Sequence[int], ids: DataFrame | None = None) -> DataFrame:
-    """Rows gross emissions need for ``ids``, with the totals of ``fill_ids`` filled at ``years``."""
-    rows = in_ids(db.long.where(F.col("Variable").isin(_GROSS_INPUTS)), fill_ids if ids is None else ids)
-    return fill_missing_total(rows, fill_ids, years)
+def gross_at(db: ScenarioDb, ids: DataFrame, years: Sequence[int]) -> DataFrame:
+    """Gross emissions of ``ids`` at listed years, totals filled, 0 where nothing is reported."""
+    return _long(eip_at(db.long, ids, years), "gross", years, fixed.GROSS_TOTAL)
 
 
-def gross_at(db: ScenarioDb, ids: DataFrame, years: Sequence[int], fill_ids: DataFrame | None = None) -> DataFrame:
-    """Gross emissions of ``ids`` at listed years, 0 where nothing is reported."""
-    rows = gross_rows(gross_inputs(db, ids if fill_ids is None else fill_ids, years, ids))
-    return sums_at(rows, years).withColumn("Variable", F.lit(fixed.GROSS_TOTAL))
+def net_at(db: ScenarioDb, ids: DataFrame, years: Sequence[int]) -> DataFrame:
+    """Net totals of ``ids`` at listed years: as reported (missing stays absent) or filled."""
+    out = _long(eip_at(db.long, ids, years), "net", years, fixed.NET_TOTAL)
+    return out.where(F.col("value").isNotNull())
 
 
 def gross_every_year(db: ScenarioDb, ids: DataFrame) -> DataFrame:
     """Gross emissions of ``ids`` for each year of the table, 0 where nothing is reported."""
-    years = range(db.first_year, db.last_year + 1)
-    yearly = gross_emissions(gross_inputs(db, ids, years))
-    dense = densify_years(yearly, ("scen_id", "Variable"), db.first_year, db.last_year)
-    return dense.withColumn("value", F.coalesce("value", F.lit(0.0)))
+    rows = eip_yearly(db.long, ids, db.first_year, db.last_year)
+    return rows.select("scen_id", F.lit(fixed.GROSS_TOTAL).alias("Variable"), "year", F.col("gross").alias("value"))
 
 
-def net_totals(db: ScenarioDb, ids: DataFrame, years: Sequence[int]) -> DataFrame:
-    """Net totals of ``ids`` at listed years: as reported (missing stays absent) or filled."""
-    rows = in_ids(
-        db.long.where(F.col("Variable").isin([fixed.NET_TOTAL, fixed.NET_ENERGY, fixed.NET_INDUSTRY])), ids
-    )
-    reported = rows.where((F.col("Variable") == fixed.NET_TOTAL) & F.col("year").isin(list(years)))
-    cols = ("scen_id", "Variable", "year", "value")
-    return reported.select(*cols).unionByName(filled_totals(rows, ids, years))
+def net_every_year(db: ScenarioDb, ids: DataFrame, first: int, last: int) -> DataFrame:
+    rows = eip_yearly(db.long, ids, first, last).where(F.col("net").isNotNull())
+    return rows.select("scen_id", F.lit(fixed.NET_TOTAL).alias("Variable"), "year", F.col("net").alias("value"))
 
 
 def cohort_medians(db: ScenarioDb, rows: DataFrame, members: DataFrame, years: Sequence[int], n_cohorts: int,
@@ -87,8 +85,7 @@ def cohort_sizes(members: DataFrame, name: str = "cohort", out: str = "num_scena
 def cumulative_gross(db: ScenarioDb, ids: DataFrame, first: int = 2020, last: int = 2050,
                      out: str = "cum_gross") -> DataFrame:
     """Gross emissions of ``ids``: zeros missing, gaps filled, summed over the slice."""
-    rows = gross_rows(gross_inputs(db, ids, range(first, last + 1)))
-    yearly = rows.groupBy("scen_id", "year").agg(sum_or_zero("value").alias("value"))
+    yearly = eip_yearly(db.long, ids, first, last).select("scen_id", "year", F.col("gross").alias("value"))
     return interpolated_total(yearly, ("scen_id",), first, last, zero_missing=True, out=out)
 
 

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pathloom.functions import fixed
 from pathloom.functions.columns import apply_change, co2e, joined_key, relative_change, share_of, zero_as_missing
 from pathloom.operators.emissions import (
-    afolu_co2_cumulative, afolu_co2e_cumulative, eip_co2e, gross_emissions, gross_emissions_plain, gross_rows,
-    land_sector_rows, removals_sum,
+    afolu_co2_cumulative, afolu_co2e_cumulative, eip_at, eip_co2e, eip_yearly, gross_emissions,
+    gross_emissions_plain, removals_sum,
 )
 from pathloom.operators.harmonise import Harmonised, harmonise_budget
 from pathloom.operators.joins import align, by_cohort, flag_members, in_ids, intersect_ids, recode, union_all
@@ -23,10 +23,10 @@ from pathloom.operators.summary import (
 )
 from pathloom.operators.timeaxis import anchor_and_bridge, densify_years, interpolated_total, milestones, slice_max
 from pathloom.plans.building import (
-    DECADES, KEY_METRICS, MILESTONES, QUARTILES, candidates, cohort_medians, cohort_sizes, cumulative_gross,
-    filtered, gross_at, gross_every_year, gross_inputs, key_metrics, marked, net_totals,
+    DECADES, KEY_METRICS, MILESTONES, QUARTILES, candidates, cohort_medians, cohort_sizes,
+    filtered, gross_at, gross_every_year, key_metrics, marked, net_at, net_every_year, staged_ids,
 )
-from pathloom.sources.tables import ScenarioDb
+from pathloom.sources.tables import ScenarioDb, stage
 
 Limits = fixed.Limits
 
@@ -79,20 +79,16 @@ def filtered_quantiles(db: ScenarioDb, list_a: DataFrame) -> DataFrame:
     members = flag_members(flag_members(ids, c1, "in_c1"), list_a, "in_a").select("scen_id", tags.alias("source"))
     years = range(db.first_year, db.last_year + 1)
     cols = ("scen_id", "Variable", "year", "value")
-    rows = in_ids(db.long, ids).select(*cols).unionByName(
-        net_totals_filled_only(db, ids, years).select(*cols)
-    ).unionByName(gross_every_year(db, ids).select(*cols))
+    other = in_ids(db.long.where(F.col("Variable") != fixed.NET_TOTAL), ids).select(*cols)
+    yearly = eip_yearly(db.long, ids, db.first_year, db.last_year).unpivot(
+        ["scen_id", "year"], ["net", "gross"], "Variable", "value"
+    )
+    name = F.when(F.col("Variable") == "net", fixed.NET_TOTAL).otherwise(fixed.GROSS_TOTAL)
+    rows = other.unionByName(yearly.withColumn("Variable", name).select(*cols))
     return quantile_rows(by_cohort(rows, members, name="source"), ("source", "Variable", "year"), QUARTILES,
                          groups_at_most=2 * 64 * len(years), rows_at_most=db.scenarios)
 
 
-def net_totals_filled_only(db: ScenarioDb, ids: DataFrame, years: Sequence[int]) -> DataFrame:
-    from pathloom.operators.emissions import filled_totals
-
-    rows = db.long.where(F.col("Variable").isin([fixed.NET_TOTAL, fixed.NET_ENERGY, fixed.NET_INDUSTRY]))
-    return filled_totals(in_ids(rows, ids), ids, years)
-
-
 def illustrative_paths(db: ScenarioDb, markers: Sequence[str] = ("SP", "LD", "Ren")) -> DataFrame:
     return gross_every_year(db, marked(db, markers).select("scen_id"))
 
@@ -163,10 +159,8 @@ def afforestation_test(db: ScenarioDb) -> DataFrame:
     c1, years = candidates(db), (2020, 2030, 2050)
     land = slice_max(in_ids(db.long.where(F.col("Variable") == fixed.LAND_USE), c1), ("scen_id",), 2010, 2050,
                      out="max_lu_seq")
-    net = pivot_years(net_totals(db, c1, years), ("scen_id",), years, prefix="net_")
-    gross = pivot_years(gross_at(db, c1, years), ("scen_id",), years, prefix="gross_")
-    # a scenario reporting its total only in other years is still a row
-    out = c1.join(align(land, net, gross), "scen_id", "left")
+    # net and gross hold every C1 scenario, so they are the left side of the alignment
+    out = eip_at(db.long, c1, years).join(land, "scen_id", "left")
     return out.withColumns(
         {f"perc_ch_{k}_{y}": relative_change(f"{k}_2020", f"{k}_{y}") for y in (2030, 2050) for k in ("net", "gross")}
     )
@@ -177,9 +171,9 @@ def final_energy(db: ScenarioDb, limits: Limits) -> DataFrame:
     members = _all_flags(db, limits, (0, 7))
     rows = milestones(db.long.where(F.col("Variable") == fixed.FINAL_ENERGY), DECADES)
     rows = by_cohort(rows.select("scen_id", "Variable", "year", "value"), members, name="filter_flag")
-    q = quantile_rows(rows, ("filter_flag", "Variable", "year"), {"0.25": 0.25, "0.5": 0.5, "0.75": 0.75},
+    q = quantile_rows(rows, ("filter_flag", "Variable", "year"), {"q25": 0.25, "q50": 0.5, "q75": 0.75},
                       groups_at_most=2 * len(DECADES), rows_at_most=db.scenarios, label="quantile")
-    q = q.withColumn("quantile", F.col("quantile").cast("double"))
+    q = q.withColumn("quantile", F.substring("quantile", 2, 2).cast("double") / 100)
     return pivot_years(q, ("filter_flag", "Variable", "quantile"), DECADES)
 
 
@@ -280,7 +274,7 @@ def external_comparison(db: ScenarioDb, limits: Limits, list_b: DataFrame) -> Da
         F.when(F.col("in_f") == 1, F.lit("filtered C1")), F.when(F.col("in_b") == 1, F.lit("OECD"))
     ))
     members = flag_members(flag_members(ids, filt, "in_f"), list_b, "in_b").select("scen_id", tags.alias("Source"))
-    rows = gross_at(db, ids, MILESTONES, fill_ids=c1)
+    rows = gross_at(db, flag_members(ids, c1, "in_c1").select("scen_id", (F.col("in_c1") == 1).alias("fill")), MILESTONES)
     return cohort_medians(db, rows, members, MILESTONES, 2, name="Source")
 
 
@@ -334,7 +328,7 @@ def benchmark_unharmonised(db: ScenarioDb, limits: Limits, focal: DataFrame, mar
 
 
 def harmonised_net(db: ScenarioDb, ids: DataFrame, history: DataFrame) -> Harmonised:
-    net = net_totals(db, ids, range(2020, 2051)).withColumn("Region", F.lit("World"))
+    net = net_every_year(db, ids, 2020, 2050).withColumn("Region", F.lit("World"))
     return harmonise_budget(net, history, ("scen_id",))
 
 
@@ -343,21 +337,27 @@ def combined_emissions(db: ScenarioDb, limits: Limits, history: DataFrame, exter
 
     ``external``: scen_id, year, value.
     """
-    ids = filtered(db, limits)
-    years = range(2020, 2051)
+    ids = staged_ids(filtered(db, limits))
     cols = ("scen_id", "Variable", "year", "value")
-    net = net_totals(db, ids, years)
-    harmonised = harmonise_budget(net.withColumn("Region", F.lit("World")), history, ("scen_id",)).trajectories
+    yearly = eip_yearly(db.long, ids, 2020, 2050)
+    net = yearly.where(F.col("net").isNotNull()).select(
+        "scen_id", F.lit(fixed.NET_TOTAL).alias("Variable"), "year", F.col("net").alias("value")
+    )
+    gross = yearly.select("scen_id", F.lit(fixed.GROSS_TOTAL).alias("Variable"), "year", F.col("gross").alias("value"))
+    # both sides of the gross sum need the harmonised paths, so they are written once
+    harmonised = stage(
+        harmonise_budget(net.withColumn("Region", F.lit("World")), history, ("scen_id",)).trajectories,
+        "harmonised", bucket_by="scen_id", sort_by=("scen_id", "year"),
+    )
     harm_net = harmonised.select("scen_id", F.lit(fixed.NET_TOTAL).alias("Variable"), "year", "value")
-    removals = in_ids(db.long.where(F.col("Variable").isin(list(fixed.REMOVALS))), harm_net.select("scen_id").distinct())
+    removals = in_ids(db.long.where(F.col("Variable").isin(list(fixed.REMOVALS))), harmonised)
     gross_harm = gross_emissions(
         removals.select(*cols).unionByName(harm_net), fill=True, first=db.first_year, last=db.last_year,
         name=fixed.GROSS_HARMONISED,
-    ).where(F.col("year").between(2020, 2050))
+    )
     gross_harm = densify_years(gross_harm, ("scen_id", "Variable"), 2020, 2050).withColumn(
         "value", F.coalesce("value", F.lit(0.0))
     )
-    gross = gross_emissions(gross_inputs(db, ids, years)).where(F.col("year").between(2020, 2050))
     out = union_all(
         net.select(*cols).withColumn("value", zero_as_missing("value")),
         harm_net.withColumn("Variable", F.lit(fixed.NET_HARMONISED)),
@@ -371,6 +371,7 @@ def combined_emissions(db: ScenarioDb, limits: Limits, history: DataFrame, exter
 def benchmark_harmonised(db: ScenarioDb, combined: DataFrame, external_id: str = "NZE 2023",
                          anchor: float = fixed.GROSS_2020_ANCHOR) -> DataFrame:
     """Median of the harmonised gross paths and the external one, other gases, total, change since 2020."""
+    combined = stage(combined, "combined", bucket_by="scen_id", sort_by=("Variable", "scen_id", "year"))
     harm = F.col("Variable") == fixed.GROSS_HARMONISED
     paths = anchor_and_bridge(combined.where(harm | (F.col("scen_id") == external_id)), harm, anchor)
     med = median(milestones(paths, MILESTONES), ("year",), groups_at_most=len(MILESTONES), rows_at_most=db.scenarios)
@@ -382,7 +383,7 @@ def benchmark_harmonised(db: ScenarioDb, combined: DataFrame, external_id: str =
 
 def harmonised_long(db: ScenarioDb, limits: Limits, history: DataFrame) -> DataFrame:
     """History, model and harmonised net emissions of the filtered scenarios in one labelled long table."""
-    ids = filtered(db, limits)
+    ids = staged_ids(filtered(db, limits))
     harm = harmonised_net(db, ids, history).trajectories
     names = db.key.select("scen_id", "Model", "Scenario")
 
@@ -397,7 +398,7 @@ def harmonised_long(db: ScenarioDb, limits: Limits, history: DataFrame) -> DataF
         F.lit(fixed.NET_TOTAL).alias("Variable"), "year", F.col("value").alias("Emissions"),
     )
     out = union_all(
-        hist, named(net_totals(db, ids, range(2020, 2051)), fixed.NET_TOTAL), named(harm, fixed.NET_HARMONISED)
+        hist, named(net_every_year(db, ids, 2020, 2050), fixed.NET_TOTAL), named(harm, fixed.NET_HARMONISED)
     )
     return out.where(F.col("Region") == "World").withColumn("Label", joined_key("Model", "Variable"))
 
@@ -413,9 +414,7 @@ def ambition_rows(db: ScenarioDb, years: Sequence[int]) -> DataFrame:
     c1 = candidates(db)
     cols = ("scen_id", "Variable", "year", "value")
     removals = sums_at(in_ids(removals_sum(db.long), c1), years).withColumn("Variable", F.lit(fixed.REMOVALS_SUM))
-    return union_all(
-        net_totals(db, c1, years).select(*cols), removals.select(*cols), gross_at(db, c1, years).select(*cols)
-    )
+    return union_all(net_at(db, c1, years), removals.select(*cols), gross_at(db, c1, years))
 
 
 def ambition_table(db: ScenarioDb, limits: Limits, years: Sequence[int] = DECADES) -> DataFrame:
@@ -428,10 +427,9 @@ def removals_cumulative(db: ScenarioDb) -> DataFrame:
     """Cumulative net emissions, removals and gross emissions per C1 scenario: to 2050 and to the last year."""
     c1 = candidates(db)
     cols = ("scen_id", "Variable", "year", "value")
-    years = range(db.first_year, db.last_year + 1)
     rows = union_all(
-        net_totals(db, c1, years).select(*cols), in_ids(removals_sum(db.long), c1),
-        gross_emissions(gross_inputs(db, c1, years)),
+        net_every_year(db, c1, db.first_year, db.last_year), in_ids(removals_sum(db.long), c1).select(*cols),
+        gross_every_year(db, c1),
     )
     keys = ("scen_id", "Variable")
     return interpolated_total(rows, keys, 2020, 2050, True, out="cum_sum_20_50").join(

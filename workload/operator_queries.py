@@ -24,7 +24,12 @@ from workload.sqlparts import (
     CH4, GROSS, L, N2O, NET, REM, change, inlist, interp, pivot, q, r, years_between,
 )
 
-V = F.col("Variable")
+
+
+def V():
+    return F.col("Variable")
+
+
 LONG = ("scen_id", "Variable", "year", "value")
 MS = (2020, 2030, 2040, 2050)
 
@@ -189,14 +194,14 @@ def _(spark, sf):
 
 @register("sign_normalise", f"""select scen_id, Variable, year, {r('abs(value)')} as value from scen_long where Variable in {REM}""")
 def _(spark, sf):
-    rows = _long(spark, sf).where(V.isin(list(fixed.REMOVALS)))
-    return rows.select("scen_id", "Variable", "year", c.positive_where(V.isin(list(fixed.REMOVALS)), "value").alias("value"))
+    rows = _long(spark, sf).where(V().isin(list(fixed.REMOVALS)))
+    return rows.select("scen_id", "Variable", "year", c.positive_where(V().isin(list(fixed.REMOVALS)), "value").alias("value"))
 
 
 @register("unit_convert", f"""select scen_id, Variable, year, {r("value * (case when Unit like 'kt%' then 0.001 else 1.0 end)")} as mt
     from scen_long where Variable like 'Emissions|%'""")
 def _(spark, sf):
-    rows = _long(spark, sf).where(V.startswith("Emissions|"))
+    rows = _long(spark, sf).where(V().startswith("Emissions|"))
     mt = F.when(F.col("Unit").startswith("kt"), c.scaled("value", fixed.KT_TO_MT)).otherwise(F.col("value"))
     return rows.select("scen_id", "Variable", "year", mt.alias("mt"))
 
@@ -219,7 +224,7 @@ def _(spark, sf):
     select Model, year, sum(value) as value from scen_long where Variable = 'Emissions|CH4|Energy' group by 1, 2)
     where Model = 'NATION_7'""")
 def _(spark, sf):
-    summary = _long(spark, sf).where(V == "Emissions|CH4|Energy").groupBy(F.col("Model").alias("Source"), "year").agg(
+    summary = _long(spark, sf).where(V() == "Emissions|CH4|Energy").groupBy(F.col("Model").alias("Source"), "year").agg(
         F.sum("value").alias("value")
     )
     return em.fossil_ch4_co2e(summary, "NATION_7")
@@ -242,7 +247,7 @@ def _(spark, sf):
     from scen_long where Variable in ({q(fixed.RENEWABLES)}, {q(fixed.PRIMARY_ENERGY)}) group by 1, 2)""")
 def _(spark, sf):
     names = {fixed.RENEWABLES: "part", fixed.PRIMARY_ENERGY: "whole"}
-    wide = rs.pivot_variables(_long(spark, sf).where(V.isin(list(names))), ("scen_id", "year"), names)
+    wide = rs.pivot_variables(_long(spark, sf).where(V().isin(list(names))), ("scen_id", "year"), names)
     return wide.select("scen_id", "year", c.share_of("part", "whole").alias("share"))
 
 
@@ -261,7 +266,7 @@ def _(spark, sf):
     then 35289.751 when year = 2021 then null else value end''')} as value from scen_long where year between 2020 and 2050""")
 def _(spark, sf):
     v = (
-        F.when((F.col("year") == 2020) & (V == fixed.NET_TOTAL), F.lit(fixed.GROSS_2020_ANCHOR))
+        F.when((F.col("year") == 2020) & (V() == fixed.NET_TOTAL), F.lit(fixed.GROSS_2020_ANCHOR))
         .when(F.col("year") == 2021, None).otherwise(F.col("value"))
     )
     return ta.year_slice(_long(spark, sf), 2020, 2050).select("scen_id", "Variable", "year", v.alias("value"))
@@ -306,12 +311,12 @@ def _(spark, sf):
 
 @register("filter_equals", f"select scen_id, year, {r('value')} as value from scen_long where Variable = {q(fixed.FINAL_ENERGY)} and Region = 'World'")
 def _(spark, sf):
-    return _long(spark, sf).where((V == fixed.FINAL_ENERGY) & (F.col("Region") == "World")).select("scen_id", "year", "value")
+    return _long(spark, sf).where((V() == fixed.FINAL_ENERGY) & (F.col("Region") == "World")).select("scen_id", "year", "value")
 
 
 @register("filter_in_list", f"select scen_id, Variable, year, {r('value')} as value from scen_long where Variable in {CH4}")
 def _(spark, sf):
-    return _long(spark, sf).where(V.isin(list(fixed.CH4_SECTORS))).select(*LONG)
+    return _long(spark, sf).where(V().isin(list(fixed.CH4_SECTORS))).select(*LONG)
 
 
 @register("filter_not_equals", "select scen_id, Category, IMP_marker from scen_key where IMP_marker is distinct from 'SP'")
@@ -323,7 +328,7 @@ def _(spark, sf):
 @register("filter_compound", f"""select scen_id, Variable, year, {r('value')} as value from scen_long where
     (Variable = {q(fixed.CCS)} and value > 120) or (Variable = {NET} and year < 2030)""")
 def _(spark, sf):
-    cond = ((V == fixed.CCS) & (F.col("value") > 120)) | ((V == fixed.NET_TOTAL) & (F.col("year") < 2030))
+    cond = ((V() == fixed.CCS) & (F.col("value") > 120)) | ((V() == fixed.NET_TOTAL) & (F.col("year") < 2030))
     return _long(spark, sf).where(cond).select(*LONG)
 
 
@@ -365,7 +370,7 @@ def _(spark, sf):
 @register("anti_join_ids", f"""select scen_id from scen_key where scen_id not in (select scen_id from scen_long where Variable = {NET})""")
 def _(spark, sf):
     d = t.db(spark, sf)
-    return j.not_in_ids(d.key.select("scen_id"), d.long.where(V == fixed.NET_TOTAL))
+    return j.not_in_ids(d.key.select("scen_id"), d.long.where(V() == fixed.NET_TOTAL))
 
 
 @register("outer_align_metrics", f"""select coalesce(a.scen_id, b.scen_id) as scen_id, {r('a.v')} as bio_max, {r('b.v')} as net_2050 from
@@ -373,8 +378,8 @@ def _(spark, sf):
     (select scen_id, value as v from scen_long where Variable = {NET} and year = 2050) b on a.scen_id = b.scen_id""")
 def _(spark, sf):
     long = _long(spark, sf)
-    bio = long.where((V == fixed.BIOENERGY) & (F.col("value") > 150)).groupBy("scen_id").agg(F.max("value").alias("bio_max"))
-    net = long.where((V == fixed.NET_TOTAL) & (F.col("year") == 2050)).select("scen_id", F.col("value").alias("net_2050"))
+    bio = long.where((V() == fixed.BIOENERGY) & (F.col("value") > 150)).groupBy("scen_id").agg(F.max("value").alias("bio_max"))
+    net = long.where((V() == fixed.NET_TOTAL) & (F.col("year") == 2050)).select("scen_id", F.col("value").alias("net_2050"))
     return j.align(bio, net)
 
 
@@ -383,15 +388,15 @@ def _(spark, sf):
     and a.year = 2050""")
 def _(spark, sf):
     at = _long(spark, sf).where("year = 2050")
-    a = at.where(V == fixed.FINAL_ENERGY).select("scen_id", F.col("value").alias("final_energy"))
-    return a.join(at.where(V == fixed.PRIMARY_ENERGY).select("scen_id", F.col("value").alias("primary_energy")), "scen_id")
+    a = at.where(V() == fixed.FINAL_ENERGY).select("scen_id", F.col("value").alias("final_energy"))
+    return a.join(at.where(V() == fixed.PRIMARY_ENERGY).select("scen_id", F.col("value").alias("primary_energy")), "scen_id")
 
 
 @register("align_counts_to_medians", f"""select Variable, {r('quantile_cont(value, 0.5)')} as med, count(value) as num_scen from fgas
     where year = 2050 group by 1""")
 def _(spark, sf):
     d = t.db(spark, sf)
-    rows = j.in_ids(d.long.where(V.isin(list(fixed.F_GASES)) & (F.col("year") == 2050)), b.candidates(d))
+    rows = j.in_ids(d.long.where(V().isin(list(fixed.F_GASES)) & (F.col("year") == 2050)), b.candidates(d))
     med = sm.median(rows, ("Variable",), out="med", groups_at_most=3, rows_at_most=d.scenarios)
     return med.join(rows.groupBy("Variable").agg(F.count("value").alias("num_scen")), "Variable")
 
@@ -471,7 +476,7 @@ def _(spark, sf):
 
 @register("distinct_ids", f"select distinct scen_id from scen_long where Variable = {q(fixed.BIOENERGY)} and value > 200")
 def _(spark, sf):
-    return j.distinct_ids(_long(spark, sf).where((V == fixed.BIOENERGY) & (F.col("value") > 200)))
+    return j.distinct_ids(_long(spark, sf).where((V() == fixed.BIOENERGY) & (F.col("value") > 200)))
 
 
 @register("cross_scenario_mean", " union all ".join(
@@ -499,13 +504,13 @@ def _(spark, sf):
 
 @register("cumulative_over_years", f"select scen_id, {r('coalesce(sum(value), 0)')} as total from {interp('ccsr', 'scen_id', 2010, 2050)} group by 1")
 def _(spark, sf):
-    return ta.interpolated_total(_long(spark, sf).where(V == fixed.CCS), ("scen_id",), 2010, 2050)
+    return ta.interpolated_total(_long(spark, sf).where(V() == fixed.CCS), ("scen_id",), 2010, 2050)
 
 
 @register("max_over_years", f"""select scen_id, {r('max(case when year between 2010 and 2050 then value end)')} as max_value from scen_long
     where Variable = {q(fixed.LAND_USE)} group by 1""")
 def _(spark, sf):
-    return ta.slice_max(_long(spark, sf).where(V == fixed.LAND_USE), ("scen_id",), 2010, 2050)
+    return ta.slice_max(_long(spark, sf).where(V() == fixed.LAND_USE), ("scen_id",), 2010, 2050)
 
 
 @register("boxplot_stats", f"""select Category, {r('q1')} as q1, {r('q2')} as q2, {r('q3')} as q3,
@@ -517,7 +522,7 @@ def _(spark, sf):
       from scen_long join scen_key using (scen_id) where Variable = {q(fixed.FINAL_ENERGY)}) group by Category, q1, q2, q3""")
 def _(spark, sf):
     d = t.db(spark, sf)
-    rows = d.long.where(V == fixed.FINAL_ENERGY).join(d.key.select("scen_id", "Category"), "scen_id")
+    rows = d.long.where(V() == fixed.FINAL_ENERGY).join(d.key.select("scen_id", "Category"), "scen_id")
     return sm.boxplot_stats(rows, ("Category",), "value", groups_at_most=3)
 
 
@@ -573,7 +578,7 @@ def _(spark, sf):
 def _(spark, sf):
     d = t.db(spark, sf)
     c1 = b.candidates(d)
-    rows = b.net_totals(d, c1, MS).select(*LONG).unionByName(b.gross_at(d, c1, MS).select(*LONG))
+    rows = b.net_at(d, c1, MS).unionByName(b.gross_at(d, c1, MS))
     xy = rs.pivot_variables(rows, ("scen_id", "year"), {fixed.NET_TOTAL: "net", fixed.GROSS_TOTAL: "gross"})
     return sm.scatter_vs_identity(xy.join(d.key.select("scen_id", "Model"), "scen_id"), ("Model",), "net", "gross")
 
@@ -585,7 +590,7 @@ def _(spark, sf):
     cross join {years_between(2020, 2050)} y
     left join scen_long s on s.scen_id = k.scen_id and s.Variable = k.Variable and s.year = y.year""")
 def _(spark, sf):
-    return ta.densify_years(_long(spark, sf).where(V.isin(list(fixed.REMOVALS))), ("scen_id", "Variable"), 2020, 2050)
+    return ta.densify_years(_long(spark, sf).where(V().isin(list(fixed.REMOVALS))), ("scen_id", "Variable"), 2020, 2050)
 
 
 @register("interpolate_gaps", f"""select scen_id, Variable, year, {r('value')} as value from {interp('scen_long', 'scen_id, Variable', 2020, 2050)}
@@ -605,13 +610,13 @@ def _(spark, sf):
     and Variable in {REM}""")
 def _(spark, sf):
     d = t.db(spark, sf)
-    rows = j.in_ids(d.long.where(V.isin(list(fixed.REMOVALS))), b.candidates(d))
-    rows = rows.withColumn("value", c.positive_where(V.isin(list(fixed.REMOVALS)), "value"))
+    rows = j.in_ids(d.long.where(V().isin(list(fixed.REMOVALS))), b.candidates(d))
+    rows = rows.withColumn("value", c.positive_where(V().isin(list(fixed.REMOVALS)), "value"))
     return ta.interpolate_gaps(rows, first=2020, last=2050, zero_missing=True)
 
 
 _ANCHORED = f"""(select scen_id, year, case when year = 2020 then cast(35289.751 as double) when year = 2021 then null else value end as value
-    from (select scen_id, year, value from grossharm union all select scen_id, 2020, null from grossharm))"""
+    from grossharm)"""
 
 
 @register("anchor_and_bridge", f"""select scen_id, year, {r('value')} as value from {interp(_ANCHORED, 'scen_id', 2020, 2050, True)}
@@ -619,8 +624,8 @@ _ANCHORED = f"""(select scen_id, year, case when year = 2020 then cast(35289.751
 def _(spark, sf):
     d = t.db(spark, sf)
     combined = rp.combined_emissions(d, t.LIMITS, t.history(spark), _external(spark))
-    rows = combined.where(V == fixed.GROSS_HARMONISED)
-    return ta.anchor_and_bridge(rows, V == fixed.GROSS_HARMONISED, fixed.GROSS_2020_ANCHOR).drop("Variable")
+    rows = combined.where(V() == fixed.GROSS_HARMONISED)
+    return ta.anchor_and_bridge(rows, V() == fixed.GROSS_HARMONISED, fixed.GROSS_2020_ANCHOR).drop("Variable")
 
 
 def _external(spark):
@@ -630,10 +635,10 @@ def _external(spark):
 
 def _net_filtered(spark, sf):
     d = t.db(spark, sf)
-    return b.net_totals(d, b.filtered(d, t.LIMITS), range(2020, 2051)).withColumn("Region", F.lit("World"))
+    return b.net_every_year(d, b.staged_ids(b.filtered(d, t.LIMITS)), 2020, 2050).withColumn("Region", F.lit("World"))
 
 
-@register("harmonise_budget", f"select scen_id, year, {r('model')} as model, {r('value')} as value from harm")
+@register("harmonise_budget", f"select scen_id, year, {r('model')} as modelled, {r('value')} as value from harm")
 def _(spark, sf):
     return harmonise_budget(_net_filtered(spark, sf), t.history(spark)).trajectories.drop("Region")
 
@@ -664,14 +669,14 @@ _PV = {fixed.PRIMARY_ENERGY: "primary_energy", fixed.FINAL_ENERGY: "final_energy
     r(f"max(case when Variable = {q(v)} then value end)") + f" as {n}" for v, n in _PV.items())
     + f" from scen_long where Variable in {inlist(_PV)} group by 1, 2")
 def _(spark, sf):
-    return rs.pivot_variables(_long(spark, sf).where(V.isin(list(_PV))), ("scen_id", "year"), _PV)
+    return rs.pivot_variables(_long(spark, sf).where(V().isin(list(_PV))), ("scen_id", "year"), _PV)
 
 
 @register("pivot_multi_value", "select scen_id, " + ", ".join(
     r(f"max(case when Variable = {q(v)} then {a} end)") + f" as {a}_{n}" for a in ("lo", "hi") for v, n in _PV.items())
     + f" from (select scen_id, Variable, min(value) as lo, max(value) as hi from scen_long where Variable in {inlist(_PV)} group by 1, 2) group by 1")
 def _(spark, sf):
-    rows = _long(spark, sf).where(V.isin(list(_PV))).groupBy("scen_id", "Variable").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    rows = _long(spark, sf).where(V().isin(list(_PV))).groupBy("scen_id", "Variable").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     return rs.pivot_multi_value(rows, ("scen_id",), _PV, ("lo", "hi"))
 
 
@@ -687,7 +692,7 @@ def _(spark, sf):
     for p in (25, 75)))
 def _(spark, sf):
     d = t.db(spark, sf)
-    qs = sm.quantiles(d.long.where(V.isin(list(fixed.F_GASES))), ("Variable",), {"p25": 0.25, "p75": 0.75}, groups_at_most=3)
+    qs = sm.quantiles(d.long.where(V().isin(list(fixed.F_GASES))), ("Variable",), {"p25": 0.25, "p75": 0.75}, groups_at_most=3)
     return rs.transpose(qs, "Variable", ["p25", "p75"], list(fixed.F_GASES))
 
 
@@ -698,7 +703,7 @@ def _(spark, sf):
 def _(spark, sf):
     d = t.db(spark, sf)
     years = range(t.FIRST_YEAR, t.LAST_YEAR + 1)
-    return j.union_all(d.long.where(V == fixed.NET_TOTAL).select(*LONG, "Unit"), em.filled_totals(d.long, b.candidates(d), years))
+    return j.union_all(d.long.where(V() == fixed.NET_TOTAL).select(*LONG, "Unit"), em.filled_totals(d.long, b.candidates(d), years))
 
 
 _BIO = f"select scen_id from scen_long where Variable = {q(fixed.BIOENERGY)} and year between 2010 and 2050 and value > {L.bioenergy}"
@@ -729,20 +734,24 @@ def _(spark, sf):
 def _(spark, sf):
     d = t.db(spark, sf)
     out = em.fill_missing_total(d.long, b.candidates(d), range(t.FIRST_YEAR, t.LAST_YEAR + 1))
-    return out.where(V == fixed.NET_TOTAL).select("scen_id", "year", "value")
+    return out.where(V() == fixed.NET_TOTAL).select("scen_id", "year", "value")
 
 
 @register("gross_emissions", f"select scen_id, year, {r('value')} as value from gross where scen_id in (select scen_id from c1)")
 def _(spark, sf):
     d = t.db(spark, sf)
-    return b.gross_every_year(d, b.candidates(d)).drop("Variable")
+    filled = em.fill_missing_total(d.long, b.candidates(d), range(t.FIRST_YEAR, t.LAST_YEAR + 1))
+    gross = em.gross_emissions(j.in_ids(filled, b.candidates(d)))
+    dense = ta.densify_years(gross, ("scen_id",), t.FIRST_YEAR, t.LAST_YEAR)
+    return dense.withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 
 @register("gross_emissions_filled_gaps", f"""select scen_id, year, {r('sum(value)')} as value from
     {interp('grossr', 'scen_id, Variable', t.FIRST_YEAR, t.LAST_YEAR)} where value is not null and scen_id in (select scen_id from c1) group by 1, 2""")
 def _(spark, sf):
     d = t.db(spark, sf)
-    rows = b.gross_inputs(d, b.candidates(d), range(t.FIRST_YEAR, t.LAST_YEAR + 1))
+    filled = em.fill_missing_total(d.long, b.candidates(d), range(t.FIRST_YEAR, t.LAST_YEAR + 1))
+    rows = j.in_ids(filled, b.candidates(d))
     return em.gross_emissions(rows, True, t.FIRST_YEAR, t.LAST_YEAR).drop("Variable")
 
 
@@ -865,7 +874,7 @@ def _(spark, sf):
 def _(spark, sf):
     d = t.db(spark, sf)
     out = rp.benchmark_unharmonised(d, t.LIMITS, t.focal(spark))
-    return out.where((V == "Gross fossil CO2") & (F.col("Source") != "Cross sector benchmark")).select("Source", *[f"y{y}" for y in MS])
+    return out.where((V() == "Gross fossil CO2") & (F.col("Source") != "Cross sector benchmark")).select("Source", *[f"y{y}" for y in MS])
 
 
 @register("target_records_union", """select company, cast(nullif(by_scope1, 'NA') as double) as ty_scope1,
@@ -878,6 +887,7 @@ def _(spark, sf):
     return tg.target_records_union(*one)
 
 
-@register("duplicate_check", "select scen_id, Variable, year, count(*) as n_rows from scen_long group by 1, 2, 3 having count(*) > 1")
+@register("duplicate_check", "select Model, Variable, year, count(*) as n_rows from scen_long group by 1, 2, 3 having count(*) > 1")
 def _(spark, sf):
-    return src.duplicate_rows(_long(spark, sf))
+    # several scenarios of one model share a year, so this key is not unique
+    return src.duplicate_rows(_long(spark, sf), ("Model", "Variable", "year"))

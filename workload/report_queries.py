@@ -116,10 +116,10 @@ def _(spark, sf):
     return rp.afforestation_test(t.db(spark, sf))
 
 
-@register("rpt_final_energy", f"""select filter_flag, Variable, quantile, {pivot(D)} from (
-    select f.flag as filter_flag, l.Variable, l.year, cast(p.p as double) as quantile, quantile_cont(l.value, p.p) as value from scen_long l
-      join flagset f on f.scen_id = l.scen_id and f.flag in (0, 7) cross join (values (0.25), (0.5), (0.75)) as p(p)
-      where l.Variable = {q(fixed.FINAL_ENERGY)} and l.year in (2020, 2030, 2040, 2050, 2060) group by f.flag, l.Variable, l.year, p.p) group by 1, 2, 3""")
+@register("rpt_final_energy", " union all ".join(f"""select filter_flag, Variable, cast({p} as double) as quantile, {pivot(D)} from (
+    select f.flag as filter_flag, l.Variable, l.year, quantile_cont(l.value, {p}) as value from scen_long l
+      join flagset f on f.scen_id = l.scen_id and f.flag in (0, 7)
+      where l.Variable = {q(fixed.FINAL_ENERGY)} and l.year in (2020, 2030, 2040, 2050, 2060) group by 1, 2, 3) group by 1, 2""" for p in (0.25, 0.5, 0.75)))
 def _(spark, sf):
     return rp.final_energy(t.db(spark, sf), LIM)
 

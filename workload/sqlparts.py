@@ -63,6 +63,13 @@ def pivot(years, value: str = "value", prefix: str = "y", rounded: bool = True)
     return ", ".join(one(y) for y in years)
 
 
+def _quartiles(src: str, keys: str) -> str:
+    return " union all ".join(
+        f"select {keys}, '{n}' as perc, quantile_cont(value, {p}) as value from {src} group by {keys}"
+        for n, p in (("25th perc", 0.25), ("median", 0.5), ("75th perc", 0.75))
+    )
+
+
 _slots = ", ".join(f"({i}, {q(v)}, {q(u)})" for i, (v, u) in enumerate(t.VARIABLES))
 _older = ", ".join(f"({q(p)}, {q(v)})" for p, v in t.OLDER_VARIABLES)
 _month = "(year({0}) - 1995) * 12 + month({0}) - 1"
@@ -226,22 +233,18 @@ CTES: dict[str, str] = {
         cross join (select cast(unnest(range(2010, 2091, 10)) as int) as year) y
         left join older_long s on s.scen_id = k.scen_id and s.year = y.year and s.Variable in ({NET}, {q(fixed.BECCS)})
       group by 1, 2""",
-    "older_q": f"""select Variable, year, p.perc, quantile_cont(value, p.q) as value,
-        case p.perc when 'median' then 'IPCC SR15 (median)' when '25th perc' then 'IPCC SR15 (25th percentile)'
+    "older_q": f"""select Variable, year, perc, value,
+        case perc when 'median' then 'IPCC SR15 (median)' when '25th perc' then 'IPCC SR15 (25th percentile)'
           else 'IPCC SR15 (75th percentile)' end as source
-      from (select Variable, year, value from older_long where Variable in ({NET}, {q(fixed.BECCS)})
+      from ({_quartiles(f"""(select Variable, year, value from older_long where Variable in ({NET}, {q(fixed.BECCS)})
             and scen_id in (select scen_id from older_cohort)
-          union all select {GROSS}, year, value from older_gross)
-        cross join (values ('25th perc', 0.25), ('median', 0.5), ('75th perc', 0.75)) as p(perc, q)
-      group by Variable, year, p.perc, p.q""",
+          union all select {GROSS}, year, value from older_gross)""", "Variable, year")})""",
     "lista": "select scen_id from scen_key where in_list_a = 1",
     "listb": "select scen_id from scen_key where in_list_b = 1",
-    "cohort_q": f"""select source, Variable, year, perc, quantile_cont(value, q) as value from (
-        select scen_id, Variable, year, value from filled
-        union all select scen_id, {GROSS}, year, value from gross) x
-      join (select scen_id, 'AR6 C1' as source from c1 union all select scen_id, 'AR6 C1+IISD' from lista) m using (scen_id)
-        cross join (values ('25th perc', 0.25), ('median', 0.5), ('75th perc', 0.75)) as p(perc, q)
-      group by source, Variable, year, perc, q""",
+    "cohort_q": _quartiles(f"""(select scen_id, Variable, year, value from filled
+        union all select scen_id, Variable, year, value from (select scen_id, {GROSS} as Variable, year, value from gross)) x
+      join (select scen_id, 'AR6 C1' as source from c1 union all select scen_id, 'AR6 C1+IISD' from lista) m using (scen_id)""",
+        "source, Variable, year"),
     "lut": f"""select *, {change('net_2020', 'net_2030')} as perc_ch_net_2030, {change('net_2020', 'net_2050')} as perc_ch_net_2050,
         {change('gross_2020', 'gross_2030')} as perc_ch_gross_2030, {change('gross_2020', 'gross_2050')} as perc_ch_gross_2050
       from (select k.scen_id, l.max_lu_seq, n.net_2020, n.net_2030, n.net_2050, g.gross_2020, g.gross_2030, g.gross_2050
