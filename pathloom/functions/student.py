@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -48,6 +49,6 @@ def two_sided_p(t: float, df: float) -> float | None:
     return _regularised_beta(df / 2.0, 0.5, df / (df + t * t))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([two_sided_p(a, b) for a, b in zip(t, df)], dtype="float64")

@@ -10,7 +10,8 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -23,9 +24,13 @@ def small_side(df: DataFrame, rows_at_most: int | None, row_bytes: int = 512) ->
     return df
 
 
-def lookup_table(spark, rows: Iterable[Sequence], schema: str) -> DataFrame:
-    """Small frame from constants (a literal relation, folded into the plan)."""
-    return spark.createDataFrame([tuple(r) for r in rows], schema)
+def lookup_table(spark: SparkSession, rows: Iterable[Sequence], schema: str) -> DataFrame:
+    """Small frame from constants: a local relation in the plan, of known size, that needs no job."""
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}
+    fields = [f.split() for f in schema.split(",")]
+    columns = list(zip(*rows))
+    table = pa.table({n: pa.array(list(c), kinds[k]) for (n, k), c in zip(fields, columns)})
+    return spark.createDataFrame(table)
 
 
 def in_ids(df: DataFrame, ids: DataFrame, on: str = "scen_id") -> DataFrame:

@@ -34,8 +34,12 @@ def filtered(db: ScenarioDb, limits: fixed.Limits, flag: int = 7, category: str
 
 
 def staged_ids(ids: DataFrame) -> DataFrame:
-    """An id set written once, bucketed like the scenario tables, for reports that use it several times."""
-    return stage(ids.select("scen_id"), "ids", bucket_by="scen_id")
+    """An id set written once, for reports that use it several times.
+
+    It is not bucketed: joined to a bucketed table only this narrow side moves, or it is small enough for the
+    planner to broadcast by its file size.
+    """
+    return stage(ids.select("scen_id"), "ids")
 
 
 def marked(db: ScenarioDb, markers: Sequence[str]) -> DataFrame:

@@ -14,7 +14,7 @@ from pathloom.operators.emissions import (
     gross_emissions_plain, removals_sum,
 )
 from pathloom.operators.harmonise import Harmonised, harmonise_budget
-from pathloom.operators.joins import align, by_cohort, flag_members, in_ids, intersect_ids, recode, union_all
+from pathloom.operators.joins import align, by_cohort, flag_members, in_ids, intersect_ids, recode, small_side, union_all
 from pathloom.operators.reshape import pivot_multi_value, pivot_variables, pivot_years, unpivot_years
 from pathloom.operators.screens import screen_cohorts, screen_criteria
 from pathloom.operators.summary import (
@@ -450,7 +450,7 @@ def band_vs_median(db: ScenarioDb, limits: Limits) -> DataFrame:
     long = unpivot_years(wide, ["scen_id", "Variable"], [f"y{y}" for y in DECADES], "CO2", strip="y")
     c1 = long.where((F.col("scen_id") != fixed.FILTERED_MEDIAN) & F.col("year").isin(list(MILESTONES)))
     band = interquartile_band(c1, ("year",), "CO2", groups_at_most=len(MILESTONES), rows_at_most=db.scenarios)
-    return long.join(F.broadcast(band), "year", "left")  # four rows
+    return long.join(small_side(band, len(MILESTONES)), "year", "left")
 
 
 def raw_vs_harmonised(combined: DataFrame, external_id: str = "NZE 2023") -> DataFrame:
@@ -517,7 +517,7 @@ def key_metric_panel(metrics: DataFrame, focal: Sequence[str] = ("IEA NZE", fixe
         F.max(F.when(F.col("scenario") == "AR6 C1-75", F.col("Value"))).alias("line_75"),
     )
     bars = coded.where(F.col("source").isin(list(focal)))
-    return bars.join(F.broadcast(lines), "metric_label").select(  # one row per metric level
+    return bars.join(small_side(lines, len(metric_levels)), "metric_label").select(
         "metric_label", "metric_ord", "scenario", "scenario_ord", "Value", "line_25", "line_75"
     )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pathloom.functions import fixed
+from pathloom.operators.joins import lookup_table
 from pathloom.plans import building as b
 from pathloom.plans import reports as rp
 from workload import tables as t
@@ -21,7 +22,7 @@ LU_LINE = 160.0
 
 
 def _nze(spark):
-    return spark.createDataFrame([tuple(NZE_METRICS.values())], ", ".join(f"{k} double" for k in NZE_METRICS))
+    return lookup_table(spark, [tuple(NZE_METRICS.values())], ", ".join(f"{k} double" for k in NZE_METRICS))
 
 
 def _nze_named(spark):

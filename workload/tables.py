@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions import fixed
 from pathloom.functions.columns import joined_key
-from pathloom.operators.joins import small_side
+from pathloom.operators.joins import lookup_table, small_side
 from pathloom.session import shared_dir
 from pathloom.sources.tables import ScenarioDb, stage
 
@@ -74,8 +74,8 @@ def scenario_long(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("l_linestatus") == "O", year - (year % 10)).otherwise(year).cast("int").alias("year"),
         # whole cents times whole percents: sums are exact in any order
         (
-            F.round(F.col("l_extendedprice") * 100).cast("bigint")
-            * (F.lit(100) - F.round(F.col("l_discount") * 100)).cast("bigint")
+            F.rint(F.col("l_extendedprice") * 100).cast("bigint")
+            * (F.lit(100) - F.rint(F.col("l_discount") * 100)).cast("bigint")
         ).alias("amount"),
     )
     cells = li.groupBy("l_suppkey", "slot", "year").agg((F.sum("amount").cast("double") / UNIT).alias("v"))
@@ -83,8 +83,8 @@ def scenario_long(spark: SparkSession, sf: str) -> DataFrame:
         small_side(read(spark, sf, "region"), 5), F.col("n_regionkey") == F.col("r_regionkey")
     )
     scen = read(spark, sf, "supplier").join(small_side(nation, 25), F.col("s_nationkey") == F.col("n_nationkey"))
-    slots = spark.createDataFrame(
-        [(i, v, u) for i, (v, u) in enumerate(VARIABLES)], "slot int, Variable string, Unit string"
+    slots = lookup_table(
+        spark, [(i, v, u) for i, (v, u) in enumerate(VARIABLES)], "slot int, Variable string, Unit string"
     )
     removal, v = F.col("slot").isin(3, 4, 5), F.col("v")
     value = (
@@ -134,12 +134,12 @@ def older_long(spark: SparkSession, sf: str) -> DataFrame:
         read(spark, sf, "orders")
         .select(
             "o_custkey", "o_orderpriority", (F.lit(2010) + F.floor(month / 8) * 10).cast("int").alias("year"),
-            F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"),
+            F.rint(F.col("o_totalprice") * 100).cast("bigint").alias("cents"),
         )
         .groupBy("o_custkey", "o_orderpriority", "year")
         .agg((F.sum("cents").cast("double") / OLDER_UNIT).alias("v"))
     )
-    names = spark.createDataFrame(OLDER_VARIABLES, "o_orderpriority string, Variable string")
+    names = lookup_table(spark, OLDER_VARIABLES, "o_orderpriority string, Variable string")
     cust = read(spark, sf, "customer")
     return (
         cells.join(cust, F.col("o_custkey") == F.col("c_custkey"))
@@ -195,18 +195,18 @@ def older_db(spark: SparkSession, sf: str) -> ScenarioDb:
 
 
 def focal(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(FOCAL, "Source string, y2020 double, y2030 double, y2040 double, y2050 double")
+    return lookup_table(spark, FOCAL, "Source string, y2020 double, y2030 double, y2040 double, y2050 double")
 
 
 def history(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(HISTORY, "Region string, year int, value double")
+    return lookup_table(spark, HISTORY, "Region string, year int, value double")
 
 
 def event_ticks(spark: SparkSession, sf: str) -> DataFrame:
     """Another time axis: one trajectory per user and event type, the day of month as its step."""
     return (
         read(spark, sf, "events")
-        .select("user_id", "event_type", F.dayofmonth("ts").alias("year"), F.round(F.col("value") * 100).cast("bigint").alias("c"))
+        .select("user_id", "event_type", F.dayofmonth("ts").alias("year"), F.rint(F.col("value") * 100).cast("bigint").alias("c"))
         .groupBy("user_id", "event_type", "year")
         .agg((F.sum("c").cast("double") / TICK_UNIT).alias("value"))
     )
@@ -220,7 +220,7 @@ def companies(spark: SparkSession, sf: str) -> DataFrame:
         .groupBy("o_custkey")
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")).alias("s"),
+            F.sum(F.rint(F.col("o_totalprice") * 100).cast("bigint")).alias("s"),
         )
     )
     cust = read(spark, sf, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left")
@@ -234,5 +234,5 @@ def companies(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise("other").alias("ty_activity_type"),
         F.coalesce(F.col("n").cast("string"), na).alias("by_activity"),
         F.coalesce(F.col("s").cast("string"), na).alias("by_scope1"),
-        F.when(F.col("c_acctbal") < 0, na).otherwise(F.round(F.col("c_acctbal") * 100).cast("bigint").cast("string")).alias("by_scope2"),
+        F.when(F.col("c_acctbal") < 0, na).otherwise(F.rint(F.col("c_acctbal") * 100).cast("bigint").cast("string")).alias("by_scope2"),
     )
