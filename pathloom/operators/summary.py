@@ -44,9 +44,11 @@ def _bracket_class(probs: Sequence[float]) -> tuple[Column, Column]:
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], probs: dict[str, float], value: str = "value",
-              groups_at_most: int | None = None, rows_at_most: int | None = None) -> DataFrame:
+              groups_at_most: int | None = None, rows_at_most: int | None = None, count: str | None = None) -> DataFrame:
     """Exact quantiles, linear between order statistics, missing values skipped: (keys, one column per prob).
 
+    ``count`` names a further column with the number of values in the group.
+
     Groups proven small (``rows_at_most``, e.g. the number of scenarios) take the built-in exact percentile.
     Otherwise no task ever holds a group. A mergeable sketch per group brackets the two order statistics each
     probability needs; then one pass counts every row, keeping apart only the values inside a bracket (a
@@ -59,14 +61,15 @@ def quantiles(df: DataFrame, keys: Sequence[str], probs: dict[str, float], value
     """
     if not keys:
         one = df.withColumn("_all", F.lit(0))
-        return quantiles(one, ["_all"], probs, value, 1, rows_at_most).drop("_all")
+        return quantiles(one, ["_all"], probs, value, 1, rows_at_most, count).drop("_all")
     names, ps = list(probs), [float(p) for p in probs.values()]
     keys = list(keys)
     if rows_at_most is not None and rows_at_most <= DIRECT_ROWS:
         exact = df.where(col(value).isNotNull()).groupBy(*keys).agg(
-            F.percentile(col(value), F.array(*[F.lit(p) for p in ps])).alias("_p")
+            F.percentile(col(value), F.array(*[F.lit(p) for p in ps])).alias("_p"), F.count(F.lit(1)).alias("_n")
         )
-        return exact.select(*keys, *[F.col("_p")[i].alias(n) for i, n in enumerate(names)])
+        counted = [F.col("_n").alias(count)] if count else []
+        return exact.select(*keys, *[F.col("_p")[i].alias(n) for i, n in enumerate(names)], *counted)
     eps = 3.0 / ACCURACY
     grid = [max(0.0, p - eps) for p in ps] + [min(1.0, p + eps) for p in ps]
     x = df.where(col(value).isNotNull()).select(*keys, col(value).alias("_x"))
@@ -123,7 +126,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], probs: dict[str, float], value
             .otherwise(lo + (hi - lo) * (pos - F.floor(pos)))
             .alias(n)
         )
-    return got.select(*keys, *out)
+    return got.select(*keys, *out, *([F.col("_n").alias(count)] if count else []))
 
 
 def quantile_rows(df: DataFrame, keys: Sequence[str], probs: dict[str, float], value: str = "value",
@@ -135,8 +138,8 @@ def quantile_rows(df: DataFrame, keys: Sequence[str], probs: dict[str, float], v
 
 
 def median(df: DataFrame, keys: Sequence[str], value: str = "value", out: str = "value",
-           groups_at_most: int | None = None, rows_at_most: int | None = None) -> DataFrame:
-    return quantiles(df, keys, {out: 0.5}, value, groups_at_most, rows_at_most)
+           groups_at_most: int | None = None, rows_at_most: int | None = None, count: str | None = None) -> DataFrame:
+    return quantiles(df, keys, {out: 0.5}, value, groups_at_most, rows_at_most, count)
 
 
 def approx_quantiles(df: DataFrame, keys: Sequence[str], probs: dict[str, float], value: str = "value",
@@ -153,6 +156,15 @@ def interquartile_band(df: DataFrame, keys: Sequence[str], value: str = "value",
     return quantiles(df, keys, {low: 0.25, high: 0.75}, value, groups_at_most, rows_at_most)
 
 
+def add_total(df: DataFrame, label: str, total: str, values: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Each row (unique by ``label`` and ``keys``) and a row with their sum, from one pass over the input.
+
+    Every row also counts under the total's label, so the input is not evaluated a second time.
+    """
+    both = df.withColumn(label, F.explode(F.array(F.col(label), F.lit(total))))
+    return both.groupBy(label, *keys).agg(*[F.sum(v).alias(v) for v in values])
+
+
 def change_columns(df: DataFrame, years: Sequence[int], base: int = 2020, prefix: str = "y",
                    out: str = "percch_") -> DataFrame:
     """Relative change of milestone columns against the base year."""
@@ -160,10 +172,13 @@ def change_columns(df: DataFrame, years: Sequence[int], base: int = 2020, prefix
 
 
 def boxplot_stats(df: DataFrame, keys: Sequence[str], value: str, groups_at_most: int | None = None,
-                  rows_at_most: int | None = None) -> DataFrame:
-    """Quartiles, whiskers at the last value within 1.5 IQR, outlier and row counts per group."""
+                  rows_at_most: int | None = None, more: dict[str, Column] | None = None) -> DataFrame:
+    """Quartiles, whiskers at the last value within 1.5 IQR, outlier and row counts per group.
+
+    ``more`` adds aggregates over the group's non-missing rows, computed in the same pass.
+    """
     q = quantiles(df, keys, {"q1": 0.25, "q2": 0.5, "q3": 0.75}, value, groups_at_most, rows_at_most)
-    x = df.where(col(value).isNotNull()).select(*keys, col(value).alias("_x"))
+    x = df.where(col(value).isNotNull()).withColumn("_x", col(value))
     fences = small_side(
         q.select(
             *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], "q1", "q2", "q3",
@@ -182,6 +197,7 @@ def boxplot_stats(df: DataFrame, keys: Sequence[str], value: str, groups_at_most
             F.max(F.when(ok, F.col("_x"))).alias("whisker_high"),
             F.count_if(~ok).alias("n_outliers"),
             F.count(F.lit(1)).alias("n"),
+            *[c.alias(n) for n, c in (more or {}).items()],
         )
     )
 

@@ -75,19 +75,21 @@ def interpolate_gaps(df: DataFrame, keys: Sequence[str] = TRAJECTORY, first: int
     return steps.withColumn("_y", grid).select(*keys, F.col("_y").alias("year"), filled.alias(value))
 
 
-def interpolated_total(df: DataFrame, keys: Sequence[str] = ("scen_id",), first: int = 2020, last: int = 2050,
+def interpolated_total(df: DataFrame, keys: Sequence[str] = ("scen_id",), first: int = 2020, last: int | Column = 2050,
                        zero_missing: bool = False, value: str = "value", out: str = "total",
                        step: int = 1) -> DataFrame:
     """Sum over a year slice after gap filling, without producing the filled years.
 
     Each knot contributes the arithmetic series up to the next knot (the last one holds to the end), so a
     trajectory costs as many rows as it has reported years. A key present with no value in the slice is 0.
-    With ``step`` the slice is the grid first, first+step, ...; rows off the grid do not count.
+    With ``step`` the slice is the grid first, first+step, ...; rows off the grid do not count. ``last`` may be
+    one of the key columns, so several windows come from one pass.
     """
+    end = last if isinstance(last, Column) else F.lit(last)
     v = zero_as_missing(value) if zero_missing else F.col(value)
-    inside = F.col("year").between(first, last)
+    inside = F.col("year").between(F.lit(first), end)
     if step != 1:
-        inside = inside & F.col("year").isin(list(range(first, last + 1, step)))
+        inside = inside & ((F.col("year") - F.lit(first)) % F.lit(step) == 0)
     rows = df.select(*keys, "year", F.when(inside, v).alias("_v"))
     # rows that are no knots sort last, so a knot's successor is a knot or nothing
     w = Window.partitionBy(*keys).orderBy(F.col("_v").isNull(), "year")
@@ -95,7 +97,7 @@ def interpolated_total(df: DataFrame, keys: Sequence[str] = ("scen_id",), first:
     rows = rows.withColumns({"_nv": nv, "_ny": ny})
     n = (F.col("_ny") - F.col("year")) / F.lit(step)
     series = F.when(
-        F.col("_nv").isNull(), F.col("_v") * ((F.lit(last) - F.col("year")) / F.lit(step) + 1)
+        F.col("_nv").isNull(), F.col("_v") * (F.floor((end - F.col("year")) / F.lit(step)) + 1)
     ).otherwise(n * F.col("_v") + (F.col("_nv") - F.col("_v")) * (n - 1) / 2)
     return rows.withColumn("_s", series).groupBy(*keys).agg(sum_or_zero("_s").alias(out))
 

@@ -11,7 +11,6 @@ from pathloom.functions import fixed
 from pathloom.functions.columns import share_of, sum_or_zero, value_when
 from pathloom.operators.emissions import afolu_co2e_year, eip_at, eip_yearly
 from pathloom.operators.joins import align, by_cohort, in_ids
-from pathloom.operators.reshape import pivot_years
 from pathloom.operators.screens import removed_by, screen_criteria
 from pathloom.operators.summary import median
 from pathloom.operators.timeaxis import interpolated_total
@@ -46,21 +45,31 @@ def marked(db: ScenarioDb, markers: Sequence[str]) -> DataFrame:
     return db.key.where(F.col("IMP_marker").isin(list(markers))).select("scen_id", "IMP_marker")
 
 
-def _long(wide: DataFrame, kind: str, years: Sequence[int], variable: str) -> DataFrame:
-    cols = [F.col(f"{kind}_{y}").alias(str(y)) for y in years]
-    out = wide.select("scen_id", *cols).unpivot(["scen_id"], [str(y) for y in years], "year", "value")
-    return out.select("scen_id", F.lit(variable).alias("Variable"), F.col("year").cast("int").alias("year"), "value")
+def net_and_gross_at(db: ScenarioDb, ids: DataFrame, years: Sequence[int], kinds=("net", "gross")) -> DataFrame:
+    """Net totals and gross emissions of ``ids`` at listed years, long, from one pass.
+
+    Totals are filled; a missing reported net value stays absent, gross is 0 where nothing is reported.
+    """
+    cols = [f"{k}_{y}" for k in kinds for y in years]
+    out = eip_at(db.long, ids, years).select("scen_id", *cols).unpivot(["scen_id"], cols, "item", "value")
+    variable = F.when(F.col("item").startswith("net_"), fixed.NET_TOTAL).otherwise(fixed.GROSS_TOTAL)
+    year = F.substring_index("item", "_", -1).cast("int")
+    return out.where(F.col("value").isNotNull()).select("scen_id", variable.alias("Variable"), year.alias("year"), "value")
 
 
 def gross_at(db: ScenarioDb, ids: DataFrame, years: Sequence[int]) -> DataFrame:
-    """Gross emissions of ``ids`` at listed years, totals filled, 0 where nothing is reported."""
-    return _long(eip_at(db.long, ids, years), "gross", years, fixed.GROSS_TOTAL)
+    return net_and_gross_at(db, ids, years, ("gross",))
 
 
 def net_at(db: ScenarioDb, ids: DataFrame, years: Sequence[int]) -> DataFrame:
-    """Net totals of ``ids`` at listed years: as reported (missing stays absent) or filled."""
-    out = _long(eip_at(db.long, ids, years), "net", years, fixed.NET_TOTAL)
-    return out.where(F.col("value").isNotNull())
+    return net_and_gross_at(db, ids, years, ("net",))
+
+
+def net_and_gross_every_year(db: ScenarioDb, ids: DataFrame, first: int, last: int) -> DataFrame:
+    """As ``net_and_gross_at`` for every year of a range."""
+    long = eip_yearly(db.long, ids, first, last).unpivot(["scen_id", "year"], ["net", "gross"], "Variable", "value")
+    name = F.when(F.col("Variable") == "net", fixed.NET_TOTAL).otherwise(fixed.GROSS_TOTAL)
+    return long.where(F.col("value").isNotNull()).select("scen_id", name.alias("Variable"), "year", "value")
 
 
 def gross_every_year(db: ScenarioDb, ids: DataFrame) -> DataFrame:
@@ -76,14 +85,15 @@ def net_every_year(db: ScenarioDb, ids: DataFrame, first: int, last: int) -> Dat
 
 def cohort_medians(db: ScenarioDb, rows: DataFrame, members: DataFrame, years: Sequence[int], n_cohorts: int,
                    n_variables: int = 1, name: str = "cohort") -> DataFrame:
-    """Median per cohort, variable and milestone, milestones as columns."""
-    med = median(by_cohort(rows, members, name=name), (name, "Variable", "year"),
-                 groups_at_most=n_cohorts * n_variables * len(years), rows_at_most=db.scenarios)
-    return pivot_years(med, (name, "Variable"), years)
+    """Median per cohort, variable and milestone, milestones as columns, and the number of scenarios ``n``.
 
-
-def cohort_sizes(members: DataFrame, name: str = "cohort", out: str = "num_scenarios") -> DataFrame:
-    return members.select(F.explode(name).alias(name)).groupBy(name).agg(F.count(F.lit(1)).alias(out))
+    ``n`` is the largest count over the milestones: the cohort's size if every member has a value somewhere.
+    """
+    med = median(by_cohort(rows, members, name=name), (name, "Variable", "year"),
+                 groups_at_most=n_cohorts * n_variables * len(years), rows_at_most=db.scenarios, count="n")
+    return med.groupBy(name, "Variable").agg(
+        *[F.max(F.when(F.col("year") == y, F.col("value"))).alias(f"y{y}") for y in years], F.max("n").alias("n")
+    )
 
 
 def cumulative_gross(db: ScenarioDb, ids: DataFrame, first: int = 2020, last: int = 2050,

@@ -10,21 +10,21 @@ from pyspark.sql import functions as F
 from pathloom.functions import fixed
 from pathloom.functions.columns import apply_change, co2e, joined_key, relative_change, share_of, zero_as_missing
 from pathloom.operators.emissions import (
-    afolu_co2_cumulative, afolu_co2e_cumulative, eip_at, eip_co2e, eip_yearly, gross_emissions,
-    gross_emissions_plain, removals_sum,
+    afolu_co2_cumulative, afolu_co2e_cumulative, eip_at, eip_co2e, gross_emissions, gross_emissions_plain,
+    removals_sum,
 )
 from pathloom.operators.harmonise import Harmonised, harmonise_budget
 from pathloom.operators.joins import align, by_cohort, flag_members, in_ids, intersect_ids, recode, small_side, union_all
 from pathloom.operators.reshape import pivot_multi_value, pivot_variables, pivot_years, unpivot_years
 from pathloom.operators.screens import screen_cohorts, screen_criteria
 from pathloom.operators.summary import (
-    boxplot_stats, change_columns, interquartile_band, median, pearson_cor_test, quantile_rows, quantiles,
+    add_total, boxplot_stats, change_columns, interquartile_band, median, pearson_cor_test, quantile_rows, quantiles,
     scatter_vs_identity, sum_variables, sums_at, welch_t_test,
 )
 from pathloom.operators.timeaxis import anchor_and_bridge, densify_years, interpolated_total, milestones, slice_max
 from pathloom.plans.building import (
-    DECADES, KEY_METRICS, MILESTONES, QUARTILES, candidates, cohort_medians, cohort_sizes,
-    filtered, gross_at, gross_every_year, key_metrics, marked, net_at, net_every_year, staged_ids,
+    DECADES, KEY_METRICS, MILESTONES, QUARTILES, candidates, cohort_medians, filtered, gross_at, gross_every_year,
+    key_metrics, marked, net_and_gross_at, net_and_gross_every_year, net_every_year, staged_ids,
 )
 from pathloom.sources.tables import ScenarioDb, stage
 
@@ -80,11 +80,7 @@ def filtered_quantiles(db: ScenarioDb, list_a: DataFrame) -> DataFrame:
     years = range(db.first_year, db.last_year + 1)
     cols = ("scen_id", "Variable", "year", "value")
     other = in_ids(db.long.where(F.col("Variable") != fixed.NET_TOTAL), ids).select(*cols)
-    yearly = eip_yearly(db.long, ids, db.first_year, db.last_year).unpivot(
-        ["scen_id", "year"], ["net", "gross"], "Variable", "value"
-    )
-    name = F.when(F.col("Variable") == "net", fixed.NET_TOTAL).otherwise(fixed.GROSS_TOTAL)
-    rows = other.unionByName(yearly.withColumn("Variable", name).select(*cols))
+    rows = other.unionByName(net_and_gross_every_year(db, ids, db.first_year, db.last_year))
     return quantile_rows(by_cohort(rows, members, name="source"), ("source", "Variable", "year"), QUARTILES,
                          groups_at_most=2 * 64 * len(years), rows_at_most=db.scenarios)
 
@@ -108,7 +104,8 @@ def compare_filters_co2(db: ScenarioDb, limits: Limits) -> DataFrame:
     """Median gross emissions per screening flag, change since 2020, number of scenarios."""
     members = _all_flags(db, limits)
     med = _flag_medians(db, gross_at(db, candidates(db), DECADES), members)
-    return change_columns(med, (2030, 2050)).join(cohort_sizes(members, "filter_flag"), "filter_flag")
+    # gross emissions have a value for every candidate in every milestone
+    return change_columns(med, (2030, 2050)).withColumnRenamed("n", "num_scenarios")
 
 
 def _gas_at(db: ScenarioDb, gas: str, ids: DataFrame, years: Sequence[int], vintage: str = "AR6") -> DataFrame:
@@ -121,7 +118,7 @@ def compare_filters_nonco2(db: ScenarioDb, limits: Limits) -> DataFrame:
     """Median N2O and CH4 in CO2e per screening flag."""
     members, c1 = _all_flags(db, limits), candidates(db)
     rows = _gas_at(db, "N2O", c1, DECADES).unionByName(_gas_at(db, "CH4", c1, DECADES))
-    return cohort_medians(db, rows, members, DECADES, len(fixed.SCREEN_FLAGS), 2, "filter_flag").withColumn(
+    return cohort_medians(db, rows, members, DECADES, len(fixed.SCREEN_FLAGS), 2, "filter_flag").drop("n").withColumn(
         "Units", F.lit("MtCO2e/year")
     )
 
@@ -135,13 +132,17 @@ def compare_filters_total(db: ScenarioDb, limits: Limits) -> DataFrame:
         .unionByName(_gas_at(db, "CH4", c1, DECADES))
     )
     med = cohort_medians(db, rows, members, DECADES, len(fixed.SCREEN_FLAGS), 3, "filter_flag")
-    total = med.groupBy("filter_flag").agg(*[F.sum(f"y{y}").alias(f"y{y}") for y in DECADES])
-    return change_columns(total, (2030, 2050)).join(cohort_sizes(members, "filter_flag"), "filter_flag")
+    size = F.max(F.when(F.col("Variable") == fixed.GROSS_TOTAL, F.col("n")))
+    total = med.groupBy("filter_flag").agg(
+        *[F.sum(f"y{y}").alias(f"y{y}") for y in DECADES], size.alias("num_scenarios")
+    )
+    return change_columns(total, (2030, 2050))
 
 
 def fig_gross(db: ScenarioDb, limits: Limits, years: Sequence[int] = DECADES, zero_missing: bool = False) -> DataFrame:
     """Gross emissions of each C1 scenario at milestones, and a row with the median of the filtered ones."""
-    rows = gross_at(db, candidates(db), years)
+    # two uses: the rows themselves and the median of some of them
+    rows = stage(gross_at(db, candidates(db), years), "gross", bucket_by="scen_id")
     if zero_missing:
         rows = rows.withColumn("value", zero_as_missing("value"))
     med = median(in_ids(rows, filtered(db, limits)), ("year",), groups_at_most=len(years), rows_at_most=db.scenarios)
@@ -255,14 +256,13 @@ def kyoto_gases(db: ScenarioDb, limits: Limits) -> DataFrame:
     cols = ("scen_id", "Variable", "year", "value")
     rows = union_all(milestones(f_rows, MILESTONES).select(*cols), *[s.select(*cols) for s in sums])
     tagged = by_cohort(rows, members, name="filter_flag")
-    keys = ("filter_flag", "Variable", "year")
-    med = pivot_years(median(tagged, keys, groups_at_most=10 * len(MILESTONES), rows_at_most=db.scenarios),
-                      ("filter_flag", "Variable"), MILESTONES)
-    # the sector sums have a value in every listed year, so counting 2050 counts their scenarios
-    counts = tagged.where(F.col("year") == 2050).groupBy("filter_flag", "Variable").agg(
-        F.count("value").alias("num_scen")
-    )
-    out = med.join(counts, ["filter_flag", "Variable"], "left").withColumn("num_scen", F.coalesce("num_scen", F.lit(0)))
+    med = median(tagged, ("filter_flag", "Variable", "year"), groups_at_most=10 * len(MILESTONES),
+                 rows_at_most=db.scenarios, count="n")
+    # the sector sums have a value in every milestone, so counting 2050 counts their scenarios
+    out = med.groupBy("filter_flag", "Variable").agg(
+        *[F.max(F.when(F.col("year") == y, F.col("value"))).alias(f"y{y}") for y in MILESTONES],
+        F.coalesce(F.max(F.when(F.col("year") == 2050, F.col("n"))), F.lit(0)).alias("num_scen"),
+    )
     return out.withColumn("source", source).drop("filter_flag")
 
 
@@ -275,7 +275,7 @@ def external_comparison(db: ScenarioDb, limits: Limits, list_b: DataFrame) -> Da
     ))
     members = flag_members(flag_members(ids, filt, "in_f"), list_b, "in_b").select("scen_id", tags.alias("Source"))
     rows = gross_at(db, flag_members(ids, c1, "in_c1").select("scen_id", (F.col("in_c1") == 1).alias("fill")), MILESTONES)
-    return cohort_medians(db, rows, members, MILESTONES, 2, name="Source")
+    return cohort_medians(db, rows, members, MILESTONES, 2, name="Source").drop("n")
 
 
 # --- benchmarks -------------------------------------------------------------------
@@ -297,34 +297,52 @@ def non_co2_pathway(db: ScenarioDb, years: Sequence[int] = MILESTONES) -> DataFr
     return pivot_years(med, ("Variable",), years).withColumn("Source", F.lit("Cross sector benchmark"))
 
 
+_Y = [f"y{y}" for y in MILESTONES]
+_LATER = (2030, 2040, 2050)
+
+
 def _with_total(co2: DataFrame, other: DataFrame) -> DataFrame:
-    rows = union_all(co2, other)
-    total = rows.agg(*[F.sum(f"y{y}").alias(f"y{y}") for y in MILESTONES]).withColumns(
-        {"Variable": F.lit("Gross fossil CO2e"), "Source": F.lit("Cross sector benchmark")}
-    )
-    return union_all(rows, total)
+    return add_total(union_all(co2, other), "Variable", "Gross fossil CO2e", _Y, ("Source",))
 
 
 def benchmark_unharmonised(db: ScenarioDb, limits: Limits, focal: DataFrame, markers: Sequence[str] = ("LD", "Ren"),
                            external: Sequence[str] = ("NZE",), anchor: float = fixed.GROSS_2020_ANCHOR) -> DataFrame:
     """Filtered median and focal scenarios; their mean change moves the 2020 anchor; other gases and the total."""
-    rows = gross_at(db, candidates(db), MILESTONES)
-    med = median(in_ids(rows, filtered(db, limits)), ("year",), groups_at_most=len(MILESTONES),
-                 rows_at_most=db.scenarios).withColumn("Source", F.lit("filtered C1"))
-    marker_rows = pivot_years(
-        rows.join(marked(db, markers).withColumnRenamed("IMP_marker", "Source"), "scen_id"), ("scen_id", "Source"), MILESTONES
-    ).drop("scen_id")
+    marker_ids = marked(db, markers)
+    med = median(gross_at(db, filtered(db, limits), MILESTONES), ("year",), groups_at_most=len(MILESTONES),
+                 rows_at_most=db.scenarios)
+    marker_rows = gross_at(db, marker_ids.select("scen_id"), MILESTONES).join(
+        marker_ids.withColumnRenamed("IMP_marker", "Source"), "scen_id"
+    )
     members = union_all(
-        pivot_years(med, ("Source",), MILESTONES), marker_rows, focal.where(F.col("Source").isin(list(external)))
-    ).withColumn("Variable", F.lit("Gross fossil CO2"))
-    change = change_columns(members, (2030, 2040, 2050)).agg(
-        *[F.avg(f"percch_{y}").alias(f"c{y}") for y in (2030, 2040, 2050)]
+        pivot_years(med.withColumn("Source", F.lit("filtered C1")), ("Source",), MILESTONES),
+        pivot_years(marker_rows, ("scen_id", "Source"), MILESTONES), focal.where(F.col("Source").isin(list(external))),
+    )
+    # each member counts as itself and once more under the benchmark, whose values come from the mean change
+    is_mean = F.col("kind") == "mean"
+    grouped = (
+        change_columns(members, _LATER)
+        .withColumn("kind", F.explode(F.array(F.lit("member"), F.lit("mean"))))
+        .groupBy(
+            "kind", F.when(~is_mean, F.col("scen_id")).alias("scen_id"),
+            F.when(is_mean, F.lit("Cross sector benchmark")).otherwise(F.col("Source")).alias("Source"),
+        )
+        .agg(*[F.max(c).alias(c) for c in _Y], *[F.avg(f"percch_{y}").alias(f"c{y}") for y in _LATER])
     )
-    co2 = change.select(
-        F.lit("Gross fossil CO2").alias("Variable"), F.lit("Cross sector benchmark").alias("Source"),
-        F.lit(anchor).alias("y2020"), *[apply_change(anchor, f"c{y}").alias(f"y{y}") for y in (2030, 2040, 2050)],
+    co2 = grouped.select(
+        "kind", "scen_id", F.lit("Gross fossil CO2").alias("Variable"), "Source",
+        F.when(is_mean, F.lit(anchor)).otherwise(F.col("y2020")).alias("y2020"),
+        *[F.when(is_mean, apply_change(anchor, f"c{y}")).otherwise(F.col(f"y{y}")).alias(f"y{y}") for y in _LATER],
     )
-    return change_columns(union_all(members, _with_total(co2, non_co2_pathway(db))), (2030, 2040, 2050))
+    other = non_co2_pathway(db).withColumns({"kind": F.lit("mean")})
+    rows = union_all(co2, other)
+    total = F.lit("Gross fossil CO2e")
+    labels = F.when(is_mean, F.array(F.col("Variable"), total)).otherwise(F.array(F.col("Variable")))
+    # several scenarios may share a source, so members stay apart by scenario
+    out = rows.withColumn("Variable", F.explode(labels)).groupBy("Variable", "Source", "scen_id").agg(
+        *[F.sum(c).alias(c) for c in _Y]
+    )
+    return change_columns(out.drop("scen_id"), _LATER)
 
 
 def harmonised_net(db: ScenarioDb, ids: DataFrame, history: DataFrame) -> Harmonised:
@@ -339,11 +357,8 @@ def combined_emissions(db: ScenarioDb, limits: Limits, history: DataFrame, exter
     """
     ids = staged_ids(filtered(db, limits))
     cols = ("scen_id", "Variable", "year", "value")
-    yearly = eip_yearly(db.long, ids, 2020, 2050)
-    net = yearly.where(F.col("net").isNotNull()).select(
-        "scen_id", F.lit(fixed.NET_TOTAL).alias("Variable"), "year", F.col("net").alias("value")
-    )
-    gross = yearly.select("scen_id", F.lit(fixed.GROSS_TOTAL).alias("Variable"), "year", F.col("gross").alias("value"))
+    both = net_and_gross_every_year(db, ids, 2020, 2050)
+    net = both.where(F.col("Variable") == fixed.NET_TOTAL)
     # both sides of the gross sum need the harmonised paths, so they are written once
     harmonised = stage(
         harmonise_budget(net.withColumn("Region", F.lit("World")), history, ("scen_id",)).trajectories,
@@ -359,9 +374,8 @@ def combined_emissions(db: ScenarioDb, limits: Limits, history: DataFrame, exter
         "value", F.coalesce("value", F.lit(0.0))
     )
     out = union_all(
-        net.select(*cols).withColumn("value", zero_as_missing("value")),
+        both.withColumn("value", zero_as_missing("value")),
         harm_net.withColumn("Variable", F.lit(fixed.NET_HARMONISED)),
-        gross.withColumn("value", zero_as_missing("value")),
         gross_harm.select(*cols),
         external.select("scen_id", F.lit(fixed.GROSS_TOTAL).alias("Variable"), "year", "value"),
     )
@@ -414,7 +428,7 @@ def ambition_rows(db: ScenarioDb, years: Sequence[int]) -> DataFrame:
     c1 = candidates(db)
     cols = ("scen_id", "Variable", "year", "value")
     removals = sums_at(in_ids(removals_sum(db.long), c1), years).withColumn("Variable", F.lit(fixed.REMOVALS_SUM))
-    return union_all(net_at(db, c1, years), removals.select(*cols), gross_at(db, c1, years))
+    return net_and_gross_at(db, c1, years).unionByName(removals.select(*cols))
 
 
 def ambition_table(db: ScenarioDb, limits: Limits, years: Sequence[int] = DECADES) -> DataFrame:
@@ -427,14 +441,15 @@ def removals_cumulative(db: ScenarioDb) -> DataFrame:
     """Cumulative net emissions, removals and gross emissions per C1 scenario: to 2050 and to the last year."""
     c1 = candidates(db)
     cols = ("scen_id", "Variable", "year", "value")
-    rows = union_all(
-        net_every_year(db, c1, db.first_year, db.last_year), in_ids(removals_sum(db.long), c1).select(*cols),
-        gross_every_year(db, c1),
+    rows = net_and_gross_every_year(db, c1, db.first_year, db.last_year).unionByName(
+        in_ids(removals_sum(db.long), c1).select(*cols)
     )
-    keys = ("scen_id", "Variable")
-    return interpolated_total(rows, keys, 2020, 2050, True, out="cum_sum_20_50").join(
-        interpolated_total(rows, keys, 2020, min(2099, db.last_year), True, out="cum_sum_20_2100"), list(keys),
-        "full_outer",
+    ends = {"cum_sum_20_50": 2050, "cum_sum_20_2100": min(2099, db.last_year)}
+    # both windows in one pass: each row counts towards every end it precedes
+    rows = rows.withColumn("upto", F.explode(F.array(*[F.lit(y) for y in ends.values()])))
+    totals = interpolated_total(rows, ("scen_id", "Variable", "upto"), 2020, F.col("upto"), True)
+    return totals.groupBy("scen_id", "Variable").agg(
+        *[F.max(F.when(F.col("upto") == y, F.col("total"))).alias(n) for n, y in ends.items()]
     )
 
 
@@ -448,6 +463,7 @@ def band_vs_median(db: ScenarioDb, limits: Limits) -> DataFrame:
     """All C1 trajectories and the filtered median, long, with the C1 quartile band of each milestone."""
     wide = gross_summary(db, limits)
     long = unpivot_years(wide, ["scen_id", "Variable"], [f"y{y}" for y in DECADES], "CO2", strip="y")
+    long = stage(long, "trajectories")
     c1 = long.where((F.col("scen_id") != fixed.FILTERED_MEDIAN) & F.col("year").isin(list(MILESTONES)))
     band = interquartile_band(c1, ("year",), "CO2", groups_at_most=len(MILESTONES), rows_at_most=db.scenarios)
     return long.join(small_side(band, len(MILESTONES)), "year", "left")
@@ -461,7 +477,7 @@ def raw_vs_harmonised(combined: DataFrame, external_id: str = "NZE 2023") -> Dat
 
 def removals_vs_reduction(db: ScenarioDb, limits: Limits) -> DataFrame:
     """Removals in 2050 next to the gross reduction 2020-2050, scenarios that have both."""
-    table = ambition_table(db, limits, (2020, 2050))
+    table = stage(ambition_table(db, limits, (2020, 2050)), "ambition", bucket_by="scen_id")
     gross = table.where(F.col("Variable") == fixed.GROSS_TOTAL).select(
         "scen_id", "filtered", relative_change("y2020", "y2050").alias("gross_change_2020_2050")
     )
@@ -538,9 +554,8 @@ def afolu_generations(db: ScenarioDb, older: ScenarioDb, co2e_line: float = fixe
     keys = ("measure", "gen", "category")
     line = F.when(F.col("measure") == "co2e", co2e_line).otherwise(co2_line)
     most = max(d.scenarios for d in (db, older)) if db.scenarios and older.scenarios else None
-    box = boxplot_stats(both, keys, "total", groups_at_most=24, rows_at_most=most)
-    above = both.groupBy(*keys).agg(F.avg(F.when(F.col("total") > line, 1.0).otherwise(0.0)).alias("share_above"))
-    return box.join(above, list(keys))
+    above = F.avg(F.when(F.col("total") > line, 1.0).otherwise(0.0))
+    return boxplot_stats(both, keys, "total", groups_at_most=24, rows_at_most=most, more={"share_above": above})
 
 
 def project_highlight(db: ScenarioDb, project: str = "ENGAGE") -> DataFrame:

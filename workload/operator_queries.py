@@ -397,8 +397,7 @@ def _(spark, sf):
 def _(spark, sf):
     d = t.db(spark, sf)
     rows = j.in_ids(d.long.where(V().isin(list(fixed.F_GASES)) & (F.col("year") == 2050)), b.candidates(d))
-    med = sm.median(rows, ("Variable",), out="med", groups_at_most=3, rows_at_most=d.scenarios)
-    return med.join(rows.groupBy("Variable").agg(F.count("value").alias("num_scen")), "Variable")
+    return sm.median(rows, ("Variable",), out="med", groups_at_most=3, rows_at_most=d.scenarios, count="num_scen")
 
 
 @register("historical_anchor_join", f"""select scen_id, Variable, {r('value')} as model, {r('50.0 - value')} as gap from scen_long
@@ -419,8 +418,7 @@ def _(spark, sf):
         "C1": F.col("Category") == "C1", "list a": F.col("in_list_a") == 1, "marked": F.col("IMP_marker").isNotNull(),
     })
     rows = j.by_cohort(d.long.where("year = 2050"), members)
-    med = sm.median(rows, ("cohort", "Variable"), out="med", groups_at_most=200, rows_at_most=d.scenarios)
-    return med.join(rows.groupBy("cohort", "Variable").agg(F.count(F.lit(1)).alias("n")), ["cohort", "Variable"])
+    return sm.median(rows, ("cohort", "Variable"), out="med", groups_at_most=200, rows_at_most=d.scenarios, count="n")
 
 
 @register("positional_label_join", f"""select k.IMP_marker as Source, g.scen_id, {pivot(MS)} from gross g join scen_key k
@@ -578,7 +576,7 @@ def _(spark, sf):
 def _(spark, sf):
     d = t.db(spark, sf)
     c1 = b.candidates(d)
-    rows = b.net_at(d, c1, MS).unionByName(b.gross_at(d, c1, MS))
+    rows = b.net_and_gross_at(d, c1, MS)
     xy = rs.pivot_variables(rows, ("scen_id", "year"), {fixed.NET_TOTAL: "net", fixed.GROSS_TOTAL: "gross"})
     return sm.scatter_vs_identity(xy.join(d.key.select("scen_id", "Model"), "scen_id"), ("Model",), "net", "gross")
 

@@ -11,7 +11,7 @@ from pathloom.plans import reports as rp
 from workload import tables as t
 from workload.operator_queries import _cor_sql, _external, _welch_sql
 from workload.registry import register
-from workload.sqlparts import GROSS, NET, change, inlist, interp, pivot, q, r
+from workload.sqlparts import GROSS, NET, change, interp, pivot, q, r
 
 D = b.DECADES
 MS = b.MILESTONES
