@@ -142,7 +142,7 @@ def compare_filters_total(db: ScenarioDb, limits: Limits) -> DataFrame:
 def fig_gross(db: ScenarioDb, limits: Limits, years: Sequence[int] = DECADES, zero_missing: bool = False) -> DataFrame:
     """Gross emissions of each C1 scenario at milestones, and a row with the median of the filtered ones."""
     # two uses: the rows themselves and the median of some of them
-    rows = stage(gross_at(db, candidates(db), years), "gross", bucket_by="scen_id")
+    rows = stage(gross_at(db, candidates(db), years), "gross", bucket_by="scen_id", buckets=db.buckets)
     if zero_missing:
         rows = rows.withColumn("value", zero_as_missing("value"))
     med = median(in_ids(rows, filtered(db, limits)), ("year",), groups_at_most=len(years), rows_at_most=db.scenarios)
@@ -355,15 +355,12 @@ def combined_emissions(db: ScenarioDb, limits: Limits, history: DataFrame, exter
 
     ``external``: scen_id, year, value.
     """
-    ids = staged_ids(filtered(db, limits))
     cols = ("scen_id", "Variable", "year", "value")
-    both = net_and_gross_every_year(db, ids, 2020, 2050)
-    net = both.where(F.col("Variable") == fixed.NET_TOTAL)
-    # both sides of the gross sum need the harmonised paths, so they are written once
-    harmonised = stage(
-        harmonise_budget(net.withColumn("Region", F.lit("World")), history, ("scen_id",)).trajectories,
-        "harmonised", bucket_by="scen_id", sort_by=("scen_id", "year"),
-    )
+    # every branch below starts from the filtered scenarios' yearly net and gross, so they are written once
+    both = stage(net_and_gross_every_year(db, filtered(db, limits), 2020, 2050), "yearly", bucket_by="scen_id",
+                 sort_by=("Variable", "scen_id", "year"), buckets=db.buckets)
+    net = both.where(F.col("Variable") == fixed.NET_TOTAL).withColumn("Region", F.lit("World"))
+    harmonised = harmonise_budget(net, history, ("scen_id",)).trajectories
     harm_net = harmonised.select("scen_id", F.lit(fixed.NET_TOTAL).alias("Variable"), "year", "value")
     removals = in_ids(db.long.where(F.col("Variable").isin(list(fixed.REMOVALS))), harmonised)
     gross_harm = gross_emissions(
@@ -385,7 +382,8 @@ def combined_emissions(db: ScenarioDb, limits: Limits, history: DataFrame, exter
 def benchmark_harmonised(db: ScenarioDb, combined: DataFrame, external_id: str = "NZE 2023",
                          anchor: float = fixed.GROSS_2020_ANCHOR) -> DataFrame:
     """Median of the harmonised gross paths and the external one, other gases, total, change since 2020."""
-    combined = stage(combined, "combined", bucket_by="scen_id", sort_by=("Variable", "scen_id", "year"))
+    combined = stage(combined, "combined", bucket_by="scen_id", sort_by=("Variable", "scen_id", "year"),
+                     buckets=db.buckets)
     harm = F.col("Variable") == fixed.GROSS_HARMONISED
     paths = anchor_and_bridge(combined.where(harm | (F.col("scen_id") == external_id)), harm, anchor)
     med = median(milestones(paths, MILESTONES), ("year",), groups_at_most=len(MILESTONES), rows_at_most=db.scenarios)
@@ -477,7 +475,7 @@ def raw_vs_harmonised(combined: DataFrame, external_id: str = "NZE 2023") -> Dat
 
 def removals_vs_reduction(db: ScenarioDb, limits: Limits) -> DataFrame:
     """Removals in 2050 next to the gross reduction 2020-2050, scenarios that have both."""
-    table = stage(ambition_table(db, limits, (2020, 2050)), "ambition", bucket_by="scen_id")
+    table = stage(ambition_table(db, limits, (2020, 2050)), "ambition", bucket_by="scen_id", buckets=db.buckets)
     gross = table.where(F.col("Variable") == fixed.GROSS_TOTAL).select(
         "scen_id", "filtered", relative_change("y2020", "y2050").alias("gross_change_2020_2050")
     )

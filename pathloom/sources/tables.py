@@ -56,6 +56,15 @@ class ScenarioDb:
     first_year: int
     last_year: int
     scenarios: int | None = None
+    buckets: int | None = None  # how the long table is bucketed by scen_id, for intermediates joined to it
+
+
+SCENARIOS_PER_BUCKET = 20_000  # a few hundred yearly values each: some hundred MB per bucket
+
+
+def bucket_count(spark: SparkSession, scenarios: int) -> int:
+    """Buckets that keep one bucket in a task's memory, and at least one per core."""
+    return min(100_000, max(spark.sparkContext.defaultParallelism, -(-scenarios // SCENARIOS_PER_BUCKET)))
 
 
 def read_scenario_db(spark: SparkSession, data_path: str, meta_path: str, meta_fmt: str = "csv",
@@ -89,12 +98,24 @@ def stage(df: DataFrame, name: str, bucket_by: str | None = None, sort_by: Seque
     shuffle; ``sort_by`` inside the buckets gives the Parquet pages narrow ranges to skip by.
     """
     spark = df.sparkSession
-    tag = uuid.uuid4().hex[:12]
-    table = f"{name}_{tag}"
+    table = f"{name}_{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/{table}"
     if bucket_by is None:
-        df.write.option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
-    else:
-        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        writer = df.repartition(n, bucket_by).write.option("path", f"{shared_dir(spark)}/{table}")
-        writer.bucketBy(n, bucket_by).sortBy(*(sort_by or (bucket_by,))).saveAsTable(table)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.repartition(n, bucket_by).write.option("path", path)
+    writer.bucketBy(n, bucket_by).sortBy(*(sort_by or (bucket_by,))).saveAsTable(table)
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(table)
     return spark.table(table)
+
+
+_TABLES: dict[str, list[str]] = {}
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Forget this session's staged tables. Their files stay until the shared folder is cleared."""
+    names = _TABLES.pop(spark.sparkContext.applicationId, [])
+    for name in names:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return len(names)

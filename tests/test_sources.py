@@ -52,6 +52,13 @@ def test_staged_table_is_bucketed_and_saves_the_shuffle(spark, long):
     plan = df.groupBy("scen_id").agg(F.sum("value"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and df.count() == 50
     assert shared_dir(spark) in df.inputFiles()[0]
+    plain = src.stage(df.where("value < 5"), "u")
+    assert plain.count() == 5 and shared_dir(spark) in plain.inputFiles()[0]
+
+
+def test_bucket_count_follows_the_data(spark):
+    assert src.bucket_count(spark, 10) == spark.sparkContext.defaultParallelism
+    assert src.bucket_count(spark, 1_000_000_000) == 50_000
 
 
 def test_duplicates_are_found(long):

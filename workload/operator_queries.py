@@ -621,7 +621,7 @@ _ANCHORED = f"""(select scen_id, year, case when year = 2020 then cast(35289.751
     where value is not null""")
 def _(spark, sf):
     d = t.db(spark, sf)
-    combined = rp.combined_emissions(d, t.LIMITS, t.history(spark), _external(spark))
+    combined = src.stage(rp.combined_emissions(d, t.LIMITS, t.history(spark), _external(spark)), "combined", "scen_id", buckets=d.buckets)
     rows = combined.where(V() == fixed.GROSS_HARMONISED)
     return ta.anchor_and_bridge(rows, V() == fixed.GROSS_HARMONISED, fixed.GROSS_2020_ANCHOR).drop("Variable")
 

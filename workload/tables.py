@@ -17,7 +17,7 @@ from pathloom.functions import fixed
 from pathloom.functions.columns import joined_key
 from pathloom.operators.joins import lookup_table, small_side
 from pathloom.session import shared_dir
-from pathloom.sources.tables import ScenarioDb, stage
+from pathloom.sources.tables import ScenarioDb, bucket_count, stage
 
 FIRST_YEAR, LAST_YEAR = 2010, 2092
 
@@ -162,27 +162,20 @@ def older_key(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_STAGED: dict[str, DataFrame] = {}
-
-
-def _staged(spark: SparkSession, sf: str, name: str, make) -> DataFrame:
-    """Ingest once per session and input folder: a table bucketed by scen_id in the shared folder."""
-    tag = json.dumps([spark.sparkContext.applicationId, shared_dir(spark), sf, name])
-    if tag not in _STAGED:
-        sort = ("Variable", "scen_id", "year") if name.endswith("long") else ("scen_id",)
-        _STAGED[tag] = stage(make(spark, sf), name, bucket_by="scen_id", sort_by=sort)
-    return _STAGED[tag]
-
-
 _DBS: dict[str, ScenarioDb] = {}
 
 
 def _db(spark: SparkSession, sf: str, name: str, long, key, first: int, last: int) -> ScenarioDb:
-    """Both tables staged; the scenario count comes from the written metadata table."""
+    """Ingest once per session and input folder: both tables bucketed by scen_id in the shared folder."""
     tag = json.dumps([spark.sparkContext.applicationId, shared_dir(spark), sf, name])
     if tag not in _DBS:
-        k = _staged(spark, sf, f"{name}_key", key)
-        _DBS[tag] = ScenarioDb(_staged(spark, sf, f"{name}_long", long), k, first, last, k.count())
+        keys = key(spark, sf)
+        scenarios = keys.count()
+        n = bucket_count(spark, scenarios)
+        _DBS[tag] = ScenarioDb(
+            stage(long(spark, sf), f"{name}_long", "scen_id", ("Variable", "scen_id", "year"), n),
+            stage(keys, f"{name}_key", "scen_id", buckets=n), first, last, scenarios, n,
+        )
     return _DBS[tag]
 
 
