@@ -19,6 +19,16 @@ def unpivot_years(df: DataFrame, ids: Sequence[str], years: Sequence[str], value
     return out if keep_missing else out.where(F.col(value).isNotNull())
 
 
+def stack_rows(df: DataFrame, keys: Sequence[str], items: dict[str, dict], value: str = "value") -> DataFrame:
+    """Columns -> rows: ``items`` maps a column to the label columns its rows get.
+
+    Same result as ``unpivot`` with relabelling, but as a generator, which keeps the partitioning of the keys: a
+    join or aggregation by the same key afterwards needs no shuffle.
+    """
+    rows = [F.struct(*[F.lit(x).alias(n) for n, x in labels.items()], F.col(c).alias(value)) for c, labels in items.items()]
+    return df.select(*keys, F.inline(F.array(*rows)))
+
+
 def pivot_years(df: DataFrame, keys: Sequence[str], years: Sequence[int], value: str = "value",
                 prefix: str = "y") -> DataFrame:
     """(year, value) -> one column per listed year. One aggregation; no pass to find the years."""

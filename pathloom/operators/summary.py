@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions.columns import col, relative_change, sum_or_zero
 from pathloom.operators.joins import small_side
+from pathloom.operators.reshape import stack_rows
 
 ACCURACY = 10_000  # rank error of the sketch is rows/ACCURACY; also the size of a group taken whole
 SALTS = 64
@@ -27,11 +28,11 @@ def sums_at(df: DataFrame, years: Sequence[int], keys: Sequence[str] = ("scen_id
     The key set is every key in ``df``, whatever years it reports. One aggregation makes the listed years as
     columns; no year grid is joined.
     """
-    names = [str(y) for y in years]
+    names = [f"_{y}" for y in years]
     wide = df.groupBy(*keys).agg(
         *[sum_or_zero(F.when(F.col("year") == y, F.col(value))).alias(n) for y, n in zip(years, names)]
     )
-    return wide.unpivot(list(keys), names, "year", "value").withColumn("year", F.col("year").cast("int"))
+    return stack_rows(wide, keys, {n: {"year": y} for y, n in zip(years, names)})
 
 
 def _bracket_class(probs: Sequence[float]) -> tuple[Column, Column]:

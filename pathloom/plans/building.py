@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pathloom.functions import fixed
 from pathloom.functions.columns import share_of, sum_or_zero, value_when
 from pathloom.operators.emissions import afolu_co2e_year, eip_at, eip_yearly
-from pathloom.operators.joins import align, by_cohort, in_ids
+from pathloom.operators.joins import by_cohort, in_ids
+from pathloom.operators.reshape import stack_rows
 from pathloom.operators.screens import removed_by, screen_criteria
 from pathloom.operators.summary import median
 from pathloom.operators.timeaxis import interpolated_total
@@ -45,16 +46,16 @@ def marked(db: ScenarioDb, markers: Sequence[str]) -> DataFrame:
     return db.key.where(F.col("IMP_marker").isin(list(markers))).select("scen_id", "IMP_marker")
 
 
+_NAMES = {"net": fixed.NET_TOTAL, "gross": fixed.GROSS_TOTAL}
+
+
 def net_and_gross_at(db: ScenarioDb, ids: DataFrame, years: Sequence[int], kinds=("net", "gross")) -> DataFrame:
     """Net totals and gross emissions of ``ids`` at listed years, long, from one pass.
 
     Totals are filled; a missing reported net value stays absent, gross is 0 where nothing is reported.
     """
-    cols = [f"{k}_{y}" for k in kinds for y in years]
-    out = eip_at(db.long, ids, years).select("scen_id", *cols).unpivot(["scen_id"], cols, "item", "value")
-    variable = F.when(F.col("item").startswith("net_"), fixed.NET_TOTAL).otherwise(fixed.GROSS_TOTAL)
-    year = F.substring_index("item", "_", -1).cast("int")
-    return out.where(F.col("value").isNotNull()).select("scen_id", variable.alias("Variable"), year.alias("year"), "value")
+    items = {f"{k}_{y}": {"Variable": _NAMES[k], "year": y} for k in kinds for y in years}
+    return stack_rows(eip_at(db.long, ids, years), ("scen_id",), items).where(F.col("value").isNotNull())
 
 
 def gross_at(db: ScenarioDb, ids: DataFrame, years: Sequence[int]) -> DataFrame:
@@ -67,9 +68,9 @@ def net_at(db: ScenarioDb, ids: DataFrame, years: Sequence[int]) -> DataFrame:
 
 def net_and_gross_every_year(db: ScenarioDb, ids: DataFrame, first: int, last: int) -> DataFrame:
     """As ``net_and_gross_at`` for every year of a range."""
-    long = eip_yearly(db.long, ids, first, last).unpivot(["scen_id", "year"], ["net", "gross"], "Variable", "value")
-    name = F.when(F.col("Variable") == "net", fixed.NET_TOTAL).otherwise(fixed.GROSS_TOTAL)
-    return long.where(F.col("value").isNotNull()).select("scen_id", name.alias("Variable"), "year", "value")
+    items = {k: {"Variable": v} for k, v in _NAMES.items()}
+    long = stack_rows(eip_yearly(db.long, ids, first, last), ("scen_id", "year"), items)
+    return long.where(F.col("value").isNotNull()).select("scen_id", "Variable", "year", "value")
 
 
 def gross_every_year(db: ScenarioDb, ids: DataFrame) -> DataFrame:
@@ -134,4 +135,8 @@ def key_metrics(db: ScenarioDb, ids: DataFrame) -> DataFrame:
     land = afolu_co2e_year(rows, 2050, out="afolu_co2e_2050")
     ccs = interpolated_total(rows.where(v == fixed.CCS), ("scen_id",), 2010, 2050, out="cum_ccs_2010_2050")
     gross = cumulative_gross(db, ids, out="cum_gross_2020_2050")
-    return align(plain, land, ccs, gross).select("scen_id", *KEY_METRICS)
+    # every frame is about ids only, so left joins align them without a shuffle
+    out = ids.select("scen_id")
+    for frame in (plain, land, ccs, gross):
+        out = out.join(frame, "scen_id", "left")
+    return out.select("scen_id", *KEY_METRICS)

@@ -182,7 +182,8 @@ def final_energy(db: ScenarioDb, limits: Limits) -> DataFrame:
 
 def key_variables_filtered(db: ScenarioDb, limits: Limits, external: DataFrame) -> DataFrame:
     """Mean of each metric over the filtered scenarios and the external rows."""
-    rows = union_all(key_metrics(db, filtered(db, limits)), external)
+    # metrics of all candidates, then the survivors: the screen runs once instead of under every metric
+    rows = union_all(in_ids(key_metrics(db, candidates(db)), filtered(db, limits)), external)
     long = rows.unpivot(["scen_id"], list(KEY_METRICS), "metric", "value")
     return long.groupBy("metric").agg(F.avg("value").alias("scenario_set_mean"))
 
