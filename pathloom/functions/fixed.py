@@ -47,6 +47,14 @@ CH4_SECTORS = (
 )
 F_GASES = ("Emissions|HFC", "Emissions|PFC", "Emissions|SF6")
 
+GAS_VARIABLES = {
+    "N2O": N2O_SECTORS,
+    "CH4": CH4_SECTORS,
+    "HFC": ("Emissions|HFC",),
+    "PFC": ("Emissions|PFC",),
+    "SF6": ("Emissions|SF6",),
+}
+
 BIOENERGY = "Primary Energy|Biomass"
 PRIMARY_ENERGY = "Primary Energy"
 RENEWABLES = "Primary Energy|Renewables (incl. Biomass)"
@@ -105,6 +113,35 @@ PANEL_SOURCES = (
     ("AR6 C1 (25th percentile)", "AR6 C1-25"),
     ("AR6 C1 (75th percentile)", "AR6 C1-75"),
 )
+# --- fixed values: categories, markers and row labels the reports select and write ----
+TARGET_CATEGORY = "C1"
+MARKERS = ("SP", "LD", "Ren")
+FOCAL_MARKERS = ("LD", "Ren")
+OLDER_CATEGORIES = ("1.5C low overshoot", "Below 1.5C")
+OLDER_IN_RANGE = "in range"
+OLDER_LABELS = {
+    "25th perc": "IPCC SR15 (25th percentile)",
+    "median": "IPCC SR15 (median)",
+    "75th perc": "IPCC SR15 (75th percentile)",
+}
+OLDER_MEAN_LABEL = "IPCC SR15 (mean)"
+EXTERNAL_CH4_LABEL = "IEA_NZE"
+N2O_ENERGY_CO2E = "Emissions|N2O|Energy_CO2eq"
+CH4_FOSSIL_CO2E = "Emissions|CH4|Fossil_CO2eq"
+COHORT_LABEL = "AR6 C1"
+LIST_A_LABEL = "AR6 C1+IISD"
+LIST_B_LABEL = "OECD"
+FILTERED_LABEL = "filtered C1"
+BENCHMARK = "Cross sector benchmark"
+GROSS_CO2 = "Gross fossil CO2"
+GROSS_CO2E = "Gross fossil CO2e"
+PATHWAY = "cross-sector pathway"
+EXTERNAL_ID = "NZE 2023"
+MEDIAN_OF_C1 = "median of C1"
+MEDIAN_OF_FILTERED = "median of filtered scenarios"
+REMOVED, NOT_REMOVED = "Removed by filter", "Not filtered"
+PROJECT = "ENGAGE"
+SUBSET = "C1a_NZGHGs"
 FILTERED_MEDIAN = "Median of filtered scenarios"
 
 

@@ -146,6 +146,30 @@ def eip_ch4(df: DataFrame) -> DataFrame:
     return sum_variables(df, fixed.CH4_SECTORS)
 
 
+def gases_at(df: DataFrame, years: Sequence[int], gases: Sequence[str] = tuple(fixed.GAS_VARIABLES),
+             vintage: str | None = None) -> DataFrame:
+    """The other gases at listed years: scen_id, <gas>_<year>..., from one scan and one aggregation.
+
+    A gas summed over sectors is 0 in a year nothing is reported (missing only if the scenario reports no sector
+    at all); a gas reported directly stays missing. With a vintage the values are in Mt CO2e.
+    """
+    v, y = F.col("Variable"), F.col("year")
+    aggs, out = [], []
+    for gas in gases:
+        names = list(fixed.GAS_VARIABLES[gas])
+        mine = v.isin(names)
+        if len(names) > 1:
+            aggs.append(F.bool_or(mine).alias(f"_has_{gas}"))
+        for year in years:
+            aggs.append(F.sum(F.when(mine & (y == year), F.col("value"))).alias(f"_{gas}_{year}"))
+            value = F.col(f"_{gas}_{year}")
+            if len(names) > 1:
+                value = F.when(F.col(f"_has_{gas}"), F.coalesce(value, F.lit(0.0)))
+            out.append((co2e(value, gas, vintage) if vintage else value).alias(f"{gas}_{year}"))
+    wanted = [n for gas in gases for n in fixed.GAS_VARIABLES[gas]]
+    return df.where(v.isin(wanted)).groupBy("scen_id").agg(*aggs).select("scen_id", *out)
+
+
 def eip_co2e(df: DataFrame, gas: str, vintage: str = "AR6", name: str | None = None) -> DataFrame:
     sectors = fixed.N2O_SECTORS if gas == "N2O" else fixed.CH4_SECTORS
     out = sum_variables(df, sectors).withColumn("value", co2e("value", gas, vintage))

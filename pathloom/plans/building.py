@@ -22,11 +22,11 @@ MILESTONES = (2020, 2030, 2040, 2050)
 QUARTILES = {"25th perc": 0.25, "median": 0.5, "75th perc": 0.75}
 
 
-def candidates(db: ScenarioDb, category: str = "C1") -> DataFrame:
+def candidates(db: ScenarioDb, category: str = fixed.TARGET_CATEGORY) -> DataFrame:
     return db.key.where(F.col("Category") == category).select("scen_id")
 
 
-def filtered(db: ScenarioDb, limits: fixed.Limits, flag: int = 7, category: str = "C1") -> DataFrame:
+def filtered(db: ScenarioDb, limits: fixed.Limits, flag: int = 7, category: str = fixed.TARGET_CATEGORY) -> DataFrame:
     """Candidates that survive a screen. Only the candidates' rows are screened."""
     ids = candidates(db, category)
     removed = screen_criteria(in_ids(db.long, ids), limits).where(removed_by(flag))

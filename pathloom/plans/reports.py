@@ -10,16 +10,16 @@ from pyspark.sql import functions as F
 from pathloom.functions import fixed
 from pathloom.functions.columns import apply_change, co2e, joined_key, relative_change, share_of, zero_as_missing
 from pathloom.operators.emissions import (
-    afolu_co2_cumulative, afolu_co2e_cumulative, eip_at, eip_co2e, gross_emissions, gross_emissions_plain,
+    afolu_co2_cumulative, afolu_co2e_cumulative, eip_at, gases_at, gross_emissions, gross_emissions_plain,
     removals_sum,
 )
 from pathloom.operators.harmonise import Harmonised, harmonise_budget
 from pathloom.operators.joins import align, by_cohort, flag_members, in_ids, intersect_ids, recode, small_side, union_all
-from pathloom.operators.reshape import pivot_multi_value, pivot_variables, pivot_years, unpivot_years
+from pathloom.operators.reshape import pivot_multi_value, pivot_variables, pivot_years, stack_rows, unpivot_years
 from pathloom.operators.screens import screen_cohorts, screen_criteria
 from pathloom.operators.summary import (
     add_total, boxplot_stats, change_columns, interquartile_band, median, pearson_cor_test, quantile_rows, quantiles,
-    scatter_vs_identity, sum_variables, sums_at, welch_t_test,
+    scatter_vs_identity, sums_at, welch_t_test,
 )
 from pathloom.operators.timeaxis import anchor_and_bridge, densify_years, interpolated_total, milestones, slice_max
 from pathloom.plans.building import (
@@ -33,8 +33,8 @@ Limits = fixed.Limits
 
 # --- cohort quantiles -----------------------------------------------------------
 
-def sr15_quantiles(older: ScenarioDb, categories: Sequence[str] = ("1.5C low overshoot", "Below 1.5C"),
-                   in_range: str = "in range") -> DataFrame:
+def sr15_quantiles(older: ScenarioDb, categories: Sequence[str] = fixed.OLDER_CATEGORIES,
+                   in_range: str = fixed.OLDER_IN_RANGE) -> DataFrame:
     """Quartiles of net, captured and gross emissions per year for the older generation's cohort."""
     ids = older.key.where(F.col("category").isin(list(categories)) & (F.col("kyoto_2010") == in_range))
     rows = in_ids(older.long.where(F.col("Variable").isin(fixed.NET_TOTAL, fixed.BECCS)), ids)
@@ -44,28 +44,24 @@ def sr15_quantiles(older: ScenarioDb, categories: Sequence[str] = ("1.5C low ove
     both = rows.select(*cols).unionByName(gross.select(*cols))
     q = quantile_rows(both, ("Variable", "year"), QUARTILES, groups_at_most=3 * len(decades),
                       rows_at_most=older.scenarios)
-    label = (
-        F.when(F.col("perc") == "median", "IPCC SR15 (median)")
-        .when(F.col("perc") == "25th perc", "IPCC SR15 (25th percentile)")
-        .otherwise("IPCC SR15 (75th percentile)")
-    )
+    label = F.coalesce(*[F.when(F.col("perc") == p, F.lit(text)) for p, text in fixed.OLDER_LABELS.items()])
     return q.withColumn("source", label)
 
 
 def sr15_cross_sector(older: ScenarioDb, external_ch4: DataFrame) -> DataFrame:
     """The quartiles, plus mean energy N2O in CO2e and an external methane path."""
     ids = older.key.where(
-        F.col("category").isin("1.5C low overshoot", "Below 1.5C") & (F.col("kyoto_2010") == "in range")
+        F.col("category").isin(list(fixed.OLDER_CATEGORIES)) & (F.col("kyoto_2010") == fixed.OLDER_IN_RANGE)
     )
     n2o = (
         in_ids(older.long.where(F.col("Variable") == fixed.N2O_ENERGY), ids)
         .groupBy("year")
         .agg(co2e(F.avg("value"), "N2O", "AR5").alias("value"))
-        .select("year", "value", F.lit("IPCC SR15 (mean)").alias("source"),
-                F.lit("Emissions|N2O|Energy_CO2eq").alias("Variable"))
+        .select("year", "value", F.lit(fixed.OLDER_MEAN_LABEL).alias("source"),
+                F.lit(fixed.N2O_ENERGY_CO2E).alias("Variable"))
     )
-    ch4 = external_ch4.select("year", "value", F.lit("IEA_NZE").alias("source"),
-                              F.lit("Emissions|CH4|Fossil_CO2eq").alias("Variable"))
+    ch4 = external_ch4.select("year", "value", F.lit(fixed.EXTERNAL_CH4_LABEL).alias("source"),
+                              F.lit(fixed.CH4_FOSSIL_CO2E).alias("Variable"))
     return union_all(sr15_quantiles(older), n2o, ch4)
 
 
@@ -74,7 +70,7 @@ def filtered_quantiles(db: ScenarioDb, list_a: DataFrame) -> DataFrame:
     c1 = candidates(db)
     ids = c1.unionByName(list_a.select("scen_id")).distinct()
     tags = F.array_compact(F.array(
-        F.when(F.col("in_c1") == 1, F.lit("AR6 C1")), F.when(F.col("in_a") == 1, F.lit("AR6 C1+IISD"))
+        F.when(F.col("in_c1") == 1, F.lit(fixed.COHORT_LABEL)), F.when(F.col("in_a") == 1, F.lit(fixed.LIST_A_LABEL))
     ))
     members = flag_members(flag_members(ids, c1, "in_c1"), list_a, "in_a").select("scen_id", tags.alias("source"))
     years = range(db.first_year, db.last_year + 1)
@@ -85,7 +81,7 @@ def filtered_quantiles(db: ScenarioDb, list_a: DataFrame) -> DataFrame:
                          groups_at_most=2 * 64 * len(years), rows_at_most=db.scenarios)
 
 
-def illustrative_paths(db: ScenarioDb, markers: Sequence[str] = ("SP", "LD", "Ren")) -> DataFrame:
+def illustrative_paths(db: ScenarioDb, markers: Sequence[str] = fixed.MARKERS) -> DataFrame:
     return gross_every_year(db, marked(db, markers).select("scen_id"))
 
 
@@ -108,29 +104,35 @@ def compare_filters_co2(db: ScenarioDb, limits: Limits) -> DataFrame:
     return change_columns(med, (2030, 2050)).withColumnRenamed("n", "num_scenarios")
 
 
-def _gas_at(db: ScenarioDb, gas: str, ids: DataFrame, years: Sequence[int], vintage: str = "AR6") -> DataFrame:
-    """Energy and industry CO2e of one gas at listed years, 0 where a reporting scenario has no value."""
-    name = f"EIP {gas} CO2e"
-    return sums_at(in_ids(eip_co2e(db.long, gas, vintage), ids), years).withColumn("Variable", F.lit(name))
+def _gas_items(gases: Sequence[str], years: Sequence[int], label: str = "EIP {} CO2e") -> dict[str, dict]:
+    return {f"{g}_{y}": {"Variable": label.format(g), "year": y} for g in gases for y in years}
+
+
+def components_at(db: ScenarioDb, ids: DataFrame, years: Sequence[int]) -> DataFrame:
+    """Gross CO2 and energy and industry N2O and CH4 in CO2e of ``ids`` at listed years, long.
+
+    Both parts are one row per scenario and are joined as such, so nothing is shuffled.
+    """
+    gases = gases_at(in_ids(db.long, ids), years, ("N2O", "CH4"), "AR6")
+    both = eip_at(db.long, ids, years).join(gases, "scen_id", "left")
+    gross = {f"gross_{y}": {"Variable": fixed.GROSS_TOTAL, "year": y} for y in years}
+    rows = stack_rows(both, ("scen_id",), {**gross, **_gas_items(("N2O", "CH4"), years)})
+    return rows.where(F.col("value").isNotNull())
 
 
 def compare_filters_nonco2(db: ScenarioDb, limits: Limits) -> DataFrame:
     """Median N2O and CH4 in CO2e per screening flag."""
-    members, c1 = _all_flags(db, limits), candidates(db)
-    rows = _gas_at(db, "N2O", c1, DECADES).unionByName(_gas_at(db, "CH4", c1, DECADES))
-    return cohort_medians(db, rows, members, DECADES, len(fixed.SCREEN_FLAGS), 2, "filter_flag").drop("n").withColumn(
-        "Units", F.lit("MtCO2e/year")
-    )
+    members = _all_flags(db, limits)
+    wide = gases_at(in_ids(db.long, candidates(db)), DECADES, ("N2O", "CH4"), "AR6")
+    rows = stack_rows(wide, ("scen_id",), _gas_items(("N2O", "CH4"), DECADES)).where(F.col("value").isNotNull())
+    med = cohort_medians(db, rows, members, DECADES, len(fixed.SCREEN_FLAGS), 2, "filter_flag")
+    return med.drop("n").withColumn("Units", F.lit("MtCO2e/year"))
 
 
 def compare_filters_total(db: ScenarioDb, limits: Limits) -> DataFrame:
     """The three medians added per flag."""
-    members, c1 = _all_flags(db, limits), candidates(db)
-    rows = (
-        gross_at(db, c1, DECADES)
-        .unionByName(_gas_at(db, "N2O", c1, DECADES))
-        .unionByName(_gas_at(db, "CH4", c1, DECADES))
-    )
+    members = _all_flags(db, limits)
+    rows = components_at(db, candidates(db), DECADES)
     med = cohort_medians(db, rows, members, DECADES, len(fixed.SCREEN_FLAGS), 3, "filter_flag")
     size = F.max(F.when(F.col("Variable") == fixed.GROSS_TOTAL, F.col("n")))
     total = med.groupBy("filter_flag").agg(
@@ -209,12 +211,9 @@ def afolu_by_model(db: ScenarioDb, step: int = 5) -> DataFrame:
 
 def n2o_ch4(db: ScenarioDb) -> DataFrame:
     """C1 medians of energy and industry N2O and CH4 in their own units."""
-    c1 = candidates(db)
-    rows = [
-        sums_at(in_ids(sum_variables(db.long, s), c1), MILESTONES).withColumn("Variable", F.lit(n))
-        for n, s in (("EIP N2O", fixed.N2O_SECTORS), ("EIP CH4", fixed.CH4_SECTORS))
-    ]
-    med = median(union_all(*rows), ("Variable", "year"), groups_at_most=2 * len(MILESTONES), rows_at_most=db.scenarios)
+    wide = gases_at(in_ids(db.long, candidates(db)), MILESTONES, ("N2O", "CH4"))
+    rows = stack_rows(wide, ("scen_id",), _gas_items(("N2O", "CH4"), MILESTONES, "EIP {}"))
+    med = median(rows, ("Variable", "year"), groups_at_most=2 * len(MILESTONES), rows_at_most=db.scenarios)
     return pivot_years(med, ("Variable",), MILESTONES)
 
 
@@ -248,15 +247,10 @@ def kyoto_gases(db: ScenarioDb, limits: Limits) -> DataFrame:
     """
     c1 = candidates(db)
     members = _all_flags(db, limits, (0, 7))
-    source = F.when(F.col("filter_flag") == 0, "median of C1").otherwise("median of filtered scenarios")
-    f_rows = in_ids(db.long.where(F.col("Variable").isin(list(fixed.F_GASES))), c1)
-    sums = [
-        sums_at(in_ids(sum_variables(db.long, s), c1), MILESTONES).withColumn("Variable", F.lit(n))
-        for n, s in (("EIP N2O", fixed.N2O_SECTORS), ("EIP CH4", fixed.CH4_SECTORS))
-    ]
-    cols = ("scen_id", "Variable", "year", "value")
-    rows = union_all(milestones(f_rows, MILESTONES).select(*cols), *[s.select(*cols) for s in sums])
-    tagged = by_cohort(rows, members, name="filter_flag")
+    source = F.when(F.col("filter_flag") == 0, fixed.MEDIAN_OF_C1).otherwise(fixed.MEDIAN_OF_FILTERED)
+    items = _gas_items(("N2O", "CH4"), MILESTONES, "EIP {}") | _gas_items(("HFC", "PFC", "SF6"), MILESTONES, "Emissions|{}")
+    rows = stack_rows(gases_at(in_ids(db.long, c1), MILESTONES), ("scen_id",), items)
+    tagged = by_cohort(rows.where(F.col("value").isNotNull()), members, name="filter_flag")
     med = median(tagged, ("filter_flag", "Variable", "year"), groups_at_most=10 * len(MILESTONES),
                  rows_at_most=db.scenarios, count="n")
     # the sector sums have a value in every milestone, so counting 2050 counts their scenarios
@@ -272,7 +266,7 @@ def external_comparison(db: ScenarioDb, limits: Limits, list_b: DataFrame) -> Da
     c1, filt = candidates(db), filtered(db, limits)
     ids = c1.unionByName(list_b.select("scen_id")).distinct()
     tags = F.array_compact(F.array(
-        F.when(F.col("in_f") == 1, F.lit("filtered C1")), F.when(F.col("in_b") == 1, F.lit("OECD"))
+        F.when(F.col("in_f") == 1, F.lit(fixed.FILTERED_LABEL)), F.when(F.col("in_b") == 1, F.lit(fixed.LIST_B_LABEL))
     ))
     members = flag_members(flag_members(ids, filt, "in_f"), list_b, "in_b").select("scen_id", tags.alias("Source"))
     rows = gross_at(db, flag_members(ids, c1, "in_c1").select("scen_id", (F.col("in_c1") == 1).alias("fill")), MILESTONES)
@@ -283,19 +277,10 @@ def external_comparison(db: ScenarioDb, limits: Limits, list_b: DataFrame) -> Da
 
 def non_co2_pathway(db: ScenarioDb, years: Sequence[int] = MILESTONES) -> DataFrame:
     """C1 medians of the other gases in CO2e, one row per gas: Variable, y<year>..."""
-    c1 = candidates(db)
-    sums = [
-        sums_at(in_ids(sum_variables(db.long, s), c1), years).withColumn("gas", F.lit(g))
-        for g, s in (("N2O", fixed.N2O_SECTORS), ("CH4", fixed.CH4_SECTORS))
-    ]
-    f_rows = in_ids(milestones(db.long.where(F.col("Variable").isin(list(fixed.F_GASES))), years), c1)
-    direct = f_rows.select("scen_id", "year", "value", F.substring_index("Variable", "|", -1).alias("gas"))
-    med = median(union_all(*sums, direct), ("gas", "year"), groups_at_most=5 * len(years), rows_at_most=db.scenarios)
-    value = F.lit(None).cast("double")
-    for gas in ("N2O", "CH4", "HFC", "PFC", "SF6"):
-        value = F.when(F.col("gas") == gas, co2e("value", gas, "AR6")).otherwise(value)
-    med = med.withColumn("value", value).withColumn("Variable", F.concat("gas", F.lit(" (Mt CO2e)")))
-    return pivot_years(med, ("Variable",), years).withColumn("Source", F.lit("Cross sector benchmark"))
+    wide = gases_at(in_ids(db.long, candidates(db)), years, vintage="AR6")
+    rows = stack_rows(wide, ("scen_id",), _gas_items(tuple(fixed.GAS_VARIABLES), years, "{} (Mt CO2e)"))
+    med = median(rows, ("Variable", "year"), groups_at_most=5 * len(years), rows_at_most=db.scenarios)
+    return pivot_years(med, ("Variable",), years).withColumn("Source", F.lit(fixed.BENCHMARK))
 
 
 _Y = [f"y{y}" for y in MILESTONES]
@@ -303,10 +288,10 @@ _LATER = (2030, 2040, 2050)
 
 
 def _with_total(co2: DataFrame, other: DataFrame) -> DataFrame:
-    return add_total(union_all(co2, other), "Variable", "Gross fossil CO2e", _Y, ("Source",))
+    return add_total(union_all(co2, other), "Variable", fixed.GROSS_CO2E, _Y, ("Source",))
 
 
-def benchmark_unharmonised(db: ScenarioDb, limits: Limits, focal: DataFrame, markers: Sequence[str] = ("LD", "Ren"),
+def benchmark_unharmonised(db: ScenarioDb, limits: Limits, focal: DataFrame, markers: Sequence[str] = fixed.FOCAL_MARKERS,
                            external: Sequence[str] = ("NZE",), anchor: float = fixed.GROSS_2020_ANCHOR) -> DataFrame:
     """Filtered median and focal scenarios; their mean change moves the 2020 anchor; other gases and the total."""
     marker_ids = marked(db, markers)
@@ -316,7 +301,7 @@ def benchmark_unharmonised(db: ScenarioDb, limits: Limits, focal: DataFrame, mar
         marker_ids.withColumnRenamed("IMP_marker", "Source"), "scen_id"
     )
     members = union_all(
-        pivot_years(med.withColumn("Source", F.lit("filtered C1")), ("Source",), MILESTONES),
+        pivot_years(med.withColumn("Source", F.lit(fixed.FILTERED_LABEL)), ("Source",), MILESTONES),
         pivot_years(marker_rows, ("scen_id", "Source"), MILESTONES), focal.where(F.col("Source").isin(list(external))),
     )
     # each member counts as itself and once more under the benchmark, whose values come from the mean change
@@ -326,18 +311,18 @@ def benchmark_unharmonised(db: ScenarioDb, limits: Limits, focal: DataFrame, mar
         .withColumn("kind", F.explode(F.array(F.lit("member"), F.lit("mean"))))
         .groupBy(
             "kind", F.when(~is_mean, F.col("scen_id")).alias("scen_id"),
-            F.when(is_mean, F.lit("Cross sector benchmark")).otherwise(F.col("Source")).alias("Source"),
+            F.when(is_mean, F.lit(fixed.BENCHMARK)).otherwise(F.col("Source")).alias("Source"),
         )
         .agg(*[F.max(c).alias(c) for c in _Y], *[F.avg(f"percch_{y}").alias(f"c{y}") for y in _LATER])
     )
     co2 = grouped.select(
-        "kind", "scen_id", F.lit("Gross fossil CO2").alias("Variable"), "Source",
+        "kind", "scen_id", F.lit(fixed.GROSS_CO2).alias("Variable"), "Source",
         F.when(is_mean, F.lit(anchor)).otherwise(F.col("y2020")).alias("y2020"),
         *[F.when(is_mean, apply_change(anchor, f"c{y}")).otherwise(F.col(f"y{y}")).alias(f"y{y}") for y in _LATER],
     )
     other = non_co2_pathway(db).withColumns({"kind": F.lit("mean")})
     rows = union_all(co2, other)
-    total = F.lit("Gross fossil CO2e")
+    total = F.lit(fixed.GROSS_CO2E)
     labels = F.when(is_mean, F.array(F.col("Variable"), total)).otherwise(F.array(F.col("Variable")))
     # several scenarios may share a source, so members stay apart by scenario
     out = rows.withColumn("Variable", F.explode(labels)).groupBy("Variable", "Source", "scen_id").agg(
@@ -380,7 +365,7 @@ def combined_emissions(db: ScenarioDb, limits: Limits, history: DataFrame, exter
     return out.where(F.col("value").isNotNull())
 
 
-def benchmark_harmonised(db: ScenarioDb, combined: DataFrame, external_id: str = "NZE 2023",
+def benchmark_harmonised(db: ScenarioDb, combined: DataFrame, external_id: str = fixed.EXTERNAL_ID,
                          anchor: float = fixed.GROSS_2020_ANCHOR) -> DataFrame:
     """Median of the harmonised gross paths and the external one, other gases, total, change since 2020."""
     combined = stage(combined, "combined", bucket_by="scen_id", sort_by=("Variable", "scen_id", "year"),
@@ -389,8 +374,8 @@ def benchmark_harmonised(db: ScenarioDb, combined: DataFrame, external_id: str =
     paths = anchor_and_bridge(combined.where(harm | (F.col("scen_id") == external_id)), harm, anchor)
     med = median(milestones(paths, MILESTONES), ("year",), groups_at_most=len(MILESTONES), rows_at_most=db.scenarios)
     co2 = pivot_years(
-        med.withColumn("Variable", F.lit("Gross fossil CO2")), ("Variable",), MILESTONES
-    ).withColumn("Source", F.lit("Cross sector benchmark"))
+        med.withColumn("Variable", F.lit(fixed.GROSS_CO2)), ("Variable",), MILESTONES
+    ).withColumn("Source", F.lit(fixed.BENCHMARK))
     return change_columns(_with_total(co2, non_co2_pathway(db)), (2030, 2040, 2050))
 
 
@@ -468,7 +453,7 @@ def band_vs_median(db: ScenarioDb, limits: Limits) -> DataFrame:
     return long.join(small_side(band, len(MILESTONES)), "year", "left")
 
 
-def raw_vs_harmonised(combined: DataFrame, external_id: str = "NZE 2023") -> DataFrame:
+def raw_vs_harmonised(combined: DataFrame, external_id: str = fixed.EXTERNAL_ID) -> DataFrame:
     keep = F.col("Variable").isin(fixed.GROSS_TOTAL, fixed.GROSS_HARMONISED) & (F.col("scen_id") != external_id)
     rows = combined.where(keep).select("scen_id", "Variable", "year", zero_as_missing("value").alias("CO2"))
     return rows.where(F.col("CO2").isNotNull())
@@ -484,7 +469,7 @@ def removals_vs_reduction(db: ScenarioDb, limits: Limits) -> DataFrame:
     return gross.join(cdr, "scen_id")
 
 
-def ambition_cut(db: ScenarioDb, cut: float = fixed.AMBITION_CUT, markers: Sequence[str] = ("SP", "LD", "Ren")) -> DataFrame:
+def ambition_cut(db: ScenarioDb, cut: float = fixed.AMBITION_CUT, markers: Sequence[str] = fixed.MARKERS) -> DataFrame:
     """Gross change of each C1 scenario, with the ambitious and the illustrative ones flagged."""
     wide = pivot_years(gross_at(db, candidates(db), (2020, 2030, 2050)), ("scen_id",), (2020, 2030, 2050))
     out = wide.select(
@@ -557,7 +542,7 @@ def afolu_generations(db: ScenarioDb, older: ScenarioDb, co2e_line: float = fixe
     return boxplot_stats(both, keys, "total", groups_at_most=24, rows_at_most=most, more={"share_above": above})
 
 
-def project_highlight(db: ScenarioDb, project: str = "ENGAGE") -> DataFrame:
+def project_highlight(db: ScenarioDb, project: str = fixed.PROJECT) -> DataFrame:
     """C1 gross trajectories, members of one project flagged."""
     rows = gross_at(db, candidates(db), DECADES).select("scen_id", "year", F.col("value").alias("CO2"))
     members = intersect_ids(rows, db.key.where(F.col("Project_study") == project))
@@ -580,15 +565,15 @@ def focal_vs_median(db: ScenarioDb, limits: Limits, focal: DataFrame, names: Seq
 def pathway_vs_subset(db: ScenarioDb, limits: Limits, focal: DataFrame) -> DataFrame:
     """Gross CO2e of each C1 scenario and the cross-sector path, with the marker and net-zero subsets flagged."""
     c1 = candidates(db)
-    rows = union_all(gross_at(db, c1, MILESTONES), _gas_at(db, "N2O", c1, MILESTONES), _gas_at(db, "CH4", c1, MILESTONES))
+    rows = components_at(db, c1, MILESTONES)
     total = rows.groupBy("scen_id", "year").agg(F.sum("value").alias("CO2eq"))
-    bench = benchmark_unharmonised(db, limits, focal).where(F.col("Variable") == "Gross fossil CO2e")
+    bench = benchmark_unharmonised(db, limits, focal).where(F.col("Variable") == fixed.GROSS_CO2E)
     path = unpivot_years(
-        bench.select(F.lit("cross-sector pathway").alias("scen_id"), *[f"y{y}" for y in MILESTONES]), ["scen_id"],
+        bench.select(F.lit(fixed.PATHWAY).alias("scen_id"), *[f"y{y}" for y in MILESTONES]), ["scen_id"],
         [f"y{y}" for y in MILESTONES], "CO2eq", strip="y",
     )
-    out = flag_members(total.unionByName(path.select("scen_id", "year", "CO2eq")), marked(db, ("SP", "LD", "Ren")), "is_marker")
-    return flag_members(out, db.key.where(F.col("Category_subset") == "C1a_NZGHGs"), "is_subset")
+    out = flag_members(total.unionByName(path.select("scen_id", "year", "CO2eq")), marked(db, fixed.MARKERS), "is_marker")
+    return flag_members(out, db.key.where(F.col("Category_subset") == fixed.SUBSET), "is_subset")
 
 
 def net_vs_gross(quartiles: DataFrame) -> DataFrame:
@@ -628,7 +613,7 @@ def median_plus_paths(quartiles: DataFrame, paths: DataFrame) -> DataFrame:
 
 def land_use_table(db: ScenarioDb, line: float = fixed.LAND_USE_LINE, missing: float = fixed.LAND_USE_MISSING) -> DataFrame:
     t = afforestation_test(db).withColumn("max_lu_seq", F.coalesce("max_lu_seq", F.lit(missing)))
-    return t.withColumn("filter_flag", F.when(F.col("max_lu_seq") > line, "Removed by filter").otherwise("Not filtered"))
+    return t.withColumn("filter_flag", F.when(F.col("max_lu_seq") > line, fixed.REMOVED).otherwise(fixed.NOT_REMOVED))
 
 
 LAND_USE_METRICS = (
@@ -644,7 +629,7 @@ def land_use_boxplots(db: ScenarioDb, line: float = fixed.LAND_USE_LINE) -> Data
 
 
 def land_use_tests(db: ScenarioDb, line: float = fixed.LAND_USE_LINE, p_value: bool = False) -> DataFrame:
-    return welch_t_test(land_use_table(db, line), "filter_flag", "Not filtered", "Removed by filter",
+    return welch_t_test(land_use_table(db, line), "filter_flag", fixed.NOT_REMOVED, fixed.REMOVED,
                         ("perc_ch_gross_2030", "perc_ch_gross_2050"), p_value)
 
 

@@ -179,3 +179,14 @@ def test_target_records_and_domains(make):
     assert {(r.company, r.method, r.ty_scope1, r.target_year) for r in rec.collect()} >= {("a", "SDA", 1.5, 2030), ("b", "ARA", None, 2030)}
     with pytest.raises(ValueError):
         tg.target_record(num, "XYZ", F.col("s"), F.col("s"))
+
+
+def test_gases_at_tells_nothing_reported_from_zero(long):
+    df = long([("a", "Emissions|N2O|Waste", 2020, 1000.0), ("a", "Emissions|N2O|Energy", 2020, 500.0),
+               ("b", "Emissions|HFC", 2030, 2.0), ("b", "Emissions|CH4|Other", 2040, 3.0), ("c", "Emissions|CO2|AFOLU", 2020, 1.0)])
+    got = {r.scen_id: r for r in em.gases_at(df, (2020, 2030)).collect()}
+    assert set(got) == {"a", "b"}
+    assert (got["a"].N2O_2020, got["a"].N2O_2030, got["a"].CH4_2020, got["a"].HFC_2020) == (1500, 0, None, None)
+    assert (got["b"].N2O_2020, got["b"].CH4_2020, got["b"].HFC_2030, got["b"].HFC_2020) == (None, 0, 2, None)
+    co2e = {r.scen_id: r for r in em.gases_at(df, (2020, 2030), vintage="AR6").collect()}
+    assert co2e["a"].N2O_2020 == pytest.approx(1.5 * 273) and co2e["b"].HFC_2030 == pytest.approx(2 * 1.53)

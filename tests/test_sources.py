@@ -64,3 +64,14 @@ def test_bucket_count_follows_the_data(spark):
 def test_duplicates_are_found(long):
     df = long([("a", "v", 2020, 1.0), ("a", "v", 2020, 2.0), ("b", "v", 2020, 2.0)])
     assert rows(src.duplicate_rows(df)) == [("a", "v", 2020, 2)]
+
+
+def test_stacking_equals_unpivot_and_keeps_the_partitioning(spark, long):
+    from pathloom.operators.reshape import stack_rows
+
+    wide = long([("a", "v", 1, 1.0), ("b", "w", 2, None)]).select("scen_id", F.col("value").alias("x"), (F.col("value") + 1).alias("z"))
+    got = stack_rows(wide, ("scen_id",), {"x": {"k": "X", "year": 2020}, "z": {"k": "Z", "year": 2030}})
+    assert rows(got) == [("a", "X", 2020, 1), ("a", "Z", 2030, 2), ("b", "X", 2020, None), ("b", "Z", 2030, None)]
+    staged = src.stage(wide, "w", bucket_by="scen_id")
+    plan = stack_rows(staged, ("scen_id",), {"x": {"k": "X"}, "z": {"k": "Z"}}).groupBy("scen_id").agg(F.sum("value"))
+    assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()

@@ -493,9 +493,7 @@ def _(spark, sf):
 def _(spark, sf):
     d = t.db(spark, sf)
     c1 = b.candidates(d)
-    rows = j.union_all(
-        b.gross_at(d, c1, b.DECADES), rp._gas_at(d, "N2O", c1, b.DECADES), rp._gas_at(d, "CH4", c1, b.DECADES)
-    )
+    rows = rp.components_at(d, c1, b.DECADES)
     med = sm.median(rows, ("Variable", "year"), groups_at_most=15, rows_at_most=d.scenarios)
     return med.groupBy("year").agg(F.sum("value").alias("total"))
 
