@@ -14,7 +14,6 @@ from pathloom.functions import fixed
 from pathloom.functions.columns import (
     any_true, co2e, land_sector_co2e, positive_where, sum_or_zero, zero_as_missing,
 )
-from pathloom.operators.joins import difference_ids, in_ids
 from pathloom.operators.summary import sum_variables
 from pathloom.operators.timeaxis import interpolate_gaps, interpolated_total
 
@@ -23,17 +22,23 @@ LONG = ("scen_id", "Variable", "year", "value")
 
 def filled_totals(df: DataFrame, ids: DataFrame, years: Sequence[int], total: str = fixed.NET_TOTAL,
                   parts: Sequence[str] = (fixed.NET_ENERGY, fixed.NET_INDUSTRY)) -> DataFrame:
-    """The total for the ids that report none: the sum of its parts per year, 0 where neither is there."""
-    missing = difference_ids(ids, df.where(F.col("Variable") == total))
-    zeros = missing.select(
-        "scen_id", F.explode(F.array(*[F.lit(y) for y in years])).alias("year"), F.lit(0.0).alias("value")
+    """The total for the ids that report none: the sum of its parts per year, 0 where neither is there.
+
+    One scan: whether the total is reported and the yearly sums of the parts come from the same aggregation by
+    scenario. An id without any data gets zeros too.
+    """
+    yearly = _eip_rows(df, ids, total, parts, ()).groupBy("scen_id", "year").agg(
+        any_true(F.col("_is_total")).alias("_r"), F.sum("_part").alias("_part")
+    )
+    part = F.when(F.col("_part").isNotNull(), F.struct("year", F.col("_part").alias("v")))
+    packed = yearly.groupBy("scen_id").agg(
+        F.bool_or("_r").alias("_reported"), F.map_from_entries(F.collect_list(part)).alias("_m")
     )
-    rows = in_ids(df.where(F.col("Variable").isin(list(parts)) & F.col("year").isin(list(years))), missing)
     return (
-        zeros.unionByName(rows.select("scen_id", "year", "value"))
-        .groupBy("scen_id", "year")
-        .agg(sum_or_zero("value").alias("value"))
-        .select("scen_id", F.lit(total).alias("Variable"), "year", "value")
+        packed.where(~F.col("_reported"))
+        .select("scen_id", "_m", F.explode(F.array(*[F.lit(y) for y in years])).alias("year"))
+        .select("scen_id", F.lit(total).alias("Variable"), "year",
+                F.coalesce(F.col("_m")[F.col("year")], F.lit(0.0)).alias("value"))
     )
 
 
@@ -83,7 +88,8 @@ def _eip_rows(df: DataFrame, ids: DataFrame, total: str, parts: Sequence[str], r
         F.when(v.isin(list(removals)), F.abs("value")).alias("_removal"),
     )
     flagged = ids if "fill" in ids.columns else ids.select("scen_id").withColumn("fill", F.lit(True))
-    return flagged.select("scen_id", "fill").join(rows, "scen_id", "left")
+    # an id listed twice must not count its rows twice
+    return flagged.select("scen_id", "fill").dropDuplicates(["scen_id"]).join(rows, "scen_id", "left")
 
 
 def _net_and_gross(use_parts: Column, total: Column, part: Column, removal: Column) -> tuple[Column, Column]:

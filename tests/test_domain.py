@@ -23,6 +23,8 @@ def test_missing_totals_are_filled_and_reported_ones_left(long, ids):
                ("d", fx.NET_ENERGY, 2020, 1.0)])
     out = em.fill_missing_total(df, ids("a", "b", "c"), (2020, 2021)).where(F.col("Variable") == fx.NET_TOTAL)
     got = {(r[0], r[2]): r[3] for r in rows(out)}
+    twice = em.filled_totals(df, ids("a", "a", "b", "c"), (2020, 2021))
+    assert {(r[0], r[2]): r[3] for r in rows(twice)} == {k: v for k, v in got.items() if k[0] != "b"}
     assert got == {("a", 2020): 7, ("a", 2021): 0, ("b", 2020): 5, ("c", 2020): 0, ("c", 2021): 0}
 
 
