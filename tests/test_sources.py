@@ -75,3 +75,22 @@ def test_stacking_equals_unpivot_and_keeps_the_partitioning(spark, long):
     staged = src.stage(wide, "w", bucket_by="scen_id")
     plan = stack_rows(staged, ("scen_id",), {"x": {"k": "X"}, "z": {"k": "Z"}}).groupBy("scen_id").agg(F.sum("value"))
     assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scenario_passes_need_no_shuffle_on_bucketed_tables(spark, long, make):
+    from pathloom.functions import fixed as fx
+    from pathloom.operators.emissions import eip_at, eip_yearly, gases_at
+    from pathloom.operators.joins import in_ids
+    from pathloom.operators.screens import screen_criteria
+    from pathloom.operators.timeaxis import interpolated_total
+
+    df = src.stage(long([("a", fx.NET_TOTAL, 2020, 1.0), ("b", fx.CCS, 2020, 1.0)]), "l", bucket_by="scen_id")
+    ids = src.stage(make("scen_id string", [("a",), ("c",)]), "k", bucket_by="scen_id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for out in (eip_at(df, ids, (2020,)), eip_yearly(df, ids, 2020, 2030), gases_at(in_ids(df, ids), (2020,)),
+                    screen_criteria(in_ids(df, ids)), interpolated_total(df)):
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan, plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
