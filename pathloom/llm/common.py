@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +32,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+PART_BYTES = 8 << 20  # of text worked on at a time; a longer text is a part of its own
+
+
+def _parts(batch):
+    """A batch in slices of rows with bounded bytes in the last column."""
+    import pyarrow.compute as pc
+
+    size = np.cumsum(pc.binary_length(batch.column(batch.num_columns - 1)).to_numpy(), dtype=np.int64)
+    at = 0
+    while at < len(size):
+        stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + PART_BYTES, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def map_texts(df: DataFrame, text_col: str, fields: str, make: Callable[[], Callable[[Iterator[str]], list]],
               keep: Sequence[str]) -> DataFrame:
     """Columns ``keep`` plus ``fields`` computed from each whole text in Arrow batches; a null text counts as empty.
@@ -47,8 +63,9 @@ def map_texts(df: DataFrame, text_col: str, fields: str, make: Callable[[], Call
 
         fn = make()
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *fn(texts)], names=names)
+            for part in _parts(batch):
+                texts = part.column(part.num_columns - 1).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *fn(texts)], names=names)
 
     return kept.mapInArrow(run, schema)
 

@@ -193,23 +193,21 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
         .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     tried = staged(resembling(pairs, known, rule), "dup_tried")
     # rows with one id but different texts are one document: their classes are linked through it
-    shared = some.join(classes.select(*key, F.col("node").alias("rep")), key) \
-        .select(F.col("rep").alias("a"), F.col("node").alias("b")).where("a != b").distinct()
+    held = some.join(classes.select(*key, F.col("node").alias("rep")), key).select("node", "rep").distinct()
+    several = held.groupBy("node").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    shared = staged(held.join(several, "node", "left_semi").select(F.col("rep").alias("a"), F.col("node").alias("b")),
+                    "dup_shared")
     links = staged(confirmed(tried, docs, rule, id_col, text_col), "dup_links")
-    root = components(links)
+    root = components(links.unionByName(shared))
 
     for few in (FEW, None):
         more = unsettled(members, known, root, tried, rule, few)
         more = staged(more, "dup_more")
         if more.isEmpty():
-            continue
+            break
         tried = tried.unionByName(more)
         fresh = confirmed(more, docs, rule, id_col, text_col)
         root = components(root.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(fresh))
-    twice = shared.join(classes.select(F.col("node").alias("b")).distinct(), "b", "left_semi")
-    if not twice.isEmpty():
-        root = components(root.select(F.col("node").alias("a"), F.col("component").alias("b"))
-                          .unionByName(twice.select("a", "b")))
     rep = sets.join(classes.select(*key, F.col("node").alias("rep")), key, "left")
     named = rep.join(root.withColumnRenamed("node", "rep"), "rep", "left")
     own = F.when(F.col("n") > 0, F.coalesce("component", "rep", "node")).otherwise(F.col("node"))

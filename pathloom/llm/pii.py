@@ -89,7 +89,7 @@ _SOME_SPELLED = re.compile(rf"(?:{_ONE})[\s,-]+(?:{_ONE})")
 _SPELLED_RUN = re.compile(rf"\b(?:{_ONE})(?:[\s,-]{{1,3}}(?:{_ONE}))+\b", re.I)
 _SPELLED_ONE = re.compile(_ONE, re.I)
 _PLUS = re.compile(r"\bplus\s(?=[0-9])", re.I)
-_AT = re.compile(r"\s?[\[({<]\s?(?:at|@)\s?[\])}>]\s?|(?<=[A-Za-z0-9_%+-])\sat\s"
+_AT = re.compile(r"\s?[\[({<]\s?(?:at|@)\s?[\])}>]\s?|(?<=[A-Za-z0-9_%+-])\sat\s(?!(?:the|an?|this|that|my|your|our)\s)"
                  r"(?=[A-Za-z0-9-]{1,63}(?:\sdot\s|\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]))", re.I)
 _DOT = re.compile(r"\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?|(?<=[A-Za-z0-9-])\sdot\s(?=[A-Za-z0-9])", re.I)
 
