@@ -1,15 +1,14 @@
 """Near-duplicate groups: MinHash minima with banding, verification, and connected components.
 
 Each text is the set of its distinct word shingles, as 64-bit hashes. ``HASHES`` universal hash functions give its
-minima; ``BANDS`` bands of four minima each give bucket keys, so a pair at similarity 0.8 is missed with a probability
+minima; ``BANDS`` bands of four of them each give bucket keys, so a pair at similarity 0.8 is missed with a probability
 of 5e-8. Texts of equal sets are one class, linked at once; only class representatives go on.
 
 Which pairs of a bucket are verified: every member against the least of the bucket and against its two predecessors
 in a slice of the bucket of bounded size. That connects groups of copies without naming all their pairs. Buckets
 whose members are still in different components are then searched in full: members outside the bucket's largest
-component against all its members, in blocks of bounded size, at first for the few best candidates of each component,
-then for all of them. Candidates must agree in size and in signature (8 bits of each minimum, at a margin of six
-standard deviations), and a link counts only once the full sets confirm it.
+component against all its members, in blocks of bounded size. Candidates must agree in size and in signature (8 bits
+of each minimum, at a margin of ``MARGIN`` standard deviations), and a link counts only once the full sets confirm it.
 
 Components come from alternating large-star and small-star steps until no edge changes. Intermediates are written to
 the shared folder.
@@ -30,10 +29,10 @@ from pyspark.sql import functions as F
 from pathloom.llm.common import map_texts, staged
 from pathloom.llm.words import U64, UNSPACED, Words, mixed
 
-HASHES, ROWS = 128, 4
-BANDS = HASHES // ROWS
+HASHES, BANDS, ROWS = 384, 32, 4
+FIRST = BANDS * ROWS  # minima that go into bands, and that are compared before the rest
+MARGIN = 4.5
 SLICE, BLOCK, QUERY = 512, 512, 2048  # members of a bucket compared together
-FEW = 3
 
 _RNG = np.random.default_rng(771)
 _MULTIPLY = _RNG.integers(0, 2**64, HASHES, dtype=U64) | U64(1)
@@ -49,11 +48,10 @@ class Rule:
     words: int = 5
     percent: int = 80
 
-    @property
-    def least_equal(self) -> int:
-        """Equal signature bytes below which a pair cannot be similar, but for six standard deviations."""
+    def least_equal(self, hashes: int) -> int:
+        """Of so many signature bytes, how many a similar pair has in common, but for ``MARGIN`` deviations."""
         s = self.percent / 100
-        return int(HASHES * max(0.0, s - 6 * (s * (1 - s) / HASHES) ** 0.5))
+        return int(hashes * max(0.0, s - MARGIN * (s * (1 - s) / hashes) ** 0.5))
 
 
 def shingle_sets(texts, width: int) -> list[np.ndarray]:
@@ -77,8 +75,8 @@ def shingle_sets(texts, width: int) -> list[np.ndarray]:
 def signature(shingles: np.ndarray) -> np.ndarray:
     """Minima of a set under each hash function."""
     least = np.full(HASHES, np.iinfo(np.uint64).max, U64)
-    for at in range(0, len(shingles), 4096):  # long texts in parts
-        least = np.minimum(least, (shingles[at:at + 4096, None] * _MULTIPLY + _ADD).min(axis=0))
+    for at in range(0, len(shingles), 512):  # in parts that stay in the processor's cache
+        least = np.minimum(least, (shingles[at:at + 512, None] * _MULTIPLY + _ADD).min(axis=0))
     return least >> U64(32)
 
 
@@ -92,7 +90,7 @@ def signed(docs: DataFrame, rule: Rule, keep: tuple[str, ...], text_col: str) ->
             sets = shingle_sets(texts, rule.words)
             some = np.array([len(s) > 0 for s in sets])
             minima = np.stack([signature(s) for s in sets]) if len(sets) else np.zeros((0, HASHES), U64)
-            keys = mixed((minima.reshape(-1, BANDS, ROWS) * _BAND).sum(axis=2, dtype=U64)
+            keys = mixed((minima[:, :FIRST].reshape(-1, BANDS, ROWS) * _BAND).sum(axis=2, dtype=U64)
                          + np.arange(BANDS, dtype=U64)).view(np.int64)
             low = (minima & U64(0xFF)).astype(np.uint8)
             one = np.array([s.sum(dtype=U64) for s in sets], U64).view(np.int64)
@@ -119,7 +117,7 @@ def resembling(pairs: DataFrame, known: DataFrame, rule: Rule) -> DataFrame:
         for batch in batches:
             sa, sb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, HASHES)
                       for i in (2, 3))
-            mask = pa.array((sa == sb).sum(1) >= rule.least_equal)
+            mask = pa.array((sa == sb).sum(1) >= rule.least_equal(HASHES))
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in (0, 1)], names=["a", "b"])
 
     return joined.mapInArrow(run, "a long, b long").distinct()
@@ -200,12 +198,8 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
     links = staged(confirmed(tried, docs, rule, id_col, text_col), "dup_links")
     root = components(links.unionByName(shared))
 
-    for few in (FEW, None):
-        more = unsettled(members, known, root, tried, rule, few)
-        more = staged(more, "dup_more")
-        if more.isEmpty():
-            break
-        tried = tried.unionByName(more)
+    more = staged(unsettled(members, known, root, tried, rule), "dup_more")
+    if not more.isEmpty():
         fresh = confirmed(more, docs, rule, id_col, text_col)
         root = components(root.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(fresh))
     rep = sets.join(classes.select(*key, F.col("node").alias("rep")), key, "left")
@@ -215,9 +209,8 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
         .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
-def unsettled(members: DataFrame, known: DataFrame, root: DataFrame, tried: DataFrame, rule: Rule,
-              few: int | None) -> DataFrame:
-    """Untried candidate pairs across components inside a bucket; per member and component the ``few`` best."""
+def unsettled(members: DataFrame, known: DataFrame, root: DataFrame, tried: DataFrame, rule: Rule) -> DataFrame:
+    """Untried candidate pairs across components inside a bucket."""
     at = members.select("band", "node").join(root, "node", "left").select(
         "band", "node", F.coalesce("component", "node").alias("component"))
     sizes = at.groupBy("band", "component").agg(F.count(F.lit(1)).alias("k"))
@@ -240,22 +233,26 @@ def unsettled(members: DataFrame, known: DataFrame, root: DataFrame, tried: Data
         import pandas as pd
 
         asks = pdf["asks"].to_numpy()
-        ask, have = pdf[asks], pdf[~asks]
-        out = []
-        sig = np.frombuffer(b"".join(have["sig"]), np.uint8).reshape(-1, HASHES)
-        node, comp, n = (have[c].to_numpy() for c in ("node", "component", "n"))
-        for a, c, m, s in zip(ask["node"], ask["component"], ask["n"], ask["sig"]):
-            fits = np.flatnonzero((comp != c) & (100 * np.minimum(n, m) >= rule.percent * np.maximum(n, m)))
-            equal = (sig[fits] == np.frombuffer(s, np.uint8)).sum(1)
-            good = equal >= rule.least_equal
-            out += [(min(a, b), max(a, b), a, d, e) for b, d, e in
-                    zip(node[fits][good].tolist(), comp[fits][good].tolist(), equal[good].tolist())]
-        return pd.DataFrame(out, columns=["a", "b", "asker", "component", "equal"])
-
-    found = asked.unionByName(held).groupBy("band", "q", "p").applyInPandas(
-        compare, "a long, b long, asker long, component long, equal long")
-    fresh = found.distinct().join(tried, ["a", "b"], "left_anti")
-    if few is not None:
-        best = Window.partitionBy("asker", "component").orderBy(F.desc("equal"), "a", "b")
-        fresh = fresh.withColumn("place", F.row_number().over(best)).where(F.col("place") <= few)
-    return fresh.select("a", "b").distinct()
+        (na, ca, sa, wa), (nb, cb, sb, wb) = (
+            (part["n"].to_numpy(), part["component"].to_numpy(),
+             np.frombuffer(b"".join(part["sig"]), np.uint8).reshape(-1, HASHES), part["node"].to_numpy())
+            for part in (pdf[asks], pdf[~asks]))
+        first = np.ascontiguousarray(sb[:, :FIRST])
+        out = [np.zeros((0, 2), np.int64)]
+        for at in range(0, len(na), 64):
+            some = slice(at, at + 64)
+            n, c = na[some, None], ca[some, None]
+            fits = (cb != c) & (100 * np.minimum(nb, n) >= rule.percent * np.maximum(nb, n))
+            if not fits.any():
+                continue
+            equal = (first == sa[some, None, :FIRST]).view(np.uint64).sum(axis=2, dtype=np.uint64)
+            equal = (equal * U64(0x0101010101010101)) >> U64(56)  # the eight bytes of each word added up
+            i, j = np.nonzero(fits & (equal >= rule.least_equal(FIRST)))
+            good = (sa[at + i] == sb[j]).sum(1) >= rule.least_equal(HASHES)
+            a, b = wa[at + i[good]], wb[j[good]]
+            out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+        pairs = np.unique(np.concatenate(out), axis=0)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    found = asked.unionByName(held).groupBy("band", "q", "p").applyInPandas(compare, "a long, b long")
+    return found.distinct().join(tried, ["a", "b"], "left_anti")
