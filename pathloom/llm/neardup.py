@@ -33,6 +33,7 @@ HASHES, BANDS, ROWS = 384, 32, 4
 FIRST = BANDS * ROWS  # minima that go into bands, and that are compared before the rest
 MARGIN = 4.5
 SLICE, BLOCK, QUERY = 512, 512, 2048  # members of a bucket compared together
+PACK = 4096  # members of small buckets that share a call
 
 _RNG = np.random.default_rng(771)
 _MULTIPLY = _RNG.integers(0, 2**64, HASHES, dtype=U64) | U64(1)
@@ -225,14 +226,14 @@ def unsettled(members: DataFrame, known: DataFrame, root: DataFrame, tried: Data
     query = F.pmod(F.xxhash64("node", F.lit("query")), F.col("queries")).cast("int")
     asked = rows.where("component != main").select(
         "band", query.alias("q"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("p"), "node", "component",
-        "n", "sig", F.lit(True).alias("asks"))
+        "n", "sig", "blocks", "queries", F.lit(True).alias("asks"))
     held = rows.select("band", F.explode(F.sequence(F.lit(0), F.col("queries") - 1)).alias("q"), block.alias("p"),
-                       "node", "component", "n", "sig", F.lit(False).alias("asks"))
+                       "node", "component", "n", "sig", "blocks", "queries", F.lit(False).alias("asks"))
 
     def compare(pdf):
-        import pandas as pd
-
         asks = pdf["asks"].to_numpy()
+        if asks.all() or not asks.any():
+            return np.zeros((0, 2), np.int64)
         (na, ca, sa, wa), (nb, cb, sb, wb) = (
             (part["n"].to_numpy(), part["component"].to_numpy(),
              np.frombuffer(b"".join(part["sig"]), np.uint8).reshape(-1, HASHES), part["node"].to_numpy())
@@ -251,8 +252,18 @@ def unsettled(members: DataFrame, known: DataFrame, root: DataFrame, tried: Data
             good = (sa[at + i] == sb[j]).sum(1) >= rule.least_equal(HASHES)
             a, b = wa[at + i[good]], wb[j[good]]
             out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
-        pairs = np.unique(np.concatenate(out), axis=0)
+        return np.concatenate(out)
+
+    def compare_all(pdf):
+        import pandas as pd
+
+        parts = [compare(group) for _, group in pdf.groupby(["band", "q", "p"], sort=False)]
+        pairs = np.unique(np.concatenate(parts), axis=0)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    found = asked.unionByName(held).groupBy("band", "q", "p").applyInPandas(compare, "a long, b long")
+    # most buckets are small: packs of about PACK rows share one call, blocks of large ones have their own
+    packs = 1 + members.count() // PACK
+    alone = (F.col("blocks") > 1) | (F.col("queries") > 1)
+    pack = F.when(alone, F.xxhash64("band", "q", "p")).otherwise(F.pmod(F.xxhash64("band"), F.lit(packs)))
+    found = asked.unionByName(held).groupBy(pack.alias("pack")).applyInPandas(compare_all, "a long, b long")
     return found.distinct().join(tried, ["a", "b"], "left_anti")
