@@ -88,8 +88,9 @@ def _eip_rows(df: DataFrame, ids: DataFrame, total: str, parts: Sequence[str], r
         F.when(v.isin(list(removals)), F.abs("value")).alias("_removal"),
     )
     flagged = ids if "fill" in ids.columns else ids.select("scen_id").withColumn("fill", F.lit(True))
-    # an id listed twice must not count its rows twice
-    return flagged.select("scen_id", "fill").dropDuplicates(["scen_id"]).join(rows, "scen_id", "left")
+    # an id listed twice must not count its rows twice; it is filled if any listing says so
+    once = flagged.groupBy("scen_id").agg(F.bool_or("fill").alias("fill"))
+    return once.join(rows, "scen_id", "left")
 
 
 def _net_and_gross(use_parts: Column, total: Column, part: Column, removal: Column) -> tuple[Column, Column]:

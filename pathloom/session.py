@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -31,7 +31,7 @@ def local_session(cpus: str | int = "*", partitions: int | None = None, app: str
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only a local-mode session without that setting gets a folder of its own.
+    Only a local-mode session without that setting gets a folder of its own, in its warehouse.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
@@ -40,5 +40,6 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
-        _FALLBACK[app] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        _FALLBACK[app] = f"{warehouse}/staged_{uuid.uuid4().hex[:12]}"
     return _FALLBACK[app]

@@ -35,10 +35,15 @@ def scan_wide_csv(spark: SparkSession, path: str, pattern: str = r"2\d{3}") -> D
     return df.select(*[nan_as_missing(c).alias(c) if c in years else F.col(c) for c in header])
 
 
+#: Quotes are doubled inside quoted text, which may hold line breaks, as common CSV readers and writers have it.
+CSV_DIALECT = {"header": "true", "quote": '"', "escape": '"'}
+
+
 def scan_metadata(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """One sheet of scenario metadata, staged as CSV or Parquet."""
-    reader = spark.read.option("header", True) if fmt == "csv" else spark.read
-    return reader.format(fmt).load(path)
+    if fmt == "csv":
+        return spark.read.options(**CSV_DIALECT, multiLine=True, mode="FAILFAST").csv(path)
+    return spark.read.format(fmt).load(path)
 
 
 @dataclass(frozen=True)
@@ -86,7 +91,7 @@ def duplicate_rows(df: DataFrame, keys: Sequence[str] = ("scen_id", "Variable",
 
 def sink_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     """Header row, no row index; one file per partition."""
-    df.write.mode(mode).option("header", True).csv(path)
+    df.write.mode(mode).options(**CSV_DIALECT).csv(path)
     return path
 
 

@@ -94,3 +94,15 @@ def test_scenario_passes_need_no_shuffle_on_bucketed_tables(spark, long, make):
             assert "Exchange" not in plan, plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_quotes_and_line_breaks_survive_the_sink(spark, make):
+    import csv
+    import glob
+
+    rows = [("a", 'He, et al. "Paths, to" 2021'), ("b", "two\nlines"), ("c", "plain")]
+    path = src.sink_csv(make("k string, v string", rows).coalesce(1), f"{shared_dir(spark)}/quoted")
+    assert sorted(tuple(r) for r in src.scan_metadata(spark, path).collect()) == rows
+    (name,) = glob.glob(path.removeprefix("file:") + "/part-*.csv")
+    with open(name, newline="") as f:
+        assert sorted(map(tuple, csv.reader(f)))[:2] == rows[:2]

@@ -152,18 +152,17 @@ def _(spark, sf):
     return t.db(spark, sf).key.drop("Model", "Scenario", "Literature_reference")
 
 
-@register("rename_columns", f"select scen_id as source, Variable as metric, {r('value')} as Value from scen_long where year = 2050")
+@register("rename_columns", f"select scen_id as source, Variable as metric, {r('value')} as Value, year as at from scen_long")
 def _(spark, sf):
-    at = _long(spark, sf).where("year = 2050").select("scen_id", "Variable", "value")
-    return at.toDF("source", "metric", "Value")
+    return _long(spark, sf).select("scen_id", "Variable", "value", "year").toDF("source", "metric", "Value", "at")
 
 
 @register("tag_literal", f"""select 'AR6 C1' as source, 0 as filter_flag, Variable, {r('quantile_cont(value, 0.5)')} as value
-    from scen_long where year = 2030 and scen_id in (select scen_id from c1) group by Variable""")
+    , year from scen_long where scen_id in (select scen_id from c1) group by Variable, year""")
 def _(spark, sf):
     d = t.db(spark, sf)
-    rows = j.in_ids(d.long.where("year = 2030"), b.candidates(d))
-    med = sm.median(rows, ("Variable",), groups_at_most=64, rows_at_most=d.scenarios)
+    rows = j.in_ids(d.long, b.candidates(d))
+    med = sm.median(rows, ("Variable", "year"), rows_at_most=d.scenarios)
     return med.withColumns({"source": F.lit("AR6 C1"), "filter_flag": F.lit(0)})
 
 
@@ -192,16 +191,17 @@ def _(spark, sf):
     return tg.numeric_arguments(t.companies(spark, sf), ["by_scope1", "by_scope2"]).select("company", "by_scope1", "by_scope2")
 
 
-@register("sign_normalise", f"""select scen_id, Variable, year, {r('abs(value)')} as value from scen_long where Variable in {REM}""")
+@register("sign_normalise", f"""select scen_id, Variable, year,
+    {r(f'case when Variable in {REM} then abs(value) else value end')} as value from scen_long""")
 def _(spark, sf):
-    rows = _long(spark, sf).where(V().isin(list(fixed.REMOVALS)))
+    rows = _long(spark, sf)
     return rows.select("scen_id", "Variable", "year", c.positive_where(V().isin(list(fixed.REMOVALS)), "value").alias("value"))
 
 
 @register("unit_convert", f"""select scen_id, Variable, year, {r("value * (case when Unit like 'kt%' then 0.001 else 1.0 end)")} as mt
-    from scen_long where Variable like 'Emissions|%'""")
+    from scen_long""")
 def _(spark, sf):
-    rows = _long(spark, sf).where(V().startswith("Emissions|"))
+    rows = _long(spark, sf)
     mt = F.when(F.col("Unit").startswith("kt"), c.scaled("value", fixed.KT_TO_MT)).otherwise(F.col("value"))
     return rows.select("scen_id", "Variable", "year", mt.alias("mt"))
 
