@@ -35,7 +35,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 PART_BYTES = 8 << 20  # of text worked on at a time; a longer text is a part of its own
 
 
-def _parts(batch):
+def parts(batch):
     """A batch in slices of rows with bounded bytes in the last column."""
     import pyarrow.compute as pc
 
@@ -63,7 +63,7 @@ def map_texts(df: DataFrame, text_col: str, fields: str, make: Callable[[], Call
 
         fn = make()
         for batch in batches:
-            for part in _parts(batch):
+            for part in parts(batch):
                 texts = part.column(part.num_columns - 1).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *fn(texts)], names=names)
 

@@ -9,6 +9,8 @@ in a slice of the bucket of bounded size. That connects groups of copies without
 whose members are still in different components are then searched in full: members outside the bucket's largest
 component against all its members, in blocks of bounded size. Candidates must agree in size and in signature (8 bits
 of each minimum, at a margin of ``MARGIN`` standard deviations), and a link counts only once the full sets confirm it.
+The candidates of the full search are confirmed in cells, some ``CELL`` texts of one component against some ``CELL``
+texts near it: a text goes once to each of its cells, not once to each of its pairs.
 
 Components come from alternating large-star and small-star steps until no edge changes. Intermediates are written to
 the shared folder.
@@ -26,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import map_texts, staged
+from pathloom.llm.common import map_texts, parts, staged
 from pathloom.llm.words import U64, UNSPACED, Words, mixed
 
 HASHES, BANDS, ROWS = 384, 32, 4
@@ -34,6 +36,7 @@ FIRST = BANDS * ROWS  # minima that go into bands, and that are compared before
 MARGIN = 4.5
 SLICE, BLOCK, QUERY = 512, 512, 2048  # members of a bucket compared together
 PACK = 4096  # members of small buckets that share a call
+CELL, CALL = 64, 256  # texts on each side of a cell; texts whose cells share a call
 
 _RNG = np.random.default_rng(771)
 _MULTIPLY = _RNG.integers(0, 2**64, HASHES, dtype=U64) | U64(1)
@@ -124,12 +127,22 @@ def resembling(pairs: DataFrame, known: DataFrame, rule: Rule) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long").distinct()
 
 
+def texts_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, text) of the documents in ``ids`` (node), equal texts of one id once; written to the shared folder."""
+    texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).join(ids, "node", "left_semi")
+    return staged(texts.groupBy("node", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
+                  .select("node", "text"), "dup_texts")
+
+
+def similar(s: np.ndarray, t: np.ndarray, rule: Rule) -> bool:
+    shared = len(np.intersect1d(s, t, assume_unique=True))
+    return len(s) > 0 and 100 * shared >= rule.percent * (len(s) + len(t) - shared)
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
     """Pairs whose full sets are similar. Only texts of candidates move, and only once by their own id."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).join(ids, "node", "left_semi")
-    texts = staged(texts.groupBy("node", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
-                   .select("node", "text"), "dup_texts")
+    ids = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    texts = texts_of(ids, docs, id_col, text_col)
     one = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     two = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
 
@@ -139,16 +152,38 @@ def confirmed(pairs: DataFrame, docs: DataFrame, rule: Rule, id_col: str, text_c
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
-                keep = []
-                for s, t in zip(*(shingle_sets(part.column(i), rule.words) for i in (2, 3))):
-                    shared = len(np.intersect1d(s, t, assume_unique=True))
-                    keep.append(len(s) > 0 and 100 * shared >= rule.percent * (len(s) + len(t) - shared))
+                keep = [similar(s, t, rule)
+                        for s, t in zip(*(shingle_sets(part.column(i), rule.words) for i in (2, 3)))]
                 yield pa.RecordBatch.from_arrays([part.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)],
                                                  names=["a", "b"])
 
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
+def confirmed_in_cells(cells: DataFrame, docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
+    """Pairs whose full sets are similar among the candidates of ``cells`` (as ``unsettled`` returns them)."""
+    packs = 1 + (cells.agg(F.sum(F.size("nodes"))).first()[0] or 0) // CALL
+    cells = cells.withColumn("pack", F.pmod(F.xxhash64("component", "cell", "part"), F.lit(packs)))
+    wanted = cells.select("pack", F.explode("nodes").alias("node")).distinct()
+    texts = texts_of(wanted.select("node").distinct(), docs, id_col, text_col)
+
+    def run(asked, held):
+        import pyarrow as pa
+
+        sets: dict[int, list[np.ndarray]] = {}
+        for batch in held.select(["node", "text"]).to_batches():
+            for part in parts(batch):
+                for node, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1), rule.words)):
+                    sets.setdefault(node, []).append(s)
+        links = [(ask["a"], b) for row in asked.column("asks").to_pylist() for ask in row for b in ask["bs"]
+                 if any(similar(s, t, rule) for s in sets[ask["a"]] for t in sets[b])]
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()),
+                         "b": pa.array([b for _, b in links], pa.int64())})
+
+    held = wanted.join(texts, "node").select("pack", "node", "text").toDF("pack", "node", "text")
+    return cells.select("pack", "asks").groupBy("pack").cogroup(held.groupBy("pack")).applyInArrow(run, "a long, b long").distinct()
+
+
 def components(edges: DataFrame, limit: int = 200) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b): the least node reachable, by large-star and small-star."""
     edges = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v")
@@ -199,9 +234,9 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
     links = staged(confirmed(tried, docs, rule, id_col, text_col), "dup_links")
     root = components(links.unionByName(shared))
 
-    more = staged(unsettled(members, known, root, tried, rule), "dup_more")
-    if not more.isEmpty():
-        fresh = confirmed(more, docs, rule, id_col, text_col)
+    cells = staged(unsettled(members, known, root, rule), "dup_cells")
+    if not cells.isEmpty():
+        fresh = confirmed_in_cells(cells, docs, rule, id_col, text_col)
         root = components(root.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(fresh))
     rep = sets.join(classes.select(*key, F.col("node").alias("rep")), key, "left")
     named = rep.join(root.withColumnRenamed("node", "rep"), "rep", "left")
@@ -210,60 +245,81 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
         .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
-def unsettled(members: DataFrame, known: DataFrame, root: DataFrame, tried: DataFrame, rule: Rule) -> DataFrame:
-    """Untried candidate pairs across components inside a bucket."""
-    at = members.select("band", "node").join(root, "node", "left").select(
-        "band", "node", F.coalesce("component", "node").alias("component"))
+def unsettled(members: DataFrame, known: DataFrame, root: DataFrame, rule: Rule) -> DataFrame:
+    """Candidates across components inside a bucket, one row per cell: asking texts, each with those it may be
+    similar to, and all texts of the cell. A component is dealt into cells by its size, then a cell's asking texts."""
+    widths = root.groupBy("component").agg(F.ceil((F.count(F.lit(1)) + 1) / CELL).alias("cells"))
+    place = F.pmod(F.xxhash64("node", F.lit("cell")), F.coalesce("cells", F.lit(1)))
+    of = root.join(widths, "component").select("node", "component", place.alias("cell")).unionByName(
+        widths.select(F.col("component").alias("node"), "component", "cells")
+        .select("node", "component", place.alias("cell")))
+    at = members.select("band", "node").join(of, "node", "left").select(
+        "band", "node", F.coalesce("component", "node").alias("component"),
+        F.coalesce("cell", F.lit(0)).alias("cell"))
     sizes = at.groupBy("band", "component").agg(F.count(F.lit(1)).alias("k"))
     split = sizes.groupBy("band").agg(F.max(F.struct("k", "component"))["component"].alias("main"),
                                       F.sum("k").alias("size"), F.count(F.lit(1)).alias("parts"),
                                       F.max("k").alias("most")).where("parts > 1")
     rows = at.join(split, "band").join(known, "node").select(
-        "band", "node", "component", "n", "sig", "main",
+        "band", "node", "component", "cell", "n", "sig", "main",
         F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"),
         F.ceil((F.col("size") - F.col("most")) / QUERY).cast("int").alias("queries"))
     block = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")
     query = F.pmod(F.xxhash64("node", F.lit("query")), F.col("queries")).cast("int")
     asked = rows.where("component != main").select(
         "band", query.alias("q"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("p"), "node", "component",
-        "n", "sig", "blocks", "queries", F.lit(True).alias("asks"))
+        "cell", "n", "sig", "main", "blocks", "queries", F.lit(True).alias("asks"))
     held = rows.select("band", F.explode(F.sequence(F.lit(0), F.col("queries") - 1)).alias("q"), block.alias("p"),
-                       "node", "component", "n", "sig", "blocks", "queries", F.lit(False).alias("asks"))
+                       "node", "component", "cell", "n", "sig", "main", "blocks", "queries",
+                       F.lit(False).alias("asks"))
 
     def compare(pdf):
         asks = pdf["asks"].to_numpy()
         if asks.all() or not asks.any():
-            return np.zeros((0, 2), np.int64)
+            return np.zeros((0, 4), np.int64)
         (na, ca, sa, wa), (nb, cb, sb, wb) = (
             (part["n"].to_numpy(), part["component"].to_numpy(),
              np.frombuffer(b"".join(part["sig"]), np.uint8).reshape(-1, HASHES), part["node"].to_numpy())
             for part in (pdf[asks], pdf[~asks]))
         first = np.ascontiguousarray(sb[:, :FIRST])
-        out = [np.zeros((0, 2), np.int64)]
+        main, cell = pdf["main"].iloc[0], pdf["cell"].to_numpy()[~asks]
+        out = [np.zeros((0, 4), np.int64)]
         for at in range(0, len(na), 64):
             some = slice(at, at + 64)
             n, c = na[some, None], ca[some, None]
-            fits = (cb != c) & (100 * np.minimum(nb, n) >= rule.percent * np.maximum(nb, n))
+            # of two texts outside the largest component, one asks the other
+            fits = ((cb == main) | (c < cb)) & (cb != c) & (100 * np.minimum(nb, n) >= rule.percent * np.maximum(nb, n))
             if not fits.any():
                 continue
             equal = (first == sa[some, None, :FIRST]).view(np.uint64).sum(axis=2, dtype=np.uint64)
             equal = (equal * U64(0x0101010101010101)) >> U64(56)  # the eight bytes of each word added up
             i, j = np.nonzero(fits & (equal >= rule.least_equal(FIRST)))
             good = (sa[at + i] == sb[j]).sum(1) >= rule.least_equal(HASHES)
-            a, b = wa[at + i[good]], wb[j[good]]
-            out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+            i, j = i[good], j[good]
+            out.append(np.stack([cb[j], cell[j], wa[at + i], wb[j]], axis=1))
         return np.concatenate(out)
 
-    def compare_all(pdf):
-        import pandas as pd
+    def compare_all(table):
+        import pyarrow as pa
 
-        parts = [compare(group) for _, group in pdf.groupby(["band", "q", "p"], sort=False)]
-        pairs = np.unique(np.concatenate(parts), axis=0)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+        pdf = table.to_pandas()
+        rows = np.concatenate([compare(group) for _, group in pdf.groupby(["band", "q", "p"], sort=False)])
+        rows = rows[np.lexsort(rows.T[::-1])]
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows[1:, :3] != rows[:-1, :3]).any(axis=1)
+        begin = np.flatnonzero(new)
+        bs = pa.ListArray.from_arrays(pa.array(np.append(begin, len(rows)), pa.int32()), pa.array(rows[:, 3]))
+        return pa.table([*(pa.array(rows[begin, i]) for i in range(3)), bs], names=["component", "cell", "a", "bs"])
 
     # most buckets are small: packs of about PACK rows share one call, blocks of large ones have their own
     packs = 1 + members.count() // PACK
     alone = (F.col("blocks") > 1) | (F.col("queries") > 1)
     pack = F.when(alone, F.xxhash64("band", "q", "p")).otherwise(F.pmod(F.xxhash64("band"), F.lit(packs)))
-    found = asked.unionByName(held).groupBy(pack.alias("pack")).applyInPandas(compare_all, "a long, b long")
-    return found.distinct().join(tried, ["a", "b"], "left_anti")
+    found = asked.unionByName(held).groupBy(pack.alias("pack")).applyInArrow(
+        compare_all, "component long, cell long, a long, bs array<long>")
+    asking = found.groupBy("component", "cell", "a").agg(F.array_distinct(F.flatten(F.collect_list("bs"))).alias("bs"))
+    widths = asking.groupBy("component", "cell").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("parts"))
+    return asking.join(widths, ["component", "cell"]) \
+        .groupBy("component", "cell", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part")) \
+        .agg(F.collect_list(F.struct("a", "bs")).alias("asks"),
+             F.array_distinct(F.concat(F.collect_list("a"), F.flatten(F.collect_list("bs")))).alias("nodes"))

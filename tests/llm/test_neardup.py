@@ -73,7 +73,7 @@ def test_equals_all_pairs(make, rule):
 
 
 def test_small_slices_and_blocks_lose_no_link(make, monkeypatch):
-    for name, value in (("SLICE", 2), ("BLOCK", 3), ("QUERY", 2)):
+    for name, value in (("SLICE", 2), ("BLOCK", 3), ("QUERY", 2), ("CELL", 2), ("CALL", 5)):
         monkeypatch.setattr(neardup, name, value)
     rng = random.Random(9)
     base = words(rng, 150)
