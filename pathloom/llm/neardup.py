@@ -175,8 +175,9 @@ def confirmed_in_cells(cells: DataFrame, docs: DataFrame, rule: Rule, id_col: st
             for part in parts(batch):
                 for node, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1), rule.words)):
                     sets.setdefault(node, []).append(s)
-        links = [(ask["a"], b) for row in asked.column("asks").to_pylist() for ask in row for b in ask["bs"]
-                 if any(similar(s, t, rule) for s in sets[ask["a"]] for t in sets[b])]
+        pairs = {pair for row in asked.column("asks").to_pylist() for lists in row
+                 for pair in zip(lists["left"], lists["right"])}  # several buckets may name a pair
+        links = [(a, b) for a, b in pairs if any(similar(s, t, rule) for s in sets[a] for t in sets[b])]
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()),
                          "b": pa.array([b for _, b in links], pa.int64())})
 
@@ -246,8 +247,9 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
 
 
 def unsettled(members: DataFrame, known: DataFrame, root: DataFrame, rule: Rule) -> DataFrame:
-    """Candidates across components inside a bucket, one row per cell: asking texts, each with those it may be
-    similar to, and all texts of the cell. A component is dealt into cells by its size, then a cell's asking texts."""
+    """Candidates across components inside a bucket, one row per cell: lists of pairs, and all texts of the cell.
+
+    A component is dealt into cells by its size, the texts that ask about it into parts by their number."""
     widths = root.groupBy("component").agg(F.ceil((F.count(F.lit(1)) + 1) / CELL).alias("cells"))
     place = F.pmod(F.xxhash64("node", F.lit("cell")), F.coalesce("cells", F.lit(1)))
     of = root.join(widths, "component").select("node", "component", place.alias("cell")).unionByName(
@@ -264,26 +266,29 @@ def unsettled(members: DataFrame, known: DataFrame, root: DataFrame, rule: Rule)
         "band", "node", "component", "cell", "n", "sig", "main",
         F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"),
         F.ceil((F.col("size") - F.col("most")) / QUERY).cast("int").alias("queries"))
+    outside = rows.where("component != main").groupBy("main").agg(
+        F.ceil(F.countDistinct("node") / CELL).alias("parts"))
+    rows = rows.join(outside, "main").withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")))
     block = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")
     query = F.pmod(F.xxhash64("node", F.lit("query")), F.col("queries")).cast("int")
     asked = rows.where("component != main").select(
         "band", query.alias("q"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("p"), "node", "component",
-        "cell", "n", "sig", "main", "blocks", "queries", F.lit(True).alias("asks"))
+        "cell", "part", "n", "sig", "main", "blocks", "queries", F.lit(True).alias("asks"))
     held = rows.select("band", F.explode(F.sequence(F.lit(0), F.col("queries") - 1)).alias("q"), block.alias("p"),
-                       "node", "component", "cell", "n", "sig", "main", "blocks", "queries",
-                       F.lit(False).alias("asks"))
+                       "node", "component", "cell", "part", "n", "sig", "main", "blocks",
+                       "queries", F.lit(False).alias("asks"))
 
     def compare(pdf):
         asks = pdf["asks"].to_numpy()
         if asks.all() or not asks.any():
-            return np.zeros((0, 4), np.int64)
+            return np.zeros((0, 5), np.int64)
         (na, ca, sa, wa), (nb, cb, sb, wb) = (
-            (part["n"].to_numpy(), part["component"].to_numpy(),
-             np.frombuffer(b"".join(part["sig"]), np.uint8).reshape(-1, HASHES), part["node"].to_numpy())
-            for part in (pdf[asks], pdf[~asks]))
+            (side["n"].to_numpy(), side["component"].to_numpy(),
+             np.frombuffer(b"".join(side["sig"]), np.uint8).reshape(-1, HASHES), side["node"].to_numpy())
+            for side in (pdf[asks], pdf[~asks]))
         first = np.ascontiguousarray(sb[:, :FIRST])
-        main, cell = pdf["main"].iloc[0], pdf["cell"].to_numpy()[~asks]
-        out = [np.zeros((0, 4), np.int64)]
+        main, cell, part = pdf["main"].iloc[0], pdf["cell"].to_numpy()[~asks], pdf["part"].to_numpy()[asks]
+        out = [np.zeros((0, 5), np.int64)]
         for at in range(0, len(na), 64):
             some = slice(at, at + 64)
             n, c = na[some, None], ca[some, None]
@@ -296,7 +301,7 @@ def unsettled(members: DataFrame, known: DataFrame, root: DataFrame, rule: Rule)
             i, j = np.nonzero(fits & (equal >= rule.least_equal(FIRST)))
             good = (sa[at + i] == sb[j]).sum(1) >= rule.least_equal(HASHES)
             i, j = i[good], j[good]
-            out.append(np.stack([cb[j], cell[j], wa[at + i], wb[j]], axis=1))
+            out.append(np.stack([cb[j], cell[j], part[at + i], wa[at + i], wb[j]], axis=1))
         return np.concatenate(out)
 
     def compare_all(table):
@@ -306,20 +311,22 @@ def unsettled(members: DataFrame, known: DataFrame, root: DataFrame, rule: Rule)
         rows = np.concatenate([compare(group) for _, group in pdf.groupby(["band", "q", "p"], sort=False)])
         rows = rows[np.lexsort(rows.T[::-1])]
         new = np.ones(len(rows), bool)
+        new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+        rows = rows[new]
+        new = np.ones(len(rows), bool)
         new[1:] = (rows[1:, :3] != rows[:-1, :3]).any(axis=1)
         begin = np.flatnonzero(new)
-        bs = pa.ListArray.from_arrays(pa.array(np.append(begin, len(rows)), pa.int32()), pa.array(rows[:, 3]))
-        return pa.table([*(pa.array(rows[begin, i]) for i in range(3)), bs], names=["component", "cell", "a", "bs"])
+        ends = pa.array(np.append(begin, len(rows)), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(rows[:, i])) for i in (3, 4)]
+        return pa.table([*(pa.array(rows[begin, i]) for i in range(3)), *lists],
+                        names=["component", "cell", "part", "left", "right"])
 
     # most buckets are small: packs of about PACK rows share one call, blocks of large ones have their own
     packs = 1 + members.count() // PACK
     alone = (F.col("blocks") > 1) | (F.col("queries") > 1)
     pack = F.when(alone, F.xxhash64("band", "q", "p")).otherwise(F.pmod(F.xxhash64("band"), F.lit(packs)))
     found = asked.unionByName(held).groupBy(pack.alias("pack")).applyInArrow(
-        compare_all, "component long, cell long, a long, bs array<long>")
-    asking = found.groupBy("component", "cell", "a").agg(F.array_distinct(F.flatten(F.collect_list("bs"))).alias("bs"))
-    widths = asking.groupBy("component", "cell").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("parts"))
-    return asking.join(widths, ["component", "cell"]) \
-        .groupBy("component", "cell", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part")) \
-        .agg(F.collect_list(F.struct("a", "bs")).alias("asks"),
-             F.array_distinct(F.concat(F.collect_list("a"), F.flatten(F.collect_list("bs")))).alias("nodes"))
+        compare_all, "component long, cell long, part long, left array<long>, right array<long>")
+    return found.groupBy("component", "cell", "part").agg(
+        F.collect_list(F.struct("left", "right")).alias("asks"),
+        F.array_distinct(F.flatten(F.collect_list(F.concat("left", "right")))).alias("nodes"))
