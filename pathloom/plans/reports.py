@@ -527,10 +527,9 @@ def afolu_generations(db: ScenarioDb, older: ScenarioDb, co2e_line: float = fixe
     """Distribution of cumulative land-sector emissions by generation and category, and the share above a line."""
 
     def rows(d: ScenarioDb, generation: str) -> DataFrame:
-        step = 10 if generation == "SR15" else 1
         category = F.lower(F.col("category")).alias("category")
-        both = afolu_co2e_cumulative(d.long, step=step, out="total").withColumn("measure", F.lit("co2e")).unionByName(
-            afolu_co2_cumulative(d.long, step=step, out="total").withColumn("measure", F.lit("co2"))
+        both = afolu_co2e_cumulative(d.long, out="total").withColumn("measure", F.lit("co2e")).unionByName(
+            afolu_co2_cumulative(d.long, out="total").withColumn("measure", F.lit("co2"))
         )
         return both.join(d.key.select("scen_id", category), "scen_id").withColumn("gen", F.lit(generation))
 

@@ -363,7 +363,7 @@ def _gen_rows():
     co2_new = f"(select scen_id, year, value from scen_long where Variable = {q(fixed.AFOLU_CO2)})"
     out = []
     for measure, gen, src, step, key in (("co2e", "AR6", "land", 1, "scen_key"), ("co2", "AR6", co2_new, 1, "scen_key"),
-                                         ("co2e", "SR15", land_older, 10, "older_key"), ("co2", "SR15", co2_older, 10, "older_key")):
+                                         ("co2e", "SR15", land_older, 1, "older_key"), ("co2", "SR15", co2_older, 1, "older_key")):
         cat = "Category" if key == "scen_key" else "category"
         out.append(f"""select '{measure}' as measure, '{gen}' as gen, lower(k.{cat}) as category, t.v as total from
           (select scen_id, coalesce(sum(value), 0) as v from {interp(src, 'scen_id', 2020, 2050, True, step)} group by 1) t join {key} k on k.scen_id = t.scen_id""")
