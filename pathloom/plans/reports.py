@@ -415,8 +415,9 @@ def ambition_rows(db: ScenarioDb, years: Sequence[int]) -> DataFrame:
     return net_and_gross_at(db, c1, years).unionByName(removals.select(*cols))
 
 
-def ambition_table(db: ScenarioDb, limits: Limits, years: Sequence[int] = DECADES) -> DataFrame:
-    """One row per scenario and variable, milestones as columns, filtered 0/1."""
+def ambition_table(db: ScenarioDb, limits: Limits, years: Sequence[int] | None = None) -> DataFrame:
+    """One row per scenario and variable, years as columns (all of the table unless listed), filtered 0/1."""
+    years = years or range(db.first_year, db.last_year + 1)
     wide = pivot_years(ambition_rows(db, years), ("scen_id", "Variable"), years)
     return flag_members(wide, filtered(db, limits), "filtered")
 

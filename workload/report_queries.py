@@ -236,13 +236,14 @@ def _(spark, sf):
     return rp.external_comparison(d, LIM, d.key.where("in_list_b = 1"))
 
 
-_AMB = f"""select scen_id, Variable, {pivot(D, rounded=False)} from (select scen_id, {NET} as Variable, year, value from net
+_ALL = range(t.FIRST_YEAR, t.LAST_YEAR + 1)
+_AMB = f"""select scen_id, Variable, {pivot(_ALL, rounded=False)} from (select scen_id, {NET} as Variable, year, value from net
     union all select scen_id, {q(fixed.REMOVALS_SUM)}, year, value from remsum where scen_id in (select scen_id from c1)
     union all select scen_id, {GROSS}, year, value from gross where scen_id in (select scen_id from c1))
-    where year in (2020, 2030, 2040, 2050, 2060) group by 1, 2"""
+    group by 1, 2"""
 
 
-@register("rpt_ambition_table", f"""select scen_id, Variable, {_ys(D)}, case when scen_id in (select scen_id from filt) then 1 else 0 end as filtered
+@register("rpt_ambition_table", f"""select scen_id, Variable, {_ys(_ALL)}, case when scen_id in (select scen_id from filt) then 1 else 0 end as filtered
     from ({_AMB})""")
 def _(spark, sf):
     return rp.ambition_table(t.db(spark, sf), LIM)
