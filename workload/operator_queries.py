@@ -408,17 +408,17 @@ def _(spark, sf):
     return rows.select("scen_id", "Variable", F.col("value").alias("model"), (F.col("h") - F.col("value")).alias("gap"))
 
 
-@register("cohort_membership", f"""select cohort, Variable, count(*) as n, {r('quantile_cont(value, 0.5)')} as med from scen_long join (
+@register("cohort_membership", f"""select cohort, Variable, year, count(*) as n, {r('quantile_cont(value, 0.5)')} as med from scen_long join (
       select scen_id, 'C1' as cohort from c1 union all select scen_id, 'list a' from lista
       union all select scen_id, 'marked' from scen_key where IMP_marker is not null) m using (scen_id)
-    where year = 2050 group by 1, 2""")
+    group by 1, 2, 3""")
 def _(spark, sf):
     d = t.db(spark, sf)
     members = j.cohort_table(d.key, {
         "C1": F.col("Category") == "C1", "list a": F.col("in_list_a") == 1, "marked": F.col("IMP_marker").isNotNull(),
     })
-    rows = j.by_cohort(d.long.where("year = 2050"), members)
-    return sm.median(rows, ("cohort", "Variable"), out="med", groups_at_most=200, rows_at_most=d.scenarios, count="n")
+    rows = j.by_cohort(d.long, members)
+    return sm.median(rows, ("cohort", "Variable", "year"), out="med", rows_at_most=d.scenarios, count="n")
 
 
 @register("positional_label_join", f"""select k.IMP_marker as Source, g.scen_id, {pivot(MS)} from gross g join scen_key k
@@ -582,11 +582,11 @@ def _(spark, sf):
 # --- time axis ------------------------------------------------------------------------------
 
 @register("densify_years", f"""select k.scen_id, k.Variable, y.year, {r('s.value')} as value from
-    (select distinct scen_id, Variable from scen_long where Variable in {REM}) k
+    (select distinct scen_id, Variable from scen_long) k
     cross join {years_between(2020, 2050)} y
     left join scen_long s on s.scen_id = k.scen_id and s.Variable = k.Variable and s.year = y.year""")
 def _(spark, sf):
-    return ta.densify_years(_long(spark, sf).where(V().isin(list(fixed.REMOVALS))), ("scen_id", "Variable"), 2020, 2050)
+    return ta.densify_years(_long(spark, sf), ("scen_id", "Variable"), 2020, 2050)
 
 
 @register("interpolate_gaps", f"""select scen_id, Variable, year, {r('value')} as value from {interp('scen_long', 'scen_id, Variable', 2020, 2050)}
@@ -596,9 +596,9 @@ def _(spark, sf):
 
 
 @register("interpolate_gaps_ticks", f"""select user_id, event_type, year, {r('value')} as value from (select *, count(value) over
-    (partition by user_id, event_type) as n from {interp('ticks', 'user_id, event_type', 1, 30)}) where n > 0""")
+    (partition by user_id, event_type) as n from {interp('ticks', 'user_id, event_type', 1, 31)}) where n > 0""")
 def _(spark, sf):
-    return ta.interpolate_gaps(t.event_ticks(spark, sf), ("user_id", "event_type"), 1, 30, leading=True)
+    return ta.interpolate_gaps(t.event_ticks(spark, sf), ("user_id", "event_type"), 1, 31, leading=True)
 
 
 @register("interp_zero_as_gap", f"""select scen_id, Variable, year, {r('value')} as value from
