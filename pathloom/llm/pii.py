@@ -46,7 +46,7 @@ def detect(text: str) -> list[tuple[str, int, int]]:
             start = floor + len(text[floor:at].rstrip(_LOCAL))
             if start < at:
                 found.append(("email", start, m.end()))
-            floor = m.end()
+                floor = m.end()
     for m in _IP.finditer(text):
         if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
             found.append(("ip", *m.span()))

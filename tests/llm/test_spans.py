@@ -56,6 +56,13 @@ def test_plain_pii_equals_the_patterns():
         assert got == plain_pii(t), t[:80]
 
 
+def test_an_address_after_a_handle():
+    for t in ["@x.y@z.w", "@first.last@mail.example.org", "@a.b@c.d@e.f", "@a.b.@c.d", "q @x.y@z.w@x.y", "@@x.y@z.w"]:
+        got = [(k, a, b) for k, a, b, plain in pii.find(t) if plain]
+        assert got == plain_pii(t) and "email" in [k for k, *_ in got], t
+    assert pii.mask("by @first.last@mail.example.org!") == "by @<EMAIL>!"
+
+
 def test_disguises_map_back_to_source_characters():
     cases = {"write to john [at] example [dot] com now": ("email", "john [at] example [dot] com"),
              "or jane dot doe at example dot co dot uk.": ("email", "jane dot doe at example dot co dot uk"),
