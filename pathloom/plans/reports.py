@@ -39,10 +39,12 @@ def sr15_quantiles(older: ScenarioDb, categories: Sequence[str] = fixed.OLDER_CA
     ids = older.key.where(F.col("category").isin(list(categories)) & (F.col("kyoto_2010") == in_range))
     rows = in_ids(older.long.where(F.col("Variable").isin(fixed.NET_TOTAL, fixed.BECCS)), ids)
     cols = ("scen_id", "Variable", "year", "value")
-    decades = list(range(older.first_year, older.last_year + 1, 10))
-    gross = sums_at(gross_emissions_plain(rows), decades).withColumn("Variable", F.lit(fixed.GROSS_TOTAL))
+    # every year that any row of the whole table reports; an empty table has no scenarios either
+    reported = older.long.where(F.col("year").isNotNull()).select("year").distinct().collect()
+    years = sorted(r["year"] for r in reported) or [older.first_year]
+    gross = sums_at(gross_emissions_plain(rows), years).withColumn("Variable", F.lit(fixed.GROSS_TOTAL))
     both = rows.select(*cols).unionByName(gross.select(*cols))
-    q = quantile_rows(both, ("Variable", "year"), QUARTILES, groups_at_most=3 * len(decades),
+    q = quantile_rows(both, ("Variable", "year"), QUARTILES, groups_at_most=3 * len(years),
                       rows_at_most=older.scenarios)
     label = F.coalesce(*[F.when(F.col("perc") == p, F.lit(text)) for p, text in fixed.OLDER_LABELS.items()])
     return q.withColumn("source", label)

@@ -1,3 +1,5 @@
+import dataclasses
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +12,9 @@ from pathloom.operators import targets as tg
 from pathloom.operators.harmonise import harmonise_budget
 from pathloom.operators.joins import align, cohort_table, by_cohort, flag_members, recode
 from pathloom.operators.summary import sums_at
+from pathloom.plans import reports as rp
+from pathloom.plans.building import QUARTILES
+from pathloom.sources.tables import ScenarioDb
 from tests.conftest import rows
 
 
@@ -192,3 +197,23 @@ def test_gases_at_tells_nothing_reported_from_zero(long):
     assert (got["b"].N2O_2020, got["b"].CH4_2020, got["b"].HFC_2030, got["b"].HFC_2020) == (None, 0, 2, None)
     co2e = {r.scen_id: r for r in em.gases_at(df, (2020, 2030), vintage="AR6").collect()}
     assert co2e["a"].N2O_2020 == pytest.approx(1.5 * 273) and co2e["b"].HFC_2030 == pytest.approx(2 * 1.53)
+
+
+@pytest.mark.parametrize("years", [(2010, 2015, 2020, 2025), (2005, 2010, 2020, 2050)])
+def test_older_gross_quartiles_cover_every_year_of_the_table(make, long, years):
+    first, *_, last = years
+    cells = [("a", fx.NET_TOTAL, y, float(y - 2000)) for y in years[:-1]] + [("a", fx.BECCS, y, 1.0) for y in years[:2]]
+    cells += [("b", fx.NET_TOTAL, y, 3.0 * (y - 2000)) for y in years[:-1]] + [("x", fx.NET_TOTAL, last, 1.0)]
+    key = make("scen_id string, category string, kyoto_2010 string",
+               [(n, fx.OLDER_CATEGORIES[0], fx.OLDER_IN_RANGE) for n in "ab"] + [("x", "other", fx.OLDER_IN_RANGE)])
+    db = ScenarioDb(long(cells), key, first, last, 3)
+    want = {}
+    for y in years:  # a year that only others report counts as 0
+        per = [sum(v for s, _, at, v in cells if s == n and at == y) for n in "ab"]
+        want |= {(y, name): np.quantile(per, p) for name, p in QUARTILES.items()}
+    for d in (db, dataclasses.replace(db, scenarios=None)):
+        out = rp.sr15_quantiles(d)
+        got = {(r.year, r.perc): r.value for r in out.where(F.col("Variable") == fx.GROSS_TOTAL).collect()}
+        assert got == pytest.approx(want)
+    bands = rp.generation_bands(out, out).where(F.col("Variable") == fx.GROSS_TOTAL)
+    assert {r.year for r in bands.collect()} == {y for y in years if y >= 2020}
