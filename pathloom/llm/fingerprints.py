@@ -2,20 +2,27 @@
 
 A run of ``K`` words is an anchor if, of the ``S``-word runs inside it, one of least hash lies at its beginning or
 its end. Whether it is does not depend on anything around it, so equal passages have equal anchors wherever they
-stand, and anchors with their places match documents position by position. A fingerprint holds the ``KEEP`` least
-distinct anchor hashes; likeness estimates the overlap of the anchor sets from them.
+stand. A text's whole fingerprint is all its anchors with their places, so it grows with the text; ``matched`` holds
+two of them against each other position by position. Beside it stands a short fingerprint of the ``KEEP`` least
+distinct anchor hashes, from which ``likeness`` estimates the overlap of the anchor sets, without order or place.
+
+Positions match so: of each hash the i-th anchor of one text is paired with the i-th of the other; a pair counts if
+its offset (place in the other text less place in the one) is that of ``AGREE`` pairs or more, or of as many as the
+shorter fingerprint has. Sorting both once does that, however often an anchor repeats.
 
 Defined results: a null text is empty and has an empty fingerprint; two empty fingerprints are alike (1), one empty
 and one not are not (0); a text with words but no anchor has one anchor, all its words. Documents that share an id
-follow each other by a hash of their text.
+follow each other by a hash of their text. Of several commonest offsets the least is given, none if no pair counts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K, S, KEEP = 5, 2, 64
+K, S, KEEP, AGREE = 5, 2, 64, 2
 
 
 def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) -> DataFrame:
@@ -61,6 +68,63 @@ def likeness(a: Column, b: Column, keep: int = KEEP) -> Column:
     return F.when(F.size(least) == 0, F.lit(1.0)).otherwise(shared / F.size(least))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once a row."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _upto(n: Column) -> Column:
+    """0, 1, ... below ``n``."""
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def _cuts(items: Column, key: Callable[[Column], Column]) -> Column:
+    """Where in a sorted array each run of equal keys begins, and the array's size."""
+    begins = F.filter(_upto(F.size(items)), lambda i: (i == 0) | (key(F.get(items, i)) != key(F.get(items, i - 1))))
+    return F.concat(begins, F.array(F.size(items)))
+
+
+def _offsets(both: Column, cuts: Column) -> Column:
+    """Offsets of the pairs; ``both`` is sorted by hash, text and place, ``cuts`` parts it by hash and text."""
+    at = lambda r: F.get(both, F.get(cuts, r))
+    pairs = F.filter(_upto(F.size(cuts) - 2), lambda r: (at(r)["side"] == 0) & (at(r)["hash"] == at(r + 1)["hash"]))
+
+    def of_run(r: Column) -> Column:
+        a, b, end = F.get(cuts, r), F.get(cuts, r + 1), F.get(cuts, r + 2)
+        return F.transform(F.sequence(F.lit(0), F.least(b - a, end - b) - 1),
+                           lambda k: F.get(both, b + k)["pos"] - F.get(both, a + k)["pos"])
+
+    return F.sort_array(F.flatten(F.transform(pairs, of_run)))
+
+
+def matched(a: Column, b: Column, agree: int = AGREE) -> Column:
+    """Two arrays of anchors held against each other: (matched, offset, likeness), where ``matched`` counts the pairs
+    at consistent offsets, ``offset`` is the commonest of these and ``likeness`` the share of matched anchors."""
+
+    def sided(anchors: Column, side: int) -> Column:
+        return F.transform(anchors, lambda x: F.struct(x["hash"].alias("hash"), F.lit(side).alias("side"),
+                                                       x["pos"].alias("pos")))
+
+    enough = F.least(F.lit(agree), F.size(a), F.size(b))
+
+    def votes(offsets: Column) -> Column:
+        """(-n, offset) of each consistent offset, the commonest first."""
+        return _let(_cuts(offsets, lambda x: x), lambda cuts: F.sort_array(F.filter(F.transform(
+            _upto(F.size(cuts) - 1), lambda r: F.struct((F.get(cuts, r) - F.get(cuts, r + 1)).alias("less"),
+                                                        F.get(offsets, F.get(cuts, r)).alias("offset"))),
+            lambda v: v["less"] <= -enough)))
+
+    def result(found: Column) -> Column:
+        n = F.aggregate(found, F.lit(0), lambda total, v: total - v["less"])
+        all_ = F.size(a) + F.size(b) - n
+        return F.struct(n.alias("matched"), F.get(found, F.lit(0))["offset"].alias("offset"),
+                        F.when(all_ == 0, F.lit(1.0)).otherwise(n / all_).alias("likeness"))
+
+    offsets = _let(F.sort_array(F.concat(sided(a, 0), sided(b, 1))), lambda both: _let(
+        _cuts(both, lambda x: F.struct(x["hash"], x["side"])), lambda cuts: _offsets(both, cuts)))
+    return _let(_let(offsets, votes), result)
+
+
 def with_next(df: DataFrame, id_col: str, carried: list[str], parts: int | None = None) -> DataFrame:
     """``df`` with ``next_<c>`` of the row that follows by id; the first follows the last.
 
@@ -95,19 +159,26 @@ def with_next(df: DataFrame, id_col: str, carried: list[str], parts: int | None
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints of each text and of its edited text, with the likeness to that and to the next document."""
+    """Fingerprints of each text and of its edited text, with the likeness to that and to the next document: from the
+    short fingerprints (``near_``) and from all anchors by place (``placed_``)."""
     rows = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = with_anchors(rows, "text", "anchors").select(id_col, "text", sketch(F.col("anchors")).alias("own"))
-    both = with_next(rows, id_col, ["text", "own"])
+    both = with_next(rows, id_col, ["text"])
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.expr("substring(text, 1, char_length(text) - int(floor(char_length(text) / 2)))"),
                       F.expr("substring(next_text, 1, int(floor(char_length(text) / 2)))"))
-    both = both.select(id_col, n.cast("long").alias("n_chars"), half.alias("half"), edited.alias("edited"), "own",
-                       "next_own")
-    both = with_anchors(both, "edited", "anchors").select(
-        id_col, "n_chars", "edited", "own", "next_own", sketch(F.col("anchors")).alias("changed"))
+    both = both.select(id_col, "text", "next_text", n.cast("long").alias("n_chars"), half.alias("half"),
+                       edited.alias("edited"))
+    # anchors are longer than their text, so those of the next text are computed again rather than dealt with it
+    for text, out in (("text", "anchors"), ("edited", "edited_anchors"), ("next_text", "next_anchors")):
+        both = with_anchors(both, text, out)
+    both = both.select(id_col, "n_chars", "edited", "anchors", "edited_anchors", sketch(F.col("anchors")).alias("own"),
+                       sketch(F.col("next_anchors")).alias("next_own"),
+                       sketch(F.col("edited_anchors")).alias("changed"),
+                       matched(F.col("anchors"), F.col("edited_anchors")).alias("placed_edited"),
+                       matched(F.col("anchors"), F.col("next_anchors")).alias("placed_next"))
     return both.select(id_col, "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
                        printed(F.col("own")).alias("fingerprint"), printed(F.col("changed")).alias("edited_fingerprint"),
                        likeness(F.col("own"), F.col("changed")).alias("near_edited"),
-                       likeness(F.col("own"), F.col("next_own")).alias("near_next"))
+                       likeness(F.col("own"), F.col("next_own")).alias("near_next"),
+                       "anchors", "edited_anchors", "placed_edited", "placed_next")

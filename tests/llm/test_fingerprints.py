@@ -1,6 +1,7 @@
 import hashlib
 import random
 import struct
+from collections import Counter
 
 import xxhash
 
@@ -122,3 +123,41 @@ def test_odd_rows(make):
     assert fp.fingerprint_edits(make(DOCS, [])).count() == 0
     one = fp.fingerprint_edits(make(DOCS, [(1, "a b c d e f g", None, None, None)])).first()
     assert one.near_next == 1.0
+
+
+def placed(a, b):
+    places = [{}, {}]
+    for side, anchors_ in enumerate((a, b)):
+        for pos, h in anchors_:
+            places[side].setdefault(h, []).append(pos)
+    pairs = Counter(y - x for h, xs in places[0].items() for x, y in zip(xs, places[1].get(h, [])))
+    votes = sorted((-n, o) for o, n in pairs.items() if n >= min(fp.AGREE, len(a), len(b)))
+    n = -sum(v for v, _ in votes)
+    whole = len(a) + len(b) - n
+    return n, votes[0][1] if votes else None, n / whole if whole else 1.0
+
+
+def test_all_anchors_match_by_place(make):
+    rng = random.Random(5)
+    passage = words(rng, 60, 10**6)
+    rows = [(i, f"{words(rng, rng.randrange(90), 30)} {passage if i % 2 else ''}") for i in range(60)]
+    rows += [(100 + i, t) for i, t in enumerate(["", None, "a", "a b", "a b", "a " * 300, "a " * 250, "b " + "a " * 99])]
+    text = [t or "" for _, t in rows]
+    for i, r in enumerate(fp.fingerprint_edits(make("doc_id long, text string", rows)).orderBy("doc_id").collect()):
+        nxt = text[(i + 1) % len(text)]
+        half = len(text[i]) // 2
+        edited = text[i][:len(text[i]) - half] + nxt[:half]
+        assert [tuple(a) for a in r.anchors] == anchors(text[i])
+        assert [tuple(a) for a in r.edited_anchors] == anchors(edited)
+        assert tuple(r.placed_edited) == placed(anchors(text[i]), anchors(edited)), text[i]
+        assert tuple(r.placed_next) == placed(anchors(text[i]), anchors(nxt)), text[i]
+
+
+def test_a_passage_shared_by_long_texts_is_found_at_its_offset(make):
+    rng = random.Random(6)
+    passage = words(rng, 300, 10**6)
+    rows = [(1, f"{words(rng, 5000, 10**6)} {passage} {words(rng, 14700, 10**6)}"),
+            (2, f"{words(rng, 12000, 10**6)} {passage} {words(rng, 7700, 10**6)}")]
+    r = fp.fingerprint_edits(make("doc_id long, text string", rows)).where("doc_id = 1").first()
+    assert len(r.anchors) > 5000 and r.placed_next.offset == 7000 and r.placed_next.matched >= len(anchors(passage))
+    assert r.placed_next.likeness > 0
