@@ -53,3 +53,15 @@ def test_reports_through_the_bracketed_quantiles(spark, con, name, monkeypatch):
     monkeypatch.setattr(summary, "ACCURACY", 20)
     _, state = compare(spark, con, name, entry.queries()[name], SF, entry.oracle_sql()[name])
     assert state.startswith("ok"), state
+
+
+def test_zero_as_gap_runs_over_the_whole_table(spark, con):
+    _, state = compare(spark, con, "interp_zero_as_gap_all", entry.queries()["interp_zero_as_gap_all"], SF,
+                       entry.oracle_sql()["interp_zero_as_gap_all"])
+    assert state.startswith("ok"), state
+    got = entry.queries()["interp_zero_as_gap_all"](spark, SF)
+    reported = entry.queries()["unpivot_years"](spark, SF).where("year between 2020 and 2050 and value != 0")
+    keys = ("scen_id", "Variable")
+    want = {tuple(r) for r in reported.select(*keys).distinct().collect()}
+    assert {tuple(r) for r in got.select(*keys).distinct().collect()} == want
+    assert len({v for _, v in want}) == 30

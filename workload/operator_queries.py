@@ -611,6 +611,12 @@ def _(spark, sf):
     return ta.interpolate_gaps(rows, first=2020, last=2050, zero_missing=True)
 
 
+@register("interp_zero_as_gap_all", f"""select scen_id, Variable, year, {r('value')} as value from
+    {interp('scen_long', 'scen_id, Variable', 2020, 2050, True)} where value is not null""")
+def _(spark, sf):
+    return ta.interpolate_gaps(_long(spark, sf), first=2020, last=2050, zero_missing=True)
+
+
 _ANCHORED = f"""(select scen_id, year, case when year = 2020 then cast(35289.751 as double) when year = 2021 then null else value end as value
     from grossharm)"""
 
