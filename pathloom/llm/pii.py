@@ -72,6 +72,11 @@ _ALIKE = {
 _HIDDEN = "­​‌‍⁠﻿"
 _SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6",
             "seven": "7", "eight": "8", "nine": "9"}
+# the other languages of the corpus: German, French, Spanish
+_SPELLED |= {w: str(n) for words in (
+    "null eins zwei drei vier fünf sechs sieben acht neun", "zéro un deux trois quatre cinq six sept huit neuf",
+    "cero uno dos tres cuatro cinco seis siete ocho nueve") for n, w in enumerate(words.split())}
+_SPELLED |= {"zwo": "2", "fuenf": "5"}
 
 
 def _alike() -> dict[str, str]:
@@ -84,11 +89,12 @@ def _alike() -> dict[str, str]:
 
 ALIKE = _alike()
 _ALIKE_RUN = re.compile("[" + "".join(map(re.escape, ALIKE)) + "]+")
-_ONE = "|".join(_SPELLED)
-_SOME_SPELLED = re.compile(rf"(?:{_ONE})[\s,-]+(?:{_ONE})")
-_SPELLED_RUN = re.compile(rf"\b(?:{_ONE})(?:[\s,-]{{1,3}}(?:{_ONE}))+\b", re.I)
-_SPELLED_ONE = re.compile(_ONE, re.I)
-_PLUS = re.compile(r"\bplus\s(?=[0-9])", re.I)
+_ONE = rf"(?<![^\W\d_])(?:{'|'.join(_SPELLED)})(?![^\W\d_])"
+_GAP = r"[\s,-]{0,3}"
+_SOME_SPELLED = re.compile(rf"{_ONE}{_GAP}(?:{_ONE}|[0-9])|(?<=[0-9]){_GAP}{_ONE}")
+_SPELLED_RUN = re.compile(rf"(?:{_ONE}|[0-9]++)(?:{_GAP}(?:{_ONE}|[0-9]++))+", re.I)
+_RUN_PART = re.compile(rf"{_ONE}|[0-9]++", re.I)
+_PLUS = re.compile(r"\b(?:plus|más)\s(?=[0-9])", re.I)
 _AT = re.compile(r"\s?[\[({<]\s?(?:at|@)\s?[\])}>]\s?|(?<=[A-Za-z0-9_%+-])\sat\s(?!(?:the|an?|this|that|my|your|our)\s)"
                  r"(?=[A-Za-z0-9-]{1,63}(?:\sdot\s|\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]))", re.I)
 _DOT = re.compile(r"\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?|(?<=[A-Za-z0-9-])\sdot\s(?=[A-Za-z0-9])", re.I)
@@ -135,13 +141,19 @@ class Trace:
 
 
 def _digits(text: str) -> list[tuple[int, int, str]]:
-    """One edit per spelled digit; it takes the gap before it along, inside a run."""
+    """Edits that write out the spelled digits of each run; the gaps beside them go, those between written ones stay."""
     edits = []
     for run in _SPELLED_RUN.finditer(text):
-        at = run.start()
-        for m in _SPELLED_ONE.finditer(text, run.start(), run.end()):
-            edits.append((at, m.end(), _SPELLED[m[0].lower()]))
-            at = m.end()
+        at = run.start()  # end of what came before in the run
+        ended = False  # whether that was a spelled digit
+        for m in _RUN_PART.finditer(text, run.start(), run.end()):
+            spelled = not m[0].isdigit()
+            if spelled:  # re.I also takes the long s and the dotted and dotless i of other alphabets
+                word = m[0].casefold().replace("ı", "i").replace("\u0307", "")
+                edits.append((at, m.end(), _SPELLED[word]))
+            elif ended and at < m.start():
+                edits.append((at, m.start(), ""))
+            at, ended = m.end(), spelled
     return edits
 
 

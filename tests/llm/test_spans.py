@@ -80,6 +80,22 @@ def test_disguises_map_back_to_source_characters():
         assert pii.find(t) == [] and pii.mask(t) == t
 
 
+def test_spelled_digits_of_all_languages_and_mixed_with_written_ones():
+    cases = {"ruf plus vier neun drei null eins zwei drei vier fünf sechs sieben an":
+                 ("phone", "plus vier neun drei null eins zwei drei vier fünf sechs sieben"),
+             "au plus trois trois un deux trois quatre cinq six sept huit neuf!":
+                 ("phone", "plus trois trois un deux trois quatre cinq six sept huit neuf"),
+             "al más tres cuatro nueve uno dos tres cuatro cinco seis siete ocho":
+                 ("phone", "más tres cuatro nueve uno dos tres cuatro cinco seis siete ocho"),
+             "ring +49 three 0 one 234567 now": ("phone", "+49 three 0 one 234567"),
+             "card 4111 one111 1111 1111 ok": ("card", "4111 one111 1111 1111")}
+    for t, (kind, source) in cases.items():
+        assert (kind, source) in [(k, t[a:b]) for k, a, b, plain in pii.find(t) if not plain], (t, pii.find(t))
+    for t in ["un deux trois", "in 2020 one 3", "acht 12 neun", "the nine 100 done", "phone 12345",
+              "one two ſix fıve fİve"]:
+        assert pii.find(t) == []
+
+
 def test_mask_hides_all_and_leaves_the_rest():
     assert pii.mask("to a@b.c or 1.2.3.4!") == "to <EMAIL> or <IP>!"
     assert pii.mask("nothing here") == "nothing here"
