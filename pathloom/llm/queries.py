@@ -8,14 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import (bpe, decontaminate, fingerprints, neardup, pii, quality, secrets, shards, tokencount,
-                          urlfilter)
+from pathloom.llm import (align, bpe, decontaminate, fingerprints, neardup, pii, quality, secrets, shards,
+                          tokencount, topk, urlfilter)
 from pathloom.llm.common import fresh_path, span_digest, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+BYTE_LEVEL = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 SHARDS = 24
 
@@ -122,6 +123,20 @@ def op10_url_filter(spark: SparkSession, sf: str) -> DataFrame:
         F.col("valid_from").cast("string").alias("valid_from"), F.col("valid_to").cast("string").alias("valid_to"))
 
 
+@query
+def op11_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best inner products of every hundredth vector among all others."""
+    return topk.search_top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
+@query
+def op12_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    aligned = align.align_texts(table(spark, sf, "documents"), BYTE_LEVEL, PIECES)
+    digest = F.when(F.col("n_groups") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise(F.lit(""))
+    return align.with_counts(aligned.withColumn("groups", digest)).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
 @query
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
@@ -240,3 +255,12 @@ SELECT p.page_id, p.url, CAST(p.fetch_date AS VARCHAR) AS fetch_date,
 FROM p LEFT JOIN best ON p.page_id IS NOT DISTINCT FROM best.page_id AND p.url = best.url
   AND p.fetch_date = best.fetch_date
 """
+
+TWINS["op11_top_k"] = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS vec
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.vec, c.vec) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.r != c.r)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM s) WHERE rank <= 10
+"""
