@@ -35,14 +35,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 PART_BYTES = 8 << 20  # of text worked on at a time; a longer text is a part of its own
 
 
-def parts(batch):
+def parts(batch, limit: int = PART_BYTES):
     """A batch in slices of rows with bounded bytes in the last column."""
     import pyarrow.compute as pc
 
     size = np.cumsum(pc.binary_length(batch.column(batch.num_columns - 1)).to_numpy(), dtype=np.int64)
     at = 0
     while at < len(size):
-        stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + PART_BYTES, side="right")))
+        stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + limit, side="right")))
         yield batch.slice(at, stop - at)
         at = stop
 

@@ -1,8 +1,10 @@
 import hashlib
 import random
 from collections import Counter
+from itertools import accumulate
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from pathloom.llm import align, queries
@@ -40,13 +42,25 @@ def plain():
     return run
 
 
+def ends(raw):
+    return [*accumulate(map(len, raw))]
+
+
+def texts_of(own, texts):
+    """(tokens of A and of B, groups, links) of each text, None without tokens"""
+    n_a, n_b, groups, links, sizes = own.texts(pa.array(texts, pa.string()))
+    stops = sizes.cumsum().tolist()
+    return [(int(a), int(b), g, links[e - n:e].tolist()) if a else None
+            for a, b, g, n, e in zip(n_a, n_b, groups.to_pylist(), sizes.tolist(), stops)]
+
+
 def brute(texts, plain):
     """Every link by comparing the end of each token with the end of each other token."""
     parts = []
     for t in texts:
         ids_a, ids_b, raw_a, raw_b = plain(t)
-        end_a = [sum(map(len, raw_a[:i + 1])) for i in range(len(raw_a))] if len(raw_a) < 400 else align.ends(raw_a)
-        end_b = [sum(map(len, raw_b[:i + 1])) for i in range(len(raw_b))] if len(raw_b) < 400 else align.ends(raw_b)
+        end_a = [sum(map(len, raw_a[:i + 1])) for i in range(len(raw_a))] if len(raw_a) < 400 else ends(raw_a)
+        end_b = [sum(map(len, raw_b[:i + 1])) for i in range(len(raw_b))] if len(raw_b) < 400 else ends(raw_b)
         at_b = {e: j for j, e in enumerate(end_b)}
         links = [(i, at_b[e]) for i, e in enumerate(end_a) if e in at_b]
         cuts = [(-1, -1), *links]
@@ -73,14 +87,31 @@ def test_words_are_encoded_as_in_the_text(plain):
            "\U0001f600 x \U0001f600", "I'll we 're it's", "a 's b", "1 2 33 444", "\u65e5\u672c \u8a9e", "\u0e01 \u0e33 a", "\ufeffa b"]
     pieces = ["a", " ", "  ", "The", "'s", "\n", "12", "\u00e9", "\u65e5", ".", "\u00d7", "zq", "\t", "\u2003"]
     made = ["".join(rng.choice(pieces) for _ in range(rng.randrange(40))) for _ in range(1500)]
-    for t in [*odd, *mixed_texts(300), *made, words(rng, 3000)]:
+    more = ["foo,bar.\nBaz (x1y2) don't 'tis", "a.\n\nB", "a\nb", "a \n b", "x\n\n", "\nfoo", "foo\n", "a.\nb\n\nc", "12ab34 5", "a' b",
+            "a'b'c", "(a) [b] {c}", "a,, b", "!a", "a!", "caf\u00e9s,\u03b1b", "\u03b1,b c", "a\u03b1", "na\u00efve.\n\tx", "...\n(x", " ", "  ", "\n",
+            "a \u00d7 b", "1.5e-7 2", "x" * 3000, "ab, " * 500]
+    texts = [*odd, *more, *mixed_texts(300), *made, words(rng, 3000)]
+    for batch in (texts, [t for i, t in enumerate(reversed(texts)) if i % 2], texts[:50]):
+        for t, found in zip(batch, texts_of(own, batch)):
+            ids_a, ids_b, *_ = plain(t)
+            assert (found or (0, 0))[:2] == (len(ids_a), len(ids_b)), repr(t)
+            if found:
+                flat = [g.split("|") for g in found[2].split(";")]
+                assert [int(i) for g in flat for i in g[0].split(",")] == ids_a, repr(t)
+                assert [int(i) for g in flat for i in g[1].split(",")] == ids_b, repr(t)
+
+
+def test_every_sign_between_letters(plain):
+    own = align.aligner(A, B)
+    points = [c for c in map(chr, [*range(1, 0x3000), *range(0xFE00, 0x10000), *range(0x1F600, 0x1F650)]) if not 0xD800 <= ord(c) < 0xE000]
+    texts = [f"ab{c}cd {c}{c} ef{c} gh {c}ij 1{c}2 .{c}. \u00e9{c}\u00f1 {c}" for c in points]
+    for t, found in zip(texts, texts_of(own, texts)):
         ids_a, ids_b, *_ = plain(t)
-        found = own.text(t)
-        assert (found or (0, 0))[:2] == (len(ids_a), len(ids_b)), repr(t)
+        assert (found is not None) == bool(ids_a), repr(t)
         if found:
             flat = [g.split("|") for g in found[2].split(";")]
-            assert [int(i) for g in flat for i in g[0].split(",")] == ids_a
-            assert [int(i) for g in flat for i in g[1].split(",")] == ids_b
+            assert [int(i) for g in flat for i in g[0].split(",")] == ids_a, repr(t)
+            assert [int(i) for g in flat for i in g[1].split(",")] == ids_b, repr(t)
 
 
 def test_tables_equal_brute_force(make, plain):
@@ -102,12 +133,18 @@ def test_tables_equal_brute_force(make, plain):
     assert align.with_counts(align.align_texts(make(DOCS, []), A, B)).count() == 0
 
 
-def test_words_kept_are_bounded():
+def test_units_kept_are_bounded(plain):
     own = align.Aligner(A, B, cache=50)
     rng = random.Random(1)
     for _ in range(20):
-        own.text(words(rng, 300, 10_000))
-        assert len(own.cache) <= 50
+        texts = [words(rng, 60, 10_000) + ", of the " + "y" * 100 for _ in range(3)]
+        for t, found in zip(texts, texts_of(own, texts)):
+            ids_a, ids_b, *_ = plain(t)
+            assert found[:2] == (len(ids_a), len(ids_b))
+        kept = own.units
+        assert len(kept.index) <= 50 and len(kept.index) == len(kept.groups) == len(kept.n_a) == len(kept.uses)
+        assert len(kept.links) == kept.n_links.sum()
+    assert "of" in own.units.index
 
 
 def test_query_equals_brute_force(spark, plain):
