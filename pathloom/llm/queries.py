@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import (align, bpe, decontaminate, fingerprints, neardup, pii, quality, secrets, shards,
-                          tokencount, topk, urlfilter)
+from pathloom.llm import (align, bpe, decontaminate, fingerprints, neardup, pii, quality, repair, secrets,
+                          shards, tokencount, topk, urlfilter)
 from pathloom.llm.common import fresh_path, span_digest, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,6 +137,11 @@ def op12_alignment(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
 
 
+@query
+def op13_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    return repair.repair(repair.damaged(table(spark, sf, "conversations"))).verdicts
+
+
 @query
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
