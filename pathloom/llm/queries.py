@@ -269,3 +269,68 @@ s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.vec, c
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM s) WHERE rank <= 10
 """
+
+
+def _more(state: str, cost: str, letter: str) -> str:
+    """A way to a state with one more edit."""
+    return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 's': {state}.s || '{letter}'}} END"
+
+
+def _least(*ways: str) -> str:
+    return f"list_min([{', '.join(ways)}])"
+
+
+# the cheapest and ASCII-least edits to each state (nothing yet, s, u, a) after each row; inserts come before a row
+_INSERTED = f"""SELECT *, b0 AS e0, b1 AS e1,
+    {_least('b2', *[_more(b, '5', 'I') for b in ('b0', 'b1', 'b3')])} AS e2,
+    {_least('b3', _more('b2', '5', 'I'), _more('b0', '10', 'II'), _more('b1', '10', 'II'))} AS e3"""
+_KEPT = "CASE WHEN o.c = '{}' THEN {} END"
+_SOUND = "CASE WHEN o.fault NOT IN ('blank', 'duplicate') THEN {} END"
+_M = "(CASE WHEN o.fault = 'truncated' THEN 5 ELSE 0 END)"
+TWINS["op13_conversations"] = f"""
+WITH RECURSIVE table_of AS (SELECT list(c ORDER BY i) AS crc FROM (
+  SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, b:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) x(i))),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  hex(encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))) AS raw FROM conversations),
+h AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295::BIGINT,
+  list_transform(range(length(raw) // 2), lambda i: ('0x' || substr(raw, CAST(2 * i + 1 AS BIGINT), 2))::BIGINT)),
+  lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS how FROM k, table_of),
+d AS (SELECT conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role, CASE how WHEN 1 THEN ''
+    WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, n
+  FROM (SELECT *, unnest(range(CASE WHEN how = 3 THEN 2 ELSE 1 END)) AS n FROM h WHERE how != 0)),
+o AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN said > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 'truncated' ELSE '' END AS fault
+  FROM (SELECT conv_id, turn, role, text, substr(role, 1, 1) AS c,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, n) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, n) AS said FROM d)),
+step AS (SELECT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 's': ''}} AS b0, CAST(NULL AS STRUCT(c BIGINT, s VARCHAR)) AS b1,
+    CAST(NULL AS STRUCT(c BIGINT, s VARCHAR)) AS b2, CAST(NULL AS STRUCT(c BIGINT, s VARCHAR)) AS b3
+  FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL SELECT conv_id, i, b0, b1, b2, b3 FROM (SELECT e.conv_id, o.i, {_more('e0', '2', 'D')} AS b0,
+      {_least(_more('e1', '2', 'D'), _SOUND.format(_KEPT.format('s', _more('e0', _M, 'K'))))} AS b1,
+      {_least(_more('e2', '2', 'D'), *[_SOUND.format(x) for e in ('e0', 'e1', 'e3')
+              for x in (_KEPT.format('u', _more(e, _M, 'K')), _more(e, '1 + ' + _M, 'R'))])} AS b2,
+      {_least(_more('e3', '2', 'D'), *[_SOUND.format(x) for x in
+              (_KEPT.format('a', _more('e2', _M, 'K')), _more('e2', '1 + ' + _M, 'R'))])} AS b3
+    FROM ({_INSERTED} FROM step) e JOIN o ON o.conv_id IS NOT DISTINCT FROM e.conv_id AND o.i = e.i + 1)),
+best AS (SELECT conv_id, {_least('e0', 'e3')} AS way FROM ({_INSERTED} FROM step)
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+edits AS (SELECT conv_id, p, letter, CAST(sum(CASE WHEN letter = 'I' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY p) AS BIGINT) AS i
+  FROM (SELECT conv_id, unnest(range(1, length(way.s) + 1)) AS p, way.s[p] AS letter FROM best)),
+kept AS (SELECT e.conv_id, e.letter, o.role, o.text, o.c, row_number() OVER w AS j,
+    first_value(e.letter = 'K' AND o.c = 's') OVER w AS led
+  FROM edits e LEFT JOIN o ON e.letter != 'I' AND o.conv_id IS NOT DISTINCT FROM e.conv_id AND o.i = e.i
+  WHERE e.letter != 'D' WINDOW w AS (PARTITION BY e.conv_id ORDER BY e.p)),
+said AS (SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (j - CASE WHEN led THEN 1 ELSE 0 END) % 2 = 1 THEN 'user'
+    ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS all_of FROM kept GROUP BY 1),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (i > 1 AND before || c NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT *, lag(c) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o) GROUP BY 1)
+SELECT best.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, way.c AS cost, way.s AS audit,
+  sha256(coalesce(all_of, '')) AS repaired_sha256
+FROM best LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM best.conv_id
+  LEFT JOIN said ON said.conv_id IS NOT DISTINCT FROM best.conv_id
+"""
