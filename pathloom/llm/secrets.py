@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import map_texts, span_type
+from pathloom.llm.common import parts
 
 
 @dataclass(frozen=True)
@@ -77,34 +77,32 @@ def scan_versions(versions: DataFrame, ledger: str, paths: Sequence[str] = ("doc
     keys = [r.key for r in rules]
     wanted = F.array(*[F.lit(k) for k in keys])
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = versions.select(*paths, text.alias("__text"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("blob"),
-                           F.xxhash64(*paths).alias("__at"))
+    rows = versions.select(*paths, F.unhex(F.sha2(text.cast("binary"), 256)).alias("blob"), text.alias("__text"))
     seen = (open_ledger(spark, ledger).select("blob", F.explode(F.array_intersect("rules", wanted)).alias("rule"))
             .groupBy("blob").agg(F.collect_set("rule").alias("seen")))
-    # one holder of each blob hands its text in: ids and hashes are grouped, texts move once and by their own row
-    todo = (rows.groupBy("blob").agg(F.min("__at").alias("__at")).join(seen, "blob", "left")
-            .select("blob", "__at", F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>")))
-                    .alias("rules")).where(F.size("rules") > 0))
+    needed = F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>")))
+    done = seen.where(F.size(needed) == 0).select("blob")
+    # copies fold where they are read, so one text of each unseen blob moves; the ledger's rows lie by blob as well
+    fresh = rows.select("blob", "__text").join(done, "blob", "left_anti").groupBy("blob").agg(
+        F.any_value("__text").alias("__text"))
+    fresh = fresh.join(seen, "blob", "left").select("blob", needed.alias("rules"), "__text")
     by_key = {r.key: r for r in rules}
 
-    def make():
+    def run(batches):
         import pyarrow as pa
 
         kind = pa.list_(pa.struct([("rule", pa.string()), ("kind", pa.string()), ("start", pa.int32()),
                                    ("end", pa.int32())]))
         names = ("rule", "kind", "start", "end")
-
-        def run(batches):
-            for batch in batches:
-                blob, need, texts = batch.columns
+        for batch in batches:
+            for part in parts(batch):
+                blob, need, texts = part.columns
                 found = [[dict(zip(names, f)) for f in scan(t.as_py(), [by_key[k] for k in n.as_py()])]
                          for n, t in zip(need, texts)]
                 yield pa.RecordBatch.from_arrays([blob, need, pa.array(found, kind)],
                                                  names=["blob", "rules", "findings"])
-        return run
 
-    fresh = rows.join(todo.hint("shuffle_hash"), ["blob", "__at"]).select("blob", "rules", "__text")
-    fresh.mapInArrow(lambda batches: make()(batches), LEDGER).write.mode("append").parquet(ledger)
+    fresh.mapInArrow(run, LEDGER).write.mode("append").parquet(ledger)
 
     order = F.array_position(F.array(*[F.lit(r.kind) for r in rules]), F.col("f.kind")).cast("int")
     base = F.col("f.kind").isin(*[r.kind for r in rules if r.base])

@@ -121,6 +121,15 @@ def test_ledger_scans_only_what_it_has_not_seen(spark, make):
     assert [(s.kind, s.start, s.end) for s in found.spans] == [("assign", 0, 14)]
 
 
+def test_copies_are_scanned_once(spark, make):
+    rows = [(i, f"token={i:08d}") for i in range(50)]
+    ledger = fresh_path(spark, "ledger")
+    found = secrets.scan_versions(make("doc_id long, text string", rows * 3).repartition(4), ledger)
+    assert found.count() == 150 and spark.read.parquet(ledger).count() == 50
+    secrets.scan_versions(make("doc_id long, text string", [(i + 100, t) for i, t in rows] + [(7, "token=aaaabbbb")]), ledger)
+    assert spark.read.parquet(ledger).count() == 51
+
+
 def test_odd_rows(spark, make):
     docs = make(DOCS, odd_rows())
     none = make(DOCS, [])
