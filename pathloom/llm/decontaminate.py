@@ -111,7 +111,7 @@ class FMIndex:
 class Phrases:
     """The windows of some benchmark items: distinct phrases by length, and the items each belongs to."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW):
         import pyarrow as pa
 
         words = Words(pa.array([t for _, t in items], pa.string()), LETTERS)
@@ -125,7 +125,9 @@ class Phrases:
             seq = (ids[words.first[i]:words.first[i + 1]] + 1).tolist()
             size = min(window, len(seq))
             for a in range(len(seq) - size + 1 if seq else 0):
-                found.setdefault(tuple(seq[a:a + size]), set()).add(item)
+                owners = found.setdefault(tuple(seq[a:a + size]), set())
+                if item is not None:  # an item without a name makes hits and is not listed
+                    owners.add(item)
         self.by_length: dict[int, tuple[np.ndarray, list[list[str]]]] = {}
         for size in sorted({len(p) for p in found}):
             chosen = [p for p in found if len(p) == size]
@@ -233,7 +235,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, .
     the other and their hits joined by row.
     """
     rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("t")) \
-        .where("item IS NOT NULL AND t IS NOT NULL")
+        .where("t IS NOT NULL")
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = -(-size // block_bytes)
     if blocks <= 1:

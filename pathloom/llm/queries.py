@@ -28,9 +28,12 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
 
 @query
 def op1_secrets(spark: SparkSession, sf: str) -> DataFrame:
-    """Secrets in every document, by a ledger that has seen nothing yet."""
-    found = secrets.scan_versions(table(spark, sf, "documents"), fresh_path(spark, "ledger"))
-    return found.select("doc_id", *span_digest("spans", secrets.BASE_KINDS))
+    """Secrets in every document, by a ledger that has seen nothing yet. The table comes in two instalments: what the second
+    shares with the first is not scanned again."""
+    docs, ledger = table(spark, sf, "documents"), fresh_path(spark, "ledger")
+    instalment = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    first, second = (secrets.scan_versions(docs.where(instalment == i), ledger) for i in (0, 1))
+    return first.unionByName(second).select("doc_id", *span_digest("spans", secrets.BASE_KINDS))
 
 
 @query
@@ -219,7 +222,7 @@ laid AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS p FROM (
   SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
 m AS (SELECT DISTINCT r, i, laid.n, item FROM laid JOIN win USING (p)),
 h AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM m) GROUP BY r),
-t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+t AS (SELECT r, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS items
   FROM (SELECT DISTINCT r, item FROM m) GROUP BY r)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
@@ -233,7 +236,7 @@ def _n(key: str, salt: str) -> str:
 
 TWINS["op10_url_filter"] = f"""
 WITH p AS (SELECT page_id, url, DATE '2023-01-01' + CAST({_n('page_id', 'day')} % 730 AS INT) AS fetch_date,
-  lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1)) AS host,
+  rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*@)?(\\[[^\\]/?#]*\\]|[^/:?#@]+)', 2)), '.') AS host,
   regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)', 1) AS path FROM pages),
 keys AS (SELECT DISTINCT key FROM (SELECT unnest([host, regexp_extract(host, '([^.]+\\.[^.]+)$', 1),
   host || '/' || regexp_extract(path, '^/([^/]*)', 1)]) AS key FROM p WHERE url IS NOT NULL)
@@ -246,7 +249,8 @@ turned AS (SELECT * FROM (SELECT *, lag(weight) OVER (PARTITION BY key ORDER BY
   WHERE was IS NULL OR was != weight),
 valid AS (SELECT key, day AS valid_from, lead(day) OVER (PARTITION BY key ORDER BY day) AS valid_to, weight FROM turned),
 cover AS (SELECT page_id, url, fetch_date, unnest(
-    [array_to_string(l[i:], '.') FOR i IN range(1, greatest(len(l) - 1, 1) + 1)]
+    CASE WHEN regexp_full_match(host, '[0-9]+([.][0-9]+)*|\\[.*') THEN [host]
+      ELSE [array_to_string(l[i:], '.') FOR i IN range(1, greatest(len(l) - 1, 1) + 1)] END
     || [host || '/' || array_to_string(s[:i], '/') FOR i IN range(1, len(s) + 1)]) AS key
   FROM (SELECT DISTINCT page_id, url, fetch_date, host, string_split(host, '.') AS l,
     [x FOR x IN string_split(path, '/') IF x != ''] AS s FROM p WHERE host != '')),

@@ -21,17 +21,20 @@ SPAN_DAYS = 32
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
-    """Host in lower case without port, and path without query and fragment."""
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)", 1))
+    """Host in lower case without user, port and final dots, and path without query and fragment."""
+    host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*@)?(\[[^\]/?#]*\]|[^/:?#@]+)", 2)
+    host = F.rtrim(F.lower(host), F.lit("."))
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)", 1)
     return host, path
 
 
 def covering_keys(host: Column, path: Column) -> Column:
-    """Every key that covers a URL: its host's domains of two labels or more, and the host with each path prefix."""
+    """Every key that covers a URL: its host's domains of two labels or more, and the host with each path prefix. An
+    address of numbers has no domains but itself."""
     labels = F.split(host, r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))),
                           lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    domains = F.when(host.rlike(r"^([0-9]+(\.[0-9]+)*|\[.*)$"), F.array(host)).otherwise(domains)
     steps = F.filter(F.split(path, "/"), lambda s: s != "")
     prefixes = F.transform(F.when(F.size(steps) > 0, F.sequence(F.lit(1), F.size(steps)))
                            .otherwise(F.array().cast("array<int>")),

@@ -19,7 +19,7 @@ def brute(texts, items, size=13):
         w = WORD.findall((t or "").translate(LOWER))
         n = min(size, len(w))
         for a in range(len(w) - n + 1 if w else 0):
-            windows.setdefault(tuple(w[a:a + n]), set()).add(str(i))
+            windows.setdefault(tuple(w[a:a + n]), set()).update(() if i is None else (str(i),))
     out = []
     for d, t in texts:
         w = WORD.findall((t or "").translate(LOWER))
@@ -102,8 +102,20 @@ def test_odd_rows(make):
     docs, none = make(DOCS, rows), make(DOCS, [])
     items = [(1, "same text of a few words here"), (None, "a"), (2, ""), (3, None), (1, "x")]
     bench = make(BENCH, items)
-    want = brute([r[:2] for r in rows], [i for i in items if i[0] is not None])
+    want = brute([r[:2] for r in rows], items)
     for t in (docs, clashing(docs)):
         assert got(dc.find_contamination(t, clashing(bench))) == want
     assert dc.find_contamination(none, bench).count() == 0
     assert got(dc.find_contamination(docs, make(BENCH, []))) == brute([r[:2] for r in rows], [])
+
+
+def test_items_without_a_name_make_hits(make):
+    passage = " ".join(f"word{i}x" for i in range(20))
+    docs = [(1, passage), (2, "none of it"), (3, passage + " and more " + "y " * 400)]
+    items = [(None, passage), (5, "a passage of its own that nobody has"), (None, None)]
+    found = dc.find_contamination(make("doc_id long, text string", docs), make(BENCH, items))
+    assert got(found) == brute(docs, items)
+    assert {r.doc_id: (r.n_hit, r.contaminated, r.items) for r in dc.judged(found).collect()} == {
+        1: (20, True, []), 2: (0, False, []), 3: (20, False, [])}
+    blocks = dc.find_contamination(make("doc_id long, text string", docs), make(BENCH, items), block_bytes=10)
+    assert got(blocks) == brute(docs, items)

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pathloom.llm import quality
@@ -29,13 +30,41 @@ def test_held_out_fifth(make):
         assert r.h == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
 
 
-def test_pooled_is_monotone_and_keeps_the_mean():
+def pooled_by_force(y, w):
+    """The non-decreasing fit of least squares: of every block that ends here the largest least mean over later ends."""
+    n = len(y)
+    mean = [[np.average(y[i:j + 1], weights=w[i:j + 1]) if j >= i else None for j in range(n)] for i in range(n)]
+    return np.array([max(min(mean[i][j] for j in range(k, n)) for i in range(k + 1)) for k in range(n)])
+
+
+def test_pooled_is_the_least_squares_fit():
     rng = np.random.default_rng(3)
-    x, y, w = np.arange(50.0), rng.random(50), rng.integers(1, 9, 50)
-    grid, level = quality.pooled(x, y, w)
-    assert (np.diff(level) > 0).all() and (np.diff(grid) > 0).all()
-    assert np.isclose(np.average(y, weights=w), sum(
-        w[i] * level[np.searchsorted(grid, grid[np.abs(grid - grid).argmin()])] for i in [0]) / w[0]) or len(level) > 1
+    for n in (1, 2, 7, 50):
+        for ties in (False, True):
+            x, w = np.arange(float(n)), rng.integers(1, 9, n)
+            y = rng.integers(0, 3, n) / 2 if ties else rng.random(n)
+            grid, level = quality.pooled(x, y, w)
+            assert (np.diff(level) > 0).all() and (np.diff(grid) > 0).all()
+            want = pooled_by_force(y, w)
+            steps, first = np.unique(np.round(want, 12), return_index=True)
+            assert level == pytest.approx(want[first])
+            ends = [*first[1:], n]
+            assert grid == pytest.approx([np.average(x[a:b], weights=w[a:b]) for a, b in zip(first, ends)])
+            assert np.average(want, weights=w) == pytest.approx(np.average(y, weights=w))
+
+
+def test_weights_are_the_ridge_solution(spark):
+    """Against one least-squares problem over the whole matrix, the penalty as further rows."""
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    model = quality.fit(docs, labels)
+    known = labels.where("quality IS NOT NULL").where(~quality.held_out(F.col("doc_id")))
+    rows = quality.described(docs, ("doc_id",)).join(known, "doc_id").select("stats", "quality").collect()
+    stats, y = np.array([r.stats for r in rows]), np.array([float(r.quality > 0) for r in rows])
+    assert model.mean == pytest.approx(stats.mean(0)) and len(y) > 50
+    z = quality.lifted(stats, model.mean, model.scale)
+    penalty = np.sqrt(quality.RIDGE * len(y) + 1e-3) * np.eye(z.shape[1])
+    want = np.linalg.lstsq(np.vstack([z, penalty]), np.concatenate([y, np.zeros(len(penalty))]), rcond=None)[0]
+    assert model.weights == pytest.approx(want, abs=1e-6)
 
 
 def test_waves_approximate_the_kernel():

@@ -19,10 +19,12 @@ def keys(url):
     head = rest
     for c in "/?#":
         head = head.split(c)[0]
-    host = head.split(":")[0].lower()
+    host = head.rsplit("@", 1)[-1]
+    host = (host.split("]")[0] + "]" if host.startswith("[") else host.split(":")[0]).lower().rstrip(".")
     path = rest[len(head):].split("?")[0].split("#")[0]
     labels, steps = host.split("."), [s for s in path.split("/") if s]
-    out = [".".join(labels[i:]) for i in range(max(1, len(labels) - 1))]
+    numbers = host.startswith("[") or all(x.isdigit() for x in labels)
+    out = [host] if numbers else [".".join(labels[i:]) for i in range(max(1, len(labels) - 1))]
     return out + [host + "/" + "/".join(steps[:i + 1]) for i in range(len(steps))] if host else []
 
 
@@ -83,3 +85,15 @@ def test_odd_rows(make):
     assert got(urlfilter.filter_urls(clashing(a), clashing(b))) == brute(pages, entries)
     assert urlfilter.filter_urls(make(PAGES, []), b).count() == 0
     assert {r.action for r in urlfilter.filter_urls(a, make(LIST, [])).collect()} == {None}
+
+
+def test_no_form_of_a_host_slips_through(make):
+    forms = ["https://evil.com/x", "https://u:p@evil.com/x", "https://u@evil.com/", "https://evil.com./x", "https://EVIL.com:8080",
+             "https://a@b@evil.com/q", "ftp://sub.evil.com../y", "https://u:p@evil.com?z=@good.org"]
+    others = ["https://good.org/@evil.com", "https://evil.com.good.org/", "https://good.org?u@evil.com", "https://10.0.0.7/", "mailto:x@evil.com",
+              "https://evil.com@good.org/", "https://notevil.com", "https://[::1]:80/evil.com"]
+    pages = [(i, u, day(5)) for i, u in enumerate(forms + others)] + [(90, "https://7.0.0.10/x", day(5)), (91, "http://[2001:db8::7]:80/", day(5))]
+    entries = [(k, "block", day(0)) for k in ("evil.com", "0.7", "0.10", "[2001:db8::7]")]
+    out = got(urlfilter.filter_urls(make(PAGES, pages), make(LIST, entries)))
+    assert out == brute(pages, entries)
+    assert {p for p, *_, action in out if action == "block"} == {*range(len(forms)), 91}
