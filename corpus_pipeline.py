@@ -7,7 +7,7 @@ columns of ``documents``.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.llm import bpe, decontaminate, neardup, pii, quality
@@ -21,13 +21,26 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return scored.where(F.col("__score") >= quality.THRESHOLD).select(*DOCUMENT_COLUMNS)
 
 
+def _document_key(doc_id: Column, text: Column) -> Column:
+    """A number for each id and text: ids below 2^42 in their order (two texts under one such id share a number with a
+    probability of 5e-7), then the others."""
+    bits = 21
+    text = F.coalesce(text, F.lit(""))
+    small = F.shiftleft(doc_id, bits) + F.pmod(F.xxhash64(text), F.lit(1 << bits))
+    large = F.shiftrightunsigned(F.xxhash64(doc_id, text), 2) + F.lit(1 << 62)
+    return F.when(F.abs(doc_id) < (1 << 42), small).when(doc_id.isNotNull(), large)
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates; rows without an id stay."""
-    verdicts = neardup.near_duplicates(docs, neardup.Rule())
-    kept = verdicts.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").select(*DOCUMENT_COLUMNS)
-    others = [c for c in DOCUMENT_COLUMNS if c != "doc_id"]
-    one = named.groupBy("doc_id").agg(F.min(F.struct(*others)).alias("row")).select("doc_id", "row.*")
+    """One document of each group of near duplicates, that of the least id; rows without an id stay.
+
+    Texts are compared, not ids: several texts under one id are documents of their own, equal rows are one.
+    """
+    keyed = docs.select("*", _document_key(F.col("doc_id"), F.col("text")).alias("__key"))
+    verdicts = neardup.near_duplicates(keyed.select("__key", "text"), neardup.Rule(), "__key")
+    kept = verdicts.where("kept AND __key IS NOT NULL").select("__key").distinct()
+    named = keyed.where("doc_id IS NOT NULL").join(kept, "__key", "left_semi")
+    one = named.groupBy("__key").agg(F.min(F.struct(*DOCUMENT_COLUMNS)).alias("row")).select("row.*")
     return one.unionByName(docs.where("doc_id IS NULL").select(*DOCUMENT_COLUMNS))
 
 
