@@ -1,8 +1,8 @@
 """Id sets, cohorts and alignment.
 
 Id sets grow with the data, so nothing here hints a broadcast on them: on a table bucketed by the id these
-joins run without a shuffle, otherwise the adaptive planner picks by measured size. Only tables whose row
-count the caller bounds go through ``small_side``.
+joins run without a shuffle, otherwise the adaptive planner picks by measured size. ``small_side`` hints one where
+the measured size of what a table is read from allows it.
 """
 
 from __future__ import annotations
@@ -14,14 +14,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_BYTES = 64 * 1024 * 1024
+BROADCAST_BYTES = 16 << 20
 
 
-def small_side(df: DataFrame, rows_at_most: int | None, row_bytes: int = 512) -> DataFrame:
-    """Hint a broadcast only if the caller's row bound keeps the table small."""
-    if rows_at_most is not None and rows_at_most * row_bytes <= BROADCAST_BYTES:
-        return F.broadcast(df)
-    return df
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of what a plan reads: the sizes that its leaves report, which for files are those on disk."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """Hint a broadcast of a table that is read from few bytes; otherwise the planner decides."""
+    return F.broadcast(df) if measured_bytes(df) <= BROADCAST_BYTES else df
 
 
 def lookup_table(spark: SparkSession, rows: Iterable[Sequence], schema: str) -> DataFrame:
@@ -88,11 +92,8 @@ def union_all(*frames: DataFrame) -> DataFrame:
 
 
 def recode(df: DataFrame, column: str, levels: Sequence[tuple[str, str]], label: str, order: str) -> DataFrame:
-    """Map codes to labels with a defined order; other codes become missing.
-
-    The level list is a constant, so the table it makes is as small as the call.
-    """
+    """Map codes to labels with a defined order; other codes become missing."""
     spark = df.sparkSession
     table = lookup_table(spark, [(c, t, i) for i, (c, t) in enumerate(levels)],
                          f"{column} string, {label} string, {order} int")
-    return df.join(small_side(table, len(levels)), column, "left")
+    return df.join(small_side(table), column, "left")

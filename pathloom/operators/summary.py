@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions.columns import col, relative_change, sum_or_zero
-from pathloom.operators.joins import small_side
+from pathloom.functions.student import normal_quantile, two_sided_p, two_sided_quantile
 from pathloom.operators.reshape import stack_rows
+from pathloom.operators.selection import folded, order_statistics, values
 
-ACCURACY = 10_000  # rank error of the sketch is rows/ACCURACY; also the size of a group taken whole
-SALTS = 64
-DIRECT_ROWS = 250_000  # a group proven no larger than this fits one aggregation buffer
+ACCURACY = 10_000  # rank error of the opt-in sketch is rows/ACCURACY
 
 
 def sum_variables(df: DataFrame, variables: Sequence[str], keys: Sequence[str] = ("scen_id", "year"),
@@ -35,112 +35,27 @@ def sums_at(df: DataFrame, years: Sequence[int], keys: Sequence[str] = ("scen_id
     return stack_rows(wide, keys, {n: {"year": y} for y, n in zip(years, names)})
 
 
-def _bracket_class(probs: Sequence[float]) -> tuple[Column, Column]:
-    """(how many brackets lie wholly below the value, is the value inside some bracket)."""
-    passed = sum((F.when(F.col("_x") > F.col(f"_hi{i}"), 1).otherwise(0) for i in range(len(probs))), F.lit(0))
-    inside = F.lit(False)
-    for i in range(len(probs)):
-        inside = inside | F.col("_x").between(F.col(f"_lo{i}"), F.col(f"_hi{i}"))
-    return passed, inside
-
-
 def quantiles(df: DataFrame, keys: Sequence[str], probs: dict[str, float], value: str = "value",
-              groups_at_most: int | None = None, rows_at_most: int | None = None, count: str | None = None) -> DataFrame:
+              count: str | None = None) -> DataFrame:
     """Exact quantiles, linear between order statistics, missing values skipped: (keys, one column per prob).
 
-    ``count`` names a further column with the number of values in the group.
-
-    Groups proven small (``rows_at_most``, e.g. the number of scenarios) take the built-in exact percentile.
-    Otherwise no task ever holds a group. A mergeable sketch per group brackets the two order statistics each
-    probability needs; then one pass counts every row, keeping apart only the values inside a bracket (a
-    ~1/ACCURACY share of a large group) and folding the rest to counts before the shuffle. Equal values fold
-    to one row as well, so a value held by a third of the rows is harmless. A bracket that missed its order
-    statistic would raise an error, never give a wrong number.
-
-    ``groups_at_most`` is the caller's bound on the number of groups (cohorts x variables x years). With it
-    the brackets are broadcast; without it rows are first folded by value and joined under a salt.
+    ``count`` names a further column with the number of values in the group. Groups of any number and size are
+    treated alike, see ``selection``.
     """
-    if not keys:
-        one = df.withColumn("_all", F.lit(0))
-        return quantiles(one, ["_all"], probs, value, 1, rows_at_most, count).drop("_all")
-    names, ps = list(probs), [float(p) for p in probs.values()]
-    keys = list(keys)
-    if rows_at_most is not None and rows_at_most <= DIRECT_ROWS:
-        exact = df.where(col(value).isNotNull()).groupBy(*keys).agg(
-            F.percentile(col(value), F.array(*[F.lit(p) for p in ps])).alias("_p"), F.count(F.lit(1)).alias("_n")
-        )
-        counted = [F.col("_n").alias(count)] if count else []
-        return exact.select(*keys, *[F.col("_p")[i].alias(n) for i, n in enumerate(names)], *counted)
-    eps = 3.0 / ACCURACY
-    grid = [max(0.0, p - eps) for p in ps] + [min(1.0, p + eps) for p in ps]
-    x = df.where(col(value).isNotNull()).select(*keys, col(value).alias("_x"))
-    whole = F.col("_n") <= ACCURACY
-    k = len(ps)
-    brackets = (
-        x.groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_min"), F.max("_x").alias("_max"),
-            F.percentile_approx("_x", grid, ACCURACY).alias("_a"),
-        )
-        .select(
-            *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)],
-            F.col("_n"),
-            *[F.when(whole, F.col("_min")).otherwise(F.col("_a")[i]).alias(f"_lo{i}") for i in range(k)],
-            *[F.when(whole, F.col("_max")).otherwise(F.col("_a")[k + i]).alias(f"_hi{i}") for i in range(k)],
-        )
-    )
-    on = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)]
-    side = small_side(brackets, groups_at_most)
-    if side is brackets:
-        x = x.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_w"))
-        x = x.withColumn("_salt", F.pmod(F.xxhash64("_x"), F.lit(SALTS)).cast("int"))
-        side = brackets.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        on.append(F.col("_salt") == F.col("_s"))
-    else:
-        x = x.withColumn("_w", F.lit(1).cast("bigint"))
-    joined = x.join(side, on)
-    passed, inside = _bracket_class(ps)
-    folded = (
-        joined.select(*keys, "_n", "_x", "_w", passed.alias("_seg"), F.when(inside, F.col("_x")).alias("_pick"))
-        .groupBy(*keys, "_n", "_seg", "_pick")
-        .agg(F.sum("_w").alias("_c"), F.min("_x").alias("_at"))
-    )
-    by = [*keys, "_n"]
-    w = Window.partitionBy(*by).orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = folded.withColumn("_upto", F.sum("_c").over(w))
-
-    def order_statistic(rank: Column) -> Column:
-        here = (F.col("_upto") > rank) & (F.col("_upto") - F.col("_c") <= rank)
-        return F.max(F.when(here, F.col("_pick")))
-
-    aggs = []
-    for i, p in enumerate(ps):
-        pos = (F.col("_n") - 1) * F.lit(p)
-        aggs += [order_statistic(F.floor(pos)).alias(f"_l{i}"), order_statistic(F.ceil(pos)).alias(f"_h{i}")]
-    got = ranked.groupBy(*by).agg(*aggs)
-    out = []
-    for i, (n, p) in enumerate(zip(names, ps)):
-        pos = (F.col("_n") - 1) * F.lit(p)
-        lo, hi = F.col(f"_l{i}"), F.col(f"_h{i}")
-        out.append(
-            F.when(lo.isNull() | hi.isNull(), F.raise_error(F.lit("quantile bracket missed")).cast("double"))
-            .otherwise(lo + (hi - lo) * (pos - F.floor(pos)))
-            .alias(n)
-        )
-    return got.select(*keys, *out, *([F.col("_n").alias(count)] if count else []))
+    got = order_statistics(values(df, keys, col(value)), keys, probs)
+    return got.select(*keys, *probs, *([F.col("_n").alias(count)] if count else []))
 
 
 def quantile_rows(df: DataFrame, keys: Sequence[str], probs: dict[str, float], value: str = "value",
-                  groups_at_most: int | None = None, rows_at_most: int | None = None,
                   label: str = "perc") -> DataFrame:
     """As ``quantiles`` but one row per probability, labelled."""
-    q = quantiles(df, keys, probs, value, groups_at_most, rows_at_most)
+    q = quantiles(df, keys, probs, value)
     return q.unpivot(list(keys), list(probs), label, "value")
 
 
 def median(df: DataFrame, keys: Sequence[str], value: str = "value", out: str = "value",
-           groups_at_most: int | None = None, rows_at_most: int | None = None, count: str | None = None) -> DataFrame:
-    return quantiles(df, keys, {out: 0.5}, value, groups_at_most, rows_at_most, count)
+           count: str | None = None) -> DataFrame:
+    return quantiles(df, keys, {out: 0.5}, value, count)
 
 
 def approx_quantiles(df: DataFrame, keys: Sequence[str], probs: dict[str, float], value: str = "value",
@@ -152,9 +67,8 @@ def approx_quantiles(df: DataFrame, keys: Sequence[str], probs: dict[str, float]
 
 
 def interquartile_band(df: DataFrame, keys: Sequence[str], value: str = "value", low: str = "c1_25",
-                       high: str = "c1_75", groups_at_most: int | None = None,
-                       rows_at_most: int | None = None) -> DataFrame:
-    return quantiles(df, keys, {low: 0.25, high: 0.75}, value, groups_at_most, rows_at_most)
+                       high: str = "c1_75") -> DataFrame:
+    return quantiles(df, keys, {low: 0.25, high: 0.75}, value)
 
 
 def add_total(df: DataFrame, label: str, total: str, values: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -172,35 +86,37 @@ def change_columns(df: DataFrame, years: Sequence[int], base: int = 2020, prefix
     return df.withColumns({f"{out}{y}": relative_change(f"{prefix}{base}", f"{prefix}{y}") for y in years})
 
 
-def boxplot_stats(df: DataFrame, keys: Sequence[str], value: str, groups_at_most: int | None = None,
-                  rows_at_most: int | None = None, more: dict[str, Column] | None = None) -> DataFrame:
-    """Quartiles, whiskers at the last value within 1.5 IQR, outlier and row counts per group.
+class Boxplots(NamedTuple):
+    stats: DataFrame     # keys, q1, q2, q3, whisker_low, whisker_high, n_outliers, n and the shares asked for
+    outliers: DataFrame  # keys, value, n: the distinct values outside the fences
+
 
-    ``more`` adds aggregates over the group's non-missing rows, computed in the same pass.
+def boxplots(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, Column] | None = None) -> Boxplots:
+    """Quartiles, whiskers at the last value within 1.5 IQR and what lies beyond them, per group.
+
+    ``shares`` adds the share of the group's non-missing rows for which a condition on the keys and the value
+    holds. The input is read once: everything comes from its distinct values with their counts.
     """
-    q = quantiles(df, keys, {"q1": 0.25, "q2": 0.5, "q3": 0.75}, value, groups_at_most, rows_at_most)
-    x = df.where(col(value).isNotNull()).withColumn("_x", col(value))
-    fences = small_side(
-        q.select(
-            *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], "q1", "q2", "q3",
-            (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("_lo"),
-            (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("_hi"),
-        ),
-        groups_at_most,
-    )
+    rows = folded(values(df, keys, col(value)), keys)
+    q = order_statistics(rows, keys, {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    fence = 1.5 * (F.col("q3") - F.col("q1"))
+    fences = q.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], "q1", "q2", "q3",
+                      (F.col("q1") - fence).alias("_lo"), (F.col("q3") + fence).alias("_hi"))
     on = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)]
-    ok = F.col("_x").between(F.col("_lo"), F.col("_hi"))
-    return (
-        x.join(fences, on)
-        .groupBy(*keys, "q1", "q2", "q3")
-        .agg(
-            F.min(F.when(ok, F.col("_x"))).alias("whisker_low"),
-            F.max(F.when(ok, F.col("_x"))).alias("whisker_high"),
-            F.count_if(~ok).alias("n_outliers"),
-            F.count(F.lit(1)).alias("n"),
-            *[c.alias(n) for n, c in (more or {}).items()],
-        )
+    x, c = F.col(value), F.col("_c")
+    # the fold is keyed by the value too, so a group's rows are spread; AQE splits a large group's side of the join
+    fenced = rows.withColumnRenamed("_x", value).join(fences, on)
+    ok = x.between(F.col("_lo"), F.col("_hi"))
+    stats = fenced.groupBy(*keys, "q1", "q2", "q3").agg(
+        F.min(F.when(ok, x)).alias("whisker_low"), F.max(F.when(ok, x)).alias("whisker_high"),
+        F.coalesce(F.sum(F.when(~ok, c)), F.lit(0)).alias("n_outliers"), F.sum(c).alias("n"),
+        *[(F.sum(F.when(held, c).otherwise(0)) / F.sum(c)).alias(n) for n, held in (shares or {}).items()],
     )
+    return Boxplots(stats, fenced.where(~ok).select(*keys, value, c.alias("n")))
+
+
+def boxplot_stats(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, Column] | None = None) -> DataFrame:
+    return boxplots(df, keys, value, shares).stats
 
 
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int, keys: Sequence[str] = ()) -> DataFrame:
@@ -214,8 +130,12 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int, key
     )
 
 
-def welch_t_test(df: DataFrame, group: str, a: str, b: str, values: Sequence[str], p_value: bool = False) -> DataFrame:
-    """Two-group mean comparison with unequal variances, one row per tested column, from one aggregation."""
+def welch_t_test(df: DataFrame, group: str, a: str, b: str, values: Sequence[str], level: float = 0.95) -> DataFrame:
+    """Two-group mean comparison with unequal variances, one row per tested column, from one aggregation.
+
+    t, degrees of freedom, two-sided p and the interval of the difference of means at ``level``; missing where a group
+    has fewer than two values or nothing varies.
+    """
     aggs = []
     for i, v in enumerate(values):
         for tag, g in (("a", a), ("b", b)):
@@ -241,19 +161,21 @@ def welch_t_test(df: DataFrame, group: str, a: str, b: str, values: Sequence[str
     df_ = spread * spread / (
         sa * sa / F.nullif(F.col("n_a") - 1, F.lit(0)) + sb * sb / F.nullif(F.col("n_b") - 1, F.lit(0))
     )
-    out = rows.select(
-        "metric", "mean_a", "mean_b", "n_a", "n_b",
-        ((F.col("mean_a") - F.col("mean_b")) / F.sqrt(spread)).alias("t"), df_.alias("df"),
-    )
-    if p_value:
-        from pathloom.functions.student import student_p
+    gap = F.col("mean_a") - F.col("mean_b")
+    out = rows.select("metric", "mean_a", "mean_b", "n_a", "n_b", gap.alias("_gap"), F.sqrt(spread).alias("_error"),
+                      df_.alias("df"))
+    out = out.withColumns({
+        "t": F.col("_gap") / F.col("_error"), "_reach": two_sided_quantile(F.col("df"), level) * F.col("_error")})
+    return out.select(
+        "metric", "mean_a", "mean_b", "n_a", "n_b", "t", "df", two_sided_p(F.col("t"), F.col("df")).alias("p"),
+        (F.col("_gap") - F.col("_reach")).alias("low"), (F.col("_gap") + F.col("_reach")).alias("high"))
 
-        out = out.withColumn("p", student_p("t", "df"))
-    return out
 
+def pearson_cor_test(df: DataFrame, pairs: Sequence[tuple[str, str]], level: float = 0.95) -> DataFrame:
+    """Correlation, t, degrees of freedom and two-sided p on pairwise complete rows; all pairs in one aggregation.
 
-def pearson_cor_test(df: DataFrame, pairs: Sequence[tuple[str, str]], p_value: bool = False) -> DataFrame:
-    """Correlation, t and degrees of freedom on pairwise complete rows; all pairs in one aggregation."""
+    The interval at ``level`` is that of Fisher's z; it needs four rows and a correlation below 1.
+    """
     aggs = []
     for i, (x, y) in enumerate(pairs):
         both = F.col(x).isNotNull() & F.col(y).isNotNull()
@@ -269,17 +191,14 @@ def pearson_cor_test(df: DataFrame, pairs: Sequence[tuple[str, str]], p_value: b
             )
         ).alias("p")
     ).select("p.*")
-    out = rows.withColumns(
-        {
-            "df": F.col("n") - 2,
-            "t": F.col("r") * F.sqrt((F.col("n") - 2) / F.nullif(1 - F.col("r") * F.col("r"), F.lit(0.0))),
-        }
-    )
-    if p_value:
-        from pathloom.functions.student import student_p
-
-        out = out.withColumn("p", student_p("t", F.col("df").cast("double")))
-    return out
+    r, n = F.col("r"), F.col("n")
+    out = rows.withColumns({
+        "df": n - 2, "t": r * F.sqrt((n - 2) / F.nullif((1 - r) * (1 + r), F.lit(0.0))),
+        "_z": F.when((n > 3) & (F.abs(r) < 1), F.atanh(r)), "_reach": normal_quantile(level) / F.sqrt(n - 3),
+    })
+    return out.select(
+        "x", "y", "r", "n", "df", "t", two_sided_p(F.col("t"), F.col("df")).alias("p"),
+        F.tanh(F.col("_z") - F.col("_reach")).alias("low"), F.tanh(F.col("_z") + F.col("_reach")).alias("high"))
 
 
 def scatter_vs_identity(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:

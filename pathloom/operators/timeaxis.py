@@ -45,25 +45,32 @@ def densify_years(df: DataFrame, keys: Sequence[str], first: int, last: int, val
 
 
 def interpolate_gaps(df: DataFrame, keys: Sequence[str] = TRAJECTORY, first: int = 2020, last: int = 2050,
-                     zero_missing: bool = False, leading: bool = False, value: str = "value") -> DataFrame:
+                     zero_missing: bool = False, leading: bool = False, value: str = "value",
+                     keep_empty: bool = False) -> DataFrame:
     """Linear fill between reported years of the slice; the last value holds, leading gaps stay missing.
 
     Only knots inside the slice count. ``leading`` also returns the missing years before the first knot, as
-    NULL rows. A key without any knot has no rows.
+    NULL rows. A key without any knot has no rows, or with ``keep_empty`` one row without year and value.
     """
     v = zero_as_missing(value) if zero_missing else F.col(value)
-    knots = (
-        df.where(F.col("year").between(first, last))
-        .select(*keys, "year", v.alias("_v"))
-        .where(F.col("_v").isNotNull())
-    )
-    w = Window.partitionBy(*keys).orderBy("year")
-    steps = knots.withColumns({"_ny": F.lead("year").over(w), "_nv": F.lead("_v").over(w)})
+    inside = F.col("year").between(first, last)
+    if keep_empty:  # what is no knot sorts last, so a key's first row is a knot or the key has none
+        knots = df.select(*keys, "year", F.when(inside, v).alias("_v"))
+        w = Window.partitionBy(*keys).orderBy(F.col("_v").isNull(), "year")
+        knots = knots.withColumn("_first", F.row_number().over(w) == 1)
+    else:
+        knots = df.where(inside).select(*keys, "year", v.alias("_v")).where(F.col("_v").isNotNull())
+        w = Window.partitionBy(*keys).orderBy("year")
+    steps = knots.withColumns({"_nv": F.lead("_v").over(w), "_ny": F.lead("year").over(w)})
+    if keep_empty:
+        steps = steps.withColumns({
+            "year": F.when(F.col("_v").isNotNull(), F.col("year")), "_ny": F.when(F.col("_nv").isNotNull(), F.col("_ny")),
+        }).where(F.col("_v").isNotNull() | F.col("_first"))
     start = F.col("year")
     if leading:
         steps = steps.withColumn("_py", F.lag("year").over(w))
         start = F.when(F.col("_py").isNull(), F.lit(first)).otherwise(F.col("year"))
-    grid = F.explode(F.sequence(start, F.coalesce(F.col("_ny") - 1, F.lit(last))))
+    years = F.sequence(start, F.coalesce(F.col("_ny") - 1, F.lit(last)))
     filled = (
         F.when(F.col("_y") < F.col("year"), None)
         .when(F.col("_ny").isNull(), F.col("_v"))
@@ -72,6 +79,7 @@ def interpolate_gaps(df: DataFrame, keys: Sequence[str] = TRAJECTORY, first: int
             + (F.col("_nv") - F.col("_v")) * (F.col("_y") - F.col("year")) / (F.col("_ny") - F.col("year"))
         )
     )
+    grid = (F.explode_outer if keep_empty else F.explode)(years)
     return steps.withColumn("_y", grid).select(*keys, F.col("_y").alias("year"), filled.alias(value))
 
 

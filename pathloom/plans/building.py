@@ -8,20 +8,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions import fixed
-from pathloom.functions.columns import share_of, sum_or_zero, value_when
-from pathloom.operators.emissions import afolu_co2e_year, eip_at, eip_yearly
+from pathloom.functions.columns import land_sector_co2e, share_of, sum_or_zero, value_when
+from pathloom.operators.emissions import eip_at, eip_yearly
 from pathloom.operators.joins import by_cohort, in_ids
 from pathloom.operators.reshape import stack_rows
 from pathloom.operators.screens import removed_by, screen_criteria
 from pathloom.operators.summary import median
 from pathloom.operators.timeaxis import interpolated_total
-from pathloom.sources.tables import ScenarioDb, stage
+from pathloom.sources.staging import Staging
+from pathloom.sources.tables import ScenarioDb
 
 DECADES = (2020, 2030, 2040, 2050, 2060)
 MILESTONES = (2020, 2030, 2040, 2050)
+LAND_GASES = (fixed.AFOLU_CO2, fixed.AFOLU_CH4, fixed.AFOLU_N2O)
 QUARTILES = {"25th perc": 0.25, "median": 0.5, "75th perc": 0.75}
 
 
+def shared(df: DataFrame, staging: Staging | None = None) -> DataFrame:
+    """A frame that a report uses more than once, computed once by whatever action needs it first."""
+    return (staging or Staging.of(df.sparkSession)).shared(df)
+
+
 def candidates(db: ScenarioDb, category: str = fixed.TARGET_CATEGORY) -> DataFrame:
     return db.key.where(F.col("Category") == category).select("scen_id")
 
@@ -33,15 +40,6 @@ def filtered(db: ScenarioDb, limits: fixed.Limits, flag: int = 7, category: str
     return ids.join(removed.select("scen_id"), "scen_id", "left_anti")
 
 
-def staged_ids(ids: DataFrame) -> DataFrame:
-    """An id set written once, for reports that use it several times.
-
-    It is not bucketed: joined to a bucketed table only this narrow side moves, or it is small enough for the
-    planner to broadcast by its file size.
-    """
-    return stage(ids.select("scen_id"), "ids")
-
-
 def marked(db: ScenarioDb, markers: Sequence[str]) -> DataFrame:
     return db.key.where(F.col("IMP_marker").isin(list(markers))).select("scen_id", "IMP_marker")
 
@@ -84,14 +82,12 @@ def net_every_year(db: ScenarioDb, ids: DataFrame, first: int, last: int) -> Dat
     return rows.select("scen_id", F.lit(fixed.NET_TOTAL).alias("Variable"), "year", F.col("net").alias("value"))
 
 
-def cohort_medians(db: ScenarioDb, rows: DataFrame, members: DataFrame, years: Sequence[int], n_cohorts: int,
-                   n_variables: int = 1, name: str = "cohort") -> DataFrame:
+def cohort_medians(rows: DataFrame, members: DataFrame, years: Sequence[int], name: str = "cohort") -> DataFrame:
     """Median per cohort, variable and milestone, milestones as columns, and the number of scenarios ``n``.
 
     ``n`` is the largest count over the milestones: the cohort's size if every member has a value somewhere.
     """
-    med = median(by_cohort(rows, members, name=name), (name, "Variable", "year"),
-                 groups_at_most=n_cohorts * n_variables * len(years), rows_at_most=db.scenarios, count="n")
+    med = median(by_cohort(rows, members, name=name), (name, "Variable", "year"), count="n")
     return med.groupBy(name, "Variable").agg(
         *[F.max(F.when(F.col("year") == y, F.col("value"))).alias(f"y{y}") for y in years], F.max("n").alias("n")
     )
@@ -111,17 +107,18 @@ KEY_METRICS = (
 
 
 def key_metrics(db: ScenarioDb, ids: DataFrame) -> DataFrame:
-    """Nine metrics per scenario. Seven come from one conditional aggregation, two need the gap filling."""
+    """Nine metrics per scenario. Seven come from one conditional aggregation, two need the gap filling: of the captured
+    carbon, and of the gross emissions, which are put together first."""
     v, y = F.col("Variable"), F.col("year")
 
     def at(name: str, year: int):
         return value_when((v == name) & (y == year))
 
-    removal = v.isin(list(fixed.REMOVALS))
+    removal, land = v.isin(list(fixed.REMOVALS)), v.isin(list(LAND_GASES))
     rows = in_ids(db.long, ids)
     plain = (
         rows.where(v.isin([fixed.FINAL_ENERGY, fixed.BIOENERGY, fixed.PRIMARY_ENERGY, fixed.RENEWABLES,
-                           fixed.CCS_INDUSTRY, *fixed.REMOVALS]))
+                           fixed.CCS_INDUSTRY, *fixed.REMOVALS, *LAND_GASES]))
         .groupBy("scen_id")
         .agg(
             at(fixed.FINAL_ENERGY, 2050).alias("final_energy_2050"),
@@ -130,13 +127,13 @@ def key_metrics(db: ScenarioDb, ids: DataFrame) -> DataFrame:
             share_of(at(fixed.RENEWABLES, 2050), at(fixed.PRIMARY_ENERGY, 2050)).alias("ren_share_2050"),
             share_of(at(fixed.RENEWABLES, 2030), at(fixed.PRIMARY_ENERGY, 2030)).alias("ren_share_2030"),
             at(fixed.CCS_INDUSTRY, 2050).alias("industrial_ccs_2050"),
+            F.when(F.bool_or(land), sum_or_zero(F.when(y == 2050, land_sector_co2e(v, "value")))).alias("afolu_co2e_2050"),
         )
     )
-    land = afolu_co2e_year(rows, 2050, out="afolu_co2e_2050")
     ccs = interpolated_total(rows.where(v == fixed.CCS), ("scen_id",), 2010, 2050, out="cum_ccs_2010_2050")
     gross = cumulative_gross(db, ids, out="cum_gross_2020_2050")
     # every frame is about ids only, so left joins align them without a shuffle
     out = ids.select("scen_id")
-    for frame in (plain, land, ccs, gross):
+    for frame in (plain, ccs, gross):
         out = out.join(frame, "scen_id", "left")
     return out.select("scen_id", *KEY_METRICS)

@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions import fixed
-from pathloom.functions.columns import apply_change, co2e, joined_key, relative_change, share_of, zero_as_missing
+from pathloom.functions.columns import apply_change, co2e, joined_key, relative_change, share_of, value_when, zero_as_missing
 from pathloom.operators.emissions import (
     afolu_co2_cumulative, afolu_co2e_cumulative, eip_at, gases_at, gross_emissions, gross_emissions_plain,
     removals_sum,
 )
 from pathloom.operators.harmonise import Harmonised, harmonise_budget
-from pathloom.operators.joins import align, by_cohort, flag_members, in_ids, intersect_ids, recode, small_side, union_all
+from pathloom.operators.joins import align, by_cohort, flag_members, in_ids, intersect_ids, recode, union_all
 from pathloom.operators.reshape import pivot_multi_value, pivot_variables, pivot_years, stack_rows, unpivot_years
 from pathloom.operators.screens import screen_cohorts, screen_criteria
 from pathloom.operators.summary import (
@@ -24,9 +24,10 @@ from pathloom.operators.summary import (
 from pathloom.operators.timeaxis import anchor_and_bridge, densify_years, interpolated_total, milestones, slice_max
 from pathloom.plans.building import (
     DECADES, KEY_METRICS, MILESTONES, QUARTILES, candidates, cohort_medians, filtered, gross_at, gross_every_year,
-    key_metrics, marked, net_and_gross_at, net_and_gross_every_year, net_every_year, staged_ids,
+    key_metrics, marked, net_and_gross_at, net_and_gross_every_year, net_every_year, shared,
 )
-from pathloom.sources.tables import ScenarioDb, stage
+from pathloom.sources.staging import Staging
+from pathloom.sources.tables import ScenarioDb
 
 Limits = fixed.Limits
 
@@ -39,13 +40,9 @@ def sr15_quantiles(older: ScenarioDb, categories: Sequence[str] = fixed.OLDER_CA
     ids = older.key.where(F.col("category").isin(list(categories)) & (F.col("kyoto_2010") == in_range))
     rows = in_ids(older.long.where(F.col("Variable").isin(fixed.NET_TOTAL, fixed.BECCS)), ids)
     cols = ("scen_id", "Variable", "year", "value")
-    # every year that any row of the whole table reports; an empty table has no scenarios either
-    reported = older.long.where(F.col("year").isNotNull()).select("year").distinct().collect()
-    years = sorted(r["year"] for r in reported) or [older.first_year]
-    gross = sums_at(gross_emissions_plain(rows), years).withColumn("Variable", F.lit(fixed.GROSS_TOTAL))
+    gross = sums_at(gross_emissions_plain(rows), older.years).withColumn("Variable", F.lit(fixed.GROSS_TOTAL))
     both = rows.select(*cols).unionByName(gross.select(*cols))
-    q = quantile_rows(both, ("Variable", "year"), QUARTILES, groups_at_most=3 * len(years),
-                      rows_at_most=older.scenarios)
+    q = quantile_rows(both, ("Variable", "year"), QUARTILES)
     label = F.coalesce(*[F.when(F.col("perc") == p, F.lit(text)) for p, text in fixed.OLDER_LABELS.items()])
     return q.withColumn("source", label)
 
@@ -67,20 +64,30 @@ def sr15_cross_sector(older: ScenarioDb, external_ch4: DataFrame) -> DataFrame:
     return union_all(sr15_quantiles(older), n2o, ch4)
 
 
-def filtered_quantiles(db: ScenarioDb, list_a: DataFrame) -> DataFrame:
-    """Every variable and gross emissions: quartiles for the C1 cohort and for an external id list."""
+def filtered_quantiles(db: ScenarioDb, list_a: DataFrame, variables: Sequence[str] | None = None,
+                       years: Sequence[int] | None = None) -> DataFrame:
+    """Quartiles of the C1 cohort and of an external id list, per variable and year.
+
+    Every variable, gross emissions and every year, unless ``variables`` or ``years`` name fewer.
+    """
     c1 = candidates(db)
     ids = c1.unionByName(list_a.select("scen_id")).distinct()
     tags = F.array_compact(F.array(
         F.when(F.col("in_c1") == 1, F.lit(fixed.COHORT_LABEL)), F.when(F.col("in_a") == 1, F.lit(fixed.LIST_A_LABEL))
     ))
     members = flag_members(flag_members(ids, c1, "in_c1"), list_a, "in_a").select("scen_id", tags.alias("source"))
-    years = range(db.first_year, db.last_year + 1)
     cols = ("scen_id", "Variable", "year", "value")
     other = in_ids(db.long.where(F.col("Variable") != fixed.NET_TOTAL), ids).select(*cols)
-    rows = other.unionByName(net_and_gross_every_year(db, ids, db.first_year, db.last_year))
-    return quantile_rows(by_cohort(rows, members, name="source"), ("source", "Variable", "year"), QUARTILES,
-                         groups_at_most=2 * 64 * len(years), rows_at_most=db.scenarios)
+    rows = net_and_gross_every_year(db, ids, db.first_year, db.last_year)
+    if variables is None:
+        rows = other.unionByName(rows)
+    elif set(variables) - {fixed.NET_TOTAL, fixed.GROSS_TOTAL}:
+        rows = other.unionByName(rows).where(F.col("Variable").isin(list(variables)))
+    else:
+        rows = rows.where(F.col("Variable").isin(list(variables)))
+    if years is not None:
+        rows = milestones(rows, years)
+    return quantile_rows(by_cohort(rows, members, name="source"), ("source", "Variable", "year"), QUARTILES)
 
 
 def illustrative_paths(db: ScenarioDb, markers: Sequence[str] = fixed.MARKERS) -> DataFrame:
@@ -94,14 +101,14 @@ def _all_flags(db: ScenarioDb, limits: Limits, flags=tuple(fixed.SCREEN_FLAGS))
     )
 
 
-def _flag_medians(db: ScenarioDb, rows: DataFrame, members: DataFrame) -> DataFrame:
-    return cohort_medians(db, rows, members, DECADES, len(fixed.SCREEN_FLAGS), name="filter_flag")
+def _flag_medians(rows: DataFrame, members: DataFrame) -> DataFrame:
+    return cohort_medians(rows, members, DECADES, "filter_flag")
 
 
 def compare_filters_co2(db: ScenarioDb, limits: Limits) -> DataFrame:
     """Median gross emissions per screening flag, change since 2020, number of scenarios."""
     members = _all_flags(db, limits)
-    med = _flag_medians(db, gross_at(db, candidates(db), DECADES), members)
+    med = _flag_medians(gross_at(db, candidates(db), DECADES), members)
     # gross emissions have a value for every candidate in every milestone
     return change_columns(med, (2030, 2050)).withColumnRenamed("n", "num_scenarios")
 
@@ -127,7 +134,7 @@ def compare_filters_nonco2(db: ScenarioDb, limits: Limits) -> DataFrame:
     members = _all_flags(db, limits)
     wide = gases_at(in_ids(db.long, candidates(db)), DECADES, ("N2O", "CH4"), "AR6")
     rows = stack_rows(wide, ("scen_id",), _gas_items(("N2O", "CH4"), DECADES)).where(F.col("value").isNotNull())
-    med = cohort_medians(db, rows, members, DECADES, len(fixed.SCREEN_FLAGS), 2, "filter_flag")
+    med = cohort_medians(rows, members, DECADES, "filter_flag")
     return med.drop("n").withColumn("Units", F.lit("MtCO2e/year"))
 
 
@@ -135,7 +142,7 @@ def compare_filters_total(db: ScenarioDb, limits: Limits) -> DataFrame:
     """The three medians added per flag."""
     members = _all_flags(db, limits)
     rows = components_at(db, candidates(db), DECADES)
-    med = cohort_medians(db, rows, members, DECADES, len(fixed.SCREEN_FLAGS), 3, "filter_flag")
+    med = cohort_medians(rows, members, DECADES, "filter_flag")
     size = F.max(F.when(F.col("Variable") == fixed.GROSS_TOTAL, F.col("n")))
     total = med.groupBy("filter_flag").agg(
         *[F.sum(f"y{y}").alias(f"y{y}") for y in DECADES], size.alias("num_scenarios")
@@ -143,20 +150,21 @@ def compare_filters_total(db: ScenarioDb, limits: Limits) -> DataFrame:
     return change_columns(total, (2030, 2050))
 
 
-def fig_gross(db: ScenarioDb, limits: Limits, years: Sequence[int] = DECADES, zero_missing: bool = False) -> DataFrame:
+def fig_gross(db: ScenarioDb, limits: Limits, years: Sequence[int] = DECADES, zero_missing: bool = False,
+              staging: Staging | None = None) -> DataFrame:
     """Gross emissions of each C1 scenario at milestones, and a row with the median of the filtered ones."""
-    # two uses: the rows themselves and the median of some of them
-    rows = stage(gross_at(db, candidates(db), years), "gross", bucket_by="scen_id", buckets=db.buckets)
+    # the rows themselves and the median of some of them
+    rows = shared(gross_at(db, candidates(db), years), staging)
     if zero_missing:
         rows = rows.withColumn("value", zero_as_missing("value"))
-    med = median(in_ids(rows, filtered(db, limits)), ("year",), groups_at_most=len(years), rows_at_most=db.scenarios)
+    med = median(in_ids(rows, filtered(db, limits)), ("year",))
     med = med.withColumn("scen_id", F.lit(fixed.FILTERED_MEDIAN))
     return pivot_years(rows, ("scen_id",), years).unionByName(pivot_years(med, ("scen_id",), years))
 
 
-def gross_summary(db: ScenarioDb, limits: Limits) -> DataFrame:
+def gross_summary(db: ScenarioDb, limits: Limits, staging: Staging | None = None) -> DataFrame:
     """As ``fig_gross`` with zeros missing, tagged with the variable."""
-    return fig_gross(db, limits, DECADES, True).withColumn("Variable", F.lit(fixed.GROSS_TOTAL))
+    return fig_gross(db, limits, DECADES, True, staging).withColumn("Variable", F.lit(fixed.GROSS_TOTAL))
 
 
 def afforestation_test(db: ScenarioDb) -> DataFrame:
@@ -176,8 +184,7 @@ def final_energy(db: ScenarioDb, limits: Limits) -> DataFrame:
     members = _all_flags(db, limits, (0, 7))
     rows = milestones(db.long.where(F.col("Variable") == fixed.FINAL_ENERGY), DECADES)
     rows = by_cohort(rows.select("scen_id", "Variable", "year", "value"), members, name="filter_flag")
-    q = quantile_rows(rows, ("filter_flag", "Variable", "year"), {"q25": 0.25, "q50": 0.5, "q75": 0.75},
-                      groups_at_most=2 * len(DECADES), rows_at_most=db.scenarios, label="quantile")
+    q = quantile_rows(rows, ("filter_flag", "Variable", "year"), {"q25": 0.25, "q50": 0.5, "q75": 0.75}, label="quantile")
     q = q.withColumn("quantile", F.substring("quantile", 2, 2).cast("double") / 100)
     return pivot_years(q, ("filter_flag", "Variable", "quantile"), DECADES)
 
@@ -196,8 +203,7 @@ def key_variables_c1(db: ScenarioDb) -> DataFrame:
     """Quartiles of six metrics over C1."""
     six = [m for m in KEY_METRICS if m not in ("final_energy_2050", "ren_share_2030", "industrial_ccs_2050")]
     long = key_metrics(db, candidates(db)).unpivot(["scen_id"], six, "metric", "value")
-    return quantiles(long, ("metric",), {"c1_25_perc": 0.25, "c1_75_perc": 0.75}, groups_at_most=len(six),
-                     rows_at_most=db.scenarios)
+    return quantiles(long, ("metric",), {"c1_25_perc": 0.25, "c1_75_perc": 0.75})
 
 
 def afolu_by_model(db: ScenarioDb, step: int = 5) -> DataFrame:
@@ -215,7 +221,7 @@ def n2o_ch4(db: ScenarioDb) -> DataFrame:
     """C1 medians of energy and industry N2O and CH4 in their own units."""
     wide = gases_at(in_ids(db.long, candidates(db)), MILESTONES, ("N2O", "CH4"))
     rows = stack_rows(wide, ("scen_id",), _gas_items(("N2O", "CH4"), MILESTONES, "EIP {}"))
-    med = median(rows, ("Variable", "year"), groups_at_most=2 * len(MILESTONES), rows_at_most=db.scenarios)
+    med = median(rows, ("Variable", "year"))
     return pivot_years(med, ("Variable",), MILESTONES)
 
 
@@ -228,7 +234,7 @@ def renewables_2030(db: ScenarioDb, limits: Limits, year: int = 2030) -> DataFra
         "scen_id", share_of("part", "whole").alias("value")
     )
     q = quantiles(by_cohort(shares, members, name="filter_flag"), ("filter_flag",),
-                  {"p25": 0.25, "p50": 0.5, "p75": 0.75}, groups_at_most=2, rows_at_most=db.scenarios)
+                  {"p25": 0.25, "p50": 0.5, "p75": 0.75})
     flag = F.col("filter_flag")
     return q.agg(
         F.max(F.when(flag == 0, F.col("p25"))).alias("c1_25"), F.max(F.when(flag == 0, F.col("p75"))).alias("c1_75"),
@@ -238,7 +244,7 @@ def renewables_2030(db: ScenarioDb, limits: Limits, year: int = 2030) -> DataFra
 
 def industrial_ccs(db: ScenarioDb, limits: Limits, year: int = 2050) -> DataFrame:
     rows = db.long.where((F.col("Variable") == fixed.CCS_INDUSTRY) & (F.col("year") == year))
-    return median(in_ids(rows, filtered(db, limits)), (), out="filtered_median", rows_at_most=db.scenarios)
+    return median(in_ids(rows, filtered(db, limits)), (), out="filtered_median")
 
 
 def kyoto_gases(db: ScenarioDb, limits: Limits) -> DataFrame:
@@ -253,8 +259,7 @@ def kyoto_gases(db: ScenarioDb, limits: Limits) -> DataFrame:
     items = _gas_items(("N2O", "CH4"), MILESTONES, "EIP {}") | _gas_items(("HFC", "PFC", "SF6"), MILESTONES, "Emissions|{}")
     rows = stack_rows(gases_at(in_ids(db.long, c1), MILESTONES), ("scen_id",), items)
     tagged = by_cohort(rows.where(F.col("value").isNotNull()), members, name="filter_flag")
-    med = median(tagged, ("filter_flag", "Variable", "year"), groups_at_most=10 * len(MILESTONES),
-                 rows_at_most=db.scenarios, count="n")
+    med = median(tagged, ("filter_flag", "Variable", "year"), count="n")
     # the sector sums have a value in every milestone, so counting 2050 counts their scenarios
     out = med.groupBy("filter_flag", "Variable").agg(
         *[F.max(F.when(F.col("year") == y, F.col("value"))).alias(f"y{y}") for y in MILESTONES],
@@ -272,7 +277,7 @@ def external_comparison(db: ScenarioDb, limits: Limits, list_b: DataFrame) -> Da
     ))
     members = flag_members(flag_members(ids, filt, "in_f"), list_b, "in_b").select("scen_id", tags.alias("Source"))
     rows = gross_at(db, flag_members(ids, c1, "in_c1").select("scen_id", (F.col("in_c1") == 1).alias("fill")), MILESTONES)
-    return cohort_medians(db, rows, members, MILESTONES, 2, name="Source").drop("n")
+    return cohort_medians(rows, members, MILESTONES, "Source").drop("n")
 
 
 # --- benchmarks -------------------------------------------------------------------
@@ -281,7 +286,7 @@ def non_co2_pathway(db: ScenarioDb, years: Sequence[int] = MILESTONES) -> DataFr
     """C1 medians of the other gases in CO2e, one row per gas: Variable, y<year>..."""
     wide = gases_at(in_ids(db.long, candidates(db)), years, vintage="AR6")
     rows = stack_rows(wide, ("scen_id",), _gas_items(tuple(fixed.GAS_VARIABLES), years, "{} (Mt CO2e)"))
-    med = median(rows, ("Variable", "year"), groups_at_most=5 * len(years), rows_at_most=db.scenarios)
+    med = median(rows, ("Variable", "year"))
     return pivot_years(med, ("Variable",), years).withColumn("Source", F.lit(fixed.BENCHMARK))
 
 
@@ -294,14 +299,14 @@ def _with_total(co2: DataFrame, other: DataFrame) -> DataFrame:
 
 
 def benchmark_unharmonised(db: ScenarioDb, limits: Limits, focal: DataFrame, markers: Sequence[str] = fixed.FOCAL_MARKERS,
-                           external: Sequence[str] = ("NZE",), anchor: float = fixed.GROSS_2020_ANCHOR) -> DataFrame:
+                           external: Sequence[str] = ("NZE",), anchor: float = fixed.GROSS_2020_ANCHOR,
+                           staging: Staging | None = None) -> DataFrame:
     """Filtered median and focal scenarios; their mean change moves the 2020 anchor; other gases and the total."""
     marker_ids = marked(db, markers)
-    med = median(gross_at(db, filtered(db, limits), MILESTONES), ("year",), groups_at_most=len(MILESTONES),
-                 rows_at_most=db.scenarios)
-    marker_rows = gross_at(db, marker_ids.select("scen_id"), MILESTONES).join(
-        marker_ids.withColumnRenamed("IMP_marker", "Source"), "scen_id"
-    )
+    either = (F.col("Category") == fixed.TARGET_CATEGORY) | F.col("IMP_marker").isin(list(markers))
+    gross = shared(gross_at(db, db.key.where(either).select("scen_id"), MILESTONES), staging)
+    med = median(in_ids(gross, filtered(db, limits)), ("year",))
+    marker_rows = gross.join(marker_ids.withColumnRenamed("IMP_marker", "Source"), "scen_id")
     members = union_all(
         pivot_years(med.withColumn("Source", F.lit(fixed.FILTERED_LABEL)), ("Source",), MILESTONES),
         pivot_years(marker_rows, ("scen_id", "Source"), MILESTONES), focal.where(F.col("Source").isin(list(external))),
@@ -333,58 +338,72 @@ def benchmark_unharmonised(db: ScenarioDb, limits: Limits, focal: DataFrame, mar
     return change_columns(out.drop("scen_id"), _LATER)
 
 
-def harmonised_net(db: ScenarioDb, ids: DataFrame, history: DataFrame) -> Harmonised:
-    net = net_every_year(db, ids, 2020, 2050).withColumn("Region", F.lit("World"))
-    return harmonise_budget(net, history, ("scen_id",))
+def harmonised_net(net: DataFrame, history: DataFrame, staging: Staging | None = None) -> Harmonised:
+    """``net``: scen_id, year, value."""
+    return harmonise_budget(net.withColumn("Region", F.lit("World")), history, ("scen_id",),
+                            keep=lambda frame: shared(frame, staging))
+
+
+def harmonised_gross(db: ScenarioDb, harmonised: DataFrame) -> DataFrame:
+    """Gross emissions of harmonised net trajectories (scen_id, year, value), each year of 2020-2050."""
+    cols = ("scen_id", "Variable", "year", "value")
+    net = harmonised.select("scen_id", F.lit(fixed.NET_TOTAL).alias("Variable"), "year", "value")
+    removals = in_ids(db.long.where(F.col("Variable").isin(list(fixed.REMOVALS))), harmonised)
+    gross = gross_emissions(removals.select(*cols).unionByName(net), fill=True, first=db.first_year, last=db.last_year,
+                            name=fixed.GROSS_HARMONISED)
+    dense = densify_years(gross, ("scen_id", "Variable"), 2020, 2050)
+    return dense.select("scen_id", "Variable", "year", F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
+def _as_gross(external: DataFrame) -> DataFrame:
+    return external.select("scen_id", F.lit(fixed.GROSS_TOTAL).alias("Variable"), "year", "value")
 
 
-def combined_emissions(db: ScenarioDb, limits: Limits, history: DataFrame, external: DataFrame) -> DataFrame:
+def combined_emissions(db: ScenarioDb, limits: Limits, history: DataFrame, external: DataFrame,
+                       staging: Staging | None = None) -> DataFrame:
     """Net and gross emissions of the filtered scenarios, before and after harmonisation, and an external path.
 
     ``external``: scen_id, year, value.
     """
-    cols = ("scen_id", "Variable", "year", "value")
-    # every branch below starts from the filtered scenarios' yearly net and gross, so they are written once
-    both = stage(net_and_gross_every_year(db, filtered(db, limits), 2020, 2050), "yearly", bucket_by="scen_id",
-                 sort_by=("Variable", "scen_id", "year"), buckets=db.buckets)
-    net = both.where(F.col("Variable") == fixed.NET_TOTAL).withColumn("Region", F.lit("World"))
-    harmonised = harmonise_budget(net, history, ("scen_id",)).trajectories
-    harm_net = harmonised.select("scen_id", F.lit(fixed.NET_TOTAL).alias("Variable"), "year", "value")
-    removals = in_ids(db.long.where(F.col("Variable").isin(list(fixed.REMOVALS))), harmonised)
-    gross_harm = gross_emissions(
-        removals.select(*cols).unionByName(harm_net), fill=True, first=db.first_year, last=db.last_year,
-        name=fixed.GROSS_HARMONISED,
-    )
-    gross_harm = densify_years(gross_harm, ("scen_id", "Variable"), 2020, 2050).withColumn(
-        "value", F.coalesce("value", F.lit(0.0))
-    )
+    # net is harmonised and reported, and the harmonised net is reported and made gross
+    both = shared(net_and_gross_every_year(db, filtered(db, limits), 2020, 2050), staging)
+    harmonised = harmonised_net(both.where(F.col("Variable") == fixed.NET_TOTAL), history, staging).trajectories
     out = union_all(
         both.withColumn("value", zero_as_missing("value")),
-        harm_net.withColumn("Variable", F.lit(fixed.NET_HARMONISED)),
-        gross_harm.select(*cols),
-        external.select("scen_id", F.lit(fixed.GROSS_TOTAL).alias("Variable"), "year", "value"),
+        harmonised.select("scen_id", F.lit(fixed.NET_HARMONISED).alias("Variable"), "year", "value"),
+        harmonised_gross(db, harmonised), _as_gross(external),
     )
     return out.where(F.col("value").isNotNull())
 
 
+def harmonised_paths(db: ScenarioDb, limits: Limits, history: DataFrame, external: DataFrame,
+                     staging: Staging | None = None) -> DataFrame:
+    """The rows of ``combined_emissions`` that the benchmark takes: harmonised gross emissions and the external path."""
+    net = net_every_year(db, filtered(db, limits), 2020, 2050)
+    gross = harmonised_gross(db, harmonised_net(net, history, staging).trajectories)
+    return gross.unionByName(_as_gross(external)).where(F.col("value").isNotNull())
+
+
 def benchmark_harmonised(db: ScenarioDb, combined: DataFrame, external_id: str = fixed.EXTERNAL_ID,
-                         anchor: float = fixed.GROSS_2020_ANCHOR) -> DataFrame:
-    """Median of the harmonised gross paths and the external one, other gases, total, change since 2020."""
-    combined = stage(combined, "combined", bucket_by="scen_id", sort_by=("Variable", "scen_id", "year"),
-                     buckets=db.buckets)
+                         anchor: float = fixed.GROSS_2020_ANCHOR, staging: Staging | None = None) -> DataFrame:
+    """Median of the harmonised gross paths and the external one, other gases, total, change since 2020.
+
+    ``combined``: the combined emissions, or only the rows of them that count (``harmonised_paths``).
+    """
     harm = F.col("Variable") == fixed.GROSS_HARMONISED
-    paths = anchor_and_bridge(combined.where(harm | (F.col("scen_id") == external_id)), harm, anchor)
-    med = median(milestones(paths, MILESTONES), ("year",), groups_at_most=len(MILESTONES), rows_at_most=db.scenarios)
+    rows = shared(combined.where(harm | (F.col("scen_id") == external_id)), staging)
+    paths = shared(milestones(anchor_and_bridge(rows, harm, anchor), MILESTONES), staging)
+    med = median(paths, ("year",))
     co2 = pivot_years(
         med.withColumn("Variable", F.lit(fixed.GROSS_CO2)), ("Variable",), MILESTONES
     ).withColumn("Source", F.lit(fixed.BENCHMARK))
     return change_columns(_with_total(co2, non_co2_pathway(db)), (2030, 2040, 2050))
 
 
-def harmonised_long(db: ScenarioDb, limits: Limits, history: DataFrame) -> DataFrame:
+def harmonised_long(db: ScenarioDb, limits: Limits, history: DataFrame, staging: Staging | None = None) -> DataFrame:
     """History, model and harmonised net emissions of the filtered scenarios in one labelled long table."""
-    ids = staged_ids(filtered(db, limits))
-    harm = harmonised_net(db, ids, history).trajectories
+    net = shared(net_every_year(db, filtered(db, limits), 2020, 2050), staging)
+    harm = harmonised_net(net, history, staging).trajectories
     names = db.key.select("scen_id", "Model", "Scenario")
 
     def named(df: DataFrame, variable: str) -> DataFrame:
@@ -398,7 +417,7 @@ def harmonised_long(db: ScenarioDb, limits: Limits, history: DataFrame) -> DataF
         F.lit(fixed.NET_TOTAL).alias("Variable"), "year", F.col("value").alias("Emissions"),
     )
     out = union_all(
-        hist, named(net_every_year(db, ids, 2020, 2050), fixed.NET_TOTAL), named(harm, fixed.NET_HARMONISED)
+        hist, named(net, fixed.NET_TOTAL), named(harm, fixed.NET_HARMONISED)
     )
     return out.where(F.col("Region") == "World").withColumn("Label", joined_key("Model", "Variable"))
 
@@ -446,14 +465,18 @@ def removal_ratio(db: ScenarioDb) -> DataFrame:
     return wide.withColumn("ratio_removals_net_2050", share_of("cum_sum_20_50_removals", "cum_sum_20_50_net"))
 
 
-def band_vs_median(db: ScenarioDb, limits: Limits) -> DataFrame:
+def c1_band(db: ScenarioDb, staging: Staging | None = None) -> DataFrame:
+    """Quartiles of the C1 scenarios' gross emissions at each milestone, zeros missing: year, c1_25, c1_75."""
+    gross = shared(gross_at(db, candidates(db), DECADES), staging)
+    rows = gross.where(F.col("year").isin(list(MILESTONES))).withColumn("value", zero_as_missing("value"))
+    return interquartile_band(rows, ("year",))
+
+
+def band_vs_median(db: ScenarioDb, limits: Limits, staging: Staging | None = None) -> DataFrame:
     """All C1 trajectories and the filtered median, long, with the C1 quartile band of each milestone."""
-    wide = gross_summary(db, limits)
+    wide = gross_summary(db, limits, staging)
     long = unpivot_years(wide, ["scen_id", "Variable"], [f"y{y}" for y in DECADES], "CO2", strip="y")
-    long = stage(long, "trajectories")
-    c1 = long.where((F.col("scen_id") != fixed.FILTERED_MEDIAN) & F.col("year").isin(list(MILESTONES)))
-    band = interquartile_band(c1, ("year",), "CO2", groups_at_most=len(MILESTONES), rows_at_most=db.scenarios)
-    return long.join(small_side(band, len(MILESTONES)), "year", "left")
+    return long.join(c1_band(db, staging), "year", "left")
 
 
 def raw_vs_harmonised(combined: DataFrame, external_id: str = fixed.EXTERNAL_ID) -> DataFrame:
@@ -464,12 +487,20 @@ def raw_vs_harmonised(combined: DataFrame, external_id: str = fixed.EXTERNAL_ID)
 
 def removals_vs_reduction(db: ScenarioDb, limits: Limits) -> DataFrame:
     """Removals in 2050 next to the gross reduction 2020-2050, scenarios that have both."""
-    table = stage(ambition_table(db, limits, (2020, 2050)), "ambition", bucket_by="scen_id", buckets=db.buckets)
-    gross = table.where(F.col("Variable") == fixed.GROSS_TOTAL).select(
-        "scen_id", "filtered", relative_change("y2020", "y2050").alias("gross_change_2020_2050")
+    # both variables of a scenario fold to one row, as the milestones do
+    v, y = F.col("Variable"), F.col("year")
+
+    def at(name: str, year: int):
+        return value_when((v == name) & (y == year))
+
+    wide = ambition_rows(db, (2020, 2050)).groupBy("scen_id").agg(
+        at(fixed.GROSS_TOTAL, 2020).alias("y2020"), at(fixed.GROSS_TOTAL, 2050).alias("y2050"),
+        at(fixed.REMOVALS_SUM, 2050).alias("removals_2050"),
+        F.bool_or(v == fixed.GROSS_TOTAL).alias("has_gross"), F.bool_or(v == fixed.REMOVALS_SUM).alias("has_removals"),
     )
-    cdr = table.where(F.col("Variable") == fixed.REMOVALS_SUM).select("scen_id", F.col("y2050").alias("removals_2050"))
-    return gross.join(cdr, "scen_id")
+    rows = wide.where("has_gross AND has_removals").select(
+        "scen_id", relative_change("y2020", "y2050").alias("gross_change_2020_2050"), "removals_2050")
+    return flag_members(rows, filtered(db, limits), "filtered")
 
 
 def ambition_cut(db: ScenarioDb, cut: float = fixed.AMBITION_CUT, markers: Sequence[str] = fixed.MARKERS) -> DataFrame:
@@ -494,8 +525,7 @@ def summary_metrics(db: ScenarioDb, limits: Limits, external: DataFrame) -> Data
     long = metrics.unpivot(["scen_id", "filtered"], list(labels), "metric", "value")
     both = long.withColumn("cohort", F.explode(F.when(F.col("filtered") == 1, F.array(F.lit("f"), F.lit("c")))
                                                .otherwise(F.array(F.lit("c")))))
-    q = quantile_rows(both, ("cohort", "metric"), {"25": 0.25, "50": 0.5, "75": 0.75},
-                      groups_at_most=2 * len(labels), rows_at_most=db.scenarios)
+    q = quantile_rows(both, ("cohort", "metric"), {"25": 0.25, "50": 0.5, "75": 0.75})
     source = (
         F.when((F.col("cohort") == "f") & (F.col("perc") == "50"), fixed.FILTERED_MEDIAN)
         .when((F.col("cohort") == "c") & (F.col("perc") == "25"), "AR6 C1 (25th percentile)")
@@ -520,7 +550,7 @@ def key_metric_panel(metrics: DataFrame, focal: Sequence[str] = ("IEA NZE", fixe
         F.max(F.when(F.col("scenario") == "AR6 C1-75", F.col("Value"))).alias("line_75"),
     )
     bars = coded.where(F.col("source").isin(list(focal)))
-    return bars.join(small_side(lines, len(metric_levels)), "metric_label").select(
+    return bars.join(lines, "metric_label").select(
         "metric_label", "metric_ord", "scenario", "scenario_ord", "Value", "line_25", "line_75"
     )
 
@@ -539,9 +569,7 @@ def afolu_generations(db: ScenarioDb, older: ScenarioDb, co2e_line: float = fixe
     both = rows(db, "AR6").unionByName(rows(older, "SR15"))
     keys = ("measure", "gen", "category")
     line = F.when(F.col("measure") == "co2e", co2e_line).otherwise(co2_line)
-    most = max(d.scenarios for d in (db, older)) if db.scenarios and older.scenarios else None
-    above = F.avg(F.when(F.col("total") > line, 1.0).otherwise(0.0))
-    return boxplot_stats(both, keys, "total", groups_at_most=24, rows_at_most=most, more={"share_above": above})
+    return boxplot_stats(both, keys, "total", {"share_above": F.col("total") > line})
 
 
 def project_highlight(db: ScenarioDb, project: str = fixed.PROJECT) -> DataFrame:
@@ -551,25 +579,28 @@ def project_highlight(db: ScenarioDb, project: str = fixed.PROJECT) -> DataFrame
     return flag_members(rows, members, "highlighted")
 
 
-def focal_vs_median(db: ScenarioDb, limits: Limits, focal: DataFrame, names: Sequence[str] = ("NZE", "CWF")) -> DataFrame:
-    """External focal paths and the filtered median before 2060, labelled in order."""
+def focal_vs_median(db: ScenarioDb, limits: Limits, focal: DataFrame, names: Sequence[str] = ("NZE", "CWF"),
+                    staging: Staging | None = None) -> DataFrame:
+    """External focal paths and the filtered median before 2060, labelled in order, with the C1 quartile band."""
     cols = [f"y{y}" for y in MILESTONES]
     outside = unpivot_years(
         focal.where(F.col("Source").isin(list(names))).withColumnRenamed("Source", "scen_id").select("scen_id", *cols),
         ["scen_id"], cols, "CO2", strip="y",
     )
-    med = gross_summary(db, limits).where(F.col("scen_id") == fixed.FILTERED_MEDIAN)
-    med = unpivot_years(med, ["scen_id"], [f"y{y}" for y in DECADES], "CO2", strip="y").where(F.col("year") < 2060)
+    gross = shared(gross_at(db, candidates(db), DECADES), staging)
+    some = in_ids(gross.where(F.col("year") < 2060), filtered(db, limits)).withColumn("value", zero_as_missing("value"))
+    med = median(some, ("year",), out="CO2").select(F.lit(fixed.FILTERED_MEDIAN).alias("scen_id"), "year", "CO2")
     levels = [("NZE", "NZE"), ("CWF", "CWF"), (fixed.FILTERED_MEDIAN, "Filtered")]
-    return recode(outside.unionByName(med.select("scen_id", "year", "CO2")), "scen_id", levels, "Scenario", "ord")
+    paths = recode(outside.unionByName(med), "scen_id", levels, "Scenario", "ord")
+    return paths.join(c1_band(db, staging), "year", "left")
 
 
-def pathway_vs_subset(db: ScenarioDb, limits: Limits, focal: DataFrame) -> DataFrame:
+def pathway_vs_subset(db: ScenarioDb, limits: Limits, focal: DataFrame, staging: Staging | None = None) -> DataFrame:
     """Gross CO2e of each C1 scenario and the cross-sector path, with the marker and net-zero subsets flagged."""
     c1 = candidates(db)
     rows = components_at(db, c1, MILESTONES)
     total = rows.groupBy("scen_id", "year").agg(F.sum("value").alias("CO2eq"))
-    bench = benchmark_unharmonised(db, limits, focal).where(F.col("Variable") == fixed.GROSS_CO2E)
+    bench = benchmark_unharmonised(db, limits, focal, staging=staging).where(F.col("Variable") == fixed.GROSS_CO2E)
     path = unpivot_years(
         bench.select(F.lit(fixed.PATHWAY).alias("scen_id"), *[f"y{y}" for y in MILESTONES]), ["scen_id"],
         [f"y{y}" for y in MILESTONES], "CO2eq", strip="y",
@@ -578,16 +609,19 @@ def pathway_vs_subset(db: ScenarioDb, limits: Limits, focal: DataFrame) -> DataF
     return flag_members(out, db.key.where(F.col("Category_subset") == fixed.SUBSET), "is_subset")
 
 
+FIVE_YEARLY = tuple(range(2020, 2061, 5))
+
+
 def net_vs_gross(quartiles: DataFrame) -> DataFrame:
     """Net against gross quantiles of each source, five-yearly 2020-2060: how far above y = x they lie."""
-    rows = quartiles.where(F.col("year").isin(list(range(2020, 2061, 5))))
+    rows = milestones(quartiles, FIVE_YEARLY)
     xy = pivot_variables(rows, ("source", "perc", "year"), {fixed.NET_TOTAL: "net", fixed.GROSS_TOTAL: "gross"})
     return scatter_vs_identity(xy, ("source",), "net", "gross")
 
 
 def generation_bands(quartiles: DataFrame, older_quartiles: DataFrame) -> DataFrame:
     """Both generations' quartiles and medians in one labelled table."""
-    newer = quartiles.where(F.col("year").isin(list(range(2020, 2061, 5))))
+    newer = milestones(quartiles, FIVE_YEARLY)
     older = older_quartiles.where(
         F.col("year").isin(list(range(2020, 2061, 10))) & (F.col("Variable") != fixed.BECCS)
     )
@@ -600,7 +634,7 @@ def median_plus_paths(quartiles: DataFrame, paths: DataFrame) -> DataFrame:
     """Relabelled gross medians and the illustrative scenarios."""
     med = quartiles.where(
         (F.col("perc") == "median") & (F.col("Variable") == fixed.GROSS_TOTAL)
-        & F.col("year").isin(list(range(2020, 2061, 5)))
+        & F.col("year").isin(list(FIVE_YEARLY))
     )
     label = (
         F.when(F.col("source") == "AR6 C1", "AR6 C1 (median)")
@@ -626,15 +660,14 @@ LAND_USE_METRICS = (
 
 def land_use_boxplots(db: ScenarioDb, line: float = fixed.LAND_USE_LINE) -> DataFrame:
     long = land_use_table(db, line).unpivot(["scen_id", "filter_flag"], list(LAND_USE_METRICS), "metric", "value")
-    return boxplot_stats(long, ("metric", "filter_flag"), "value", groups_at_most=2 * len(LAND_USE_METRICS),
-                         rows_at_most=db.scenarios)
+    return boxplot_stats(long, ("metric", "filter_flag"), "value")
 
 
-def land_use_tests(db: ScenarioDb, line: float = fixed.LAND_USE_LINE, p_value: bool = False) -> DataFrame:
+def land_use_tests(db: ScenarioDb, line: float = fixed.LAND_USE_LINE) -> DataFrame:
     return welch_t_test(land_use_table(db, line), "filter_flag", fixed.NOT_REMOVED, fixed.REMOVED,
-                        ("perc_ch_gross_2030", "perc_ch_gross_2050"), p_value)
+                        ("perc_ch_gross_2030", "perc_ch_gross_2050"))
 
 
-def land_use_correlations(db: ScenarioDb, line: float = fixed.LAND_USE_LINE, p_value: bool = False) -> DataFrame:
+def land_use_correlations(db: ScenarioDb, line: float = fixed.LAND_USE_LINE) -> DataFrame:
     pairs = [("max_lu_seq", m) for m in ("net_2050", "gross_2050", "net_2030", "gross_2030")]
-    return pearson_cor_test(land_use_table(db, line), pairs, p_value)
+    return pearson_cor_test(land_use_table(db, line), pairs)

@@ -1,19 +1,27 @@
-"""Reading wide year-column files, scenario metadata and the written intermediates."""
+"""Reading wide year-column files and scenario metadata, and the ingest into the canonical tables."""
 
 from __future__ import annotations
 
+import csv
 import re
-import uuid
+from collections import defaultdict
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pathloom.functions.columns import joined_key, nan_as_missing
-from pathloom.operators.reshape import unpivot_years
-from pathloom.session import shared_dir
+from pathloom.operators.joins import measured_bytes
+from pathloom.sources.staging import Staging
+
+#: Quotes are doubled inside quoted text, which may hold line breaks, as common CSV readers and writers have it.
+CSV_DIALECT = {"header": "true", "quote": '"', "escape": '"'}
+#: Cells of a year column that say that nothing is reported.
+MISSING_CELLS = ("", "NA", "N/A", "n/a", "#N/A", "#NA", "NaN", "nan", "NULL", "null", "None")
+HEADERS_AT_ONCE = 64
 
 
 def discover_year_columns(columns: Iterable[str], pattern: str = r"2\d{3}") -> list[str]:
@@ -21,22 +29,74 @@ def discover_year_columns(columns: Iterable[str], pattern: str = r"2\d{3}") -> l
     return [c for c in columns if re.fullmatch(pattern, c)]
 
 
-def scan_wide_csv(spark: SparkSession, path: str, pattern: str = r"2\d{3}") -> DataFrame:
-    """Wide CSV with an explicit schema: year columns double, everything else text.
+def headers(spark: SparkSession, path: str | Sequence[str]) -> dict[str, tuple[str, ...]]:
+    """The column names of each file under ``path``. Reads the first line of each, many files in one job."""
+    files = sorted(spark.read.text(path).inputFiles())
+    out = {}
+    for i in range(0, len(files), HEADERS_AT_ONCE):
+        some = files[i:i + HEADERS_AT_ONCE]
+        firsts = [spark.read.text(f).limit(1).select(F.lit(f).alias("file"), "value") for f in some]
+        for row in reduce(DataFrame.unionAll, firsts).collect():
+            names = tuple(next(csv.reader([row["value"].removeprefix("\ufeff")])))
+            if len(set(names)) < len(names):
+                raise ValueError(f"a column name stands twice in the header of {row['file']}")
+            out[row["file"]] = names
+    return out
 
-    Only the header line is looked at to find the columns; there is no inference pass over the data.
-    """
-    header = spark.read.option("header", True).csv(path).columns
-    years = set(discover_year_columns(header, pattern))
-    schema = T.StructType(
-        [T.StructField(c, T.DoubleType() if c in years else T.StringType()) for c in header]
-    )
-    df = spark.read.option("header", True).schema(schema).csv(path)
-    return df.select(*[nan_as_missing(c).alias(c) if c in years else F.col(c) for c in header])
 
+def _rejected(cell: Column) -> Column:
+    """Whether a cell is neither a number nor a sign that nothing is reported."""
+    return cell.try_cast("double").isNull() & ~F.coalesce(F.trim(cell), F.lit("")).isin(*MISSING_CELLS)
 
-#: Quotes are doubled inside quoted text, which may hold line breaks, as common CSV readers and writers have it.
-CSV_DIALECT = {"header": "true", "quote": '"', "escape": '"'}
+
+def _number(cell: Column, column: Column) -> Column:
+    """The number in a cell, missing where nothing is reported; anything else fails the job."""
+    said = F.concat(F.lit("no number in column "), column, F.lit(": "), cell)
+    return nan_as_missing(F.coalesce(cell.try_cast("double"), F.when(_rejected(cell), F.raise_error(said).cast("double"))))
+
+
+def _text_scan(spark: SparkSession, path: str | Sequence[str], pattern: str, multiline: bool) -> DataFrame:
+    """All files under ``path`` with text in every column, the year columns last and in order."""
+    groups = defaultdict(list)
+    for file, names in headers(spark, path).items():
+        groups[names].append(file)
+    if not groups:
+        raise ValueError(f"no files with a header under {path}")
+
+    def scan(names: tuple[str, ...], files: list[str]) -> DataFrame:
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+        return spark.read.schema(schema).options(
+            **CSV_DIALECT, multiLine=multiline, enforceSchema=False, mode="FAILFAST").csv(files)
+
+    frames = [scan(names, files) for names, files in groups.items()]
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    years = discover_year_columns(every.columns, pattern)
+    return every.select(*[F.col(f"`{c}`") for c in every.columns if c not in years],
+                        *[F.col(f"`{c}`") for c in sorted(years, key=int)])
+
+
+def scan_wide_csv(spark: SparkSession, path: str | Sequence[str], pattern: str = r"2\d{3}", multiline: bool = True,
+                  rejects: str | None = None) -> DataFrame:
+    """Wide CSV files: year columns double, everything else text.
+
+    Files are grouped by their header and each group is scanned with its own columns, then brought together by
+    name, so files may order their columns differently or lack some. Quoted text may hold line breaks; a file is then
+    read by one task, ``multiline=False`` splits large files that are known to have none. Rows with too many or too
+    few cells fail the scan.
+
+    A cell of a year column that is no number and does not stand for a missing value fails the scan, unless
+    ``rejects`` names a further column: there the cell is missing and that column lists (year, text) of such cells.
+    """
+    rows = _text_scan(spark, path, pattern, multiline)
+    years = discover_year_columns(rows.columns, pattern)
+    kept = [F.col(f"`{c}`") for c in rows.columns if c not in years]
+    if rejects is None:
+        return rows.select(*kept, *[_number(F.col(f"`{c}`"), F.lit(c)).alias(c) for c in years])
+    bad = [F.when(_rejected(F.col(f"`{c}`")), F.struct(F.lit(c).alias("year"), F.col(f"`{c}`").alias("text")))
+           for c in years]
+    listed = (F.array_compact(F.array(*bad)) if bad else F.array()).cast("array<struct<year:string,text:string>>")
+    numbers = [nan_as_missing(F.col(f"`{c}`").try_cast("double")).alias(c) for c in years]
+    return rows.select(*kept, *numbers, listed.alias(rejects))
 
 
 def scan_metadata(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
@@ -50,38 +110,84 @@ def scan_metadata(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame
 class ScenarioDb:
     """Canonical pair: the long table and one metadata row per scenario.
 
-    ``long``: scen_id, Model, Scenario, Region, Variable, Unit, year, value, with at most one row per
-    (scen_id, Variable, year). A missing value is an absent row.
-    ``first_year``/``last_year``: the year columns the wide table has. ``scenarios``: how many scenarios there
-    are, if known; it bounds every per-(variable, year) group and so picks the quantile method.
+    ``long``: scen_id, Model, Scenario, Region, Variable, Unit, year, value of one region, with at most one row per
+    (scen_id, Variable, year). A missing value is an absent row. ``years``: the years of the table, in order.
     """
 
     long: DataFrame
     key: DataFrame
-    first_year: int
-    last_year: int
+    years: tuple[int, ...]
     scenarios: int | None = None
-    buckets: int | None = None  # how the long table is bucketed by scen_id, for intermediates joined to it
+    buckets: int | None = None  # how both tables are bucketed by scen_id, for intermediates joined to them
+
+    @property
+    def first_year(self) -> int:
+        return self.years[0]
+
+    @property
+    def last_year(self) -> int:
+        return self.years[-1]
 
 
-SCENARIOS_PER_BUCKET = 20_000  # a few hundred yearly values each: some hundred MB per bucket
+ROW_KEY = ("scen_id", "Region", "Variable", "year")
+BUCKET_BYTES = 128 << 20  # of measured input a bucket takes
 
 
-def bucket_count(spark: SparkSession, scenarios: int) -> int:
+def bucket_count(spark: SparkSession, size: int) -> int:
     """Buckets that keep one bucket in a task's memory, and at least one per core."""
-    return min(100_000, max(spark.sparkContext.defaultParallelism, -(-scenarios // SCENARIOS_PER_BUCKET)))
+    return min(100_000, max(spark.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES)))
+
+
+def unique_rows(df: DataFrame, keys: Sequence[str], partitioned_by: str, n: int) -> DataFrame:
+    """``df`` in ``n`` hash partitions of a column that is one of the keys; a key that comes twice fails the job.
+
+    Rows of one key lie in one partition, sorted by it, so the check needs no exchange of its own.
+    """
+    order = Window.partitionBy(*keys).orderBy(*keys)
+    text = F.concat_ws(", ", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys])
+    twice = F.raise_error(F.concat(F.lit("two rows for "), text))
+    checked = df.repartition(n, partitioned_by).withColumn("_nth", F.row_number().over(order))
+    return checked.where(F.when(F.col("_nth") > 1, twice.cast("boolean")).otherwise(True)).drop("_nth")
+
 
+def ingest(long: DataFrame, key: DataFrame, name: str = "scen", years: Sequence[int] | None = None,
+           region: str | None = None, staging: Staging | None = None) -> ScenarioDb:
+    """Write both tables bucketed by ``scen_id``: one exchange each.
 
-def read_scenario_db(spark: SparkSession, data_path: str, meta_path: str, meta_fmt: str = "csv",
-                     sep: str = " ") -> ScenarioDb:
-    wide = scan_wide_csv(spark, data_path)
+    The row key is (scen_id, Region, Variable, year); two rows for one key fail the job. Scenario operators work on
+    one region: it is named by ``region`` or the only one there is, anything else is refused. A table without a
+    Region column is of one region. ``years`` are the year columns of a wide source; without them the years are
+    those reported.
+    """
+    spark = long.sparkSession
+    own = staging or Staging.of(spark)
+    keys = [k for k in ROW_KEY if k in long.columns]
+    if region is not None:
+        long = long.where(F.col("Region") == region)
+    n = bucket_count(spark, measured_bytes(long))
+    rows = own.written(unique_rows(long, keys, "scen_id", n), f"{name}_long", "scen_id", ("Variable", "scen_id", "year"), n,
+                       dealt=True)
+    metadata = own.written(unique_rows(key, ["scen_id"], "scen_id", n), f"{name}_key", "scen_id", ("scen_id",), n,
+                           dealt=True)
+    wanted = [F.collect_set("year").alias("years")] + [F.collect_set("Region").alias("regions")] * ("Region" in keys)
+    found = rows.agg(*wanted).first()
+    if "Region" in keys and len(found["regions"]) > 1:
+        raise ValueError(f"rows of several regions, name one: {', '.join(sorted(found['regions']))}")
+    return ScenarioDb(rows, metadata, tuple(sorted(int(y) for y in years or found["years"])), metadata.count(), n)
+
+
+def read_scenario_db(spark: SparkSession, data_path: str | Sequence[str], meta_path: str, meta_fmt: str = "csv",
+                     sep: str = " ", region: str | None = None, multiline: bool = True,
+                     staging: Staging | None = None) -> ScenarioDb:
+    """Wide files and their metadata, read once and ingested."""
+    wide = _text_scan(spark, data_path, r"2\d{3}", multiline)
     years = discover_year_columns(wide.columns)
-    ids = [c for c in wide.columns if c not in years]
-    long = unpivot_years(wide, ids, years).withColumn("scen_id", joined_key("Model", "Scenario", sep=sep))
-    key = scan_metadata(spark, meta_path, meta_fmt).withColumn(
-        "scen_id", joined_key("Model", "Scenario", sep=sep)
-    )
-    return ScenarioDb(long, key, int(min(years)), int(max(years)))
+    cells = wide.unpivot([c for c in wide.columns if c not in years], years, "year", "cell")
+    long = cells.withColumns({"value": _number(F.col("cell"), F.col("year")), "year": F.col("year").cast("int"),
+                              "scen_id": joined_key("Model", "Scenario", sep=sep)})
+    long = long.drop("cell").where(F.col("value").isNotNull())
+    key = scan_metadata(spark, meta_path, meta_fmt).withColumn("scen_id", joined_key("Model", "Scenario", sep=sep))
+    return ingest(long, key, "read", [int(y) for y in years], region, staging)
 
 
 def duplicate_rows(df: DataFrame, keys: Sequence[str] = ("scen_id", "Variable", "year")) -> DataFrame:
@@ -93,34 +199,3 @@ def sink_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     """Header row, no row index; one file per partition."""
     df.write.mode(mode).options(**CSV_DIALECT).csv(path)
     return path
-
-
-def stage(df: DataFrame, name: str, bucket_by: str | None = None, sort_by: Sequence[str] = (),
-          buckets: int | None = None) -> DataFrame:
-    """Write ``df`` once to the shared folder and go on from the written table.
-
-    With ``bucket_by`` the table is hash-bucketed, so later group-bys and joins on that column need no
-    shuffle; ``sort_by`` inside the buckets gives the Parquet pages narrow ranges to skip by.
-    """
-    spark = df.sparkSession
-    table = f"{name}_{uuid.uuid4().hex[:12]}"
-    path = f"{shared_dir(spark)}/{table}"
-    if bucket_by is None:
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    writer = df.repartition(n, bucket_by).write.option("path", path)
-    writer.bucketBy(n, bucket_by).sortBy(*(sort_by or (bucket_by,))).saveAsTable(table)
-    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(table)
-    return spark.table(table)
-
-
-_TABLES: dict[str, list[str]] = {}
-
-
-def drop_staged(spark: SparkSession) -> int:
-    """Forget this session's staged tables. Their files stay until the shared folder is cleared."""
-    names = _TABLES.pop(spark.sparkContext.applicationId, [])
-    for name in names:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-    return len(names)

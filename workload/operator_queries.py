@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pathloom.functions import columns as c
@@ -46,7 +48,7 @@ def _wide(spark, sf):
 
 
 def _csv(spark, sf, name, df):
-    return src.sink_csv(df, f"{shared_dir(spark)}/{name}-{src.uuid.uuid4().hex[:12]}")
+    return src.sink_csv(df, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}")
 
 
 # --- sources and sinks --------------------------------------------------------
@@ -112,7 +114,7 @@ def _(spark, sf):
 def _(spark, sf):
     focal = rs.unpivot_years(t.focal(spark), ["Source"], [f"y{y}" for y in MS], "focal_value", strip="y")
     counts = _long(spark, sf).groupBy("year").agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(j.small_side(focal, 4 * len(t.FOCAL)), "year").select("Source", "year", "focal_value", "n")
+    return counts.join(j.small_side(focal), "year").select("Source", "year", "focal_value", "n")
 
 
 @register("sink_csv", f"select scen_id, {pivot(MS, 'value')} from gross where scen_id in (select scen_id from c1) group by 1")
@@ -126,8 +128,8 @@ def _(spark, sf):
     from gross where scen_id in (select scen_id from c1) and year in (2020, 2030, 2040, 2050) group by 1""")
 def _(spark, sf):
     d = t.db(spark, sf)
-    gross = src.stage(b.gross_at(d, b.candidates(d), MS), "gross_c1")
-    med = sm.median(gross, ("year",), out="med", groups_at_most=len(MS), rows_at_most=d.scenarios)
+    gross = b.shared(b.gross_at(d, b.candidates(d), MS))
+    med = sm.median(gross, ("year",), out="med")
     return med.join(gross.groupBy("year").agg(F.avg("value").alias("mean_value")), "year")
 
 
@@ -162,7 +164,7 @@ def _(spark, sf):
 def _(spark, sf):
     d = t.db(spark, sf)
     rows = j.in_ids(d.long, b.candidates(d))
-    med = sm.median(rows, ("Variable", "year"), rows_at_most=d.scenarios)
+    med = sm.median(rows, ("Variable", "year"))
     return med.withColumns({"source": F.lit("AR6 C1"), "filter_flag": F.lit(0)})
 
 
@@ -216,7 +218,7 @@ def _(spark, sf):
         for vintage, gas in fixed.WARMING_FACTORS
     ]
     factors = j.lookup_table(spark, rows, "Variable string, vintage string, factor double")
-    joined = _long(spark, sf).join(j.small_side(factors, len(rows)), "Variable")
+    joined = _long(spark, sf).join(j.small_side(factors), "Variable")
     return joined.select("scen_id", "Variable", "year", "vintage", (F.col("value") * F.col("factor")).alias("co2e"))
 
 
@@ -349,7 +351,21 @@ def _(spark, sf):
     from companies where sector not in ('power', 'buildings_res', 'buildings_serv', 'cement')
       or ty_activity_type not in ('fixed_market_share', 'ty_output')""")
 def _(spark, sf):
-    return tg.domain_check(t.companies(spark, sf))[1].select("company", "violations")
+    return tg.domain_check(t.companies(spark, sf), tg.domain_table(spark), tg.DOMAINS)[1].select("company", "violations")
+
+
+@register("domain_check_table", """select company, concat_ws(',', case when sector not in (select sector from (select sector, count(*) as n
+        from companies group by 1 order by n desc, sector limit 3)) then 'sector' end,
+      case when not starts_with(company, 'Customer#') then 'company' end) as violations
+    from companies where sector not in (select sector from (select sector, count(*) as n from companies group by 1 order by n desc, sector limit 3))
+      or not starts_with(company, 'Customer#')""")
+def _(spark, sf):
+    # the domain comes from the data: the three sectors most companies are in, and every well-formed name
+    rows = t.companies(spark, sf)
+    top = rows.groupBy("sector").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "sector").limit(3)
+    names = rows.where(F.col("company").startswith("Customer#")).select(F.lit("company").alias("domain"), F.col("company").alias("allowed"))
+    allowed = names.unionByName(top.select(F.lit("sector").alias("domain"), F.col("sector").alias("allowed")))
+    return tg.domain_check(rows, allowed, ("sector", "company"))[1].select("company", "violations")
 
 
 @register("positional_distinct_pick", """select scen_id, label from (select scen_id, case Category when 'C1' then 'low overshoot'
@@ -397,14 +413,14 @@ def _(spark, sf):
 def _(spark, sf):
     d = t.db(spark, sf)
     rows = j.in_ids(d.long.where(V().isin(list(fixed.F_GASES)) & (F.col("year") == 2050)), b.candidates(d))
-    return sm.median(rows, ("Variable",), out="med", groups_at_most=3, rows_at_most=d.scenarios, count="num_scen")
+    return sm.median(rows, ("Variable",), out="med", count="num_scen")
 
 
 @register("historical_anchor_join", f"""select scen_id, Variable, {r('value')} as model, {r('50.0 - value')} as gap from scen_long
     where year = 2022 and Region = 'World'""")
 def _(spark, sf):
     hist = t.history(spark).select("Region", "year", F.col("value").alias("h"))
-    rows = _long(spark, sf).join(j.small_side(hist, 1), ["Region", "year"])
+    rows = _long(spark, sf).join(j.small_side(hist), ["Region", "year"])
     return rows.select("scen_id", "Variable", F.col("value").alias("model"), (F.col("h") - F.col("value")).alias("gap"))
 
 
@@ -418,7 +434,7 @@ def _(spark, sf):
         "C1": F.col("Category") == "C1", "list a": F.col("in_list_a") == 1, "marked": F.col("IMP_marker").isNotNull(),
     })
     rows = j.by_cohort(d.long, members)
-    return sm.median(rows, ("cohort", "Variable", "year"), out="med", rows_at_most=d.scenarios, count="n")
+    return sm.median(rows, ("cohort", "Variable", "year"), out="med", count="n")
 
 
 @register("positional_label_join", f"""select k.IMP_marker as Source, g.scen_id, {pivot(MS)} from gross g join scen_key k
@@ -445,7 +461,6 @@ def _(spark, sf):
 @register("quantile_by_group", f"""select Variable, year, {r('quantile_cont(value, 0.25)')} as p25, {r('quantile_cont(value, 0.5)')} as p50,
     {r('quantile_cont(value, 0.75)')} as p75 from scen_long group by 1, 2""")
 def _(spark, sf):
-    # no bound given: the sketch-bracketed path, salted
     return sm.quantiles(_long(spark, sf), ("Variable", "year"), {"p25": 0.25, "p50": 0.5, "p75": 0.75})
 
 
@@ -459,7 +474,7 @@ def _(spark, sf):
     from gross where scen_id in (select scen_id from c1) and year in (2020, 2030, 2040, 2050) group by 1""")
 def _(spark, sf):
     d = t.db(spark, sf)
-    return sm.interquartile_band(b.gross_at(d, b.candidates(d), MS), ("year",), groups_at_most=4)
+    return sm.interquartile_band(b.gross_at(d, b.candidates(d), MS), ("year",))
 
 
 @register("count_reported", "select Variable, count(value) as n_2050 from scen_long where year = 2050 group by 1")
@@ -494,7 +509,7 @@ def _(spark, sf):
     d = t.db(spark, sf)
     c1 = b.candidates(d)
     rows = rp.components_at(d, c1, b.DECADES)
-    med = sm.median(rows, ("Variable", "year"), groups_at_most=15, rows_at_most=d.scenarios)
+    med = sm.median(rows, ("Variable", "year"))
     return med.groupBy("year").agg(F.sum("value").alias("total"))
 
 
@@ -509,17 +524,30 @@ def _(spark, sf):
     return ta.slice_max(_long(spark, sf).where(V() == fixed.LAND_USE), ("scen_id",), 2010, 2050)
 
 
-@register("boxplot_stats", f"""select Category, {r('q1')} as q1, {r('q2')} as q2, {r('q3')} as q3,
-    {r('min(case when value between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1) then value end)')} as whisker_low,
-    {r('max(case when value between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1) then value end)')} as whisker_high,
-    count(case when not value between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1) then 1 end) as n_outliers, count(*) as n
-    from (select Category, value, quantile_cont(value, 0.25) over (partition by Category) as q1,
+_BOXES = f"""(select Category, value, quantile_cont(value, 0.25) over (partition by Category) as q1,
       quantile_cont(value, 0.5) over (partition by Category) as q2, quantile_cont(value, 0.75) over (partition by Category) as q3
-      from scen_long join scen_key using (scen_id) where Variable = {q(fixed.FINAL_ENERGY)}) group by Category, q1, q2, q3""")
-def _(spark, sf):
+      from scen_long join scen_key using (scen_id) where Variable = {q(fixed.FINAL_ENERGY)})"""
+_INSIDE = "value between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1)"
+
+
+def _boxes(spark, sf):
     d = t.db(spark, sf)
     rows = d.long.where(V() == fixed.FINAL_ENERGY).join(d.key.select("scen_id", "Category"), "scen_id")
-    return sm.boxplot_stats(rows, ("Category",), "value", groups_at_most=3)
+    return sm.boxplots(rows, ("Category",), "value")
+
+
+@register("boxplot_stats", f"""select Category, {r('q1')} as q1, {r('q2')} as q2, {r('q3')} as q3,
+    {r(f'min(case when {_INSIDE} then value end)')} as whisker_low,
+    {r(f'max(case when {_INSIDE} then value end)')} as whisker_high,
+    count(case when not {_INSIDE} then 1 end) as n_outliers, count(*) as n
+    from {_BOXES} group by Category, q1, q2, q3""")
+def _(spark, sf):
+    return _boxes(spark, sf).stats
+
+
+@register("boxplot_outliers", f"select Category, {r('value')} as value, count(*) as n from {_BOXES} where not {_INSIDE} group by Category, value")
+def _(spark, sf):
+    return _boxes(spark, sf).outliers
 
 
 @register("histogram", f"""select cast(case when x < -1 then 0 when x >= 1 then 21 else floor((x + 1) / 0.1) + 1 end as int) as bin,
@@ -529,16 +557,36 @@ def _(spark, sf):
     return sm.histogram(rp.ambition_cut(t.db(spark, sf)), "pchange_2050", -1.0, 1.0, 20)
 
 
+_NODES = 200_000
+
+
+def _student(rows: str) -> str:
+    """``rows`` (id, t, df, ...) with p and the two-sided 95 % quantile, by summing the density over a fine grid of angles:
+    with x = sqrt(df) tan(a) the area beyond x is that of cos(a) ^ (df - 1) beyond a."""
+    n = f"{_NODES}.0"
+    return f"""(select s.*, p.p, c.quantile from {rows} s
+      left join (select id, sum(pow(cos(lo + (i + 0.5) * (pi() / 2 - lo) / {n}), df - 1)) * (pi() / 2 - lo)
+            / (sum(pow(cos((i + 0.5) * pi() / 2 / {n}), df - 1)) * pi() / 2) as p
+          from (select id, df, atan(abs(t) / sqrt(df)) as lo from {rows} where t is not null and df >= 1), range({_NODES}) g(i)
+          group by id, df, lo) p on p.id = s.id
+      left join (select id, min(sqrt(df) * tan((i + 1 - (cdf - 0.95) / v) * pi() / 2 / {n})) as quantile from (
+          select id, df, i, v / sum(v) over (partition by id) as v, sum(v) over (partition by id order by i) / sum(v) over (partition by id) as cdf
+          from (select id, df, i, pow(cos((i + 0.5) * pi() / 2 / {n}), df - 1) as v from {rows}, range({_NODES}) g(i) where df >= 1))
+          where cdf >= 0.95 and cdf - v < 0.95 group by id) c on c.id = s.id)"""
+
+
 def _welch_sql(src: str, group: str, a: str, bb: str, metrics) -> str:
     def one(m):
-        return f"""select {q(m)} as metric, {r('ma')} as mean_a, {r('mb')} as mean_b, na as n_a, nb as n_b,
-          {r('(ma - mb) / sqrt(nullif(va / na + vb / nb, 0))')} as t,
-          {r('(va / na + vb / nb) * (va / na + vb / nb) / (va / na * va / na / (na - 1) + vb / nb * vb / nb / (nb - 1))')} as df
+        return f"""select {q(m)} as id, ma, mb, na, nb, sqrt(nullif(va / na + vb / nb, 0)) as error,
+          (ma - mb) / sqrt(nullif(va / na + vb / nb, 0)) as t,
+          (va / na + vb / nb) * (va / na + vb / nb) / (va / na * va / na / (na - 1) + vb / nb * vb / nb / (nb - 1)) as df
         from (select avg({m}) filter (where {group} = {q(a)}) as ma, avg({m}) filter (where {group} = {q(bb)}) as mb,
           var_samp({m}) filter (where {group} = {q(a)}) as va, var_samp({m}) filter (where {group} = {q(bb)}) as vb,
           count({m}) filter (where {group} = {q(a)}) as na, count({m}) filter (where {group} = {q(bb)}) as nb from {src})"""
 
-    return " union all ".join(one(m) for m in metrics)
+    rows = "(" + " union all ".join(one(m) for m in metrics) + ")"
+    return f"""select id as metric, {r('ma')} as mean_a, {r('mb')} as mean_b, na as n_a, nb as n_b, {r('t')} as t, {r('df')} as df,
+      {r('p')} as p, {r('ma - mb - quantile * error')} as low, {r('ma - mb + quantile * error')} as high from {_student(rows)}"""
 
 
 @register("welch_t_test", _welch_sql(
@@ -552,9 +600,13 @@ def _(spark, sf):
 
 
 def _cor_sql(src: str, pairs) -> str:
-    return " union all ".join(
-        f"""select {q(x)} as x, {q(y)} as y, {r('r')} as r, n, n - 2 as df, {r('r * sqrt((n - 2) / nullif(1 - r * r, 0))')} as t from (
-        select corr({y}, {x}) as r, cast(regr_count({y}, {x}) as bigint) as n from {src})""" for x, y in pairs)
+    rows = "(" + " union all ".join(
+        f"""select {q(x + ' ' + y)} as id, {q(x)} as x, {q(y)} as y, r, n, cast(n - 2 as double) as df,
+        r * sqrt((n - 2) / nullif(1 - r * r, 0)) as t from (
+        select corr({y}, {x}) as r, cast(regr_count({y}, {x}) as bigint) as n from {src})""" for x, y in pairs) + ")"
+    bound = "tanh(atanh(r) {} 1.959963984540054 / sqrt(n - 3))"
+    return f"""select x, y, {r('r')} as r, n, n - 2 as df, {r('t')} as t, {r('p')} as p, {r(bound.format('-'))} as low,
+      {r(bound.format('+'))} as high from {_student(rows)}"""
 
 
 _PAIRS = [("max_bioenergy", "cum_ccs_2010_2050"), ("final_energy_2050", "cum_gross_2020_2050")]
@@ -601,7 +653,7 @@ def _(spark, sf):
     return ta.interpolate_gaps(t.event_ticks(spark, sf), ("user_id", "event_type"), 1, 31, leading=True)
 
 
-@register("interp_zero_as_gap", f"""select scen_id, Variable, year, {r('value')} as value from
+@register("interp_zero_as_gap_removals", f"""select scen_id, Variable, year, {r('value')} as value from
     {interp('grossr', 'scen_id, Variable', 2020, 2050, True)} where value is not null and scen_id in (select scen_id from c1)
     and Variable in {REM}""")
 def _(spark, sf):
@@ -611,7 +663,7 @@ def _(spark, sf):
     return ta.interpolate_gaps(rows, first=2020, last=2050, zero_missing=True)
 
 
-@register("interp_zero_as_gap_all", f"""select scen_id, Variable, year, {r('value')} as value from
+@register("interp_zero_as_gap", f"""select scen_id, Variable, year, {r('value')} as value from
     {interp('scen_long', 'scen_id, Variable', 2020, 2050, True)} where value is not null""")
 def _(spark, sf):
     return ta.interpolate_gaps(_long(spark, sf), first=2020, last=2050, zero_missing=True)
@@ -625,8 +677,8 @@ _ANCHORED = f"""(select scen_id, year, case when year = 2020 then cast(35289.751
     where value is not null""")
 def _(spark, sf):
     d = t.db(spark, sf)
-    combined = src.stage(rp.combined_emissions(d, t.LIMITS, t.history(spark), _external(spark)), "combined", "scen_id", buckets=d.buckets)
-    rows = combined.where(V() == fixed.GROSS_HARMONISED)
+    rows = rp.harmonised_paths(d, t.LIMITS, t.history(spark), _external(spark)).where(V() == fixed.GROSS_HARMONISED)
+    rows = b.shared(rows)
     return ta.anchor_and_bridge(rows, V() == fixed.GROSS_HARMONISED, fixed.GROSS_2020_ANCHOR).drop("Variable")
 
 
@@ -637,7 +689,7 @@ def _external(spark):
 
 def _net_filtered(spark, sf):
     d = t.db(spark, sf)
-    return b.net_every_year(d, b.staged_ids(b.filtered(d, t.LIMITS)), 2020, 2050).withColumn("Region", F.lit("World"))
+    return b.net_every_year(d, b.filtered(d, t.LIMITS), 2020, 2050).withColumn("Region", F.lit("World"))
 
 
 @register("harmonise_budget", f"select scen_id, year, {r('model')} as modelled, {r('value')} as value from harm")
@@ -646,14 +698,18 @@ def _(spark, sf):
 
 
 @register("harmonise_diagnostics", f"""select k.scen_id, case when h.scen_id is null then 'failed' else 'budget' end as method,
+    case when h.scen_id is null then 'no value in the anchor year' end as reason, coalesce(h.n_years, 0) as n_years,
     {r('h.offset_')} as offset_value, {r('h.before_')} as budget_before, {r('h.after_')} as budget_after
-    from (select distinct scen_id from netfilt) k left join (select scen_id, 50.0 - max(m0) as offset_,
+    from (select distinct scen_id from netfilt) k left join (select scen_id, count(*) as n_years, 50.0 - max(m0) as offset_,
       sum(model * case when year in (2022, 2050) then 0.5 else 1.0 end) as before_,
       sum(value * case when year in (2022, 2050) then 0.5 else 1.0 end) as after_ from harm group by 1) h on h.scen_id = k.scen_id""")
 def _(spark, sf):
-    h = harmonise_budget(_net_filtered(spark, sf), t.history(spark))
-    good = h.diagnostics.drop("Region").withColumnRenamed("offset", "offset_value")
-    return j.union_all(good, h.failed.select("scen_id", F.lit("failed").alias("method")))
+    h = harmonise_budget(_net_filtered(spark, sf), t.history(spark), keep=b.shared)
+    n = h.trajectories.groupBy("scen_id").agg(F.count(F.lit(1)).alias("n_years"))
+    failed = h.failed.select("scen_id", F.col("reason").alias("also"))
+    out = h.diagnostics.drop("Region").withColumnRenamed("offset", "offset_value").join(n, "scen_id", "left")
+    out = out.join(failed, "scen_id", "left").where(F.col("reason").eqNullSafe(F.col("also"))).drop("also")
+    return out.withColumn("n_years", F.coalesce("n_years", F.lit(0)))
 
 
 # --- reshape -------------------------------------------------------------------------------------
@@ -694,7 +750,7 @@ def _(spark, sf):
     for p in (25, 75)))
 def _(spark, sf):
     d = t.db(spark, sf)
-    qs = sm.quantiles(d.long.where(V().isin(list(fixed.F_GASES))), ("Variable",), {"p25": 0.25, "p75": 0.75}, groups_at_most=3)
+    qs = sm.quantiles(d.long.where(V().isin(list(fixed.F_GASES))), ("Variable",), {"p25": 0.25, "p75": 0.75})
     return rs.transpose(qs, "Variable", ["p25", "p75"], list(fixed.F_GASES))
 
 
@@ -884,7 +940,8 @@ def _(spark, sf):
     cross join (values ('SDA'), ('ARA')) as m(method) where sector in ('power', 'buildings_res', 'buildings_serv', 'cement')
       and ty_activity_type in ('fixed_market_share', 'ty_output')""")
 def _(spark, sf):
-    args = tg.domain_check(tg.numeric_arguments(t.companies(spark, sf), ["by_scope1", "by_scope2"]))[0]
+    args = tg.numeric_arguments(t.companies(spark, sf), ["by_scope1", "by_scope2"])
+    args = tg.domain_check(args, tg.domain_table(spark), tg.DOMAINS)[0]
     one = [tg.target_record(args, m, F.col("by_scope1"), F.col("by_scope2")) for m in fixed.TARGET_METHODS]
     return tg.target_records_union(*one)
 

@@ -191,7 +191,7 @@ _HARM_CO2 = f"""select 'Gross fossil CO2' as Variable, 'Cross sector benchmark'
 @register("rpt_benchmark_harmonised", _changes(_with_total(_HARM_CO2)))
 def _(spark, sf):
     d = t.db(spark, sf)
-    return rp.benchmark_harmonised(d, rp.combined_emissions(d, LIM, t.history(spark), _external(spark)))
+    return rp.benchmark_harmonised(d, rp.harmonised_paths(d, LIM, t.history(spark), _external(spark)))
 
 
 @register("rpt_n2o_ch4", " union all ".join(f"""select '{n}' as Variable, {pivot(MS, 'm')} from (select year, quantile_cont(value, 0.5) as m
@@ -389,10 +389,12 @@ def _(spark, sf):
     return rp.project_highlight(t.db(spark, sf))
 
 
-@register("rpt_focal_vs_median", f"""select scen_id, year, {r('CO2')} as CO2, case scen_id when 'NZE' then 'NZE' when 'CWF' then 'CWF' else 'Filtered' end as Scenario,
+@register("rpt_focal_vs_median", f"""select scen_id, year, {r('CO2')} as CO2, {r('c1_25')} as c1_25, {r('c1_75')} as c1_75, case scen_id when 'NZE' then 'NZE' when 'CWF' then 'CWF' else 'Filtered' end as Scenario,
     cast(case scen_id when 'NZE' then 0 when 'CWF' then 1 else 2 end as int) as ord from (select Source as scen_id, cast(year as int) as year, CO2 from (
       select Source, unnest([2020, 2030, 2040, 2050]) as year, unnest([y2020, y2030, y2040, y2050]) as CO2 from focal where Source in ('NZE', 'CWF'))
-    union all select * from ({_LONGFIG}) where scen_id = {q(fixed.FILTERED_MEDIAN)} and year < 2060)""")
+    union all select * from ({_LONGFIG}) where scen_id = {q(fixed.FILTERED_MEDIAN)} and year < 2060)
+    join (select year, quantile_cont(nullif(value, 0), 0.25) as c1_25, quantile_cont(nullif(value, 0), 0.75) as c1_75 from gross
+      where scen_id in (select scen_id from c1) and year in (2020, 2030, 2040, 2050) group by 1) using (year)""")
 def _(spark, sf):
     return rp.focal_vs_median(t.db(spark, sf), LIM, t.focal(spark))
 
@@ -408,16 +410,16 @@ def _(spark, sf):
     return rp.pathway_vs_subset(t.db(spark, sf), LIM, t.focal(spark))
 
 
-def _quart(spark, sf):
+def _quart(spark, sf, variables=None):
     d = t.db(spark, sf)
-    return rp.filtered_quantiles(d, d.key.where("in_list_a = 1"))
+    return rp.filtered_quantiles(d, d.key.where("in_list_a = 1"), variables, rp.FIVE_YEARLY)
 
 
 @register("rpt_net_vs_gross", f"""select source, {r('avg(g - n)')} as mean_gap, count(case when g > n then 1 end) as n_above, count(*) as n from (
     select source, perc, year, max(case when Variable = {NET} then value end) as n, max(case when Variable = {GROSS} then value end) as g from cohort_q
     where year between 2020 and 2060 and (year % 5) = 0 group by 1, 2, 3) where n is not null and g is not null group by 1""")
 def _(spark, sf):
-    return rp.net_vs_gross(_quart(spark, sf))
+    return rp.net_vs_gross(_quart(spark, sf, (fixed.NET_TOTAL, fixed.GROSS_TOTAL)))
 
 
 @register("rpt_generation_bands", f"""select source, Variable, year, perc, {r('value')} as value, source || ' ' || perc as "group",
@@ -434,7 +436,7 @@ def _(spark, sf):
     union all select scen_id, {GROSS}, year, null, {r('value')} from gross where year in (2020, 2030, 2040, 2050, 2060)
       and scen_id in (select scen_id from scen_key where IMP_marker in ('SP', 'LD', 'Ren'))""")
 def _(spark, sf):
-    return rp.median_plus_paths(_quart(spark, sf), rp.illustrative_paths(t.db(spark, sf)))
+    return rp.median_plus_paths(_quart(spark, sf, (fixed.GROSS_TOTAL,)), rp.illustrative_paths(t.db(spark, sf)))
 
 
 _LUL = " union all ".join(f"select '{m}' as metric, filter_flag, {m} as v from lutf" for m in rp.LAND_USE_METRICS)

@@ -230,7 +230,7 @@ CTES: dict[str, str] = {
     "older_gross": f"""select k.scen_id, y.year, coalesce(sum(s.value), 0) as value
       from (select distinct scen_id from older_long where Variable in ({NET}, {q(fixed.BECCS)})
           and scen_id in (select scen_id from older_cohort)) k
-        cross join (select cast(unnest(range(2010, 2091, 10)) as int) as year) y
+        cross join (select distinct year from older_long) y
         left join older_long s on s.scen_id = k.scen_id and s.year = y.year and s.Variable in ({NET}, {q(fixed.BECCS)})
       group by 1, 2""",
     "older_q": f"""select Variable, year, perc, value,

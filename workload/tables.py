@@ -9,6 +9,7 @@ An older, sparser generation of scenarios comes from orders, one scenario per cu
 from __future__ import annotations
 
 import json
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from pathloom.functions import fixed
 from pathloom.functions.columns import joined_key
 from pathloom.operators.joins import lookup_table, small_side
 from pathloom.session import shared_dir
-from pathloom.sources.tables import ScenarioDb, bucket_count, stage
+from pathloom.sources.tables import ScenarioDb, ingest
 
 FIRST_YEAR, LAST_YEAR = 2010, 2092
 
@@ -80,9 +81,9 @@ def scenario_long(spark: SparkSession, sf: str) -> DataFrame:
     )
     cells = li.groupBy("l_suppkey", "slot", "year").agg((F.sum("amount").cast("double") / UNIT).alias("v"))
     nation = read(spark, sf, "nation").join(
-        small_side(read(spark, sf, "region"), 5), F.col("n_regionkey") == F.col("r_regionkey")
+        small_side(read(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey")
     )
-    scen = read(spark, sf, "supplier").join(small_side(nation, 25), F.col("s_nationkey") == F.col("n_nationkey"))
+    scen = read(spark, sf, "supplier").join(small_side(nation), F.col("s_nationkey") == F.col("n_nationkey"))
     slots = lookup_table(
         spark, [(i, v, u) for i, (v, u) in enumerate(VARIABLES)], "slot int, Variable string, Unit string"
     )
@@ -95,7 +96,7 @@ def scenario_long(spark: SparkSession, sf: str) -> DataFrame:
     )
     return (
         cells.join(scen, F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(small_side(slots, len(VARIABLES)), "slot")
+        .join(small_side(slots), "slot")
         .where(~((F.col("slot") == 0) & (F.col("r_name") == "AFRICA")))  # models that do not report the total
         .select(
             joined_key("n_name", "s_name").alias("scen_id"), F.col("n_name").alias("Model"),
@@ -107,9 +108,9 @@ def scenario_long(spark: SparkSession, sf: str) -> DataFrame:
 
 def scenario_key(spark: SparkSession, sf: str) -> DataFrame:
     nation = read(spark, sf, "nation").join(
-        small_side(read(spark, sf, "region"), 5), F.col("n_regionkey") == F.col("r_regionkey")
+        small_side(read(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey")
     )
-    scen = read(spark, sf, "supplier").join(small_side(nation, 25), F.col("s_nationkey") == F.col("n_nationkey"))
+    scen = read(spark, sf, "supplier").join(small_side(nation), F.col("s_nationkey") == F.col("n_nationkey"))
     bal = F.col("s_acctbal")
     return scen.select(
         joined_key("n_name", "s_name").alias("scen_id"), F.col("n_name").alias("Model"),
@@ -143,7 +144,7 @@ def older_long(spark: SparkSession, sf: str) -> DataFrame:
     cust = read(spark, sf, "customer")
     return (
         cells.join(cust, F.col("o_custkey") == F.col("c_custkey"))
-        .join(small_side(names, len(OLDER_VARIABLES)), "o_orderpriority")
+        .join(small_side(names), "o_orderpriority")
         .select(
             joined_key("c_mktsegment", "c_name", sep="").alias("scen_id"), F.col("c_mktsegment").alias("Model"),
             F.col("c_name").alias("Scenario"), "Variable", "year", "v",
@@ -165,26 +166,21 @@ def older_key(spark: SparkSession, sf: str) -> DataFrame:
 _DBS: dict[str, ScenarioDb] = {}
 
 
-def _db(spark: SparkSession, sf: str, name: str, long, key, first: int, last: int) -> ScenarioDb:
+def _db(spark: SparkSession, sf: str, name: str, long, key) -> ScenarioDb:
     """Ingest once per session and input folder: both tables bucketed by scen_id in the shared folder."""
     tag = json.dumps([spark.sparkContext.applicationId, shared_dir(spark), sf, name])
     if tag not in _DBS:
-        keys = key(spark, sf)
-        scenarios = keys.count()
-        n = bucket_count(spark, scenarios)
-        _DBS[tag] = ScenarioDb(
-            stage(long(spark, sf), f"{name}_long", "scen_id", ("Variable", "scen_id", "year"), n),
-            stage(keys, f"{name}_key", "scen_id", buckets=n), first, last, scenarios, n,
-        )
+        _DBS[tag] = ingest(long(spark, sf), key(spark, sf), name)
     return _DBS[tag]
 
 
 def db(spark: SparkSession, sf: str) -> ScenarioDb:
-    return _db(spark, sf, "scen", scenario_long, scenario_key, FIRST_YEAR, LAST_YEAR)
+    return replace(_db(spark, sf, "scen", scenario_long, scenario_key), years=tuple(range(FIRST_YEAR, LAST_YEAR + 1)))
 
 
 def older_db(spark: SparkSession, sf: str) -> ScenarioDb:
-    return _db(spark, sf, "older", older_long, older_key, 2010, 2090)
+    """The years are those that the table reports."""
+    return _db(spark, sf, "older", older_long, older_key)
 
 
 def focal(spark: SparkSession) -> DataFrame:
