@@ -1,11 +1,12 @@
 """Exact order statistics by narrowing ranges, at any group size.
 
-Every double has a place among all doubles: the number its 64 bits spell when they are ordered by value. A first pass
-counts the rows of each group by the leading bits of the place and finds, from running counts, in which bins the wanted
-ranks lie. A second pass folds the rows of these bins to distinct values with counts and narrows them by the next bits.
-What is left are the values of a range in which the last bits alone differ; their running counts give the statistics.
+A first pass counts the rows of each group in narrow bins, ranges of values whose logarithms lie close together, and
+finds from running counts in which bins the wanted ranks lie. A second pass folds the rows of these bins to distinct
+values with counts. Every double has a place among all doubles: the number its 64 bits spell when they are ordered by
+value. The leading bits of the place narrow each bin to ranges in which the last bits alone differ; the running counts of
+what is left give the statistics.
 
-No task holds a group. A window orders the counted bins of one group or the distinct values of one range: 2^22 at most
+No task holds a group. A window orders the counted bins of one group or the distinct values of one range: 2^23 at most
 in each step, whatever the number of rows. Rows of one bin fold to counts before the shuffle, so a value that a third of
 all rows share is one row a task.
 """
@@ -19,7 +20,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LAST_BITS = 21  # of a place that the last step leaves to single values
-FIRST_SHIFT = 42  # leading bits of the first pass: 64 - 42 = 22
+BINS_PER_OCTAVE = 1 << 11
+
+
+def coarse(x: Column) -> Column:
+    """A number that never falls as the value grows, from one logarithm: equal within a 2^11th of an octave."""
+    size = F.abs(x)
+    octave = F.least(F.log2(size), F.lit(1024.0)) + F.lit(1075.0)  # above 0 from the smallest double on
+    bin_ = F.floor(octave * BINS_PER_OCTAVE) + 1
+    return F.when(x > 0, bin_).when(x < 0, -bin_).otherwise(F.lit(0).cast("long"))
 
 
 def place(x: Column) -> Column:
@@ -69,18 +78,17 @@ def order_statistics(rows: DataFrame, keys: Sequence[str], probs: dict[str, floa
     ranks = [f(pos) for pos in position.values() for f in (F.floor, F.ceil)]
     c = F.col("_c")
 
-    # the leading bits of each group
-    bins = rows.groupBy(*keys, F.shiftright(place(F.col("_x")), FIRST_SHIFT).alias("_bin")).agg(F.sum("_c").alias("_c"))
+    # the bins of each group that hold a rank
+    bins = rows.groupBy(*keys, coarse(F.col("_x")).alias("_bin")).agg(F.sum("_c").alias("_c"))
     group = Window.partitionBy(*keys)
     so_far = group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bins = bins.withColumn("_upto", F.sum("_c").over(so_far)).withColumn("_n", F.sum("_c").over(group))
     hit = _keys_of(bins.where(_among(ranks, c)), keys, F.col("_bin").alias("_hit"), "_n", (F.col("_upto") - c).alias("_below"))
-    at = F.shiftright(place(F.col("_x")), FIRST_SHIFT)
-    inside = rows.withColumn("_at", at).join(hit, [*_same(keys), F.col("_at").eqNullSafe(F.col("_hit"))])
+    inside = rows.withColumn("_at", coarse(F.col("_x"))).join(hit, [*_same(keys), F.col("_at").eqNullSafe(F.col("_hit"))])
     own = [*keys, "_n", "_at", "_below"]
     inside = inside.groupBy(*own, "_x").agg(F.sum("_c").alias("_c"))  # read twice, shuffled once
 
-    # the next bits of the bins that hold a rank
+    # the leading bits of their values
     fine = F.shiftright(place(F.col("_x")), LAST_BITS).alias("_fine")
     ranges = inside.groupBy(*own, fine).agg(F.sum("_c").alias("_c"))
     so_far = Window.partitionBy(*own).orderBy("_fine").rowsBetween(Window.unboundedPreceding, Window.currentRow)

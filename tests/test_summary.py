@@ -32,6 +32,9 @@ def test_places_are_the_order_of_values(spark, make):
     for v, k in got.items():
         bits = int(np.float64(abs(v)).view(np.int64))
         assert k == (-bits if v < 0 else bits), v
+    bins = {r.v: r.b for r in make("v double", [(v,) for v in values]).withColumn("b", selection.coarse(F.col("v"))).collect()}
+    ordered = [bins[v] for v in sorted(bins)]
+    assert ordered == sorted(ordered) and bins[0.0] == 0 and max(map(abs, ordered)) < 2**22 + 2**18
 
 
 @pytest.mark.parametrize("keys", [("g",), ()])
@@ -54,7 +57,7 @@ def test_no_task_holds_a_large_group(spark):
     n = 2_000_000
     df = spark.range(0, n, 1, 8).select(F.lit("g").alias("g"), (1.0 + F.col("id") / n).alias("value"))
     placed = selection.values(df, ("g",), F.col("value"))
-    bins = placed.groupBy(F.shiftright(selection.place(F.col("_x")), selection.FIRST_SHIFT).alias("b")).count()
+    bins = placed.groupBy(selection.coarse(F.col("_x")).alias("b")).count()
     assert bins.agg(F.max("count")).first()[0] < n / 500
     got = sm.quantiles(df, ("g",), {"m": 0.5, "q": 0.999}).first()
     assert (got.m, got.q) == pytest.approx((1.0 + (n - 1) / 2 / n, 1.0 + 0.999 * (n - 1) / n), rel=1e-12)
