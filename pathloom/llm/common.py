@@ -32,7 +32,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-PART_BYTES = 8 << 20  # of text worked on at a time; a longer text is a part of its own
+PART_BYTES = 4 << 20  # of text worked on at a time; a longer text is a part of its own
 
 
 def parts(batch, limit: int = PART_BYTES):

@@ -8,7 +8,7 @@ class, linked at once; only class representatives go on.
 Which pairs of a bucket are verified: every member against the least of the bucket and against its two predecessors
 in a slice of the bucket of bounded size. That connects groups of copies without naming all their pairs. Buckets
 whose members are still in different components are then searched in full: members outside the bucket's largest
-component against all its members, in blocks of bounded size. Candidates must agree in size and in signature (8 bits
+component against all its members, in blocks of bounded size. Candidates must agree in size and in signature (2 bits
 of each minimum, at a margin of ``MARGIN`` standard deviations), and a link counts only once the full sets confirm it.
 The candidates of the full search are confirmed in cells, some ``CELL`` texts of one component against some ``CELL``
 texts near it: a text goes once to each of its cells, not once to each of its pairs.
@@ -61,8 +61,10 @@ class Rule:
         return max(fits, default=1)
 
     def least_equal(self, hashes: int) -> int:
-        """Of so many signature bytes, how many a similar pair has in common, but for ``MARGIN`` deviations."""
+        """Of so many pairs of signature bits, how many a similar pair has in common, but for ``MARGIN`` deviations. Different
+        minima agree in two bits one time in four."""
         s = self.percent / 100
+        s += (1 - s) / 4
         return int(hashes * max(0.0, s - MARGIN * (s * (1 - s) / hashes) ** 0.5))
 
 
@@ -92,6 +94,24 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return least >> U64(32)
 
 
+def packed(minima: np.ndarray) -> np.ndarray:
+    """Two bits of each minimum, four minima a byte."""
+    low = (minima & U64(3)).astype(np.uint8).reshape(len(minima), -1, 4)
+    return low[:, :, 0] | low[:, :, 1] << 2 | low[:, :, 2] << 4 | low[:, :, 3] << 6
+
+
+def unpacked(signatures: list[bytes]) -> np.ndarray:
+    """Signatures as rows of 64-bit numbers."""
+    return np.frombuffer(b"".join(signatures), U64).reshape(-1, HASHES // 32)
+
+
+def in_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many of their pairs of bits two signatures, or rows of them, have in common."""
+    differ = a ^ b
+    differ = (differ | differ >> U64(1)) & U64(0x5555555555555555)
+    return differ.shape[-1] * 32 - np.bitwise_count(differ).sum(axis=-1, dtype=np.int64)
+
+
 def signed(docs: DataFrame, rule: Rule, keep: tuple[str, ...], text_col: str) -> DataFrame:
     """Size and identity of each text's set, its band keys and its signature bytes."""
 
@@ -105,7 +125,7 @@ def signed(docs: DataFrame, rule: Rule, keep: tuple[str, ...], text_col: str) ->
             bands = HASHES // rule.band_rows()
             keys = mixed((minima * _BAND).reshape(-1, bands, HASHES // bands).sum(axis=2, dtype=U64)
                          + np.arange(bands, dtype=U64)).view(np.int64)
-            low = (minima & U64(0xFF)).astype(np.uint8)
+            low = packed(minima)
             one = np.array([s.sum(dtype=U64) for s in sets], U64).view(np.int64)
             two = np.array([np.bitwise_xor.reduce(mixed(s)) if len(s) else 0 for s in sets], U64).view(np.int64)
             return [pa.array([len(s) for s in sets], pa.int64()), pa.array(one), pa.array(two),
@@ -128,9 +148,8 @@ def resembling(pairs: DataFrame, known: DataFrame, rule: Rule) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            sa, sb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, HASHES)
-                      for i in (2, 3))
-            mask = pa.array((sa == sb).sum(1) >= rule.least_equal(HASHES))
+            sa, sb = (unpacked(batch.column(i).to_pylist()) for i in (2, 3))
+            mask = pa.array(in_common(sa, sb) >= rule.least_equal(HASHES))
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in (0, 1)], names=["a", "b"])
 
     return joined.mapInArrow(run, "a long, b long").distinct()
@@ -292,10 +311,9 @@ def unsettled(members: DataFrame, known: DataFrame, root: DataFrame, rule: Rule)
         if asks.all() or not asks.any():
             return np.zeros((0, 5), np.int64)
         (na, ca, sa, wa), (nb, cb, sb, wb) = (
-            (side["n"].to_numpy(), side["component"].to_numpy(),
-             np.frombuffer(b"".join(side["sig"]), np.uint8).reshape(-1, HASHES), side["node"].to_numpy())
+            (side["n"].to_numpy(), side["component"].to_numpy(), unpacked(list(side["sig"])), side["node"].to_numpy())
             for side in (pdf[asks], pdf[~asks]))
-        first = np.ascontiguousarray(sb[:, :FIRST])
+        first = np.ascontiguousarray(sb[:, :FIRST // 32])
         main, cell, part = pdf["main"].iloc[0], pdf["cell"].to_numpy()[~asks], pdf["part"].to_numpy()[asks]
         out = [np.zeros((0, 5), np.int64)]
         for at in range(0, len(na), 64):
@@ -305,10 +323,9 @@ def unsettled(members: DataFrame, known: DataFrame, root: DataFrame, rule: Rule)
             fits = ((cb == main) | (c < cb)) & (cb != c) & (100 * np.minimum(nb, n) >= rule.percent * np.maximum(nb, n))
             if not fits.any():
                 continue
-            equal = (first == sa[some, None, :FIRST]).view(np.uint64).sum(axis=2, dtype=np.uint64)
-            equal = (equal * U64(0x0101010101010101)) >> U64(56)  # the eight bytes of each word added up
+            equal = in_common(first[None], sa[some, None, :FIRST // 32])
             i, j = np.nonzero(fits & (equal >= rule.least_equal(FIRST)))
-            good = (sa[at + i] == sb[j]).sum(1) >= rule.least_equal(HASHES)
+            good = in_common(sa[at + i], sb[j]) >= rule.least_equal(HASHES)
             i, j = i[good], j[good]
             out.append(np.stack([cb[j], cell[j], part[at + i], wa[at + i], wb[j]], axis=1))
         return np.concatenate(out)
