@@ -2,9 +2,8 @@
 
 A run of ``K`` words is an anchor if, of the ``S``-word runs inside it, one of least hash lies at its beginning or
 its end. Whether it is does not depend on anything around it, so equal passages have equal anchors wherever they
-stand. A text's whole fingerprint is all its anchors with their places, so it grows with the text; ``matched`` holds
-two of them against each other position by position. Beside it stands a short fingerprint of the ``KEEP`` least
-distinct anchor hashes, from which ``likeness`` estimates the overlap of the anchor sets, without order or place.
+stand. A text's fingerprint is all its anchors with their places, so it grows with the text; ``matched`` holds
+two of them against each other position by position.
 
 Positions match so: of each hash the i-th anchor of one text is paired with the i-th of the other; a pair counts if
 its offset (place in the other text less place in the one) is that of ``AGREE`` pairs or more, or of as many as the
@@ -22,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K, S, KEEP, AGREE = 5, 2, 64, 2
+K, S, AGREE = 5, 2, 2
 
 
 def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) -> DataFrame:
@@ -51,21 +50,9 @@ def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) ->
         .drop("__w", "__s", "__k", "__a")
 
 
-def sketch(anchors: Column, keep: int = KEEP) -> Column:
-    """The least distinct hashes of an array of anchors."""
-    return F.slice(F.array_sort(F.array_distinct(F.transform(anchors, lambda a: a["hash"]))), 1, keep)
-
-
-def printed(hashes: Column) -> Column:
-    """A fingerprint as text: 16 hex digits a hash."""
-    return F.array_join(F.transform(hashes, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
-
-
-def likeness(a: Column, b: Column, keep: int = KEEP) -> Column:
-    """Estimated overlap of two anchor sets: the share of the least hashes of both that both hold."""
-    least = F.slice(F.array_sort(F.array_union(a, b)), 1, keep)
-    shared = F.size(F.array_intersect(least, F.array_intersect(a, b)))
-    return F.when(F.size(least) == 0, F.lit(1.0)).otherwise(shared / F.size(least))
+def printed(anchors: Column) -> Column:
+    """A fingerprint as text: place and hash (hex) of each anchor."""
+    return F.array_join(F.transform(anchors, lambda a: F.concat_ws(":", a["pos"], F.lower(F.hex(a["hash"])))), ",")
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -159,8 +146,8 @@ def with_next(df: DataFrame, id_col: str, carried: list[str], parts: int | None
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints of each text and of its edited text, with the likeness to that and to the next document: from the
-    short fingerprints (``near_``) and from all anchors by place (``placed_``)."""
+    """Anchors of each text and of its edited text, both as text too, and how they match those of the edited text and of
+    the next document by place (``placed_``); ``near_`` is the likeness of that."""
     rows = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     both = with_next(rows, id_col, ["text"])
     n = F.char_length("text")
@@ -172,13 +159,12 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # anchors are longer than their text, so those of the next text are computed again rather than dealt with it
     for text, out in (("text", "anchors"), ("edited", "edited_anchors"), ("next_text", "next_anchors")):
         both = with_anchors(both, text, out)
-    both = both.select(id_col, "n_chars", "edited", "anchors", "edited_anchors", sketch(F.col("anchors")).alias("own"),
-                       sketch(F.col("next_anchors")).alias("next_own"),
-                       sketch(F.col("edited_anchors")).alias("changed"),
+    both = both.select(id_col, "n_chars", "edited", "anchors", "edited_anchors",
                        matched(F.col("anchors"), F.col("edited_anchors")).alias("placed_edited"),
                        matched(F.col("anchors"), F.col("next_anchors")).alias("placed_next"))
     return both.select(id_col, "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-                       printed(F.col("own")).alias("fingerprint"), printed(F.col("changed")).alias("edited_fingerprint"),
-                       likeness(F.col("own"), F.col("changed")).alias("near_edited"),
-                       likeness(F.col("own"), F.col("next_own")).alias("near_next"),
+                       printed(F.col("anchors")).alias("fingerprint"),
+                       printed(F.col("edited_anchors")).alias("edited_fingerprint"),
+                       F.col("placed_edited.likeness").alias("near_edited"),
+                       F.col("placed_next.likeness").alias("near_next"),
                        "anchors", "edited_anchors", "placed_edited", "placed_next")

@@ -48,17 +48,20 @@ def anchors(text):
     return out
 
 
-def sketch(text):
-    return sorted({h for _, h in anchors(text)})[:fp.KEEP]
+def printed(found):
+    return ",".join(f"{pos}:{h & (2**64 - 1):x}" for pos, h in found)
 
 
-def like(a, b):
-    least = sorted(set(a) | set(b))[:fp.KEEP]
-    return 1.0 if not least else len(set(least) & set(a) & set(b)) / len(least)
-
-
-def printed(s):
-    return "".join(f"{h & (2**64 - 1):016x}" for h in s)
+def placed(a, b):
+    places = [{}, {}]
+    for side, anchors_ in enumerate((a, b)):
+        for pos, h in anchors_:
+            places[side].setdefault(h, []).append(pos)
+    pairs = Counter(y - x for h, xs in places[0].items() for x, y in zip(xs, places[1].get(h, [])))
+    votes = sorted((-n, o) for o, n in pairs.items() if n >= min(fp.AGREE, len(a), len(b)))
+    n = -sum(v for v, _ in votes)
+    whole = len(a) + len(b) - n
+    return n, votes[0][1] if votes else None, n / whole if whole else 1.0
 
 
 def brute(rows):
@@ -68,8 +71,8 @@ def brute(rows):
         t, nxt = t or "", rows[(i + 1) % len(rows)][1] or ""
         half = len(t) // 2
         e = t[:len(t) - half] + nxt[:half]
-        out[d] = (len(t), hashlib.sha256(e.encode()).hexdigest(), printed(sketch(t)), printed(sketch(e)),
-                  like(sketch(t), sketch(e)), like(sketch(t), sketch(nxt)))
+        out[d] = (len(t), hashlib.sha256(e.encode()).hexdigest(), printed(anchors(t)), printed(anchors(e)),
+                  placed(anchors(t), anchors(e))[2], placed(anchors(t), anchors(nxt))[2])
     return out
 
 
@@ -119,24 +122,12 @@ def test_odd_rows(make):
         for r in out:
             byid.setdefault(r.doc_id, set()).add(r.fingerprint)
         for r in rows:
-            assert printed(sketch(r[1])) in byid[r[0]]
+            assert printed(anchors(r[1])) in byid[r[0]]
     assert fp.fingerprint_edits(make(DOCS, [])).count() == 0
     one = fp.fingerprint_edits(make(DOCS, [(1, "a b c d e f g", None, None, None)])).first()
     assert one.near_next == 1.0
 
 
-def placed(a, b):
-    places = [{}, {}]
-    for side, anchors_ in enumerate((a, b)):
-        for pos, h in anchors_:
-            places[side].setdefault(h, []).append(pos)
-    pairs = Counter(y - x for h, xs in places[0].items() for x, y in zip(xs, places[1].get(h, [])))
-    votes = sorted((-n, o) for o, n in pairs.items() if n >= min(fp.AGREE, len(a), len(b)))
-    n = -sum(v for v, _ in votes)
-    whole = len(a) + len(b) - n
-    return n, votes[0][1] if votes else None, n / whole if whole else 1.0
-
-
 def test_all_anchors_match_by_place(make):
     rng = random.Random(5)
     passage = words(rng, 60, 10**6)
