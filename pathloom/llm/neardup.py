@@ -242,7 +242,8 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
     classes = staged(some.groupBy(*key).agg(F.min("node").alias("node"), F.first("bands").alias("bands"),
                                             F.first("sig").alias("sig")), "dup_classes")
     known = classes.select("node", "n", "sig")
-    members = classes.select("node", F.explode("bands").alias("band")).distinct()
+    # dealt out by band once, for the sizes of the buckets and for the join with them
+    members = classes.select("node", F.explode("bands").alias("band")).repartition("band")
     buckets = members.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least")) \
         .where("size > 1")
     members = staged(members.join(buckets, "band"), "dup_members")
