@@ -130,6 +130,14 @@ def test_copies_are_scanned_once(spark, make):
     assert spark.read.parquet(ledger).count() == 51
 
 
+def test_a_ledger_read_twice_in_one_plan_is_two_states(spark, make):
+    ledger = fresh_path(spark, "ledger")
+    frames = [secrets.scan_versions(make("doc_id long, text string", [(i, f"token={i:08d}") for i in ids]), ledger)
+              for ids in (range(20), range(10, 50))]
+    found = frames[0].unionByName(frames[1]).collect()
+    assert len(found) == 60 and all([s.kind for s in r.spans] == ["assign"] for r in found)
+
+
 def test_odd_rows(spark, make):
     docs = make(DOCS, odd_rows())
     none = make(DOCS, [])
