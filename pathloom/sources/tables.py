@@ -8,6 +8,7 @@ from collections import defaultdict
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,13 +30,28 @@ def discover_year_columns(columns: Iterable[str], pattern: str = r"2\d{3}") -> l
     return [c for c in columns if re.fullmatch(pattern, c)]
 
 
+def _as_path(listed: str) -> str:
+    """A path to read from the name that ``inputFiles`` lists, in which signs are encoded; none of them is a wildcard."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", unquote(listed))
+
+
+def first_line(spark: SparkSession, file: str) -> DataFrame:
+    """The first line of a file as ``value``.
+
+    A text scan splits a large file, and the limit then takes whichever split's line comes first over the network. A
+    multi-line scan reads a file from its start in one task, which ends after that line: no sign parts or quotes here.
+    """
+    whole = spark.read.schema("value string").options(sep="\uffff", quote="", multiLine=True, header=False)
+    return whole.csv(file).limit(1)
+
+
 def headers(spark: SparkSession, path: str | Sequence[str]) -> dict[str, tuple[str, ...]]:
     """The column names of each file under ``path``. Reads the first line of each, many files in one job."""
-    files = sorted(spark.read.text(path).inputFiles())
+    files = sorted(map(_as_path, spark.read.text(path).inputFiles()))
     out = {}
     for i in range(0, len(files), HEADERS_AT_ONCE):
         some = files[i:i + HEADERS_AT_ONCE]
-        firsts = [spark.read.text(f).limit(1).select(F.lit(f).alias("file"), "value") for f in some]
+        firsts = [first_line(spark, f).select(F.lit(f).alias("file"), "value") for f in some]
         for row in reduce(DataFrame.unionAll, firsts).collect():
             names = tuple(next(csv.reader([row["value"].removeprefix("\ufeff")])))
             if len(set(names)) < len(names):
