@@ -146,7 +146,7 @@ class ScenarioDb:
 
 
 ROW_KEY = ("scen_id", "Region", "Variable", "year")
-BUCKET_BYTES = 128 << 20  # of measured input a bucket takes
+BUCKET_BYTES = 10 << 20  # of measured input a bucket takes; its rows fill some 30 times that in a sort
 
 
 def bucket_count(spark: SparkSession, size: int) -> int:
@@ -157,13 +157,17 @@ def bucket_count(spark: SparkSession, size: int) -> int:
 def unique_rows(df: DataFrame, keys: Sequence[str], partitioned_by: str, n: int) -> DataFrame:
     """``df`` in ``n`` hash partitions of a column that is one of the keys; a key that comes twice fails the job.
 
-    Rows of one key lie in one partition, sorted by it, so the check needs no exchange of its own.
+    Rows of one key lie in one partition and follow each other in it, so the check needs no exchange of its own and
+    compares each row with the one before.
     """
-    order = Window.partitionBy(*keys).orderBy(*keys)
+    rest = [k for k in keys if k != partitioned_by]
+    before = Window.partitionBy(partitioned_by).orderBy(*(sorted(rest) or [partitioned_by]))
     text = F.concat_ws(", ", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys])
     twice = F.raise_error(F.concat(F.lit("two rows for "), text))
-    checked = df.repartition(n, partitioned_by).withColumn("_nth", F.row_number().over(order))
-    return checked.where(F.when(F.col("_nth") > 1, twice.cast("boolean")).otherwise(True)).drop("_nth")
+    last = F.lag(F.struct(F.lit(1).alias("_any"), *rest)).over(before)
+    again = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_last.{k}")) for k in rest], F.col("_last").isNotNull())
+    checked = df.repartition(n, partitioned_by).withColumn("_last", last)
+    return checked.where(F.when(again, twice.cast("boolean")).otherwise(True)).drop("_last")
 
 
 def ingest(long: DataFrame, key: DataFrame, name: str = "scen", years: Sequence[int] | None = None,

@@ -296,3 +296,18 @@ def test_folders_with_odd_signs(spark, tmp_path):
         path = src._as_path(str(folder)) if name != "per%cent" else str(folder)
         wide = src.scan_wide_csv(spark, path)
         assert wide.columns == ["Variable", 'a "b", c', "2020"] and wide.count() == 1
+
+
+def test_a_bucket_takes_little_input(spark):
+    assert src.bucket_count(spark, 6 << 30) >= 600  # its rows are sorted in one task
+    # a task's share stays the same while the input grows
+    assert src.bucket_count(spark, 60 << 30) == 6 * src.bucket_count(spark, 10 << 30)
+
+
+def test_unique_rows_finds_missing_keys_that_come_twice(spark, make):
+    keys, schema = ["scen_id", "Variable", "year"], "scen_id string, Variable string, year int"
+    good = [("a", None, 2020), ("a", "v", 2020), ("b", None, 2020), (None, None, 2020), ("a", None, 2030)]
+    assert src.unique_rows(make(schema, good), keys, "scen_id", 2).count() == 5
+    for twice, said in ((("a", None, 2020), "a, null, 2020"), ((None, None, 2020), "null, null, 2020")):
+        with pytest.raises(Exception, match=f"two rows for {said}"):
+            src.unique_rows(make(schema, [*good, twice]), keys, "scen_id", 2).collect()
