@@ -24,9 +24,10 @@ linked with nothing and kept.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.llm.common import map_texts, parts, staged
@@ -39,6 +40,7 @@ MARGIN = 4.5
 SLICE, BLOCK, QUERY = 512, 512, 2048  # members of a bucket compared together
 PACK = 4096  # members of small buckets that share a call
 CELL, CALL = 64, 256  # texts on each side of a cell; texts whose cells share a call
+SIEVE = 1 << 18  # words of the filter that says which texts are moved at all
 
 _RNG = np.random.default_rng(771)
 _MULTIPLY = _RNG.integers(0, 2**64, HASHES, dtype=U64) | U64(1)
@@ -155,9 +157,29 @@ def resembling(pairs: DataFrame, known: DataFrame, rule: Rule) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long").distinct()
 
 
+def sieved(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """All rows whose ``node`` is in ``ids`` and a few others, without moving any.
+
+    Every task gets a Bloom filter: three bits an id in one of so many 64-bit words, four ids a word and ``SIEVE`` words at
+    most. More ids let more others pass.
+    """
+    words = min(SIEVE, 1 + ids.count() // 4)
+
+    def place(salt: str, n: int):
+        return F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(n))
+
+    bits = reduce(Column.bitwiseOR, [F.call_function("shiftleft", F.lit(1).cast("long"), place(f"bit{i}", 64).cast("int"))
+                                     for i in range(3)])
+    sieve = ids.groupBy(place("word", words).alias("word")).agg(F.bit_or(bits).alias("filled"))
+    met = rows.join(F.broadcast(sieve), place("word", words) == F.col("word"))
+    return met.where(F.col("filled").bitwiseAND(bits) == bits).select(*rows.columns)
+
+
 def texts_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, text) of the documents in ``ids`` (node), equal texts of one id once; written to the shared folder."""
-    texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).join(ids, "node", "left_semi")
+    """(node, text) of the documents in ``ids`` (node, each once), equal texts of one id once; written to the shared folder."""
+    ids = staged(ids, "dup_ids")
+    # no semi join, which the optimiser would do before the sieve
+    texts = sieved(docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")), ids).join(ids, "node")
     return staged(texts.groupBy("node", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
                   .select("node", "text"), "dup_texts")
 

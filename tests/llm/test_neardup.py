@@ -117,3 +117,36 @@ def test_one_id_with_two_texts_links_both(make):
     rows = [(1, a), (4, b), (9, a), (9, b)]
     out = neardup.near_duplicates(make("doc_id long, text string", rows), Rule()).collect()
     assert {r.component_id for r in out} == {1}
+
+
+def test_only_texts_of_candidates_are_moved(spark, make, monkeypatch):
+    rows = spark.range(20_000).selectExpr("id AS node", "concat('text ', id) AS text")
+    ids = spark.range(0, 20_000, 40).toDF("node")
+    for words, others in ((neardup.SIEVE, 600), (1, 20_000)):
+        monkeypatch.setattr(neardup, "SIEVE", words)
+        passed = neardup.sieved(rows, ids)
+        found = {r.node for r in passed.collect()}
+        assert found >= set(range(0, 20_000, 40)) and len(found) <= 500 + others
+        assert passed.columns == ["node", "text"] and passed.count() == len(found)
+    texts = make("doc_id long, text string", [(1, "a"), (1, "a"), (1, "b"), (2, "c"), (None, "d")])
+    out = neardup.texts_of(make("node long", [(1,), (3,)]), texts, "doc_id", "text")
+    assert sorted(map(tuple, out.collect())) == [(1, "a"), (1, "b")]
+    assert neardup.sieved(rows, ids.where("node < 0")).count() == 0
+
+
+def test_the_filter_comes_before_the_exchange_of_texts(make, monkeypatch):
+    plans = []
+    staged = neardup.staged
+
+    def watched(df, name):
+        if name == "dup_texts":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return staged(df, name)
+
+    monkeypatch.setattr(neardup, "staged", watched)
+    text = " ".join(map(str, range(40)))
+    docs = make("doc_id long, text string", [(1, text), (2, text + " z"), (3, "another one of a few words")])
+    pairs = make("a long, b long", [(1, 2)])
+    assert list(map(tuple, neardup.confirmed(pairs, docs, Rule(3, 85), "doc_id", "text").collect())) == [(1, 2)]
+    outer, inner = [line for line in plans[0].splitlines() if "Join " in line]
+    assert "strategy=broadcast" in inner and "strategy=broadcast" not in outer
