@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame
 
 from pathloom.llm.common import map_texts
 
-SLICE = 1 << 22  # characters worked on at a time; longer texts are cut before a space that begins a word
+SLICE = 1 << 20  # characters worked on at a time; longer texts are cut before a space that begins a word
 WORDS = 20_000  # words in one recursive query
-CACHE = 300_000  # words in each of two generations a worker remembers; of the older one, what recurs moves on
+CACHE = 150_000  # words in each of two generations a worker remembers; of the older one, what recurs moves on
 LONG = 48  # bytes from which a word is looked at for places no merge can cross
 
 _LETTER, _NUMBER, _OTHER, _SPACE = 0, 1, 2, 3

@@ -106,3 +106,22 @@ def test_count_tables(make):
             n = len(model.encode(r.text or ""))
             assert (r.n_bytes, r.n_tokens, r.over_limit) == (len((r.text or "").encode()), n, n > 4096)
     assert tokencount.count_tokens(make(DOCS, []), PIECES).count() == 0
+
+
+def test_a_worker_needs_little_memory_for_a_part(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(bpe, "map_texts", lambda docs, text_col, fields, make, keep: make)
+    run = bpe.encode_texts(None, RANKS)()
+    texts = pa.array(["a part of texts with few words " * 3300] * 40)  # some 4 MB, as ``parts`` hands them on
+    run(texts[:1])
+    tracemalloc.start()
+    try:
+        ids, raw = run(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert raw.to_pylist() == [t.encode() for t in texts.to_pylist()]
+    assert peak < 80e6
