@@ -1,9 +1,10 @@
 """Byte-level BPE by the ranks of a vocabulary file, encoded and decoded by DuckDB inside each partition.
 
 A batch of texts is cut into words by the tokenizer's split pattern, worked out on arrays of character classes. Words
-not met before go to DuckDB as token-position rows. A recursive query joins neighbouring rows with the merge table
-and contracts each word's leftmost pair of lowest rank until no pair is left in the table; an ordered aggregation
-returns the ids of each word, and another one turns ids back into bytes.
+not met before go to DuckDB as token-position rows, positions counted on over all words of a block. A recursive query
+joins neighbouring rows with the merge table and contracts each word's leftmost pair of lowest rank until no pair is
+left in the table; an ordered aggregation over blocks of 4096 ids, whatever lists they stand in, turns ids back into
+bytes, which are then dealt out by the lengths of the tokens.
 
 Defined results: a null text is empty and has no tokens; rows come back one for one. Long words are cut first where
 two bytes meet that no token holds side by side, as no merge can cross there.
@@ -21,7 +22,7 @@ from pathloom.llm.common import map_texts
 
 SLICE = 1 << 20  # characters worked on at a time; longer texts are cut before a space that begins a word
 WORDS = 20_000  # words in one recursive query
-CACHE = 150_000  # words in each of two generations a worker remembers; of the older one, what recurs moves on
+CACHE = 200_000  # words in each of two generations a worker remembers; of the older one, what recurs moves on
 LONG = 48  # bytes from which a word is looked at for places no merge can cross
 
 _LETTER, _NUMBER, _OTHER, _SPACE = 0, 1, 2, 3
@@ -81,23 +82,22 @@ def word_starts(points: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 
 
 _ENCODE = """
-WITH RECURSIVE t(w, pos, tok, len, done) AS (
-  SELECT w, pos, tok, 1, false FROM start
+WITH RECURSIVE t(w, pos, tok, nxt, done) AS (
+  SELECT w, pos, tok, pos + 1, false FROM start
   UNION ALL
-  SELECT a.w, a.pos, CASE WHEN a.pos = h.pos THEN h.id ELSE a.tok END, CASE WHEN a.pos = h.pos THEN h.len ELSE a.len END,
-         h.w IS NULL
+  SELECT a.w, a.pos, CASE WHEN a.pos = h.pos THEN h.id ELSE a.tok END,
+         CASE WHEN a.pos = h.pos THEN h.pos + h.len ELSE a.nxt END, h.w IS NULL
   FROM t a LEFT JOIN (
-    SELECT w, (best >> 42)::INT id, ((best >> 10) & 4294967295)::BIGINT pos, (best & 1023)::INT len
-    FROM (SELECT x.w, min((m.id::BIGINT << 42) + (x.pos::BIGINT << 10) + m.len) best
-          FROM t x JOIN t y ON y.w = x.w AND y.pos = x.pos + x.len JOIN merges m ON m.l = x.tok AND m.r = y.tok
+    SELECT w, (best >> 42)::INT id, ((best >> 10) & 4294967295)::INT pos, (best & 1023)::INT len
+    FROM (SELECT x.w, min(m.best + (x.pos::BIGINT << 10)) best
+          FROM t x JOIN t y ON y.pos = x.nxt JOIN merges m ON m.pair = (x.tok::BIGINT << 32) + y.tok
           WHERE NOT x.done GROUP BY x.w)) h ON h.w = a.w
   WHERE NOT a.done AND (h.w IS NULL OR a.pos <= h.pos OR a.pos >= h.pos + h.len))
-SELECT w, list(tok ORDER BY pos) ids FROM t WHERE done GROUP BY w ORDER BY w
+SELECT w, tok FROM t WHERE done ORDER BY pos
 """
 _DECODE = """
-SELECT unhex(coalesce(string_agg(v.hx, '' ORDER BY x.pos), '')) AS bytes
-FROM (SELECT i, unnest(ids) id, generate_subscripts(ids, 1) pos FROM coded) x JOIN vocab v USING (id)
-RIGHT JOIN coded c ON c.i = x.i GROUP BY c.i ORDER BY c.i
+SELECT unhex(string_agg(v.hx, '' ORDER BY x.pos)) AS bytes
+FROM coded x JOIN vocab v USING (id) GROUP BY x.pos // 4096 ORDER BY x.pos // 4096
 """
 
 
@@ -112,6 +112,8 @@ class Coder:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         if max(map(len, self.ranks)) > 1023:
             raise ValueError("tokens of more than 1023 bytes")
+        if len(set(self.ranks.values())) < len(self.ranks):
+            raise ValueError("tokens with one rank")
         self.byte_id = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         merges = [(self.ranks[t[:i]], self.ranks[t[i:]], r, len(t)) for t, r in self.ranks.items()
                   for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
@@ -120,56 +122,73 @@ class Coder:
             for i in range(len(t) - 1):
                 self.meet[t[i], t[i + 1]] = True
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
-        l, r, i, n = (pa.array(c, pa.int32()) for c in zip(*merges))
-        self._table("merges", pa.table({"l": l, "r": r, "id": i, "len": n}))
+        l, r, i, n = (np.array(c, np.int64) for c in zip(*merges))
+        self._table("merges", pa.table({"pair": (l << 32) + r, "best": (i << 42) + n}))
         self._table("vocab", pa.table({"id": pa.array(self.ranks.values(), pa.int32()),
                                        "hx": [t.hex() for t in self.ranks]}))
-        self.young: dict[bytes, tuple[bytes, bytes]] = {}  # word -> its ids as int32, and its decoded bytes
-        self.old: dict[bytes, tuple[bytes, bytes]] = {}
+        self.size = np.zeros(max(self.ranks.values()) + 2, np.int64)  # bytes of each id; the last place: no id
+        self.size[list(self.ranks.values())] = [len(t) for t in self.ranks]
+        # word -> its ids as int32; with its decoded bytes where these are not the word
+        self.young: dict[bytes, bytes | tuple[bytes, bytes]] = {}
+        self.old: dict[bytes, bytes | tuple[bytes, bytes]] = {}
+        self.unlike = False  # whether a word came that its ids do not decode to
 
     def _table(self, name: str, data) -> None:
         self.db.register("given", data)
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def merged(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of words by merges alone, in blocks of bounded size."""
+    def merged(self, words: list[bytes]):
+        """Ids of words by merges alone, in blocks of bounded size: all ids, and how many each word has."""
         import pyarrow as pa
 
-        out: list[list[int]] = []
+        ids, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        sizes = np.cumsum([0, *map(len, words)], dtype=np.int64)
         at = 0
         while at < len(words):
-            stop, size = at, 0
-            while stop < len(words) and stop - at < WORDS and (size == 0 or size + len(words[stop]) < 8 * WORDS):
-                size += len(words[stop])
-                stop += 1
-            lengths = np.array([len(w) for w in words[at:stop]])
+            stop = max(at + 1, int(np.searchsorted(sizes, sizes[at] + 8 * WORDS, side="right")) - 1)
+            stop = min(stop, at + WORDS)
             raw = np.frombuffer(b"".join(words[at:stop]), np.uint8)
-            pos = np.arange(len(raw)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            self.db.register("start", pa.table({"w": np.repeat(np.arange(len(lengths), dtype=np.int32), lengths),
-                                                "pos": pos, "tok": self.byte_id[raw]}))
-            out += self.db.sql(_ENCODE).to_arrow_table()["ids"].to_pylist()
+            w = np.repeat(np.arange(stop - at, dtype=np.int32), np.diff(sizes[at:stop + 1]))
+            pos = np.arange(len(raw), dtype=np.int32) + w  # a place stays free behind each word, so none meets the next
+            self.db.register("start", pa.table({"w": w, "pos": pos, "tok": self.byte_id[raw]}))
+            got = self.db.sql(_ENCODE).to_arrow_table()
             self.db.unregister("start")
+            ids.append(got["tok"].to_numpy())
+            counts.append(np.bincount(got["w"].to_numpy(), minlength=stop - at))
             at = stop
-        return out
+        return np.concatenate(ids), np.concatenate(counts)
 
-    def coded(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of words: whole tokens as they are, others by merges, long ones part by part."""
-        parts: dict[bytes, int] = {}
-        plan: list[list[int] | int] = []
+    def coded(self, words: list[bytes]):
+        """Ids of words, as an Arrow list array: whole tokens as they are, others by merges, long ones part by part."""
+        import pyarrow as pa
+
+        parts: dict[bytes, int] = {}  # what goes through merges, each once
+        whole: list[int] = []  # numbered from -1 downwards
+        picks, many = [], []  # numbers of the parts of the words one after another, and how many each word has
         for w in words:
             if (rank := self.ranks.get(w)) is not None:
-                plan.append(rank)
-                continue
-            cuts = [0]
-            if len(w) >= LONG:
+                whole.append(rank)
+                picks.append(-len(whole))
+                many.append(1)
+            elif len(w) < LONG:
+                picks.append(parts.setdefault(w, len(parts)))
+                many.append(1)
+            else:
                 raw = np.frombuffer(w, np.uint8)
-                cuts += (np.flatnonzero(~self.meet[raw[:-1], raw[1:]]) + 1).tolist()
-            plan.append([parts.setdefault(w[a:b], len(parts)) for a, b in zip(cuts, [*cuts[1:], len(w)])])
-        coded = self.merged(list(parts))
-        return [[p] if isinstance(p, int) else [t for k in p for t in coded[k]] for p in plan]
-
-    def looked_up(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
+                cuts = [0, *(np.flatnonzero(~self.meet[raw[:-1], raw[1:]]) + 1).tolist(), len(w)]
+                picks += [parts.setdefault(w[a:b], len(parts)) for a, b in zip(cuts, cuts[1:])]
+                many.append(len(cuts) - 1)
+        ids, counts = self.merged(list(parts))
+        ids = np.concatenate([ids, np.array(whole[::-1], np.int32)])
+        counts = np.concatenate([counts, np.ones(len(whole), np.int64)])
+        picks = np.array(picks, np.int64)
+        begins, sizes = (np.cumsum(counts) - counts)[picks], counts[picks]
+        places = np.arange(sizes.sum()) + np.repeat(begins - (np.cumsum(sizes) - sizes), sizes)
+        ends = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(many))]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids[places], pa.int32()))
+
+    def looked_up(self, words: list[bytes]) -> tuple[list[bytes], list[bytes]]:
         """Ids and decoded bytes of each word, from memory or from DuckDB."""
         import pyarrow as pa
 
@@ -177,16 +196,23 @@ class Coder:
         miss = [i for i, got in enumerate(out) if got is None]
         fresh = {words[i]: self.old.get(words[i]) for i in miss}
         if new := [w for w, got in fresh.items() if got is None]:
-            ids = pa.array(self.coded(new), pa.list_(pa.int32()))
-            flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy().tolist()
-            fresh.update((w, (flat[a:b].tobytes(), w if d == w else d))
-                         for w, a, b, d in zip(new, ends[:-1], ends[1:], self.decode(ids)))
+            ids = self.coded(new)
+            begins = ids.offsets.to_numpy().astype(np.int64) * 4
+            flat = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(new), [
+                None, pa.py_buffer(begins), ids.values.buffers()[1]]).to_pylist()
+            fresh.update(zip(new, flat))
+            if (decoded := self.decode(ids).to_pylist()) != new:
+                fresh.update((w, (i, d)) for w, i, d in zip(new, flat, decoded) if d != w)
+                self.unlike = True
         for i in miss:
             out[i] = fresh[words[i]]
         self.young.update(fresh)
         if len(self.young) > CACHE:
             self.young, self.old = {}, self.young
-        return out
+        if not self.unlike:
+            return out, words
+        both = [got if isinstance(got, tuple) else (got, w) for w, got in zip(words, out)]
+        return [i for i, _ in both], [d for _, d in both]
 
     def encode(self, texts: list[str]):
         """All ids of the texts, where each text's ids begin, all decoded bytes, and where each text's begin."""
@@ -207,7 +233,7 @@ class Coder:
         offsets = np.append(at[starts], at[-1]).astype(np.int64)
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [
             None, pa.py_buffer(offsets), pa.py_buffer(joined.encode())]).dictionary_encode()
-        known = self.looked_up(words.dictionary.to_pylist())
+        known, decoded = self.looked_up(words.dictionary.to_pylist())
         begins = np.searchsorted(starts, np.concatenate([[0], ends]))
 
         def spread(parts: list[bytes], dtype):
@@ -219,16 +245,20 @@ class Coder:
             size = np.dtype(dtype).itemsize
             return np.frombuffer(every.buffers()[2], dtype)[:at[-1] // size], at[begins] // size
 
-        return *spread([k[0] for k in known], np.int32), *spread([k[1] for k in known], np.uint8)
+        return *spread(known, np.int32), *spread(decoded, np.uint8)
 
-    def decode(self, ids) -> list[bytes]:
-        """Bytes of each list of ids in an Arrow list array."""
+    def decode(self, ids):
+        """Bytes of each list of ids in an Arrow list array, as an Arrow array."""
         import pyarrow as pa
 
-        self.db.register("coded", pa.table({"i": np.arange(len(ids)), "ids": ids}))
-        out = self.db.sql(_DECODE).to_arrow_table()["bytes"].to_pylist()
+        flat = ids.flatten().fill_null(-1)
+        self.db.register("coded", pa.table({"pos": np.arange(len(flat)), "id": flat}))
+        raw = b"".join(self.db.sql(_DECODE).to_arrow_table()["bytes"].to_pylist())
         self.db.unregister("coded")
-        return out
+        size = self.size[np.clip(flat.to_numpy(), -1, len(self.size) - 1)]  # no bytes for what is no id
+        ends = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(ids.value_lengths().to_numpy()))]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [
+            None, pa.py_buffer(ends), pa.py_buffer(raw)])
 
 
 def cut(text: str, size: int) -> list[str]:
@@ -306,7 +336,7 @@ def decode_ids(coded: DataFrame, ranks: str, ids_col: str = "ids", keep: tuple[s
         c = coder(ranks)
         for batch in batches:
             ids = batch.column(batch.num_columns - 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(c.decode(ids), pa.binary())],
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], c.decode(ids).cast(pa.binary())],
                                              names=schema.names)
 
     return rows.mapInArrow(run, schema)

@@ -125,3 +125,44 @@ def test_a_worker_needs_little_memory_for_a_part(monkeypatch):
         tracemalloc.stop()
     assert raw.to_pylist() == [t.encode() for t in texts.to_pylist()]
     assert peak < 80e6
+
+
+def test_a_remembered_word_takes_few_bytes(library):
+    import tracemalloc
+
+    rng = random.Random(7)
+    words = list(dict.fromkeys(" " + "".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(5000)))
+    coder = bpe.Coder(RANKS)
+    coder.encode(["warm up"])
+    tracemalloc.start()
+    try:
+        ids, at, raw, _ = coder.encode(["".join(words)])
+        assert ids.tolist() == library.encode_ordinary("".join(words)) and raw.tobytes() == "".join(words).encode()
+        del ids, at, raw
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert len(coder.young) >= len(words) and held < 160 * len(words)
+
+
+def test_ids_decode_across_blocks_without_what_is_no_id(library):
+    import pyarrow as pa
+
+    texts = ["".join(mixed_texts(300, s)) for s in range(3)]
+    lists = [[], library.encode_ordinary(texts[0]), [10**8, -7, None], *map(library.encode_ordinary, texts[1:]), []]
+    assert sum(map(len, lists)) > 3 * 4096
+    got = bpe.coder(RANKS).decode(pa.array(lists, pa.list_(pa.int32()))).to_pylist()
+    assert got == [b"", texts[0].encode(), b"", *(t.encode() for t in texts[1:]), b""]
+    assert bpe.coder(RANKS).decode(pa.array([[], []], pa.list_(pa.int32()))).to_pylist() == [b"", b""]
+
+
+def test_ids_that_do_not_decode_to_their_word_are_reported(monkeypatch):
+    import pyarrow as pa
+
+    coder = bpe.Coder(RANKS)
+    decode = coder.decode
+    other = {b" zqxj": b"?"}
+    monkeypatch.setattr(coder, "decode", lambda ids: pa.array([other.get(d, d) for d in decode(ids).to_pylist()]))
+    for _ in range(2):  # from DuckDB, then from memory
+        _, _, raw, at = coder.encode(["a zqxj b", "Word zqxj"])
+        assert [raw[a:b].tobytes() for a, b in zip(at, at[1:])] == [b"a? b", b"Word?"]
